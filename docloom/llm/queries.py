@@ -1,11 +1,12 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from docloom.llm import bpe, chat, exact_dedup, token_store
+from docloom.llm import bpe, chat, exact_dedup, media, token_store
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op5_chat": chat.op5_chat,
+    "op9_media": media.op9_media,
     "op10_token_store": token_store.op10_token_store,
 }
 
