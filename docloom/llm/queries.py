@@ -1,8 +1,9 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from docloom.llm import bpe, chat, exact_dedup, media, token_store
+from docloom.llm import bpe, chat, exact_dedup, media, packing, token_store
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op5_chat": chat.op5_chat,
