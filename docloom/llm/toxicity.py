@@ -10,7 +10,8 @@ non-negative correction). Scores are then calibrated (Platt) on labelled trainin
 
 Training uses a bounded sample (documented parameters): at most ``max_positive`` toxic rows and ``max_unlabelled`` others,
 those with the smallest hash of the id, which is the same on every run and at every size. Scoring covers all rows and whole
-texts. Features are the distinct hashed words of a text (lower-cased, stripped of ASCII punctuation), of which only those
+texts. Features are hashes of a text's distinct words (lower-cased, stripped of ASCII punctuation) and of their beginnings
+and inner character runs, so that inflected and compound forms of a word are known by its stem. Only those features
 are kept whose share among positives differs significantly from that among unlabelled rows; a toxic word therefore counts
 the same in a short text and in a very long one.
 
@@ -32,29 +33,36 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import read_table
 
-DIM, THRESHOLD = 1 << 18, 0.3
+DIM, THRESHOLD = 1 << 20, 0.3
 MAX_POSITIVE, MAX_UNLABELLED = 2_000, 4_000
 _STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class _Slots(dict):
-    """Word -> its feature; starts anew when full."""
+def word_features(word: bytes) -> list[int]:
+    """Slots of a word: itself, its beginnings of 4 to 6 bytes and its runs of 5 bytes."""
+    w = word.strip(_STRIP)
+    parts = [b"=" + w, *(b"^" + w[:n] for n in (4, 5, 6) if len(w) > n), *(w[i : i + 5] for i in range(1, len(w) - 4))]
+    return [zlib.crc32(p) % DIM for p in parts]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        slot = self[word] = zlib.crc32(word.strip(_STRIP)) % DIM
-        return slot
 
+class Extractor(dict):
+    """Word -> its slots as bytes, those that ``kept`` holds (all by default); starts anew when full."""
 
-_SLOTS = _Slots()
+    def __init__(self, kept: np.ndarray | None = None):
+        super().__init__()
+        self.kept = kept
 
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 400_000:
+            self.clear()
+        slots = np.array(word_features(word), "<u4")
+        found = self[word] = (slots if self.kept is None else slots[self.kept[slots]]).tobytes()
+        return found
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of the whole text and their counts."""
-    words = (text or "").encode().lower().split()
-    slots = np.fromiter(map(_SLOTS.__getitem__, words), np.int64, len(words))
-    return np.unique(slots, return_counts=True)
+    def of(self, text: str | None) -> np.ndarray:
+        """The distinct features of a whole text."""
+        words = (text or "").encode().lower().split()
+        return np.unique(np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")).astype(np.int64)
 
 
 @dataclass
@@ -70,10 +78,8 @@ class Model:
     def raw(self, slots: np.ndarray) -> float:
         return self.bias + float(self.weights[slots].sum())
 
-    def score(self, text: str | None) -> float:
-        slots, _ = features(text)
-        z = self.scale * self.raw(slots) + self.shift
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def probability(self, slots: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.scale * self.raw(slots) + self.shift, -30, 30))))
 
 
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: int = 4, z: float = 4.0) -> np.ndarray:
@@ -169,8 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     schema = pa.schema([("id", pa.int64()), ("p", pa.int32()), ("u", pa.int32()), ("j", pa.int32()), ("slots", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extract = Extractor()
         for b in batches:
-            slots = [features(t.as_py())[0].astype("<u4").tobytes() for t in b.column("text")]
+            slots = [extract.of(t.as_py()).astype("<u4").tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("__id"), *(b.column(c).cast(pa.int32()) for c in "puj"), pa.array(slots, pa.binary())], schema=schema)
 
     rows = sorted(sample.mapInArrow(run, "id long, p int, u int, j int, slots binary").collect(), key=lambda r: r.id)  # bounded by the sample's size
@@ -193,8 +200,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        extract = Extractor(known.weights != 0)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([known.score(t.as_py()) for t in b.column(2)], pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([known.probability(extract.of(t.as_py())) for t in b.column(2)], pa.float64())], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), in_held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
