@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,7 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._docloom_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    for df in stored:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._docloom_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8_slices(column: pa.Array) -> Iterator[bytes]:
@@ -58,8 +70,38 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def u64(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
+class _WordHashes(dict):
+    """Word -> 64-bit hash; starts anew when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 600_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_WORDS = _WordHashes()
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased: what bytes.lower() and split() do."""
+    words = text.lower().split()
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
+
+#: Odd multipliers for combining hashes, from the fractional parts of a Weyl sequence.
+MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(1, 9)], np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijective finaliser: spreads combined hashes over all 64 bits."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def row_crc(doc_id: int | None) -> int:
+    """crc32 of the id as text, as SQL computes it; null ids give 0."""
+    return 0 if doc_id is None else zlib.crc32(str(doc_id).encode())
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -1,12 +1,14 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from docloom.llm import bpe, chat, exact_dedup, media, packing, token_store
+from docloom.llm import bpe, chat, exact_dedup, language_model, media, packing, token_store, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op5_chat": chat.op5_chat,
+    "op6_language_model": language_model.op6_language_model,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_media": media.op9_media,
     "op10_token_store": token_store.op10_token_store,
 }
