@@ -1,6 +1,6 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from docloom.llm import bpe, chat, exact_dedup, language_model, media, packing, token_store, toxicity
+from docloom.llm import bpe, chat, exact_dedup, jaccard_join, language_model, media, packing, token_store, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_language_model": language_model.op6_language_model,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_media": media.op9_media,
     "op10_token_store": token_store.op10_token_store,
 }
