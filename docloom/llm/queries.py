@@ -1,11 +1,12 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from docloom.llm import bpe, chat, exact_dedup, jaccard_join, language_model, media, packing, token_store, toxicity
+from docloom.llm import bpe, chat, exact_dedup, jaccard_join, language_model, media, packing, suffix_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_chat": chat.op5_chat,
     "op6_language_model": language_model.op6_language_model,
     "op7_toxicity": toxicity.op7_toxicity,
