@@ -54,11 +54,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, each once, with all their columns."""
-    stays = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stays"), F.col("text_sha256").alias("__digest"))
-    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    joined = docs.join(stays.distinct(), docs[id_col].eqNullSafe(F.col("__stays")) & (digest == F.col("__digest")), "left_semi")
-    return joined.dropDuplicates([id_col])
+    """The rows of ``docs`` that stay, each once, with all their columns.
+
+    Rows repeated with one id and text come down to one; join and removal share one partitioning, hence one shuffle.
+    """
+    keys = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__null": F.col(id_col).isNull(), "__digest": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)}
+    stays = exact_dedup(docs, id_col, text_col).where("kept")
+    stays = stays.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("text_sha256").alias("__digest"))
+    return docs.withColumns(keys).join(stays, list(keys), "left_semi").dropDuplicates(list(keys)).select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,13 +302,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     components = connected_components(edges)
     classes = heads.select("digest", F.col("head.doc_id").alias("node")).join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     joined = described.join(classes, "digest", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: that with the smallest id."""
-    stays = jaccard_components(docs, id_col, text_col).where("component_id = doc_id").select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stays, docs[id_col] == F.col("__stays"), "left_semi")
+    """One document of each component stays: that with the smallest id. Rows without id stay."""
+    goes = jaccard_components(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("__goes")).distinct()
+    return docs.join(goes, docs[id_col] == F.col("__goes"), "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,7 +356,7 @@ _OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def _cut(with_text: bool):
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string()), ("ordinal", pa.int64())] * with_text
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * with_text
     schema = pa.schema(fields)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -382,7 +382,7 @@ def _cut(with_text: bool):
             g = gone[starts[k] : ends[k]]
             kept = text[starts[k] : ends[k]][~g].tobytes() if g.any() else data[starts[k] : ends[k]]
             spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(len(g) > 0 and g[0])
-            rows.append((None if nulls[k] else int(ids[k]), len(g), int(g.sum()), spans, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "ignore"), k) if with_text else ()))
+            rows.append((None if nulls[k] else int(ids[k]), len(g), int(g.sum()), spans, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "ignore"),) if with_text else ()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -413,8 +413,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = materialize(chunks.groupBy("chunk").cogroup(answers.unionByName(copies).groupBy("chunk")).applyInArrow(_records(ranges), _PART_DDL), "contexts")
     cuts = materialize(parts.where(F.col("kind") == _RECORDS).groupBy("bucket").applyInArrow(_decide, _PART_DDL).unionByName(parts.where(F.col("kind") == _CUTS)), "cuts")
     discard(answers, parts)
-    return chunks.groupBy("chunk").cogroup(cuts.unionByName(copies).groupBy("chunk")).applyInArrow(_cut(with_text), _OUT_DDL + ", text string, ordinal long" * with_text)
+    return chunks.groupBy("chunk").cogroup(cuts.unionByName(copies).groupBy("chunk")).applyInArrow(_cut(with_text), _OUT_DDL + ", text string" * with_text)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of their texts; every document stays, its other columns as they were.
+
+    Texts that lose nothing are not touched (null stays null). Rows with one id must not differ.
+    """
+    cut = suffix_dedup(docs, id_col, text_col, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).dropDuplicates(["__id"])
+    joined = docs.join(cut, docs[id_col] == F.col("__id"), "left")
+    return joined.withColumn(text_col, F.when(F.col("__id").isNotNull(), F.col("__text")).otherwise(F.col(text_col))).select(*docs.columns)
