@@ -32,7 +32,7 @@ def tokenize(c: Column | str) -> Column:
     t = text_of(c)
     signs = F.regexp_extract_all(t, F.lit(CJK), F.lit(0))
     words = F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z0-9_]{2,}"), F.lit(0)), F.lower)
-    pairs = F.when(F.size(signs) > 1, F.zip_with(F.slice(signs, 1, F.size(signs) - 1), F.slice(signs, 2, F.size(signs)), F.concat)).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(F.size(signs) > 1, F.zip_with(F.slice(signs, 1, F.size(signs) - 1), F.slice(signs, 2, F.size(signs)), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
     return F.concat(signs, words, pairs)
 
 
@@ -137,7 +137,14 @@ def html_rows(c: Column | str) -> Column:
     """array<array<string>>: cell texts of the table rows in HTML, in Catalyst alone."""
     rows = F.regexp_extract_all(text_of(c), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     cells = lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1))
-    return F.transform(rows, lambda r: F.transform(cells(r), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "(?s)<[^>]+>", " "), r"\s+", " "))))
+
+    def plain(x: Column) -> Column:
+        x = F.regexp_replace(x, "(?s)<[^>]+>", " ")
+        for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(entity), F.lit(sign))
+        return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+    return F.transform(rows, lambda r: F.transform(cells(r), plain))
 
 
 def resolve_days(c: Column | str, as_of: Column) -> Column:

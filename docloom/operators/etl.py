@@ -243,7 +243,12 @@ def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def text_entities(items: DataFrame, domain: Domain) -> DataFrame:
     """(doc_id, entity_id, entity_type, name, idx): matches of every pattern; text with a fault word names a fault (cut at 80)."""
-    found = [F.transform(F.regexp_extract_all(text_of("text"), F.lit(p), F.lit(1)), lambda x, k=kind: F.struct(F.lit(k).alias("entity_type"), F.trim(x).alias("name"))) for kind, p in domain.entity_patterns.items()]
+
+    def matches(kind: str, pattern: str) -> Column:
+        names = F.regexp_extract_all(text_of("text"), F.lit(pattern), F.lit(1))
+        return F.transform(names, lambda x: F.struct(F.lit(kind).alias("entity_type"), F.trim(x).alias("name")))
+
+    found = [matches(kind, p) for kind, p in domain.entity_patterns.items()]
     fault = F.when(text_of("text").rlike(domain.fault_words), F.array(F.struct(F.lit("fault").alias("entity_type"), F.left(text_of("text"), F.lit(80)).alias("name")))).otherwise(F.array().cast("array<struct<entity_type:string,name:string>>"))
     rows = items.select("doc_id", "idx", F.explode(F.concat(*found, fault) if found else fault).alias("e")).select("doc_id", "idx", "e.*").where("name <> ''")
     rows = rows.withColumn("entity_id", F.concat("entity_type", F.lit("_"), safe_id("name")))
@@ -255,14 +260,14 @@ def text_entities(items: DataFrame, domain: Domain) -> DataFrame:
 
 def text_relations(placed: DataFrame, domain: Domain) -> DataFrame:
     """(doc_id, src, dst, rel, ord): matches of the relation patterns; a source or target of group 0 is the item's section."""
-    parts = []
-    for rel, pattern, a, b in domain.relation_patterns:
-        groups = lambda g, p=pattern: F.regexp_extract_all(text_of("text"), F.lit(p), F.lit(g))
-        section = F.concat(F.lit("section_"), F.coalesce("section_idx", F.lit(-1)).cast("string"))
-        whole = groups(0)
-        src = groups(a) if a else F.transform(whole, lambda _: section)
-        dst = groups(b) if b else F.transform(whole, lambda _: section)
-        parts.append(F.zip_with(src, dst, lambda x, y, r=rel: F.struct(x.alias("src"), y.alias("dst"), F.lit(r).alias("rel"))))
+    section = F.concat(F.lit("section_"), F.coalesce("section_idx", F.lit(-1)).cast("string"))
+
+    def pairs(rel: str, pattern: str, a: int, b: int) -> Column:
+        group = lambda g: F.regexp_extract_all(text_of("text"), F.lit(pattern), F.lit(g))
+        end = lambda g: group(g) if g else F.transform(group(0), lambda _: section)
+        return F.zip_with(end(a), end(b), lambda x, y: F.struct(x.alias("src"), y.alias("dst"), F.lit(rel).alias("rel")))
+
+    parts = [pairs(*p) for p in domain.relation_patterns]
     rows = placed.select("doc_id", F.col("idx").alias("ord"), F.explode(F.concat(*parts)).alias("e")).select("doc_id", "ord", "e.*").where("src <> '' and dst <> '' and src <> dst")
     return rows.groupBy("doc_id", "src", "dst", "rel").agg(F.min("ord").alias("ord"))
 

@@ -172,7 +172,7 @@ def merge_boost(t: Tables) -> DataFrame:
     return search.merge_boost(_candidates(t)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_BM25}, {_CAND}, b AS (SELECT *, CASE WHEN sm THEN 0.2 ELSE 0.0 END + 0.15 * sh + 0.15 * th + CASE WHEN ht THEN 0.1 ELSE 0.0 END + CASE WHEN kh >= 4 THEN 0.1 * least(kh - 3, 5) ELSE 0.0 END + CASE WHEN hi THEN 0.05 ELSE 0.0 END AS rb FROM c0) SELECT query_id, doc_id, round(rb, 6) AS rule_score, round(score * (1 + rb), 6) AS score FROM b")
+@query(f"WITH {_BM25}, {_CAND}, b AS (SELECT *, CASE WHEN sm THEN 0.2 ELSE 0.0 END + 0.15 * sh + 0.15 * th + CASE WHEN ht THEN 0.1 ELSE 0.0 END + CASE WHEN kh >= 4 THEN 0.1 * least(kh - 3, 5) ELSE 0.0 END + CASE WHEN hi THEN 0.05 ELSE 0.0 END AS rb FROM c0) SELECT query_id, doc_id, round(rb, 6)::DOUBLE AS rule_score, round(score * (1 + rb), 6) AS score FROM b")
 def rule_rerank(t: Tables) -> DataFrame:
     return search.rule_bonus(_candidates(t)).select("query_id", "doc_id", F.round("rule_score", 6).alias("rule_score"), F.round("score", 6).alias("score"))
 
