@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +55,23 @@ def discard(*stored: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def utf8_slices(column: pa.Array) -> Iterator[bytes]:
-    """The values of a string column as UTF-8 bytes; null gives no bytes."""
-    for value in column.cast(pa.large_binary()):
-        yield value.as_py() or b""
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, with underscores in front until none clashes with ``columns`` (whatever their case)."""
+    known = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in known:
+            n = f"_{n}"
+        known.add(n.lower())
+        out.append(n)
+    return out
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and so would their high-water marks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def local_path(uri: str) -> str:

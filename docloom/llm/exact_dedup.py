@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, read_table
+from docloom.llm.common import fresh, materialize, read_table
 
 #: Heavy digests that may be broadcast, and counters of the frequent-items summary.
 HEAVY, TRACKED = 1_000, 10_000
@@ -58,10 +58,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows repeated with one id and text come down to one; join and removal share one partitioning, hence one shuffle.
     """
-    keys = {"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__null": F.col(id_col).isNull(), "__digest": F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)}
-    stays = exact_dedup(docs, id_col, text_col).where("kept")
-    stays = stays.select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null"), F.col("text_sha256").alias("__digest"))
-    return docs.withColumns(keys).join(stays, list(keys), "left_semi").dropDuplicates(list(keys)).select(*docs.columns)
+    key, null, digest = names = fresh(docs.columns, "stay_id", "stay_null", "stay_digest")
+    stays = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias(key), F.col("doc_id").isNull().alias(null), F.col("text_sha256").alias(digest))
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), null: F.col(id_col).isNull(), digest: F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)})
+    return keyed.join(stays, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

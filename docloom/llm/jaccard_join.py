@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import MULTIPLIERS, discard, materialize, mixed, read_table, word_hashes
+from docloom.llm.common import MULTIPLIERS, discard, fresh, materialize, mixed, read_table, word_hashes
 from docloom.llm.components import connected_components
 from docloom.llm.exchange import chunk_documents, compress, doc_columns, expand, pack_keys, pack_numbers, range_of, rows_of, unpack_keys, unpack_numbers
 
@@ -307,8 +307,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays: that with the smallest id. Rows without id stay."""
-    goes = jaccard_components(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("__goes")).distinct()
-    return docs.join(goes, docs[id_col] == F.col("__goes"), "left_anti")
+    (key,) = fresh(docs.columns, "goes_id")
+    goes = jaccard_components(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(goes, F.col(id_col) == F.col(key), "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,9 +318,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The sets, their links and the smallest reachable id, by SQL on whole tables; slow, so for small fixtures only.
 BRUTE_SQL = """
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS l FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')]
-      ELSE list_transform(range(1, len(l) - 3), i -> array_to_string(l[i:i + 4], ' ')) END) AS g FROM w),
+      ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),

@@ -109,6 +109,8 @@ def decode_block(data: bytes, table: FrequencyTable, first: int = 0, last: int |
             got[t] = s = table.slot[slot]
             x = table.f[s] * (x >> shift) + slot - table.c[s]
             low = np.flatnonzero(x < _LOW)
+            if at + len(low) > len(words):
+                raise ValueError(f"segment {k} is damaged")
             x[low] = (x[low] << _WORD) | words[at : at + len(low)]
             at += len(low)
         ids = got.reshape(-1)[: n - k * every * lanes]
