@@ -31,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import MULTIPLIERS, discard, materialize, mixed, read_table
+from docloom.llm.common import MULTIPLIERS, discard, fresh, materialize, mixed, read_table, release
 from docloom.llm.exchange import ASK_DDL, ask_rows, chunk_documents, compress, doc_columns, expand, pack_numbers, range_of, rows_of, unpack_counts, unpack_keys, unpack_numbers
 
 SPAN, GRAM, SHALLOW = 100, 16, 32
 _GRAMS = SPAN - GRAM + 1  # in a window
 _POS = np.uint64(24)
-_PIECE = (1 << 24) - 4096
+#: Records that are sorted at once (a gram with more is sorted as a whole).
+BATCH = 32_768
+#: Bytes of text in a chunk (one task's unit of work), and of those whose windows are hashed at once.
+CHUNK, _PIECE = 4 << 20, 1 << 20
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------------
@@ -166,11 +169,15 @@ def deep_shallow_sort(gram: np.ndarray, texts: np.ndarray, shallow: int = SHALLO
     n, width = texts.shape
     padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
     padded[:, :width] = texts
-    words = padded.view(">u8").astype(np.uint64)
-    order, starts = multikey_quicksort(np.column_stack([gram, words[:, : shallow // 8]]))
+    shallow_words = padded[:, :shallow].copy().view(">u8").astype(np.uint64)
+    order, starts = multikey_quicksort(np.column_stack([gram, shallow_words]))
+    del shallow_words
     ends = np.append(starts[1:], n)
     # tied groups whose rows are one and the same need no trie
-    whole = (words * MULTIPLIERS[np.arange(words.shape[1]) % 8] * (np.arange(words.shape[1]).astype(np.uint64) * np.uint64(2) + np.uint64(1))).sum(1, dtype=np.uint64)
+    whole = np.zeros(n, np.uint64)
+    for k, column in enumerate(padded.view("<u8").T):
+        whole = mixed(whole * MULTIPLIERS[0] + column * MULTIPLIERS[1] + np.uint64(k))
+    del padded
     differs = whole[order] != whole[order[np.repeat(starts, ends - starts)]]
     for k in np.unique(np.searchsorted(starts, np.flatnonzero(differs), side="right") - 1):
         rows = order[starts[k] : ends[k]]
@@ -179,8 +186,8 @@ def deep_shallow_sort(gram: np.ndarray, texts: np.ndarray, shallow: int = SHALLO
             trie.insert(texts[r].tobytes(), r)
         order[starts[k] : ends[k]] = trie.ordered()
     common = np.full(n, -1, np.int64)
-    for lo in range(1, n, 1 << 16):
-        hi = min(n, lo + (1 << 16))
+    for lo in range(1, n, 1 << 14):
+        hi = min(n, lo + (1 << 14))
         a, b = order[lo - 1 : hi - 1], order[lo:hi]
         unequal = texts[a] != texts[b]
         length = np.where(unequal.any(1), unequal.argmax(1), width)
@@ -298,8 +305,9 @@ def _records(ranges: int):
             return _PART.empty_table()
         low, high = (anchor - last).astype(np.uint8), (anchor - first).astype(np.uint8)
         text = np.frombuffer(bytes(SPAN) + data + bytes(SPAN), np.uint8)
-        before = text[(anchor + SPAN)[:, None] - 1 - np.arange(_LEFT)]
-        after = text[(anchor + SPAN)[:, None] + np.arange(SPAN)]
+        around = np.lib.stride_tricks.sliding_window_view(text, _LEFT + SPAN)[anchor + SPAN - _LEFT]
+        before, after = around[:, :_LEFT][:, ::-1].copy(), around[:, _LEFT:].copy()
+        del around
         # only what the windows reach: the rest would tell equal windows apart, and cost
         before[np.arange(_LEFT)[None, :] >= high[:, None]] = 0
         after[np.arange(SPAN)[None, :] >= (SPAN - low.astype(np.int64))[:, None]] = 0
@@ -321,32 +329,52 @@ def _records(ranges: int):
             own = by_key[cuts[r] : cuts[r + 1]]
             o = owner[own]
             rows.append((_RECORDS, int(r), row["chunk"], _pack([keys[own], ids[o], nulls[o].astype(np.uint8), o, anchor[own] - starts[o], low[own], high[own], before[own], after[own]])))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PART, strict=True)], schema=_PART)
+        out = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PART, strict=True)], schema=_PART)
+        del rows, data, text, whole, before, after
+        release()
+        return out
 
     return run
 
 
 def _decide(table: pa.Table) -> pa.Table:
-    """A range's records to cuts, one row for each chunk."""
+    """A range's records to cuts, one row for each chunk; grams are decided in batches, so only the packed contexts are held as a whole."""
     chunks = table.column("chunk").to_pylist()
     parts = [_unpack(p.as_py(), _RECORD_KINDS) for p in table.column("payload")]
-    gram, ids, nulls, owner, anchor, low, high, before, after = (np.concatenate([p[i] for p in parts]) for i in range(9))
+    gram, ids, nulls, owner, anchor, low, high = (np.concatenate([p[i] for p in parts]) for i in range(7))
     n = len(gram)
+    contexts = np.empty((n, _LEFT + SPAN), np.uint8)
+    at = 0
+    for p in parts:
+        m = len(p[0])
+        contexts[at : at + m, :_LEFT], contexts[at : at + m, _LEFT:] = p[7].reshape(m, _LEFT), p[8].reshape(m, SPAN)
+        at += m
     chunk = np.repeat(np.array(chunks, np.int64), [len(p[0]) for p in parts])
-    before, after = before.reshape(n, _LEFT), after.reshape(n, SPAN)
-    order = np.lexsort((anchor, owner, chunk, ids, nulls == 0))
-    gram, chunk, owner, anchor, low, high, before, after = (x[order] for x in (gram, chunk, owner, anchor, low, high, before, after))
-    removed = repeated_windows(gram, before, after, low.astype(np.int64), high.astype(np.int64))
-    grid = np.zeros((n, _GRAMS + 2), np.int8)
-    grid[:, 1:-1] = removed
-    step = np.diff(grid, axis=1)
-    i, begin = np.nonzero(step == 1)
-    _, end = np.nonzero(step == -1)
+    del parts
+    order = np.lexsort((anchor, owner, chunk, ids, nulls == 0, gram))
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(gram[order]) != 0, [True])))
+    found: list[tuple[np.ndarray, ...]] = []
+    lo = 0
+    while lo < n:
+        k = int(np.searchsorted(edges, lo + BATCH, side="right")) - 1
+        hi = int(edges[k]) if edges[k] > lo else int(edges[k + 1])  # whole grams, one at least
+        own = order[lo:hi]
+        removed = repeated_windows(gram[own], contexts[own, :_LEFT], contexts[own, _LEFT:], low[own].astype(np.int64), high[own].astype(np.int64))
+        grid = np.zeros((len(own), _GRAMS + 2), np.int8)
+        grid[:, 1:-1] = removed
+        i, begin = np.nonzero((grid[:, 1:] == 1) & (grid[:, :-1] == 0))
+        _, end = np.nonzero((grid[:, 1:] == 0) & (grid[:, :-1] == 1))
+        k = own[i]
+        found.append((chunk[k], owner[k], anchor[k] - (end - 1), anchor[k] - begin))
+        del removed, grid
+        lo = hi
+    del contexts
+    release()
+    chunk, owner, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
     rows = []
-    for c in np.unique(chunk[i]):
-        mine = chunk[i] == c
-        k = i[mine]
-        rows.append((_CUTS, None, int(c), _pack([owner[k], anchor[k] - (end[mine] - 1), anchor[k] - begin[mine]])))
+    for c in np.unique(chunk):
+        mine = chunk == c
+        rows.append((_CUTS, None, int(c), _pack([owner[mine], first[mine], last[mine]])))
     if not rows:
         return _PART.empty_table()
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PART, strict=True)], schema=_PART)
@@ -391,7 +419,7 @@ def _cut(with_text: bool):
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text] of every row."""
     spark = docs.sparkSession
-    chunks = chunk_documents(docs, lambda texts: compress(b"".join(texts)), id_col, text_col, name="text-chunks")
+    chunks = chunk_documents(docs, lambda texts: compress(b"".join(texts)), id_col, text_col, CHUNK, name="text-chunks")
     ddl = "chunk long, place int, doc_id long, digest binary"
     schema = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.binary())])
 
@@ -404,7 +432,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["chunk"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, mask=nulls), pa.array([hashlib.sha256(data[s:e]).digest() for s, e in zip(starts, ends, strict=True)], pa.binary())], schema=schema)
 
     listed = materialize(chunks.mapInArrow(digests, ddl), "digests")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), listed.select("chunk").distinct().count())
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), listed.select("chunk").distinct().count() // 2)
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "chunk", "place")
     heads = listed.groupBy("digest").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = listed.join(heads, "digest").where((F.col("chunk") != F.col("head.chunk")) | (F.col("place") != F.col("head.place")))
@@ -425,6 +453,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts that lose nothing are not touched (null stays null). Rows with one id must not differ.
     """
-    cut = suffix_dedup(docs, id_col, text_col, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).dropDuplicates(["__id"])
-    joined = docs.join(cut, docs[id_col] == F.col("__id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__id").isNotNull(), F.col("__text")).otherwise(F.col(text_col))).select(*docs.columns)
+    key, text = fresh(docs.columns, "cut_id", "cut_text")
+    cut = suffix_dedup(docs, id_col, text_col, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("text").alias(text)).dropDuplicates([key])
+    joined = docs.join(cut, F.col(id_col) == F.col(key), "left")
+    return joined.withColumn(text_col, F.when(F.col(key).isNotNull(), F.col(text)).otherwise(F.col(text_col))).select(*docs.columns)
