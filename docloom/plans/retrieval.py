@@ -101,7 +101,8 @@ def retrieve(queries: DataFrame, corpus: Corpus, domain: Domain, top_k: int = 10
         keys = corpus.points.select("chunk_id", "vector", F.xxhash64("chunk_id").alias("doc_id"))
         lists.append(search.knn(vectors, keys.select("doc_id", "vector"), 20).withColumnRenamed("doc_id", "key").join(keys.select(F.col("doc_id").alias("key"), F.col("chunk_id").alias("doc_id")), "key").drop("key"))
     fused = search.ranked(search.rrf(lists), 20).select("query_id", F.col("doc_id").alias("chunk_id"), "score")
-    c = fused.join(corpus.chunks, "chunk_id").join(intent.drop("query"), "query_id").join(ids, "query_id", "left").join(sections, "query_id", "left")
+    chunks = corpus.chunks.select("chunk_id", "text", "module", "chunk_type", "section_path", "section_title", "entities", "signals", "states", "has_table")
+    c = fused.join(chunks, "chunk_id").join(intent.drop("query"), "query_id").join(ids, "query_id", "left").join(sections, "query_id", "left")
     none = F.array().cast("array<string>")
     known = lambda x: F.coalesce(x, none)
     said = F.lower(F.concat_ws(" ", "text", "section_title"))
