@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The CJK block, the ordered chunk classes and the key-term patterns that results depend on.
+#: The CJK block, the titles of a table of contents, and the key-term patterns that chunk texts depend on.
 CJK = "[\\u4e00-\\u9fff]"
-CHUNK_TYPES = (
-    ("signal_table", "(?i)signal|信号"),
-    ("state_transition", "(?i)transition|state machine|状态|跳转"),
-    ("function_requirement", "(?i)shall|requirement|功能|需求"),
-    ("diagnostic", "(?i)diagnos|fault|dtc|故障|诊断"),
-    ("configuration", "(?i)config|parameter|配置|参数"),
-    ("timing", "(?i)timing|timeout|delay|时序|延时"),
+CONTENTS = ("目录", "Table of Contents", "TOC")
+KEY_TERMS = (
+    r"(以太网|Ethernet|SOMEIP|DoIP|CAN\s*FD|CANFD|LIN|FlexRay|AutoSAR|AUTOSAR|OSEK|UDS|OBD)",
+    r"(Bootloader|刷写|烧写|调试工具|编译器|测试盒|休眠唤醒|网络管理|路由功能|诊断路由|诊断功能|信息安全|功能安全)",
+    r"(R&A|S&A|CH事业部|供应商|埃泰克|负责|协助|验收|评审)",
+    r"(ASIL\s*[A-D]|ISO\s*26262|GB\s*\d+|Q/BAIC|企标)",
+    r"(EP1|EP2|PPV|PPAP|SOP|ESO|OTS|DV|PV)",
 )
-KEY_TERMS = ("[A-Z][A-Za-z0-9]+_[A-Za-z0-9_]+", "[A-Z]{2,}[0-9]*", "0x[0-9A-Fa-f]+", "[0-9]+(?:\\.[0-9]+)?(?:ms|s|V|A|Hz)")
 
 
 def text_of(c: Column | str) -> Column:
@@ -43,7 +42,7 @@ def estimate_tokens(c: Column | str) -> Column:
     return F.greatest(F.lit(1), (signs * 1.5 + (F.length(t) - signs) * 0.3).cast("int"))
 
 
-def classify(title: Column | str, body: Column | str, rules=CHUNK_TYPES) -> Column:
+def classify(title: Column | str, body: Column | str, rules) -> Column:
     """The first class whose pattern occurs in title and the first 500 signs of the body, else general_text."""
     seen = F.concat(text_of(title), F.lit(" "), F.left(text_of(body), F.lit(500)))
     out = None
@@ -68,7 +67,7 @@ def module_name(c: Column | str) -> Column:
     t = text_of(c)
     signs = F.regexp_extract_all(t, F.lit(CJK), F.lit(0))
     words = F.regexp_extract_all(t, F.lit("[A-Za-z0-9]+"), F.lit(0))
-    return F.when(t.rlike("(?i)table of contents|^contents$|目录"), "_TOC").when(F.size(signs) >= 4, F.array_join(F.slice(signs, 1, 8), "")).otherwise(F.left(F.array_join(F.slice(words, 1, 3), "_"), F.lit(20)))
+    return F.when(F.trim(t).isin(*CONTENTS), "_TOC").when(F.size(signs) >= 4, F.array_join(F.slice(signs, 1, 8), "")).otherwise(F.left(F.array_join(F.slice(words, 1, 3), "_"), F.lit(20)))
 
 
 def safe_id(c: Column | str, size: int = 50) -> Column:
@@ -126,10 +125,10 @@ def capitalised(c: Column | str) -> Column:
 
 
 def signals(c: Column | str, limit: int = 20) -> Column:
-    """Distinct signal names of a guard: identifiers with an underscore, and what is compared by '='."""
+    """Distinct signal names of a guard: capitalised identifiers, and what a value is assigned to by '='."""
     t = text_of(c)
-    named = F.regexp_extract_all(t, F.lit("[A-Z][A-Za-z0-9]*_[A-Za-z0-9_]+"), F.lit(0))
-    compared = F.regexp_extract_all(t, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*(?:==|=|!=|>|<)"), F.lit(1))
+    named = F.regexp_extract_all(t, F.lit(r"\b([A-Z][A-Za-z0-9_]{4,}(?:Sts|Mode|Req|St)?)\b"), F.lit(1))
+    compared = F.filter(F.regexp_extract_all(t, F.lit(r"(?U)(\w+)\s*=\s*(?:0x[\dA-Fa-f]+|\w+)"), F.lit(1)), lambda x: F.length(x) > 1)
     return F.slice(F.array_distinct(F.concat(named, compared)), 1, limit)
 
 

@@ -15,15 +15,22 @@ from pyspark.sql import functions as F
 from docloom.functions.text import text_of
 from docloom.plans.domain import DEFINITION_WORDS, TIME_SPANS, Domain
 
-#: The plan templates (nodes and edges) and their trigger words.
+# Each plan template's nodes, edges and trigger words (a template's order breaks ties). Besides, every node feeds
+# completeness, which comes last.
 TEMPLATES = {
-    "factual_lookup": (("intent", "chunk_search", "completeness"), (("intent", "chunk_search"), ("chunk_search", "completeness")), ("是什么", "定义", "含义", "多少", "哪个")),
-    "state_transition": (("intent", "state_machine", "rule_lookup", "chunk_search", "completeness"), (("intent", "state_machine"), ("state_machine", "rule_lookup"), ("intent", "chunk_search"), ("rule_lookup", "completeness"), ("chunk_search", "completeness")), ("条件", "进入", "退出", "转移", "迁移")),
-    "path_finding": (("intent", "path_finder", "rule_lookup", "completeness"), (("intent", "path_finder"), ("path_finder", "rule_lookup"), ("rule_lookup", "completeness")), ("路径", "到达", "经过", "步骤")),
-    "impact_analysis": (("intent", "impact", "rule_lookup", "chunk_search", "completeness"), (("intent", "impact"), ("impact", "rule_lookup"), ("intent", "chunk_search"), ("rule_lookup", "completeness"), ("chunk_search", "completeness")), ("影响", "后果", "导致", "连锁")),
-    "diagnostic": (("intent", "rule_lookup", "impact", "state_machine", "chunk_search", "completeness"), (("intent", "rule_lookup"), ("rule_lookup", "impact"), ("impact", "state_machine"), ("intent", "chunk_search"), ("state_machine", "completeness"), ("chunk_search", "completeness")), ("为什么", "故障", "原因", "无法", "诊断")),
-    "reachability_check": (("intent", "reachability", "conflicts", "completeness"), (("intent", "reachability"), ("intent", "conflicts"), ("reachability", "completeness"), ("conflicts", "completeness")), ("死锁", "活锁", "不可达", "冲突", "连通")),
-}
+    "factual_lookup": ("intent chunk_search", "intent>chunk_search", "是什么 定义 取值 编码 含义 描述 有哪些 列出 参数 配置 PIN 管脚"),
+    "state_transition": ("intent state_machine rule_lookup chunk_search", "intent>state_machine intent>rule_lookup intent>chunk_search state_machine>rule_lookup", "迁移 转移 进入 退出 如何到达 状态 Abandoned Inactive Convenience Driving 前置条件 触发条件 guard"),
+    "impact_analysis": ("intent impact state_machine rule_lookup chunk_search", "intent>impact intent>chunk_search impact>state_machine impact>rule_lookup state_machine>rule_lookup", "影响 impact 导致 后果 连锁 失效 故障会影响 会影响 后果是什么"),
+    "path_finding": ("intent path_finder state_machine rule_lookup chunk_search", "intent>path_finder intent>chunk_search path_finder>state_machine path_finder>rule_lookup state_machine>rule_lookup", "如何从 怎么从 路径 几步 到达 最短 所有路径 经过"),
+    "diagnostic": ("intent rule_lookup impact state_machine conflicts chunk_search", "intent>rule_lookup intent>chunk_search intent>conflicts rule_lookup>impact rule_lookup>state_machine impact>state_machine state_machine>rule_lookup", "为什么不能 为何无法 故障 诊断 失效 错误 异常 不工作 无法启动 无法进入 检测条件 故障反应 恢复"),
+    "reachability_check": ("intent reachability state_machine rule_lookup chunk_search", "intent>reachability intent>chunk_search reachability>state_machine reachability>rule_lookup state_machine>rule_lookup", "不可达 死锁 活锁 是否存在 所有状态 连通 可达 永远无法"),
+}
+
+
+def template(name: str) -> tuple[list[str], list[tuple[str, str]], list[str]]:
+    """(nodes, edges, trigger words) of a template."""
+    nodes, edges, words = (x.split() for x in TEMPLATES[name])
+    return [*nodes, "completeness"], [tuple(e.split(">")) for e in edges] + [(n, "completeness") for n in nodes], words
 
 
 def route(question: Column | str, rules: list[tuple[str, str]]) -> Column:
@@ -44,8 +51,8 @@ def select_template(question: Column | str, domain: Domain) -> Column:
     any_of = lambda words: reduce(lambda a, w: a | F.contains(q, F.lit(w)), words, F.lit(False))
     state = any_of(list(domain.state_names))
     scores = []
-    for n, (name, (_, _, words)) in enumerate(TEMPLATES.items()):
-        s = sum((F.contains(q, F.lit(w)).cast("int") for w in words), F.lit(0))
+    for n, name in enumerate(TEMPLATES):
+        s = sum((F.contains(q, F.lit(w.lower())).cast("int") for w in template(name)[2]), F.lit(0))
         scores.append(F.struct((F.when(state, 0).otherwise(s) if name == "factual_lookup" else s).alias("score"), F.lit(-n).alias("k"), F.lit(name).alias("name")))
     best = F.array_max(F.array(*scores))
     return F.coalesce(route(question, domain.router), F.when(state & any_of(list(DEFINITION_WORDS)), "state_transition"), F.when(best["score"] > 0, best["name"]), F.when(state, "state_transition"), F.lit("factual_lookup"))
@@ -97,10 +104,10 @@ class Plan:
     params: dict[str, dict] = field(default_factory=dict)
 
 
-def build_plan(template: str, params: dict[str, dict] | None = None, disabled: tuple[str, ...] = ()) -> Plan:
-    nodes, edges, _ = TEMPLATES[template]
+def build_plan(name: str, params: dict[str, dict] | None = None, disabled: tuple[str, ...] = ()) -> Plan:
+    nodes, edges, _ = template(name)
     kept = [n for n in nodes if n not in disabled]
-    return Plan(template, kept, [(a, b) for a, b in edges if a in kept and b in kept], params or {})
+    return Plan(name, kept, [(a, b) for a, b in edges if a in kept and b in kept], params or {})
 
 
 def run_plan(plan: Plan, executors: dict[str, Callable[[dict, dict[str, DataFrame]], DataFrame]], threads: int = 4) -> dict[str, NodeOutput]:

@@ -17,12 +17,12 @@ def intents(queries: DataFrame, domain: Domain) -> DataFrame:
     """(query_id, query, question_type, modules, keywords, hints): diagnostic comes before reasoning, reasoning before factual."""
     q = text_of("query")
     low = F.lower(q)
-    kind = F.when(low.rlike("为什么|为何|无法|不能|故障|异常|why|fault"), "diagnostic").when(low.rlike("如何|怎么|条件|影响|路径|how|condition"), "reasoning").otherwise("factual")
+    kind = F.when(low.rlike("故障|诊断|失效|错误|dtc|fault|error"), "diagnostic").when(low.rlike("如何|怎么|为什么|how|why|流程|过程"), "reasoning").otherwise("factual")
     modules = F.array_distinct(F.filter(F.array(*[F.when(F.contains(low, F.lit(k)), v) for k, v in domain.module_aliases.items()], F.lit(None).cast("string")), lambda x: x.isNotNull()))
     phrases = F.slice(F.regexp_extract_all(q, F.lit(f"{CJK}{{2,8}}"), F.lit(0)), 1, 10)
     names = F.slice(F.regexp_extract_all(q, F.lit("[A-Z][A-Za-z0-9_]+"), F.lit(0)), 1, 5)
     hints = [q.rlike(domain.hints[h]).alias(h) if h in domain.hints else F.lit(False).alias(h) for h in ("hint_signal_def", "hint_transition", "hint_division", "hint_tooling")]
-    return queries.select("query_id", "query", kind.alias("question_type"), modules.alias("modules"), F.slice(F.array_distinct(F.concat(phrases, names)), 1, 15).alias("keywords"), *hints)
+    return queries.select("query_id", "query", kind.alias("question_type"), modules.alias("modules"), F.slice(F.concat(phrases, names, modules), 1, 15).alias("keywords"), *hints)
 
 
 def graph_hits(intent: DataFrame, entities: DataFrame, edges: DataFrame, hops: int = 1, seeds: int = 10) -> DataFrame:

@@ -60,13 +60,16 @@ class Engine:
         """One question through its plan; nodes' rows are DataFrames, the answer text comes from the model or is the evidence itself."""
         q = self.spark.createDataFrame([(0, question)], "query_id long, query string")
         template = self.templates(q).first().template
+        said = F.lit(question.lower())
+        states = self.transitions.select(F.explode(F.array("src", "dst")).alias("node")).distinct().where(F.contains(said, F.lower("node"))) if self.transitions is not None else None
+        named = self.corpus.entities.where((F.col("name") != "") & F.contains(said, F.lower("name")))
         executors = {
             "intent": lambda p, given: self.templates(q),
             "chunk_search": lambda p, given: self.search(q),
             "rule_lookup": lambda p, given: self.rules.where(F.exists(F.split(F.lit(question), r"\s+"), lambda w: F.contains(F.lower("condition"), F.lower(w)))).limit(10),
             "state_machine": lambda p, given: self.transitions,
-            "path_finder": lambda p, given: graph.simple_paths(self.transitions, self.spark.createDataFrame([(p["source"], p["target"])], "start string, goal string")),
-            "impact": lambda p, given: graph.impact(graph.collapse(self.corpus.edges), self.spark.createDataFrame([(p["entity"],)], "seed string"), 3),
+            "path_finder": lambda p, given: graph.simple_paths(self.transitions, states.select(F.col("node").alias("start")).crossJoin(states.select(F.col("node").alias("goal"))).where("start <> goal")),
+            "impact": lambda p, given: graph.impact(graph.collapse(self.corpus.edges), named.select(F.col("entity_id").alias("seed")), 3),
             "conflicts": lambda p, given: graph.rule_conflicts(self.rules),
             "reachability": lambda p, given: graph.degrees(self.transitions.select(F.col("src").alias("node")).distinct(), self.transitions),
             "completeness": lambda p, given: q.withColumn("inputs", F.lit(len(given))),

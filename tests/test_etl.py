@@ -84,7 +84,7 @@ def test_pipeline(spark, items):
     assert min(got, key=lambda r: r.rank).section_path == "1.1"
     out = engine.ask("Driving 状态 死锁")
     assert out["template"] == "reachability_check"
-    assert out["reachability"].status == "ok" and out["conflicts"].status == "ok"
+    assert {k for k, v in out.items() if getattr(v, "status", "ok") != "ok"} == set()
     assert spark.createDataFrame([(1, "x")], "query_id long, query string").transform(engine.templates).first().template == "factual_lookup"
 
 

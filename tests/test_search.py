@@ -69,7 +69,8 @@ def test_plan_pieces():
 
 
 def test_failed_nodes_are_results(spark):
-    plan = planner.build_plan("reachability_check", disabled=("conflicts",))
+    plan = planner.build_plan("reachability_check", disabled=("rule_lookup", "state_machine", "chunk_search"))
+    assert plan.nodes == ["intent", "reachability", "completeness"]
     ok = lambda p, given: spark.range(1)
     out = planner.run_plan(plan, {"intent": ok, "completeness": ok, "reachability": lambda p, g: 1 / 0})
     assert {k: v.status for k, v in out.items()} == {"intent": "ok", "reachability": "failed", "completeness": "ok"}

@@ -41,7 +41,7 @@ def test_small_functions(spark):
     assert one(spark, fn.module_name("t"), t="Exterior light control unit") == "Exterior_light_contr"
     assert one(spark, fn.json_part("t"), t='```json\n[{"a": 1}]\n``` done') == '[{"a": 1}]'
     assert one(spark, fn.html_rows("t"), t="<table><tr><th>A</th><td> b <b>c</b></td></tr></table>") == [["A", "b c"]]
-    assert one(spark, fn.signals("t"), t="PEPS_Mode == 1 and x = 2") == ["PEPS_Mode", "x"]
+    assert one(spark, fn.signals("t"), t="PEPS_Mode == 1 and xy = 2 or z = 3") == ["PEPS_Mode", "xy"]
     assert one(spark, fn.expand_query("t", {"车窗": "Window"}), t="车窗 up") == "车窗 up Window"
     assert one(spark, fn.is_toc_only("t"), t="## a\n## b\n## c\n") is True
     assert one(spark, fn.resolve_days("t", F.lit("2025-03-10").cast("date")), t="since 2025年3月1日") == 9
