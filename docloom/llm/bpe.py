@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,19 @@ CACHE_WORDS = 600_000
 #: Fixed value: the public pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same pattern over Latin-1, where its classes are short: the standard library's ``re`` has no \p but runs twice as fast.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
+LATIN1_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+_any, _latin1 = regex.compile(PATTERN).findall, re.compile(LATIN1_PATTERN).findall
+
+
+def pretokens(text: str) -> list[str]:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _any(text)
+    return _latin1(text)
+
 
 def byte_symbols() -> list[str]:
     """The printable stand-in of each byte in a byte-level vocabulary: itself if printable, else the next free sign from 256."""
@@ -72,7 +86,6 @@ class BPE:
             self.piece[i] = content.encode()
         self.special = {content: np.array([i], "<u4").tobytes() for i, content in special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if special else None
-        self.pretokens = regex.compile(PATTERN).findall
         self.words = _Words(self.encode_word)
 
     def encode_word(self, word: str) -> list[int]:
@@ -105,9 +118,9 @@ class BPE:
         """All ids of a text, little-endian unsigned 32-bit."""
         get = self.words.__getitem__
         if self.cut is None or "<" not in text or self.cut.search(text) is None:
-            return b"".join(map(get, self.pretokens(text)))
+            return b"".join(map(get, pretokens(text)))
         parts = self.cut.split(text)
-        return b"".join(self.special[p] if k % 2 else b"".join(map(get, self.pretokens(p))) for k, p in enumerate(parts))
+        return b"".join(self.special[p] if k % 2 else b"".join(map(get, pretokens(p))) for k, p in enumerate(parts))
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         """Concatenated vocabulary strings; ids beyond the vocabulary give nothing, broken UTF-8 the replacement sign."""
