@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import graph
+from docloom.operators.enrich import rule_relevance
+from docloom.operators.search import ranked
 from docloom.plans.registry import Tables, query
 
 #: Nodes are r<region>, n<nation>, c<customer>, s<supplier>; edges follow the foreign keys.
@@ -164,8 +166,15 @@ def two_tier_lookup(t: Tables) -> DataFrame:
 
 @query("WITH m AS (SELECT p_partkey, p_type AS module, 3 * (contains(p_type, 'STEEL') OR contains(p_type, 'BRASS'))::INT + 2 * (p_size > 25)::INT + (contains(p_name, 'a'))::INT AS s FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY s DESC, p_partkey) AS k FROM m) SELECT module, p_partkey, s AS score, k AS rank FROM r WHERE k <= 3")
 def rules_top3_per_module(t: Tables) -> DataFrame:
-    from docloom.operators.search import ranked
-
     s = 3 * (F.contains("p_type", F.lit("STEEL")) | F.contains("p_type", F.lit("BRASS"))).cast("int") + 2 * (F.col("p_size") > 25).cast("int") + F.contains("p_name", F.lit("a")).cast("int")
     m = t.part.select("p_partkey", F.col("p_type").alias("module"), s.alias("score"))
     return ranked(m, 3, by="module", tie="p_partkey").select("module", "p_partkey", "score", "rank")
+
+
+@query("WITH q AS (SELECT DISTINCT p_type AS query_id FROM part), m AS (SELECT query_id, p_partkey AS rule_id, p_type AS module, 3 * (p_type = query_id)::INT + 2 * contains(lower(p_name || ' ' || p_brand), 'co')::INT + contains(lower(p_name || ' ' || p_brand), 'a')::INT + contains(lower(p_name || ' ' || p_brand), 'e')::INT AS score FROM q, part), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rule_id) AS rank FROM m WHERE score > 0) SELECT query_id, rule_id, module, score, rank FROM r WHERE rank <= 8")
+def rule_match_score(t: Tables) -> DataFrame:
+    rules = t.part.select(F.col("p_partkey").alias("rule_id"), F.col("p_type").alias("module"), F.col("p_name").alias("condition"), F.col("p_brand").alias("action"))
+    none = F.array().cast("array<string>")
+    asked = t.part.select(F.col("p_type").alias("query_id")).distinct()
+    intents = asked.select("query_id", F.array("query_id").alias("modules"), F.array(F.lit("co")).alias("signals"), none.alias("states"), none.alias("functions"), F.array(F.lit("a"), F.lit("e")).alias("keywords"))
+    return rule_relevance(rules, intents)
