@@ -81,7 +81,8 @@ def anchors(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
             first = np.flatnonzero(edge)
             last = np.append(first[1:], len(valid)) - 1
             chosen = (pick[first] & np.uint64((1 << 24) - 1)).astype(np.int64)
-            found.append((keys[chosen], owner[first], chosen + at, valid[first] + at, valid[last] + at))
+            # smallest hashes lie near zero: mixed once more, they spread evenly over the hash ranges
+            found.append((mixed(keys[chosen]), owner[first], chosen + at, valid[first] + at, valid[last] + at))
         at += len(low)  # the windows after these start here
     if not found:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4)))
