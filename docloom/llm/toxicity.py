@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import read_table
+from docloom.llm.common import read_table, release
 
 DIM, THRESHOLD = 1 << 20, 0.3
 MAX_POSITIVE, MAX_UNLABELLED = 2_000, 4_000
@@ -84,7 +84,10 @@ class Model:
 
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: int = 4, z: float = 4.0) -> np.ndarray:
     """Mask of features in ``least`` positives or more whose two shares lie ``z`` standard errors apart."""
-    p, u = (np.bincount(np.concatenate(rows), minlength=DIM).astype(float) for rows in (positive, unlabelled))
+    p, u = np.zeros(DIM), np.zeros(DIM)
+    for counts, rows in ((p, positive), (u, unlabelled)):
+        for r in rows:
+            counts[r] += 1  # a row's features are distinct
     n, m = len(positive), len(unlabelled)
     both = (p + u) / (n + m)
     error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n + 1 / m))
@@ -180,16 +183,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             slots = [extract.of(t.as_py()).astype("<u4").tobytes() for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("__id"), *(b.column(c).cast(pa.int32()) for c in "puj"), pa.array(slots, pa.binary())], schema=schema)
 
-    rows = sorted(sample.mapInArrow(run, "id long, p int, u int, j int, slots binary").collect(), key=lambda r: r.id)  # bounded by the sample's size
-    data = [np.frombuffer(r.slots, "<u4").astype(np.int64) for r in rows]
-    chosen_p = [s for s, r in zip(data, rows, strict=True) if r.p]
-    chosen_u = [s for s, r in zip(data, rows, strict=True) if r.u]
+    # bounded by the sample's size; kept as one Arrow table, of which the rows below are views
+    table = sample.mapInArrow(run, "id long, p int, u int, j int, slots binary").toArrow().sort_by("id")
+    rows = table.select(["p", "u", "j"]).to_pylist()
+    data = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("slots")]
+    chosen_p = [s for s, r in zip(data, rows, strict=True) if r["p"]]
+    chosen_u = [s for s, r in zip(data, rows, strict=True) if r["u"]]
     if not chosen_p or not chosen_u:
         return Model(np.zeros(DIM), 0.0, 0.0, float(np.log(prior / (1 - prior))), prior)
     w, bias = train(chosen_p, chosen_u, prior)
     model = Model(w, bias, 1.0, 0.0, prior)
-    known = [(model.raw(s), r.j) for s, r in zip(data, rows, strict=True) if r.j is not None]
+    known = [(model.raw(s), r["j"]) for s, r in zip(data, rows, strict=True) if r["j"] is not None]
     model.scale, model.shift = calibrate(np.array([x for x, _ in known]), np.array([y for _, y in known]))
+    del table, rows, data, chosen_p, chosen_u
+    release()
     return model
 
 
