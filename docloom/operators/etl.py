@@ -134,21 +134,26 @@ def split_long(chunks: DataFrame, most: int = 1500) -> DataFrame:
 
 
 def build_chunks(items: DataFrame, domain: Domain) -> DataFrame:
-    """Chunks of each section's paragraphs, lists and tables, with module, type, key terms, breadcrumb, embedding text and ids."""
+    """Chunks of each section's paragraphs, lists and tables, with module, type, key terms, breadcrumb, embedding text and ids.
+
+    What stands before a document's first title, or in a document without titles, belongs to a root section of empty title,
+    number and module.
+    """
     tree = sections(items)
-    body = place_items(items).where("type in ('paragraph', 'list', 'table') and section_idx is not null")
+    body = place_items(items).where("type in ('paragraph', 'list', 'table')").withColumn("section_idx", F.coalesce("section_idx", F.lit(-1)))
     text = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.coalesce(F.nullif("text", F.lit("")), F.array_join(F.transform(html_rows("html"), lambda r: F.array_join(r, " | ")), "\n")).alias("t")))), lambda x: x["t"])
     grouped = body.groupBy("doc_id", F.col("section_idx").alias("start_idx")).agg(F.array_join(text, "\n").alias("text"), F.bool_or(F.col("type") == "table").alias("has_table"))
-    joined = grouped.join(tree, ["doc_id", "start_idx"]).join(breadcrumbs(tree), ["doc_id", "start_idx"])
-    root = F.first("module").over(Window.partitionBy("doc_id").orderBy("start_idx"))
-    chunks = split_long(joined.withColumn("module", root))
+    joined = grouped.join(tree, ["doc_id", "start_idx"], "left").join(breadcrumbs(tree), ["doc_id", "start_idx"], "left")
+    root = F.first("module", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("start_idx"))  # null for the root section
+    none = F.lit("")
+    chunks = split_long(joined.withColumns({"module": F.coalesce(root, none), "title": F.coalesce("title", none), "breadcrumb": F.coalesce("breadcrumb", none)}))
     kind = classify("title", "text", domain.chunk_types) if domain.chunk_types else F.lit("general_text")
     number = F.row_number().over(Window.partitionBy("doc_id", "module").orderBy("start_idx", "part"))
     return chunks.select(
         "doc_id", "module", F.coalesce("number", F.lit("")).alias("section_path"), F.col("title").alias("section_title"), "text", "has_table", "breadcrumb", kind.alias("chunk_type"),
         estimate_tokens("text").alias("token_count"), key_terms("text").alias("key_terms"),
         F.concat(F.lit("chunk_"), "module", F.lit("_"), F.lpad(number.cast("string"), 3, "0")).alias("chunk_id"),
-        F.concat_ws("\n", F.concat(F.lit("["), "module", F.lit("] "), kind), "breadcrumb", F.nullif(key_terms("text"), F.lit("")), F.left("text", F.lit(2000))).alias("embedding_text"),
+        F.concat_ws("\n", F.concat(F.lit("["), "module", F.lit("] "), kind), F.nullif("breadcrumb", none), F.nullif(key_terms("text"), F.lit("")), F.left("text", F.lit(2000))).alias("embedding_text"),
     )
 
 

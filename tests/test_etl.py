@@ -64,6 +64,20 @@ def test_entities_and_chunks(items):
     assert len({c.chunk_id for c in chunks}) == len(chunks)
 
 
+ITEM = "doc_id string, idx int, page int, type string, level int, text string, html string"
+
+
+def test_chunks_before_and_without_titles(spark):
+    rows = [("a.csv", 0, 0, "table", None, "", "<table><tr><td>x</td><td>y</td></tr></table>"), ("b.md", 0, 0, "paragraph", None, "preface", ""), ("b.md", 1, 0, "title", 1, "1 Exterior light", ""), ("b.md", 2, 0, "paragraph", None, "body", "")]
+    got = {(c.doc_id, c.section_path): c for c in etl.build_chunks(spark.createDataFrame(rows, ITEM), body_control()).collect()}
+    assert {k: (c.text, c.module, c.section_title, c.breadcrumb, c.has_table) for k, c in got.items()} == {
+        ("a.csv", ""): ("x | y", "", "", "", True),
+        ("b.md", ""): ("preface", "", "", "", False),
+        ("b.md", "1"): ("body", "1_Exterior_light", "1 Exterior light", "1 Exterior light", False),
+    }
+    assert all(c.chunk_id and c.embedding_text.endswith(c.text) for c in got.values())
+
+
 def test_folds(spark):
     groups = spark.createDataFrame([(1, 0, "a", 10), (1, 1, "b", 10), (1, 2, "c", 400), (1, 3, "d", 50), (1, 4, "e", 20)], "doc_id long, ord int, text string, tokens int")
     assert [(r.text, r.tokens) for r in etl.merge_small(groups).orderBy("ord").collect()] == [("a\nb", 20), ("c", 400), ("d\ne", 70)]
