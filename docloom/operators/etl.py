@@ -137,7 +137,8 @@ def build_chunks(items: DataFrame, domain: Domain) -> DataFrame:
     """Chunks of each section's paragraphs, lists and tables, with module, type, key terms, breadcrumb, embedding text and ids.
 
     What stands before a document's first title, or in a document without titles, belongs to a root section of empty title,
-    number and module.
+    number and module. A chunk_id is chunk_<module>_<number>:<doc_id>, of at least three digits; modules have no colon, so two
+    documents never share one.
     """
     tree = sections(items)
     body = place_items(items).where("type in ('paragraph', 'list', 'table')").withColumn("section_idx", F.coalesce("section_idx", F.lit(-1)))
@@ -152,7 +153,7 @@ def build_chunks(items: DataFrame, domain: Domain) -> DataFrame:
     return chunks.select(
         "doc_id", "module", F.coalesce("number", F.lit("")).alias("section_path"), F.col("title").alias("section_title"), "text", "has_table", "breadcrumb", kind.alias("chunk_type"),
         estimate_tokens("text").alias("token_count"), key_terms("text").alias("key_terms"),
-        F.concat(F.lit("chunk_"), "module", F.lit("_"), F.lpad(number.cast("string"), 3, "0")).alias("chunk_id"),
+        F.concat(F.lit("chunk_"), "module", F.lit("_"), F.format_string("%03d", number), F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), none)).alias("chunk_id"),
         F.concat_ws("\n", F.concat(F.lit("["), "module", F.lit("] "), kind), F.nullif("breadcrumb", none), F.nullif(key_terms("text"), F.lit("")), F.left("text", F.lit(2000))).alias("embedding_text"),
     )
 
@@ -160,7 +161,8 @@ def build_chunks(items: DataFrame, domain: Domain) -> DataFrame:
 def optimise_chunks(chunks: DataFrame) -> DataFrame:
     """Drop chunks of headings only, merge those of one section, drop stubs (under 30 signs once bars and headings are gone)."""
     kept = chunks.where(~is_toc_only("text"))
-    grouped = kept.groupBy("doc_id", "module", "section_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]), "\n").alias("text"), F.bool_or("has_table").alias("has_table"), F.min("chunk_id").alias("chunk_id"), F.min("section_title").alias("section_title"), F.min("chunk_type").alias("chunk_type"))
+    order = F.struct(F.length("chunk_id").alias("n"), "chunk_id")  # numbers of more than three digits come last
+    grouped = kept.groupBy("doc_id", "module", "section_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), "text"))), lambda x: x["text"]), "\n").alias("text"), F.bool_or("has_table").alias("has_table"), F.min_by("chunk_id", order).alias("chunk_id"), F.min("section_title").alias("section_title"), F.min("chunk_type").alias("chunk_type"))
     rest = F.trim(F.regexp_replace(F.regexp_replace("text", r"\|\s*\|", ""), r"(?m)^#{1,6}\s.*$", ""))
     return grouped.where(F.length(rest) >= 30).withColumn("token_count", (F.length("text") / 3).cast("int"))
 

@@ -78,6 +78,20 @@ def test_chunks_before_and_without_titles(spark):
     assert all(c.chunk_id and c.embedding_text.endswith(c.text) for c in got.values())
 
 
+def test_chunk_ids_of_several_documents(spark):
+    titles = F.explode(F.sequence(F.lit(0), F.lit(2003))).alias("idx")
+    docs = spark.createDataFrame([("a",), ("b",)], "doc_id string").select("doc_id", titles)
+    title = F.col("idx") % 2 == 0
+    items = docs.select("doc_id", "idx", F.lit(0).alias("page"), F.when(title, "title").otherwise("paragraph").alias("type"), F.when(title, 1).alias("level"), F.when(title, "Light").otherwise(F.concat(F.lit("text of the paragraph at place "), F.col("idx").cast("string"))).alias("text"), F.lit("").alias("html"))
+    chunks = etl.build_chunks(items, body_control()).select("doc_id", "module", "section_path", "section_title", "chunk_type", "text", "has_table", "chunk_id").cache()
+    ids = [c.chunk_id for c in chunks.collect()]
+    assert len(ids) == len(set(ids)) == 2004
+    assert {"chunk_Light_100:a", "chunk_Light_1000:a", "chunk_Light_1000:b", "chunk_Light_001:b"} <= set(ids)
+    for c in etl.optimise_chunks(chunks).collect():
+        assert [int(x.rsplit(" ", 1)[1]) for x in c.text.split("\n")] == list(range(1, 2004, 2))
+        assert c.chunk_id == f"chunk_Light_001:{c.doc_id}"
+
+
 def test_folds(spark):
     groups = spark.createDataFrame([(1, 0, "a", 10), (1, 1, "b", 10), (1, 2, "c", 400), (1, 3, "d", 50), (1, 4, "e", 20)], "doc_id long, ord int, text string, tokens int")
     assert [(r.text, r.tokens) for r in etl.merge_small(groups).orderBy("ord").collect()] == [("a\nb", 20), ("c", 400), ("d\ne", 70)]
