@@ -7,6 +7,7 @@ from docloom.functions import text as fn
 from docloom.operators import etl, evaluation
 from docloom.plans.planner import route
 from docloom.plans.registry import Tables, query
+from docloom.sources.storage import stored
 
 
 @query("SELECT doc_id, greatest(1, floor(length(regexp_replace(coalesce(text, ''), '[^\\x{4e00}-\\x{9fff}]', '', 'g')) * 1.5 + length(regexp_replace(coalesce(text, ''), '[\\x{4e00}-\\x{9fff}]', '', 'g')) * 0.3)::INT) AS tokens FROM documents")
@@ -70,8 +71,14 @@ def context_window(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, 'chunk_' || source || '_' || lpad(row_number() OVER (PARTITION BY source ORDER BY doc_id)::VARCHAR, 6, '0') AS chunk_id FROM documents")
 def seq_ids_per_module(t: Tables) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return t.documents.select("doc_id", F.concat(F.lit("chunk_"), "source", F.lit("_"), F.lpad(n.cast("string"), 6, "0")).alias("chunk_id"))
+    """Numbers of at least six digits, never cut. A hot source is numbered range by range of its ids, on counts of the ranges before."""
+    ranges = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(t.documents.select("source", "doc_id").repartitionByRange(ranges, "source", "doc_id").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    nth = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("source", "part").orderBy("doc_id")))
+    placed = nth.join(counts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
+    return placed.select("doc_id", F.concat(F.lit("chunk_"), "source", F.lit("_"), F.format_string("%06d", F.col("before") + F.col("nth"))).alias("chunk_id"))
 
 
 @query(f"WITH {_ITEMS}, f AS (SELECT *, last_value(CASE WHEN type = 'title' THEN idx END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS s FROM items) SELECT doc_id, coalesce(s, -1) AS section_idx, count(*) AS n, string_agg(text, chr(10) ORDER BY idx) AS text FROM f WHERE type <> 'title' GROUP BY 1, 2")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.plans import catalog
 from docloom.functions import text as fn
 
 
@@ -45,3 +46,14 @@ def test_small_functions(spark):
     assert one(spark, fn.expand_query("t", {"车窗": "Window"}), t="车窗 up") == "车窗 up Window"
     assert one(spark, fn.is_toc_only("t"), t="## a\n## b\n## c\n") is True
     assert one(spark, fn.resolve_days("t", F.lit("2025-03-10").cast("date")), t="since 2025年3月1日") == 9
+
+
+def test_numbers_beyond_six_digits(spark, tmp_path):
+    n = 1_000_050
+    docs = spark.range(1, n + 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") <= n - 40, "hot").when(F.col("id") <= n - 10, "cold").alias("source"))
+    docs.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["seq_ids_per_module"](spark, str(tmp_path)).cache()
+    assert got.count() == n
+    assert got.where("chunk_id is not null").select("chunk_id").distinct().count() == n - 10  # no id without a source, as in SQL
+    want = F.when(F.col("doc_id") <= n - 40, F.format_string("chunk_hot_%06d", "doc_id")).when(F.col("doc_id") <= n - 10, F.format_string("chunk_cold_%06d", F.col("doc_id") - (n - 40)))
+    assert got.where(~F.col("chunk_id").eqNullSafe(want)).count() == 0
