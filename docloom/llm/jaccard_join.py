@@ -306,10 +306,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: that with the smallest id. Rows without id stay."""
-    (key,) = fresh(docs.columns, "goes_id")
-    goes = jaccard_components(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(goes, F.col(id_col) == F.col(key), "left_anti")
+    """One document of each component stays: that with the smallest id. Rows without id stay.
+
+    Where ids repeat, each row is a document of its own: rows are numbered by id and text, and the smallest number stays.
+    """
+    key, number = fresh(docs.columns, "goes_id", "row_number")
+    ids = docs.select(F.col(id_col).cast("long").alias("i")).where("i is not null")
+    of = id_col
+    if not ids.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        ranges, order = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), [F.col(id_col).cast("long"), F.xxhash64(text_col)]
+        sorted_ = docs.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        docs, of = materialize(sorted_.withColumn(number, F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id())), "numbered"), number
+    goes = jaccard_components(docs, of, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(goes, F.col(of) == F.col(key), "left_anti").drop(number)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

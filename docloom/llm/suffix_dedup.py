@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import MULTIPLIERS, discard, fresh, materialize, mixed, read_table, release
@@ -385,7 +385,7 @@ _OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def _cut(with_text: bool):
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * with_text
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string()), ("text_sha256", pa.string())] * with_text
     schema = pa.schema(fields)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -411,14 +411,14 @@ def _cut(with_text: bool):
             g = gone[starts[k] : ends[k]]
             kept = text[starts[k] : ends[k]][~g].tobytes() if g.any() else data[starts[k] : ends[k]]
             spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(len(g) > 0 and g[0])
-            rows.append((None if nulls[k] else int(ids[k]), len(g), int(g.sum()), spans, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "ignore"),) if with_text else ()))
+            rows.append((None if nulls[k] else int(ids[k]), len(g), int(g.sum()), spans, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "ignore"), hashlib.sha256(data[starts[k] : ends[k]]).hexdigest()) if with_text else ()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text] of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text, text_sha256] of every row; text_sha256 is that of the whole text."""
     spark = docs.sparkSession
     chunks = chunk_documents(docs, lambda texts: compress(b"".join(texts)), id_col, text_col, CHUNK, name="text-chunks")
     ddl = "chunk long, place int, doc_id long, digest binary"
@@ -442,7 +442,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = materialize(chunks.groupBy("chunk").cogroup(answers.unionByName(copies).groupBy("chunk")).applyInArrow(_records(ranges), _PART_DDL), "contexts")
     cuts = materialize(parts.where(F.col("kind") == _RECORDS).groupBy("bucket").applyInArrow(_decide, _PART_DDL).unionByName(parts.where(F.col("kind") == _CUTS)), "cuts")
     discard(answers, parts)
-    return chunks.groupBy("chunk").cogroup(cuts.unionByName(copies).groupBy("chunk")).applyInArrow(_cut(with_text), _OUT_DDL + ", text string" * with_text)
+    return chunks.groupBy("chunk").cogroup(cuts.unionByName(copies).groupBy("chunk")).applyInArrow(_cut(with_text), _OUT_DDL + ", text string, text_sha256 string" * with_text)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,9 +452,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of their texts; every document stays, its other columns as they were.
 
-    Texts that lose nothing are not touched (null stays null). Rows with one id must not differ.
+    Texts that lose nothing are not touched (null stays null). A row finds its cut text by id (null is an id here) and whole
+    text, so rows of one id keep texts of their own. Of rows equal in both all but one lose everything, if they lose anything.
     """
-    key, text = fresh(docs.columns, "cut_id", "cut_text")
-    cut = suffix_dedup(docs, id_col, text_col, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("text").alias(text)).dropDuplicates([key])
-    joined = docs.join(cut, F.col(id_col) == F.col(key), "left")
-    return joined.withColumn(text_col, F.when(F.col(key).isNotNull(), F.col(text)).otherwise(F.col(text_col))).select(*docs.columns)
+    key, row, text, n, nth = fresh(docs.columns, "cut_key", "row_key", "cut_text", "cut_rows", "cut_nth")
+    said = lambda of, digest: F.concat_ws(":", of.cast("long").cast("string"), digest)  # noqa: E731 (null ids have no colon)
+    cut = suffix_dedup(docs, id_col, text_col, with_text=True).where("n_removed > 0").groupBy(said(F.col("doc_id"), F.col("text_sha256")).alias(key)).agg(F.max("text").alias(text), F.count(F.lit(1)).alias(n))
+    joined = docs.withColumn(row, said(F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))).join(cut, F.col(row) == F.col(key), "left")
+    # of n equal rows that lost bytes, n - 1 at least lost them all; a row beyond those n lost none
+    placed = joined.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(row)))
+    told = F.when(F.col(nth) > F.coalesce(F.col(n), F.lit(0)), F.col(text_col)).when(F.col(nth) == 1, F.col(text)).otherwise("")
+    return placed.withColumn(text_col, told).select(*docs.columns)

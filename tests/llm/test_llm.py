@@ -240,6 +240,23 @@ def test_suffix_dedup(spark, docs, empty):
     assert by_id(cut)[7].text is None
 
 
+def test_repeated_and_null_ids_lose_nothing_else(spark):
+    r = random.Random(3)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    passage, own = words(40), {k: words(30) for k in "abcdefgt"}
+    rows = [(i, f"{own[k]} {passage}", k) for i, k in ((1, "a"), (5, "b"), (5, "c"), (None, "d"), (None, "e"))] + [(5, own["f"], "f"), (9, own["t"], "t"), (9, own["t"], "u"), (None, None, "n")]
+    got = {x.tag: x.text for x in suffix_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string, tag string")).collect()}
+    assert len(got) == len(rows) and got["n"] is None and got["f"] == own["f"]
+    assert all(got[k].startswith(own[k][:200]) for k in "abcde")
+    assert sum(passage in got[k] for k in "abcde") == 1
+    assert sorted((got["t"], got["u"])) == ["", own["t"]]
+    near = [(1, passage, "a"), (5, f"{passage} x", "b"), (5, own["c"], "c"), (None, passage, "d"), (7, own["g"], "e"), (7, own["g"], "f")]
+    kept = jaccard_join.drop_near_duplicates(spark.createDataFrame(near, "doc_id long, text string, tag string"))
+    assert kept.columns == ["doc_id", "text", "tag"]
+    tags = sorted(x.tag for x in kept.collect())
+    assert tags in (["a", "c", "d", "e"], ["a", "c", "d", "f"])
+
+
 def test_deep_shallow_sort():
     rng = np.random.default_rng(2)
     for n, alphabet in ((1, 2), (300, 2), (500, 3)):
