@@ -44,14 +44,14 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-def pack_numbers(values: np.ndarray) -> bytes:
-    """Small non-negative numbers, byte plane by byte plane."""
-    return compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+def pack_numbers(values: np.ndarray, width: int = 4) -> bytes:
+    """Non-negative numbers of ``width`` bytes (8 for totals over the corpus), byte plane by byte plane."""
+    return compress(np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes())
 
 
-def unpack_numbers(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(expand(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+def unpack_numbers(data: bytes, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(expand(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1)
 
 
 def chunk_documents(docs: DataFrame, encode: Callable[[list[bytes]], bytes], id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, name: str = "chunks") -> DataFrame:
@@ -115,10 +115,10 @@ def ask_rows(kind: int, chunk: int, keys: np.ndarray, counts: list[np.ndarray],
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, _ASK, strict=True)], schema=_ASK)
 
 
-def unpack_counts(data: bytes) -> list[np.ndarray]:
+def unpack_counts(data: bytes, width: int = 4) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
         n = int.from_bytes(data[at : at + 4], "little")
-        out.append(unpack_numbers(data[at + 4 : at + 4 + n]))
+        out.append(unpack_numbers(data[at + 4 : at + 4 + n], width))
         at += 4 + n
     return out

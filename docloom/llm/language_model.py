@@ -106,7 +106,7 @@ def _answer(table: pa.Table) -> pa.Table:
     for chunk, k in zip(chunks, keys, strict=True):
         own = place[at : at + len(k)]
         at += len(k)
-        packed = [pack_numbers(x[own]) for x in (total, kept)]
+        packed = [pack_numbers(x[own], 8) for x in (total, kept)]
         rows.append((kind, bucket, chunk, b"".join(len(p).to_bytes(4, "little") + p for p in packed), 0, 0, 0, 0))
     rows.append((kind, bucket, None, b"", int(total.sum()), int((total > 0).sum()), int(kept.sum()), int((kept > 0).sum())))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
@@ -119,7 +119,7 @@ _COUNTED = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("doc_i
 def _gather(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's (total, kept) counts of one kind, in the order of its sorted keys."""
     rows = sorted((b.as_py(), k) for k, (n, b) in enumerate(zip(answers.column("kind"), answers.column("bucket"), strict=True)) if n.as_py() == kind)
-    found = [unpack_counts(answers.column("counts")[k].as_py()) for _, k in rows]
+    found = [unpack_counts(answers.column("counts")[k].as_py(), 8) for _, k in rows]
     return tuple(np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1))
 
 
@@ -144,7 +144,7 @@ def _counted(n_kept: int, v_kept: int):
         fine = lambda p: np.where(p > 0, np.clip(np.round(np.log2(np.maximum(p * (v_kept + 1), 1e-30)) * _FINE) + _SPAN // 2, 1, _SPAN - 1), 0).astype(np.int64)
         bins, n = np.unique((bucket * _SPAN + fine(p2)) * _SPAN + fine(p1), return_counts=True)
         values = [row["chunk"], row["doc_ids"], row["nulls"], compress(counts.astype("<i8").tobytes())]
-        values.append(b"".join(len(p).to_bytes(4, "little") + p for p in (pack_numbers(total2[place]), pack_numbers(total1[codes]))))
+        values.append(b"".join(len(p).to_bytes(4, "little") + p for p in (pack_numbers(total2[place], 8), pack_numbers(total1[codes], 8))))
         values.append(np.column_stack([bins, n]).astype("<i8").tobytes())
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, _COUNTED, strict=True)], schema=_COUNTED)
 
@@ -202,7 +202,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for row in rows_of(b):
                 ids, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], np.uint8).astype(bool)
                 tokens = np.frombuffer(expand(row["tokens"]), "<i8")
-                c2, c1 = (x.astype(np.int64) for x in unpack_counts(row["totals"]))
+                c2, c1 = (x.astype(np.int64) for x in unpack_counts(row["totals"], 8))
                 ends = np.cumsum(tokens)
                 context = np.empty_like(c1)
                 context[1:] = c1[:-1]

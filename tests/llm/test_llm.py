@@ -12,6 +12,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,6 +367,14 @@ def test_language_model(docs, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_totals_beyond_32_bits():
+    keys = np.array([3, 9], np.uint64)
+    asked = [b for chunk in (0, 1) for b in language_model.ask_rows(1, chunk, keys, [np.array([3_000_000_000, 1]), np.array([0, 1])], 1)]
+    answers = language_model._answer(pa.Table.from_batches(asked))
+    total, kept = language_model._gather(answers.slice(0, 1), 1)
+    assert (total.tolist(), kept.tolist()) == ([6_000_000_000, 2], [6_000_000_000, 0])
+
+
 def test_weights_by_em():
     rng = np.random.default_rng(0)
     span, fine = language_model._SPAN, language_model._FINE
