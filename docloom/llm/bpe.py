@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import read_table, tokenizer_path
 
 #: Pre-tokens kept by a worker before its cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Fixed value: the public pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
 import uuid
 import zlib
 
@@ -21,10 +20,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where the session has none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where the session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="docloom-")
+        # the warehouse is the one folder that every Spark installation shares; a temporary folder would be each machine's own
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.docloom"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -84,11 +84,15 @@ def local_path(uri: str) -> str:
     return uri
 
 
+#: Words whose hashes a worker keeps (some 180 bytes each).
+CACHED_WORDS = 200_000
+
+
 class _WordHashes(dict):
     """Word -> 64-bit hash; starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 600_000:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found

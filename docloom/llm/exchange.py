@@ -1,9 +1,15 @@
 """Chunk tables and key look-ups: how an operator asks the whole corpus about each of its keys without shuffling rows.
 
 A *chunk* is one row that holds a few megabytes of documents in packed form, written once to the shared folder. Each
-chunk sends its distinct 64-bit keys, packed and sorted, to hash ranges; a range merges the keys of all chunks (a key's
-count is summed there, chunk by chunk, so a hot key is one entry a chunk and never a hot group), and sends back to each
-chunk one value a key, in the chunk's own order. What crosses the network is a few bytes a *distinct* key and chunk.
+chunk sends its distinct 64-bit keys, packed and sorted, to ``FAN`` hash ranges, whatever the input's size; a range merges the
+keys of all chunks (a key's count is summed there, chunk by chunk, so a hot key is one entry a chunk and never a hot group),
+and sends back to each chunk one value a key, in the chunk's own order. What crosses the network is a few bytes a
+*distinct* key and chunk.
+
+Beyond ``GROUP`` chunks this goes by levels, as in a radix sort: chunks form groups of about ``GROUP``; a range merges the keys
+of one group only and asks, in its turn, ``FAN`` finer ranges of the level above; answers come down the same way. Rows are so
+``FAN`` for each chunk on every level (in proportion to the input, never to its square), and a range holds
+``GROUP / FAN`` chunks' keys at most, on every level.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize
+from docloom.llm.common import materialize, release
 
 CHUNK_BYTES = 8 << 20
 
@@ -94,25 +100,39 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
-def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Cut points of *sorted* keys into equal hash ranges."""
-    edges = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64) if ranges > 1 else np.zeros(0, np.uint64)
+def range_of(keys: np.ndarray, ranges: int, first: int = 0, total: int | None = None) -> np.ndarray:
+    """Cut points of *sorted* keys into ``ranges`` of the ``total`` equal hash ranges, from number ``first`` on; all keys lie in them."""
+    edges = (np.arange(first + 1, first + ranges, dtype=object) * (1 << 64) // (total or ranges)).astype(np.uint64) if ranges > 1 else np.zeros(0, np.uint64)
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-ASK_DDL = "kind int, bucket int, chunk long, keys binary, counts binary"
-_ASK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+#: Hash ranges that each node (a chunk, or a range of a group of chunks) asks, and nodes that ask a range.
+FAN, GROUP = 128, 256
 
+ASK_DDL = "kind int, bucket long, node long, keys binary, counts binary"
+ASK = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("node", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWER_DDL = "kind int, bucket long, node long, counts binary, sums array<long>"
+_ANSWER = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("node", pa.int64()), ("counts", pa.binary()), ("sums", pa.list_(pa.int64()))])
 
-def ask_rows(kind: int, chunk: int, keys: np.ndarray, counts: list[np.ndarray], ranges: int) -> Iterator[pa.RecordBatch]:
-    """A chunk's sorted distinct keys with their counts, cut into hash ranges."""
-    cuts = range_of(keys, ranges)
-    found = [[], [], [], [], []]
+
+def _framed(blobs: list[bytes]) -> bytes:
+    return b"".join(len(b).to_bytes(4, "little") + b for b in blobs)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def ask_table(kind: int, node: int, keys: np.ndarray, counts: list[np.ndarray], width: int = 4, above: int = 0, level: int = 1, fan: int | None = None) -> pa.Table:
+    """A node's sorted distinct keys with their counts, cut into the ranges of its level; ``above`` is the range that holds all of them."""
+    fan = fan or FAN
+    cuts = range_of(keys, fan, above * fan, fan**level)
+    rows = []
     for r in np.flatnonzero(np.diff(cuts)):
-        lo, hi = cuts[r], cuts[r + 1]
-        for column, value in zip(found, (kind, int(r), chunk, pack_keys(keys[lo:hi]), b"".join(len(p).to_bytes(4, "little") + p for p in (pack_numbers(c[lo:hi]) for c in counts))), strict=True):
-            column.append(value)
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, _ASK, strict=True)], schema=_ASK)
+        own = slice(cuts[r], cuts[r + 1])
+        rows.append((kind, above * fan + int(r), node, pack_keys(keys[own]), _framed([pack_numbers(c[own], width) for c in counts])))
+    return _table(rows, ASK)
 
 
 def unpack_counts(data: bytes, width: int = 4) -> list[np.ndarray]:
@@ -122,3 +142,74 @@ def unpack_counts(data: bytes, width: int = 4) -> list[np.ndarray]:
         out.append(unpack_numbers(data[at + 4 : at + 4 + n], width))
         at += 4 + n
     return out
+
+
+def _merged(table: pa.Table, width: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """A range's distinct keys, their summed counts, and for each row the places of its keys."""
+    keys = [unpack_keys(k.as_py()) for k in table.column("keys")]
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    parts = [unpack_counts(c.as_py(), width) for c in table.column("counts")]
+    totals = []
+    for k in range(len(parts[0])):
+        total, at = np.zeros(len(distinct), np.int64), 0
+        for p in parts:
+            total[place[at : at + len(p[k])]] += p[k].astype(np.int64)  # a row's keys are distinct
+            at += len(p[k])
+        totals.append(total)
+    return distinct, totals, np.split(place, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def look_up(asks: DataFrame, nodes: int, finish: Callable[[list[np.ndarray]], list[np.ndarray]], answer_width: int, level: int = 1, fan: int | None = None, group: int | None = None) -> DataFrame:
+    """``ANSWER_DDL`` rows for the rows of ``asks``: for each key ``finish(its counts' totals over all nodes)``, in order.
+
+    Rows without node carry, for each count, (its sum over all keys, keys whose total isn't zero). ``nodes`` is the number of
+    nodes that ask a range at most. Totals are 64-bit.
+    """
+    fan, group, width = fan or FAN, group or GROUP, 4 if level == 1 else 8
+    if nodes <= group:
+
+        def answer(table: pa.Table) -> pa.Table:
+            kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+            _, totals, places = _merged(table, width)
+            values = [v.astype(f"<u{answer_width}") for v in finish(totals)]
+            rows = [(kind, bucket, node, _framed([pack_numbers(v[p], answer_width) for v in values]), None) for node, p in zip(table.column("node").to_pylist(), places, strict=True)]
+            rows.append((kind, bucket, None, None, [int(x) for t in totals for x in (t.sum(), np.count_nonzero(t))]))
+            del totals, places, values
+            release()
+            return _table(rows, _ANSWER)
+
+        return asks.groupBy("kind", "bucket").applyInArrow(answer, ANSWER_DDL)
+
+    groups = -(-nodes // group)
+    asks = materialize(asks.withColumn("grp", F.pmod(F.xxhash64("node", F.lit(level)), F.lit(groups))), f"asks-{level}")
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        kind, bucket, grp = (k.as_py() for k in key)
+        distinct, totals, _ = _merged(table, width)
+        out = ask_table(kind, grp, distinct, totals, 8, bucket, level + 1, fan)
+        release()
+        return out
+
+    upper = materialize(look_up(asks.groupBy("kind", "bucket", "grp").applyInArrow(merge, ASK_DDL), groups, finish, answer_width, level + 1, fan, group), f"answers-{level}")
+
+    def spread(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _ANSWER.empty_table()
+        kind, bucket = left.column("kind")[0].as_py(), left.column("bucket")[0].as_py()
+        values = gathered(right, kind, answer_width)
+        _, _, places = _merged(left, width)
+        rows = [(kind, bucket, node, _framed([pack_numbers(v[p], answer_width) for v in values]), None) for node, p in zip(left.column("node").to_pylist(), places, strict=True)]
+        del values, places
+        release()
+        return _table(rows, _ANSWER)
+
+    told = upper.where("node is not null").withColumn("over", F.expr(f"bucket div {fan}"))
+    down = asks.groupBy("kind", "bucket", "grp").cogroup(told.groupBy("kind", "over", "node")).applyInArrow(spread, ANSWER_DDL)
+    return down.unionByName(upper.where("node is null"))
+
+
+def gathered(answers: pa.Table, kind: int, width: int) -> list[np.ndarray]:
+    """A node's answers of one kind, in the order of its sorted keys."""
+    rows = sorted((b, k) for k, (n, b) in enumerate(zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), strict=True)) if n == kind)
+    found = [unpack_counts(answers.column("counts")[k].as_py(), width) for _, k in rows]
+    return [np.concatenate(x) for x in zip(*found, strict=True)]

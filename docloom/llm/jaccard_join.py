@@ -12,10 +12,14 @@ Two documents link when 100 * |x & y| >= 75 * |x | y| over their sets of distinc
    shingles at all, the document has no link.
 4. Lists of at most ``hot`` documents yield pairs (so rows grow with the postings, not with their square), which are counted,
    checked against L and verified on whole sets.
-5. Longer lists never emit pairs: documents that meet in one form a cluster, which is verified in blocks on whole sets by
-   matrix products (blocks of bounded bytes, one task a pair of blocks); a task emits only a spanning forest of its
-   links. That is exact: a pair that shares a hot prefix shingle lies in one cluster, and any other pair's matches are all cold.
-6. Components of the links, then back from classes to documents.
+5. A longer list first yields a star: each member with a few pivots of the list. What that links is settled; a list whose
+   members all lie in one component by now has nothing left to find, and a group of near copies ends here after linear work.
+6. The lists that are left are joined block by block with the same counts and filters: members whose sizes may link
+   (sizes in bands of the threshold's ratio, so only equal and adjacent bands meet) count their common prefix shingles
+   by a matrix product, must share min(L, L'), and are verified on whole sets if their components differ. A block has at most
+   ``BLOCK_DOCS`` documents a side in the mean, and emits a spanning forest of its links only. That is exact: a pair
+   that shares a prefix shingle of a long list lies in one cluster, and any other pair's matches are all in short lists.
+7. Components of the links, then back from classes to documents.
 
 Defined results: null or blank text has an empty set, links with nothing and is its own component; fewer than five words are
 one shingle of the whole sequence; rows with the same id are one node; null ids have no component; an empty table gives no rows.
@@ -31,12 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import MULTIPLIERS, discard, fresh, materialize, mixed, read_table, word_hashes
+from docloom.llm.common import MULTIPLIERS, discard, fresh, materialize, mixed, read_table, release, word_hashes
 from docloom.llm.components import connected_components
-from docloom.llm.exchange import chunk_documents, compress, doc_columns, expand, pack_keys, pack_numbers, range_of, rows_of, unpack_keys, unpack_numbers
+from docloom.llm.exact_dedup import with_groups
+from docloom.llm.exchange import ASK, ASK_DDL, ask_table, chunk_documents, compress, doc_columns, expand, gathered, look_up, rows_of
 
 WORDS, PERCENT = 5, 75
-HOT, BLOCK_BYTES, BLOCK_DOCS = 48, 16 << 20, 2048
+HOT, BLOCK_BYTES, BLOCK_DOCS = 48, 4 << 20, 512
 _MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 
 
@@ -73,20 +78,20 @@ def _describe(chunks: DataFrame) -> DataFrame:
             for row in rows_of(b):
                 ids, _, nulls = doc_columns(row)
                 sets = [shingles(t) for t in _texts(row)]
+                release()
                 columns = [np.full(len(ids), row["chunk"]), np.arange(len(ids), dtype=np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(ids, mask=nulls), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], schema=_SET)
 
     return chunks.mapInArrow(run, _SET_DDL)
 
 
-_RANGE_DDL = "bucket int, chunk long, payload binary"
-_RANGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary())])
+_PLACES = 0
 
 
 def _places(right: pa.Table) -> list[int]:
-    """Which documents of a chunk stand for a class: the row without bucket."""
-    for bucket, payload in zip(right.column("bucket").to_pylist(), right.column("payload"), strict=True):
-        if bucket is None:
+    """Which documents of a chunk stand for a class: the row of that kind."""
+    for kind, payload in zip(right.column("kind").to_pylist(), right.column("counts"), strict=True):
+        if kind == _PLACES:
             return sorted(map(int, payload.as_py().split(b",")))
     return []
 
@@ -95,38 +100,24 @@ def _chunk_row(left: pa.Table) -> dict:
     return {c: left.column(c)[0].as_py() for c in left.column_names}
 
 
-def _ask(ranges: int, shift: int):
+def _ask(mask: np.uint64):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         places = _places(right)
         if not left.num_rows or not places:
-            return _RANGE.empty_table()
+            return ASK.empty_table()
         row = _chunk_row(left)
         texts = _texts(row)
-        keys = np.sort(np.concatenate([shingles(texts[p]) for p in places]) >> np.uint64(shift) << np.uint64(shift))
-        keys, counts = np.unique(keys, return_counts=True)
-        cuts = range_of(keys, ranges)
-        full = np.flatnonzero(np.diff(cuts))
-        blobs = []
-        for r in full:
-            k = pack_keys(keys[cuts[r] : cuts[r + 1]] >> np.uint64(shift))
-            blobs.append(len(k).to_bytes(4, "little") + k + pack_numbers(counts[cuts[r] : cuts[r + 1]]))
-        return pa.Table.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), row["chunk"])), pa.array(blobs, pa.binary())], schema=_RANGE)
+        keys, counts = np.unique(np.concatenate([shingles(texts[p]) for p in places]) & mask, return_counts=True)
+        out = ask_table(1, row["chunk"], keys, [counts])
+        del texts, keys, counts
+        release()
+        return out
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    keys, counts = [], []
-    for blob in table.column("payload"):
-        data = blob.as_py()
-        n = int.from_bytes(data[:4], "little")
-        keys.append(unpack_keys(data[4 : 4 + n]))
-        counts.append(unpack_numbers(data[4 + n :]))
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.minimum(np.bincount(place, np.concatenate(counts), len(distinct)), 2**32 - 1).astype(np.int64)[place]
-    ends = np.cumsum([len(k) for k in keys])
-    blobs = [pack_numbers(total[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)]
-    return pa.Table.from_arrays([table.column("bucket"), table.column("chunk"), pa.array(blobs, pa.binary())], schema=_RANGE)
+def _clipped(totals: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.minimum(totals[0], 2**32 - 1)]
 
 
 def choose_prefix(frequency: np.ndarray, n: int, percent: int = PERCENT) -> tuple[int, int]:
@@ -148,7 +139,7 @@ _PREFIX_DDL = "node long, n int, matches int, tokens array<long>, set binary"
 _PREFIX = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("matches", pa.int32()), ("tokens", pa.list_(pa.int64())), ("set", pa.binary())])
 
 
-def _prefixes(shift: int, percent: int):
+def _prefixes(mask: np.uint64, percent: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         places = _places(right)
         if not left.num_rows or not places:
@@ -157,11 +148,9 @@ def _prefixes(shift: int, percent: int):
         ids, _, _ = doc_columns(row)
         texts = _texts(row)
         sets = [shingles(texts[p]) for p in places]
-        short = np.concatenate(sets) >> np.uint64(shift)
-        keys = np.unique(short)
-        parts = sorted((b, k) for k, b in enumerate(right.column("bucket").to_pylist()) if b is not None)
-        found = np.concatenate([unpack_numbers(right.column("payload")[k].as_py()) for _, k in parts])
-        frequency = found[np.searchsorted(keys, short)].astype(np.int64)
+        short = np.concatenate(sets) & mask
+        frequency = gathered(right, 1, 4)[0][np.searchsorted(np.unique(short), short)].astype(np.int64)
+        del texts, short
         out: list[list] = [[], [], [], [], []]
         at = 0
         for p, s in zip(places, sets, strict=True):
@@ -176,9 +165,13 @@ def _prefixes(shift: int, percent: int):
             head = head[f[head] > 1]
             if len(head) < matches:
                 continue
-            for column, value in zip(out, (int(ids[p]), n, matches, s[head].view(np.int64), s.astype("<u8").tobytes()), strict=True):
+            # nobody else has the other shingles: they only count as a part of n
+            for column, value in zip(out, (int(ids[p]), n, matches, s[head].view(np.int64), s[f > 1].astype("<u8").tobytes()), strict=True):
                 column.append(value)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PREFIX, strict=True)], schema=_PREFIX)
+        found = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PREFIX, strict=True)], schema=_PREFIX)
+        del out, sets, frequency
+        release()
+        return found
 
     return run
 
@@ -190,40 +183,58 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            for k, (x, y) in enumerate(zip(b.column("set_a"), b.column("set_b"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+            sizes = zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), strict=True)
+            for k, (x, y, (n, m)) in enumerate(zip(b.column("set_a"), b.column("set_b"), sizes, strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 at = np.searchsorted(x, y)
-                common = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y))
-                keep[k] = 100 * common >= percent * (len(x) + len(y) - common)
+                common = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y)) if len(x) else 0
+                keep[k] = 100 * common >= percent * (n + m - common)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], schema=_EDGE)
+            del b, mask
+            release()
 
     return run
 
 
-def overlaps(rows: list[np.ndarray]) -> np.ndarray:
-    """Matrix of intersection sizes of sets: products of dense 0/1 slices for frequent tokens, pair counts for the others."""
-    size = len(rows)
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(size), [len(r) for r in rows])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    length = np.diff(np.append(first, len(flat)))
-    out = np.zeros((size, size), np.float32)
-    dense = np.flatnonzero(length >= 32)
-    for lo in range(0, len(dense), 2048):
-        part = dense[lo : lo + 2048]
-        slab = np.zeros((size, len(part)), np.float32)
-        for column, k in enumerate(part):
-            slab[owner[first[k] : first[k] + length[k]], column] = 1
-        out += slab @ slab.T
-    for c in range(2, 32):
-        lists = owner[first[length == c][:, None] + np.arange(c)]
-        for i in range(c):
-            for j in range(i + 1, c):
-                np.add.at(out, (lists[:, i], lists[:, j]), 1)
-    return np.maximum(out, out.T)
+def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Matrix of intersection sizes of two lists of sets: products of dense 0/1 slabs for frequent tokens, pair counts for others."""
+    h, w = len(rows), len(columns)
+    tokens, place = np.unique(np.concatenate([*rows, *columns]), return_inverse=True)
+    owner = np.concatenate([np.repeat(np.arange(len(x)), [len(r) for r in x]) for x in (rows, columns)])
+    split = sum(map(len, rows))
+    sides = [(place[:split], owner[:split]), (place[split:], owner[split:])]
+    counts = [np.bincount(p, minlength=len(tokens)) for p, _ in sides]
+    product = counts[0] * counts[1]
+    out = np.zeros(h * w, np.float32)
+    # rare tokens: every left entry with the right entries of its token, a bounded number of pairs at a time
+    rare = (product > 0) & (product < 2048)
+    (lt, lo), (rt, ro) = ((p[rare[p]], o[rare[p]]) for p, o in sides)
+    by_token = np.argsort(rt, kind="stable")
+    ro, starts = ro[by_token], np.cumsum(np.where(rare, counts[1], 0)) - np.where(rare, counts[1], 0)
+    repeats = counts[1][lt]
+    edges = np.searchsorted(np.cumsum(repeats), np.arange(1 << 20, int(repeats.sum()) + (1 << 20), 1 << 20), side="left") + 1
+    at = 0
+    for end in np.minimum(edges, len(lt)):
+        r, first = repeats[at:end], starts[lt[at:end]]
+        inner = np.arange(int(r.sum())) - np.repeat(np.cumsum(r) - r, r)
+        pair = np.repeat(lo[at:end], r) * w + ro[np.repeat(first, r) + inner]
+        out += np.bincount(pair, minlength=h * w).astype(np.float32)
+        at = end
+    out = out.reshape(h, w)
+    frequent = np.flatnonzero(product >= 2048)
+    slot = np.full(len(tokens), -1, np.int64)
+    for low in range(0, len(frequent), 2048):
+        part = frequent[low : low + 2048]
+        slot[:] = -1
+        slot[part] = np.arange(len(part))
+        slabs = []
+        for (p, o), size in zip(sides, (h, w), strict=True):
+            slab, at_ = np.zeros((size, len(part)), np.float32), slot[p]
+            slab[o[at_ >= 0], at_[at_ >= 0]] = 1
+            slabs.append(slab)
+        out += slabs[0] @ slabs[1].T
+    return out
 
 
 def spanning_forest(links: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
@@ -239,70 +250,128 @@ def spanning_forest(links: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarr
 
 
 def _verify_block(percent: int):
+    """Links between two blocks (or within one) as a spanning forest of edges between the components known so far."""
+
     def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        order = order[np.concatenate(([True], np.diff(nodes[order]) != 0))]  # a node of both blocks may come twice
-        nodes = nodes[order]
-        sets = table.column("set")
-        rows = [np.frombuffer(sets[int(k)].as_py(), "<u8") for k in order]
-        n = np.array([len(r) for r in rows])
-        common = overlaps(rows)
-        links = np.nonzero(np.triu(linked(common, n[:, None], n[None, :], percent), 1))
-        root = spanning_forest(links, len(nodes))
-        own = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.Table.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], schema=_EDGE)
+        labels = table.column("label").to_numpy()
+        if (labels == labels[0]).all():
+            return _EDGE.empty_table()
+        second = table.column("second").to_numpy(zero_copy_only=False).astype(bool)
+        n, matches = table.column("n").to_numpy().astype(np.int64), table.column("matches").to_numpy()
+        sides = [np.flatnonzero(~second), np.flatnonzero(second)]
+        if not len(sides[1]):
+            sides[1] = sides[0]
+        elif not len(sides[0]):
+            return _EDGE.empty_table()
+        i, j = sides
+        prefix = [np.frombuffer(x.values.to_numpy(zero_copy_only=False), np.int64) for x in table.column("tokens")]
+        small, large = np.minimum.outer(n[i], n[j]), np.maximum.outer(n[i], n[j])
+        wanted = (labels[i][:, None] != labels[j][None, :]) & (100 * small >= percent * large)
+        if wanted.any():
+            wanted &= overlaps([prefix[k] for k in i], [prefix[k] for k in j]) >= np.minimum.outer(matches[i], matches[j])
+        rows, columns = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+        if not len(rows):
+            return _EDGE.empty_table()
+        sets, (i, j) = table.column("set"), (i[rows], j[columns])
+        own = lambda at: [np.frombuffer(sets[int(k)].as_buffer(), "<u8") for k in at]
+        common = overlaps(own(i), own(j)).astype(np.int64)
+        x, y = np.nonzero(wanted[np.ix_(rows, columns)] & linked(common, n[i][:, None], n[j][None, :], percent))
+        known, place = np.unique(np.concatenate([labels[i][x], labels[j][y]]), return_inverse=True)
+        root = spanning_forest((place[: len(x)], place[len(x) :]), len(known))
+        above = np.flatnonzero(root != np.arange(len(known)))
+        del wanted, common, small, large
+        release()
+        return pa.Table.from_arrays([pa.array(known[above]), pa.array(known[root[above]])], schema=_EDGE)
 
     return run
 
 
-def link_edges(prefixes: DataFrame, hot: int = HOT, percent: int = PERCENT) -> DataFrame:
-    """(a, b) edges between classes, with the same components as all links have; ``prefixes`` is a stored table."""
-    postings = materialize(prefixes.select("node", "n", "matches", F.explode("tokens").alias("token")), "postings")
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("head")).where("size > 1")
-    sized = postings.join(lists, "token")
-    # cold lists: bounded, so their pairs are too
+def _pairs_of_short_lists(sized: DataFrame, hot: int, percent: int) -> DataFrame:
+    """(a, b) that share enough prefix shingles in lists of at most ``hot`` documents: those bound the pairs."""
     cold = sized.where(F.col("size") <= hot).groupBy("token").agg(F.collect_list(F.struct("node", "n", "matches")).alias("l"))
-    pair = cold.select(F.explode("l").alias("x"), "l").select("x", F.explode(F.expr("filter(l, y -> y.node > x.node and 100 * least(x.n, y.n) >= " + str(percent) + " * greatest(x.n, y.n))")).alias("y"))
+    partner = f"filter(l, y -> y.node > x.node and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n))"
+    pair = cold.select(F.explode("l").alias("x"), "l").select("x", F.explode(F.expr(partner)).alias("y"))
     counted = pair.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("common"), F.min(F.least("x.matches", "y.matches")).alias("need"))
-    candidates = counted.where("common >= need").select("a", "b")
-    sets = prefixes.select("node", "set")
-    both = candidates.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    found = both.mapInArrow(_verify(percent), "a long, b long")
-    # hot lists: clusters, verified in blocks
-    meets = sized.where(F.col("size") > hot).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    clusters = materialize(connected_components(meets), "clusters")
-    members = prefixes.select("node", "set").join(clusters, "node")
-    blocks = members.groupBy("component").agg(F.ceil(F.greatest(F.sum(F.length("set")) / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = members.join(blocks, "component").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = placed.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "set")
-    forest = keyed.groupBy("component", "i", "j").applyInArrow(_verify_block(percent), "a long, b long")
-    return found.unionByName(forest)
+    return counted.where("common >= need").select("a", "b")
+
+
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """(cluster, band, i, band2, j, second, and the columns of members): each pair of blocks that may link, once.
+
+    Bands are powers of the threshold's ratio, so two sizes that may link lie in one band or in adjacent ones.
+    """
+    banded = members.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int"))
+    size = F.ceil(F.greatest(F.sum(F.length("set")) / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_DOCS)).cast("int")
+    cells = banded.groupBy("cluster", "band").agg(size.alias("blocks"))
+    known = materialize(cells.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks")), "block-counts")
+    count = lambda k: F.coalesce(F.try_element_at("blocks", F.col("band") + k), F.lit(0))
+    placed = banded.join(known, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), count(0)).cast("int"))
+    upto = lambda n, f: F.transform(F.sequence(F.lit(1), n), f)
+    none = F.expr("cast(array() as array<struct<band: int, i: int, band2: int, j: int, second: boolean>>)")
+    cell = lambda b, i, c, j, second: F.struct(b.alias("band"), i.cast("int").alias("i"), c.alias("band2"), j.cast("int").alias("j"), second.alias("second"))
+    band, own = F.col("band"), F.col("own")
+    within = upto(count(0), lambda k: cell(band, F.least(own, k - 1), band, F.greatest(own, k - 1), own > k - 1))
+    above = F.when(count(1) > 0, upto(count(1), lambda k: cell(band, own, band + 1, k - 1, F.lit(False)))).otherwise(none)
+    below = F.when(count(-1) > 0, upto(count(-1), lambda k: cell(band - 1, k - 1, band, own, F.lit(True)))).otherwise(none)
+    spread = placed.withColumn("at", F.explode(F.concat(within, above, below)))
+    return spread.select("cluster", "at.*", *(c for c in members.columns if c != "cluster"))
+
+
+def link_labels(prefixes: DataFrame, hot: int = HOT, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of every class that links to another; ``prefixes`` is a stored table."""
+    postings = materialize(prefixes.select("node", "n", "matches", F.explode("tokens").alias("token")), "postings")
+    pivots = (F.min("node").alias("p1"), F.max("node").alias("p2"), F.min_by("node", F.xxhash64("node")).alias("p3"))
+    sized = materialize(with_groups(postings, "token", F.count(F.lit(1)).alias("size"), *pivots).where("size > 1"), "lists")
+    long_lists = sized.where(F.col("size") > hot)
+    star = long_lists.select("node", F.explode(F.array("p1", "p2", "p3")).alias("p")).where("node <> p")
+    pairs = _pairs_of_short_lists(sized, hot, percent).unionByName(star.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))).distinct()
+    side = lambda c: prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("set").alias(f"set_{c}"))
+    may = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    both = materialize(pairs, "candidates").join(side("a"), "a").join(side("b"), "b").where(may)
+    edges = materialize(both.mapInArrow(_verify(percent), "a long, b long"), "links")
+    labels = materialize(connected_components(edges), "labels")
+    # long lists whose members aren't in one component yet
+    label = F.coalesce("component", "node").alias("label")
+    open_ = materialize(long_lists.select("token", "node").join(labels, "node", "left").select("token", "node", label), "open-lists")
+    held = materialize(with_groups(open_, "token", F.min("label").alias("low"), F.max("label").alias("top")).where("low < top").select("node", "label", "low"), "residual")
+    if held.isEmpty():
+        return labels
+    meets = held.where("label <> low").select(F.col("label").alias("a"), F.col("low").alias("b")).distinct()
+    clusters = materialize(connected_components(meets).select(F.col("node").alias("label"), F.col("component").alias("cluster")), "clusters")
+    members = held.select("node", "label").distinct().join(clusters, "label").join(prefixes, "node")
+    keyed = _blocks(materialize(members, "members"), percent)
+    found = keyed.groupBy("cluster", "band", "i", "band2", "j").applyInArrow(_verify_block(percent), "a long, b long")
+    merged = materialize(connected_components(materialize(found, "block-links")), "merged")
+    over = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = labels.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return materialize(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "components")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    spark = docs.sparkSession
     chunks = chunk_documents(docs, lambda texts: compress(b"".join(texts)), id_col, text_col, name="text-chunks")
     described = materialize(_describe(chunks), "shingle-sets")
-    stats = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n"), F.countDistinct("chunk").alias("c")).first()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), stats.c)
+    total = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first().n
     # enough bits that few shingles share a counter (which costs time only); the rest of the hash isn't sent
-    shift = max(0, 64 - max(40, int(stats.n).bit_length() + 12))
-    heads = described.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "chunk", "place")).alias("head"))
+    spare = max(0, 64 - max(40, int(total).bit_length() + 12)) // 8 * 8
+    mask = np.uint64((1 << 64) - (1 << spare))
+    is_set = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    headed = materialize(with_groups(described.where(is_set), "digest", F.min(F.struct("doc_id", "chunk", "place")).alias("head")), "classes")
     # a chunk's list of places is bounded by the chunk
-    by_chunk = heads.groupBy(F.col("head.chunk").alias("chunk")).agg(F.collect_list(F.col("head.place")).alias("p"))
-    places = materialize(by_chunk.select(F.lit(None).cast("int").alias("bucket"), "chunk", F.array_join("p", ",").cast("binary").alias("payload")), "places")
-    asked = chunks.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(_ask(ranges, shift), _RANGE_DDL)
-    answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, _RANGE_DDL), "frequencies")
-    prefixes = materialize(chunks.groupBy("chunk").cogroup(answers.unionByName(places).groupBy("chunk")).applyInArrow(_prefixes(shift, percent), _PREFIX_DDL), "prefixes")
-    discard(chunks, answers)
-    edges = materialize(link_edges(prefixes, hot, percent), "links")
-    components = connected_components(edges)
-    classes = heads.select("digest", F.col("head.doc_id").alias("node")).join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    joined = described.join(classes, "digest", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    first = headed.where((F.col("head.chunk") == F.col("chunk")) & (F.col("head.place") == F.col("place")))
+    by_chunk = first.groupBy("chunk").agg(F.array_join(F.collect_list("place"), ",").cast("binary").alias("counts"))
+    places = materialize(by_chunk.select(F.lit(_PLACES).alias("kind"), F.lit(None).cast("long").alias("bucket"), F.col("chunk").alias("node"), "counts"), "places")
+    asks = chunks.groupBy("chunk").cogroup(places.groupBy("node")).applyInArrow(_ask(mask), ASK_DDL)
+    found = look_up(asks, chunks.count(), _clipped, 4).where("node is not null").select("kind", "bucket", "node", "counts")
+    answers = materialize(found, "frequencies")
+    both = chunks.groupBy("chunk").cogroup(answers.unionByName(places).groupBy("node"))
+    prefixes = materialize(both.applyInArrow(_prefixes(mask, percent), _PREFIX_DDL), "prefixes")
+    discard(chunks, answers, places)
+    components = link_labels(prefixes, hot, percent)
+    discard(prefixes)
+    of_class = headed.select("doc_id", "n_shingles", F.col("head.doc_id").alias("node")).join(components, "node", "left")
+    rest = described.where(~is_set).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return of_class.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")).unionByName(rest)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import MULTIPLIERS, discard, materialize, mixed, read_table, row_crc, word_hashes
-from docloom.llm.exchange import ASK_DDL, ask_rows, chunk_documents, compress, doc_columns, expand, pack_keys, pack_numbers, rows_of, unpack_counts, unpack_keys, unpack_numbers
+from docloom.llm.common import MULTIPLIERS, discard, materialize, mixed, read_table, release, row_crc, word_hashes
+from docloom.llm.exchange import ASK_DDL, ask_table, chunk_documents, compress, doc_columns, expand, gathered, look_up, pack_keys, pack_numbers, rows_of, unpack_counts, unpack_keys, unpack_numbers
 
 FOLDS, HELD_OUT, SLICE = 5, 1, 10
 #: The end token, which also is the context of a text's first token: fixed value outside any word's likely hash.
@@ -72,57 +72,32 @@ def bigram_keys(keys: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tupl
     return context, mixed(keys[context] * MULTIPLIERS[0] + keys[codes] * MULTIPLIERS[1])
 
 
-def _ask(chunks: DataFrame, ranges: int) -> DataFrame:
+def _ask(chunks: DataFrame) -> DataFrame:
+    """Each chunk's distinct words and bigrams with their counts in training rows, and in those that are not deleted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in rows_of(b):
                 ids, _, nulls = doc_columns(row)
                 keys, codes, counts = decode_words(row["body"])
                 held_out, sliced = roles(ids, nulls)
-                train, part = np.repeat(~held_out, counts), np.repeat(sliced, counts)
+                train, kept = np.repeat(~held_out, counts), np.repeat(~held_out & ~sliced, counts)
                 n = len(keys)
-                yield from ask_rows(1, row["chunk"], keys, [np.bincount(codes[train], minlength=n), np.bincount(codes[part], minlength=n)], ranges)
+                yield from ask_table(1, row["chunk"], keys, [np.bincount(codes[x], minlength=n) for x in (train, kept)]).to_batches()
                 _, pairs = bigram_keys(keys, codes, counts)
                 distinct, place = np.unique(pairs, return_inverse=True)
                 n = len(distinct)
-                yield from ask_rows(2, row["chunk"], distinct, [np.bincount(place[train], minlength=n), np.bincount(place[part], minlength=n)], ranges)
+                yield from ask_table(2, row["chunk"], distinct, [np.bincount(place[x], minlength=n) for x in (train, kept)]).to_batches()
+                del row, keys, codes, pairs, distinct, place
+                release()
 
     return chunks.mapInArrow(run, ASK_DDL)
 
 
-_ANSWER_DDL = "kind int, bucket int, chunk long, counts binary, n long, v long, n_kept long, v_kept long"
-_ANSWER = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("counts", pa.binary()), *((c, pa.int64()) for c in ("n", "v", "n_kept", "v_kept"))])
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Merge a range's keys over all chunks; one row of counts for each chunk, and one of totals (without chunk)."""
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    chunks = table.column("chunk").to_pylist()
-    keys = [unpack_keys(k.as_py()) for k in table.column("keys")]
-    counts = [unpack_counts(c.as_py()) for c in table.column("counts")]
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total, part = (np.bincount(place, np.concatenate([c[k] for c in counts]), len(distinct)).astype(np.int64) for k in (0, 1))
-    kept, rows, at = total - part, [], 0
-    for chunk, k in zip(chunks, keys, strict=True):
-        own = place[at : at + len(k)]
-        at += len(k)
-        packed = [pack_numbers(x[own], 8) for x in (total, kept)]
-        rows.append((kind, bucket, chunk, b"".join(len(p).to_bytes(4, "little") + p for p in packed), 0, 0, 0, 0))
-    rows.append((kind, bucket, None, b"", int(total.sum()), int((total > 0).sum()), int(kept.sum()), int((kept > 0).sum())))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANSWER, strict=True)], schema=_ANSWER)
-
-
 _COUNTED_DDL = "chunk long, doc_ids binary, nulls binary, tokens binary, totals binary, histogram binary"
 _COUNTED = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "nulls", "tokens", "totals", "histogram"))])
 
 
-def _gather(answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's (total, kept) counts of one kind, in the order of its sorted keys."""
-    rows = sorted((b.as_py(), k) for k, (n, b) in enumerate(zip(answers.column("kind"), answers.column("bucket"), strict=True)) if n.as_py() == kind)
-    found = [unpack_counts(answers.column("counts")[k].as_py(), 8) for _, k in rows]
-    return tuple(np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1))
-
-
 def _counted(n_kept: int, v_kept: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -132,8 +107,8 @@ def _counted(n_kept: int, v_kept: int):
         keys, codes, counts = decode_words(row["body"])
         context, pairs = bigram_keys(keys, codes, counts)
         place = np.unique(pairs, return_inverse=True)[1]
-        total1, kept1 = _gather(right, 1)
-        total2, kept2 = _gather(right, 2)
+        total1, kept1 = (x.astype(np.int64) for x in gathered(right, 1, 8))
+        total2, kept2 = (x.astype(np.int64) for x in gathered(right, 2, 8))
         # events of the deleted slice, binned by context frequency and by the estimates over the uniform one
         _, sliced = roles(ids, nulls)
         at = np.flatnonzero(np.repeat(sliced, counts))
@@ -146,6 +121,8 @@ def _counted(n_kept: int, v_kept: int):
         values = [row["chunk"], row["doc_ids"], row["nulls"], compress(counts.astype("<i8").tobytes())]
         values.append(b"".join(len(p).to_bytes(4, "little") + p for p in (pack_numbers(total2[place], 8), pack_numbers(total1[codes], 8))))
         values.append(np.column_stack([bins, n]).astype("<i8").tobytes())
+        del codes, context, pairs, place, total1, kept1, total2, kept2
+        release()
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, _COUNTED, strict=True)], schema=_COUNTED)
 
     return run
@@ -178,11 +155,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     chunks = chunk_documents(docs, encode_words, id_col, text_col, name="word-chunks")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks.select("chunk").count())
-    answers = materialize(_ask(chunks, ranges).groupBy("kind", "bucket").applyInArrow(_answer, _ANSWER_DDL), "counts")
-    total = answers.where("chunk is null and kind = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n_kept", "v_kept"))).first()
+    answers = materialize(look_up(_ask(chunks), chunks.count(), lambda totals: totals, 8), "counts")
+    sums = answers.where("node is null and kind = 1").agg(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(c) for k, c in enumerate(("n", "v", "n_kept", "v_kept"))))
+    total = sums.first()
     n, v = total.n, total.v
-    both = chunks.groupBy("chunk").cogroup(answers.where("chunk is not null").select("kind", "bucket", "chunk", "counts").groupBy("chunk"))
+    both = chunks.groupBy("chunk").cogroup(answers.where("node is not null").select("kind", "bucket", "node", "counts").groupBy("node"))
     counted = materialize(both.applyInArrow(_counted(total.n_kept, total.v_kept), _COUNTED_DDL), "token-counts")
     discard(chunks, answers)
 

@@ -14,7 +14,8 @@
    where their union is cut out.
 
 Within a chunk, anchors with equal contexts send one record only (the later ones are decided on the spot), so a passage that
-millions share is one record a chunk. What a range holds of a gram is its distinct contexts a chunk.
+millions share is one record a chunk. A gram of more than ``HOT_GRAM`` anchors, whose surroundings may differ in all of them, has its
+records dealt out by bands of l: a band's windows agree in the bytes that all of them need, and a hash of these is their key.
 
 Defined results: null text counts as empty; texts shorter than ``span`` lose nothing; null ids come before all others; rows
 with one id follow each other in an arbitrary but fixed order; no rows, no result. Removed bytes may cut characters; the
@@ -32,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import MULTIPLIERS, discard, fresh, materialize, mixed, read_table, release
-from docloom.llm.exchange import ASK_DDL, ask_rows, chunk_documents, compress, doc_columns, expand, pack_numbers, range_of, rows_of, unpack_counts, unpack_keys, unpack_numbers
+from docloom.llm.exact_dedup import with_groups
+from docloom.llm.exchange import ASK_DDL, ask_table, chunk_documents, compress, doc_columns, expand, gathered, look_up, range_of, rows_of
 
 SPAN, GRAM, SHALLOW = 100, 16, 32
 _GRAMS = SPAN - GRAM + 1  # in a window
@@ -41,6 +43,12 @@ _POS = np.uint64(24)
 BATCH = 32_768
 #: Bytes of text in a chunk (one task's unit of work), and of those whose windows are hashed at once.
 CHUNK, _PIECE = 4 << 20, 1 << 20
+#: Anchors of one gram in the corpus above which its records are dealt out by what stands around them.
+HOT_GRAM = 4096
+#: Bands of the distance l between a window's start and its anchor, which double in width from both ends.
+_BANDS = ((0, 0), (1, 1), (2, 3), (4, 7), (8, 15), (16, 41), (42, 68), (69, 76), (77, 80), (81, 82), (83, 83), (84, 84))
+#: Chunks for each range that sorts contexts. Rows between chunks and ranges hold a record at least, so they follow the records.
+CHUNKS_A_RANGE = 2
 
 
 # --- anchors ---------------------------------------------------------------------------------------------------------
@@ -230,30 +238,51 @@ def _block(row: dict) -> tuple[bytes, np.ndarray, np.ndarray]:
     return expand(row["body"]), ends - lengths, ends
 
 
-def _ask(chunks: DataFrame, ranges: int) -> DataFrame:
+def _ask(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in rows_of(b):
                 keys, counts = np.unique(anchors(*_block(row))[0], return_counts=True)
-                yield from ask_rows(0, row["chunk"], keys, [counts], ranges)
+                yield from ask_table(_COUNTS, row["chunk"], keys, [counts]).to_batches()
+                del row
+                release()
 
     return chunks.mapInArrow(run, ASK_DDL)
 
 
-_PART_DDL = "kind int, bucket int, chunk long, payload binary"
-_PART = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary())])
+_PART_DDL = "kind int, bucket long, chunk long, payload binary"
+_PART = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
 _COPIES, _COUNTS, _RECORDS, _CUTS = range(4)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    keys = [unpack_keys(k.as_py()) for k in table.column("keys")]
-    counts = np.concatenate([unpack_counts(c.as_py())[0] for c in table.column("counts")])
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    repeated = (np.bincount(place, counts, len(distinct)) > 1)[place]
-    ends = np.cumsum([len(k) for k in keys])
-    blobs = [compress(np.packbits(repeated[e - len(k) : e]).tobytes()) for e, k in zip(ends, keys, strict=True)]
-    n = len(keys)
-    return pa.Table.from_arrays([pa.array(np.full(n, _COUNTS, np.int32)), table.column("bucket"), table.column("chunk"), pa.array([len(k).to_bytes(4, "little") + b for k, b in zip(keys, blobs, strict=True)], pa.binary())], schema=_PART)
+def _classes(hot: int):
+    """0: occurs once, 1: repeated, 2: so often that its records are split among many keys."""
+
+    def classes(totals: list[np.ndarray]) -> list[np.ndarray]:
+        return [(totals[0] > 1).astype(np.uint8) + (totals[0] > max(hot, 1))]
+
+    return classes
+
+
+def _split_hot(keys: np.ndarray, hot: np.ndarray, low: np.ndarray, high: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(record, key, low, high): the windows of a hot gram's records in bands of l, each under a key of its own.
+
+    Windows at distance l need the nearest l bytes on the left and SPAN - l on the right. All windows of a band [a, b] need the
+    nearest ``a`` on the left and ``SPAN - b`` on the right, so equal ones agree there, and a hash of those bytes deals
+    the records out. Bands double from both ends: few bytes are left to differ in the outer ones.
+    """
+    plain = np.flatnonzero(~hot)
+    found = [(plain, keys[plain], low[plain], high[plain])]
+    rows = np.flatnonzero(hot)
+    for a, b in _BANDS if len(rows) else ():
+        first, last = np.maximum(low[rows], a), np.minimum(high[rows], b)
+        own = rows[first <= last]
+        key = keys[own] * MULTIPLIERS[0] + np.uint64(a + 1)
+        for side in (before[own, :a], after[own, : SPAN - b]):
+            for column in side.T:
+                key = mixed(key * MULTIPLIERS[1] + column)
+        found.append((own, key, first[first <= last], last[first <= last]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _copies(right: pa.Table) -> np.ndarray:
@@ -265,20 +294,21 @@ def _copies(right: pa.Table) -> np.ndarray:
 
 
 def _pack(arrays: list[np.ndarray]) -> bytes:
-    blobs = [compress(np.ascontiguousarray(a).tobytes()) for a in arrays]
-    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+    """Columns of equal length in one frame, so that even a row of one record costs little more than that record."""
+    return len(arrays[0]).to_bytes(8, "little") + compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
-def _unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind in kinds:
-        n = int.from_bytes(data[at : at + 8], "little")
-        out.append(np.frombuffer(expand(data[at + 8 : at + 8 + n]), kind))
-        at += 8 + n
+def _unpack(data: bytes, kinds: tuple[tuple[str, int], ...]) -> list[np.ndarray]:
+    """Columns of (dtype, width) that ``_pack`` wrote."""
+    n, body, out, at = int.from_bytes(data[:8], "little"), expand(data[8:]), [], 0
+    for kind, width in kinds:
+        out.append(np.frombuffer(body, kind, n * width, at).reshape((n, width) if width > 1 else n))
+        at += out[-1].nbytes
     return out
 
 
-_RECORD_KINDS = ("<u8", "<i8", "u1", "<i8", "<i8", "u1", "u1", "u1", "u1")
+_CUT_KINDS = (("<i8", 1),) * 3
+_RECORD_KINDS = (("<u8", 1), ("<i8", 1), ("u1", 1), ("<i8", 1), ("<i8", 1), ("u1", 1), ("u1", 1), ("u1", _GRAMS - 1), ("u1", SPAN))
 _LEFT = _GRAMS - 1
 
 
@@ -292,16 +322,11 @@ def _records(ranges: int):
         data, starts, ends = _block(row)
         ids, _, nulls = doc_columns(row)
         keys, owner, anchor, first, last = anchors(data, starts, ends)
-        parts = sorted((b, k) for k, (kind, b) in enumerate(zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), strict=True)) if kind == _COUNTS)
-        if not parts:
+        if not len(keys):
             return _PART.empty_table()
-        bits = []
-        for _, k in parts:
-            blob = right.column("payload")[k].as_py()
-            bits.append(np.unpackbits(np.frombuffer(expand(blob[4:]), np.uint8), count=int.from_bytes(blob[:4], "little")))
-        distinct = np.unique(keys)
-        take = np.concatenate(bits)[np.searchsorted(distinct, keys)].astype(bool) & ~np.isin(owner, _copies(right))
-        keys, owner, anchor, first, last = (x[take] for x in (keys, owner, anchor, first, last))
+        kind_of = gathered(right.rename_columns(["kind", "bucket", "chunk", "counts"]), _COUNTS, 1)[0][np.searchsorted(np.unique(keys), keys)]
+        take = (kind_of > 0) & ~np.isin(owner, _copies(right))
+        keys, owner, anchor, first, last, kind_of = (x[take] for x in (keys, owner, anchor, first, last, kind_of))
         if not len(keys):
             return _PART.empty_table()
         low, high = (anchor - last).astype(np.uint8), (anchor - first).astype(np.uint8)
@@ -309,12 +334,14 @@ def _records(ranges: int):
         around = np.lib.stride_tricks.sliding_window_view(text, _LEFT + SPAN)[anchor + SPAN - _LEFT]
         before, after = around[:, :_LEFT][:, ::-1].copy(), around[:, _LEFT:].copy()
         del around
+        own, keys, low, high = _split_hot(keys, kind_of > 1, low, high, before, after)
+        owner, anchor, before, after = owner[own], anchor[own], before[own], after[own]
         # only what the windows reach: the rest would tell equal windows apart, and cost
         before[np.arange(_LEFT)[None, :] >= high[:, None]] = 0
         after[np.arange(SPAN)[None, :] >= (SPAN - low.astype(np.int64))[:, None]] = 0
-        order = np.lexsort((anchor, owner, np.where(nulls, np.iinfo(np.int64).min, ids)[owner]))
+        order = np.lexsort((anchor, owner, ids[owner], ~nulls[owner]))
         keys, owner, anchor, low, high, before, after = (x[order] for x in (keys, owner, anchor, low, high, before, after))
-        whole = np.column_stack([before, after, low, high])
+        whole = np.column_stack([before, after, low, high, keys.view(np.uint8).reshape(-1, 8)])
         _, head = np.unique(whole.view([("", "V%d" % whole.shape[1])]).reshape(-1), return_index=True)
         sent = np.zeros(len(keys), bool)
         sent[head] = True
@@ -348,7 +375,7 @@ def _decide(table: pa.Table) -> pa.Table:
     at = 0
     for p in parts:
         m = len(p[0])
-        contexts[at : at + m, :_LEFT], contexts[at : at + m, _LEFT:] = p[7].reshape(m, _LEFT), p[8].reshape(m, SPAN)
+        contexts[at : at + m, :_LEFT], contexts[at : at + m, _LEFT:] = p[7], p[8]
         at += m
     chunk = np.repeat(np.array(chunks, np.int64), [len(p[0]) for p in parts])
     del parts
@@ -397,7 +424,7 @@ def _cut(with_text: bool):
         steps = np.zeros(len(data) + 1, np.int32)
         for kind, payload in zip(right.column("kind").to_pylist(), right.column("payload"), strict=True):
             if kind == _CUTS:
-                owner, first, last = _unpack(payload.as_py(), ("<i8", "<i8", "<i8"))
+                owner, first, last = _unpack(payload.as_py(), _CUT_KINDS)
                 np.add.at(steps, starts[owner] + first, 1)
                 np.add.at(steps, starts[owner] + last + SPAN, -1)
         copies = _copies(right)
@@ -417,7 +444,7 @@ def _cut(with_text: bool):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot_gram: int = HOT_GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text, text_sha256] of every row; text_sha256 is that of the whole text."""
     spark = docs.sparkSession
     chunks = chunk_documents(docs, lambda texts: compress(b"".join(texts)), id_col, text_col, CHUNK, name="text-chunks")
@@ -433,12 +460,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["chunk"])), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, mask=nulls), pa.array([hashlib.sha256(data[s:e]).digest() for s, e in zip(starts, ends, strict=True)], pa.binary())], schema=schema)
 
     listed = materialize(chunks.mapInArrow(digests, ddl), "digests")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), listed.select("chunk").distinct().count() // 2)
+    count = chunks.count()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // CHUNKS_A_RANGE))
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "chunk", "place")
-    heads = listed.groupBy("digest").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = listed.join(heads, "digest").where((F.col("chunk") != F.col("head.chunk")) | (F.col("place") != F.col("head.place")))
-    copies = materialize(later.groupBy("chunk").agg(F.array_join(F.collect_list("place"), ",").cast("binary").alias("payload")).select(F.lit(_COPIES).alias("kind"), F.lit(None).cast("int").alias("bucket"), "chunk", "payload"), "copies")
-    answers = materialize(_ask(chunks, ranges).groupBy("bucket").applyInArrow(_answer, _PART_DDL), "repeated")
+    headed = with_groups(listed, "digest", F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = headed.where((F.col("chunk") != F.col("head.chunk")) | (F.col("place") != F.col("head.place")))
+    copies = materialize(later.groupBy("chunk").agg(F.array_join(F.collect_list("place"), ",").cast("binary").alias("payload")).select(F.lit(_COPIES).alias("kind"), F.lit(None).cast("long").alias("bucket"), "chunk", "payload"), "copies")
+    answers = materialize(look_up(_ask(chunks), count, _classes(hot_gram), 1).where("node is not null").select("kind", F.col("bucket"), F.col("node").alias("chunk"), F.col("counts").alias("payload")), "repeated")
     parts = materialize(chunks.groupBy("chunk").cogroup(answers.unionByName(copies).groupBy("chunk")).applyInArrow(_records(ranges), _PART_DDL), "contexts")
     cuts = materialize(parts.where(F.col("kind") == _RECORDS).groupBy("bucket").applyInArrow(_decide, _PART_DDL).unionByName(parts.where(F.col("kind") == _CUTS)), "cuts")
     discard(answers, parts)

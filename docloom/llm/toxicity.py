@@ -53,7 +53,7 @@ class Extractor(dict):
         self.kept = kept
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         slots = np.array(word_features(word), "<u4")
         found = self[word] = (slots if self.kept is None else slots[self.kept[slots]]).tobytes()

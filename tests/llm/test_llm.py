@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, components, exact_dedup, jaccard_join, language_model, media, packing, queries, suffix_dedup, token_store, toxicity
+from docloom.llm import bpe, chat, common, components, exact_dedup, exchange, jaccard_join, language_model, media, packing, queries, suffix_dedup, token_store, toxicity
 from docloom.llm.common import tokenizer_path
 
 DATA = Path("/root/testdata/sf0.001")
@@ -236,6 +236,8 @@ def test_suffix_dedup(spark, docs, empty):
     tricky = [(k, "".join(r.choice("ab") for _ in range(r.randrange(1, 8))) * r.randrange(1, 80)) for k in range(60)] + [(100 + k, "日本語" * k) for k in range(30)] + [(200 + k, chr(0) * k * 20) for k in range(10)]
     got = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.suffix_dedup(spark.createDataFrame(tricky, "doc_id long, text string")).collect()}
     assert got == brute_repeats(tricky)
+    hot = suffix_dedup.suffix_dedup(spark.createDataFrame(tricky, "doc_id long, text string"), hot_gram=1)  # all repeated grams are split
+    assert {x.doc_id: tuple(x)[1:] for x in hot.collect()} == got
     cut = suffix_dedup.drop_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert by_id(cut)[7].text is None
@@ -312,6 +314,9 @@ def test_jaccard_blocks_of_a_hot_group(spark, monkeypatch):
         for _ in range(r.randrange(0, 4)):
             w[r.randrange(100)] = f"e{r.randrange(1000)}"
         rows.append((k, " ".join(w)))
+    for k in range(90, 150):  # lengths and components of their own around the same words
+        own = prose(k // 3, 30 + k)
+        rows.append((k, " ".join(base[: 40 + k % 50]) + " " + own))
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 16)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), hot=4).collect()}
     assert got == brute_components(rows)
@@ -367,12 +372,27 @@ def test_language_model(docs, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
-def test_totals_beyond_32_bits():
-    keys = np.array([3, 9], np.uint64)
-    asked = [b for chunk in (0, 1) for b in language_model.ask_rows(1, chunk, keys, [np.array([3_000_000_000, 1]), np.array([0, 1])], 1)]
-    answers = language_model._answer(pa.Table.from_batches(asked))
-    total, kept = language_model._gather(answers.slice(0, 1), 1)
-    assert (total.tolist(), kept.tolist()) == ([6_000_000_000, 2], [6_000_000_000, 0])
+@pytest.mark.parametrize("group", [2, 100])
+def test_look_up_by_levels(spark, group):
+    """Totals over nodes equal plain sums on every level, in 64 bits, for uneven keys and a key that all nodes share."""
+    rng = np.random.default_rng(1)
+    hashes = common.mixed(np.arange(1, 200, dtype=np.uint64) * common.MULTIPLIERS[0])
+    total, asked, known = Counter(), [], {}
+    for node in range(9):
+        keys = np.unique(np.append(rng.choice(hashes, 40), hashes[0]))
+        counts = np.where(keys == hashes[0], 3_000_000_000, 1)
+        known[node] = keys
+        for k, c in zip(keys.tolist(), counts.tolist(), strict=True):
+            total[k] += c
+        asked += exchange.ask_table(5, node, keys, [counts, np.zeros(len(keys), np.int64)], fan=3).to_pylist()
+    asks = spark.createDataFrame([tuple(bytes(v) if isinstance(v, bytes) else v for v in r.values()) for r in asked], exchange.ASK_DDL)
+    answers = exchange.look_up(asks, 9, lambda t: t, 8, fan=3, group=group).toArrow()
+    own = answers.column("node").to_pylist()
+    for node, keys in known.items():
+        got = exchange.gathered(answers.filter(pa.array([n == node for n in own])), 5, 8)
+        assert got[0].tolist() == [total[k] for k in keys.tolist()] and not got[1].any()
+    sums = [r["sums"] for r in answers.to_pylist() if r["node"] is None]
+    assert np.sum(sums, 0).tolist() == [sum(total.values()), len(total), 0, 0]
 
 
 def test_weights_by_em():
