@@ -4,10 +4,15 @@ Documents become token pieces; only pieces' *lengths* reach the solver, as a his
 the driver's work is the same for a thousand documents and for a trillion.
 
 1. Covering program: the fewest configurations (multisets of lengths that fit a sequence) that cover the histogram.
-   Each round prices the best configuration under the current weights by a knapsack dynamic program over the capacity,
-   takes it, and multiplies down the weights of what it covers.
-2. Rounding: well-filled configurations are taken in whole multiples of their shares while items remain; what is left is
-   packed best-fit decreasing, group by group of equal bins. Of a few thresholds the one with fewest sequences counts.
+   Multiplicative weights price the lengths; each round a knapsack dynamic program finds the configurations of largest
+   price (for several slightly disturbed price vectors at once), which are taken until the scarcest of their lengths is covered
+   once more, and their lengths' prices fall accordingly. Any prices give a lower bound of the program (demand times
+   price over the best configuration's price), and the shares taken, scaled until every length is covered, an upper one.
+2. Rounding: whole multiples of the shares where those are large; and whole multiples of configurations priced anew under the
+   learned prices, with weights that keep all lengths' remaining shares together. What is left of either (a tenth,
+   three tenths or a half of the items, whatever gives the fewest sequences) is packed best-fit decreasing, group by group
+   of equal bins. Rounds go on until the plan is within ``GAP`` of the lower bound or ``ROUNDS`` are over. The plan is never
+   longer than that of best-fit decreasing alone; ties go to the program's.
 3. The plan is ranges ("items 100..199 of length 37 fill place 2 of configuration 5"). An item's number among its length
    is a count within its task plus a prefix over tasks, both computed by Spark; the plan itself is broadcast (its size is
    bounded by the configurations' number times the capacity).
@@ -20,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,67 +36,128 @@ from pyspark.sql import functions as F
 from docloom.llm.bpe import loaded
 from docloom.llm.common import materialize, read_table, tokenizer_path
 
-CAPACITY, ROUNDS = 1024, 400
+CAPACITY = 1024
+#: Rounds of pricing at most (each prices ``BATCH`` vectors), and the distance to the lower bound that ends them.
+ROUNDS, BATCH, GAP = 800, 16, 0.005
 Config = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
 
-def best_configuration(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack pricing: the multiset of ``lengths`` within ``capacity`` with the largest total weight."""
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
-    order = np.argsort(lengths)
-    lengths, weights = lengths[order], weights[order]
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        value[c], choice[c] = value[c - 1], -1
-        if upto[c]:
-            gains = value[c - lengths[: upto[c]]] + weights[: upto[c]]
-            k = int(np.argmax(gains))
-            if gains[k] > value[c]:
-                value[c], choice[c] = gains[k], k
-    found: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        length = int(lengths[choice[c]])
-        found[length] = found.get(length, 0) + 1
-        c -= length
-    return found
-
-
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[Config, float]]:
-    """Configurations with fractional shares that cover the histogram, by multiplicative weights (Garg-Koenemann)."""
-    if not len(lengths):
-        return []
-    place = {int(n): k for k, n in enumerate(lengths)}
-    y = lengths / capacity / counts.astype(float)  # what a length pays for each item, scaled by its demand
-    shares: dict[Config, float] = {}
-    covered = np.zeros(len(lengths))
-    step = 0.15
-    for _ in range(rounds):
-        config = best_configuration(lengths, y, capacity)
-        at = np.array([place[n] for n in config])
-        copies = np.array(list(config.values()), float)
-        amount = float(np.min(counts[at] / copies)) / 8  # a fraction of what the scarcest length allows
-        key = tuple(sorted(config.items(), reverse=True))
-        shares[key] = shares.get(key, 0) + amount
-        covered[at] += amount * copies
-        y[at] *= np.exp(-step * amount * copies / counts[at] * 8)
-        y /= y.max()
-    scale = float(np.min(covered[covered > 0] / counts[covered > 0])) if (covered > 0).any() else 1.0
-    # scaled so that what is covered at all is covered by its demand on average; rounding settles the rest
-    scale = max(scale, float(covered.sum() / counts.sum()))
-    return [(k, v / scale) for k, v in shares.items()]
-
-
-def round_shares(shares: list[tuple[Config, float]], left: dict[int, int], fill: int, keep: float) -> list[tuple[Config, int]]:
-    """Whole multiples of configurations filled to ``fill`` at least, of ``keep`` of their share; takes the items from ``left``."""
+def best_configurations(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[list[Config], np.ndarray]:
+    """Knapsack pricing: for each row of ``weights``, the multiset of (sorted) ``lengths`` within ``capacity`` of largest total weight."""
+    rows, low = np.arange(len(weights)), int(lengths[0])
+    price = np.full((len(weights), capacity + 1), -1.0)
+    price[:, lengths] = weights
+    value, choice = np.zeros((len(weights), capacity + 1)), np.zeros((len(weights), capacity + 1), np.int32)
+    for c in range(low, capacity + 1):
+        gains = (value[:, c - low :: -1] if c > low else value[:, :1]) + price[:, low : c + 1]
+        k = gains.argmax(1)
+        better = gains[rows, k] > value[:, c - 1]
+        value[:, c] = np.where(better, gains[rows, k], value[:, c - 1])
+        choice[:, c] = np.where(better, k + low, 0)
+    found = []
+    for row in choice:
+        config: dict[int, int] = {}
+        c = capacity
+        while c >= low:
+            n = int(row[c])
+            config[n] = config.get(n, 0) + 1
+            c -= n or 1
+        config.pop(0, None)
+        found.append(tuple(sorted(config.items(), reverse=True)))
+    return found, value[:, capacity]
+
+
+class CoveringProgram:
+    """Multiplicative weights on the covering program of a histogram (``lengths`` ascending, ``counts`` positive)."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int, seed: int = 7):
+        self.lengths, self.counts, self.capacity = lengths, counts, capacity
+        self.rng, self.place = np.random.default_rng(seed), np.zeros(capacity + 1, np.int64)
+        self.place[lengths] = np.arange(len(lengths))
+        self.log_price = np.log(lengths / capacity)
+        self.prices = lengths / capacity  # the dual solution of the best bound so far: no configuration is worth more than 1
+        self.bound = float(self.prices @ counts)
+        self.value, self.shares = np.inf, []  # of the best feasible cover so far
+        self.step, self.window = 0.1, 8
+        self._restart()
+
+    def _restart(self) -> None:
+        """Forget the shares of rounds whose prices were still far off; the prices stay."""
+        self.taken: dict[Config, float] = {}
+        self.covered, self.rounds = np.zeros(len(self.lengths)), 0
+
+    def _disturbed(self, weights: np.ndarray, noise: float) -> np.ndarray:
+        out = weights * np.exp(noise * self.rng.standard_normal((BATCH, len(weights))))
+        out[0] = weights
+        return out
+
+    def items(self, config: Config) -> tuple[np.ndarray, np.ndarray]:
+        return self.place[[n for n, _ in config]], np.array([c for _, c in config])
+
+    def run(self, rounds: int) -> None:
+        demand = self.counts.astype(float)
+        for _ in range(rounds):
+            weights = self._disturbed(np.exp(self.log_price - self.log_price.max()), 0.02)
+            found, worth = best_configurations(self.lengths, weights, self.capacity)
+            bounds = weights @ demand / worth
+            k = int(bounds.argmax())
+            if bounds[k] > self.bound:
+                self.bound, self.prices = float(bounds[k]), weights[k] / worth[k]
+            for config in dict.fromkeys(found):
+                at, copies = self.items(config)
+                amount = float((demand[at] / copies).min())
+                self.taken[config] = self.taken.get(config, 0.0) + amount
+                self.covered[at] += amount * copies
+                self.log_price[at] -= self.step * amount * copies / demand[at]
+            self.rounds += 1
+            if self.rounds >= self.window:
+                self._keep()
+                self._restart()
+                self.window, self.step = self.window * 2, self.step * 0.7
+        self._keep()
+
+    def _keep(self) -> None:
+        """The shares since the last restart as a feasible cover: scaled, with sequences of one length for what stays uncovered."""
+        share = self.covered / self.counts
+        for q in (0, 0.02, 0.1, 0.3):
+            scale = float(np.quantile(share, q))
+            if scale <= 0:
+                continue
+            short = np.maximum(0, self.counts - self.covered / scale) / (self.capacity // self.lengths)
+            value = sum(self.taken.values()) / scale + float(short.sum())
+            if value < self.value:
+                alone = [(((int(n), self.capacity // int(n)),), float(x)) for n, x in zip(self.lengths, short, strict=True) if x]
+                self.value, self.shares = value, [(k, v / scale) for k, v in self.taken.items()] + alone
+
+    def draw_down(self, leave: float = 0.1) -> list[tuple[Config, int]]:
+        """Whole multiples of priced configurations until ``leave`` of the volume is left; all lengths shrink alike.
+
+        Only configurations worth (nearly) a sequence under the best prices count: others belong to no good cover.
+        """
+        left, plan = self.counts.copy(), []
+        volume = float(self.lengths @ left)
+        while left.any() and self.lengths @ left > leave * volume:
+            here = np.flatnonzero(left)
+            share = left[here] / self.counts[here]
+            weights = self._disturbed(self.prices[here] * np.exp(share - share.mean()), 0.002)
+            before = len(plan)
+            for config in best_configurations(self.lengths[here], weights, self.capacity)[0]:
+                at, copies = self.items(config)
+                times = int((left[at] // copies).min())
+                if times and self.prices[at] @ copies >= 1 - 0.2 / self.capacity:
+                    times = max(1, times // 2)
+                    left[at] -= times * copies
+                    plan.append((config, times))
+            if len(plan) == before:
+                break
+        return plan
+
+
+def whole_multiples(shares: list[tuple[Config, float]], left: dict[int, int]) -> list[tuple[Config, int]]:
+    """Whole parts of the shares, best filled configurations first; takes the items from ``left``."""
     plan = []
     for config, share in sorted(shares, key=lambda x: (-sum(n * c for n, c in x[0]), -x[1])):
-        if sum(n * c for n, c in config) < fill:
-            break
-        times = min([int(share * keep), *(left[n] // c for n, c in config)])
+        times = min([int(share), *(left[n] // c for n, c in config)])
         if times:
             plan.append((config, times))
             for n, c in config:
@@ -121,21 +188,59 @@ def best_fit_decreasing(left: dict[int, int], capacity: int) -> list[tuple[Confi
     return [(config, bins) for g in groups.values() for config, bins in g.items()]
 
 
-def plan_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
-    """(configuration, sequences) whose items are exactly the histogram: the best of a few roundings of one solution."""
-    left = dict(zip(map(int, lengths), map(int, counts), strict=True))
-    whole = [(((capacity, 1),), left.pop(capacity))] if left.get(capacity) else []
-    keys = np.array(sorted(left), np.int64)
-    shares = solve_configurations(keys, np.array([left[int(k)] for k in keys]), capacity, rounds)
-    best: list[tuple[Config, int]] | None = None
-    for fill in (capacity, capacity - capacity // 256, capacity - capacity // 32, 0):
-        for keep in (1.0, 0.7, 0.4, 0.1):
-            rest = dict(left)
-            plan = round_shares(shares, rest, fill, keep)
-            plan += best_fit_decreasing(rest, capacity)
-            if best is None or sum(t for _, t in plan) < sum(t for _, t in best):
-                best = plan
-    return whole + (best or [])
+@dataclass
+class Plan:
+    """sequences: (configuration, how many), whose items are exactly the histogram; from_program: how many of those (full pieces
+    aside) the program's configurations make up; bound: sequences that any plan needs at least."""
+
+    sequences: list[tuple[Config, int]]
+    from_program: int
+    bound: float
+
+    @property
+    def count(self) -> int:
+        return sum(t for _, t in self.sequences)
+
+
+def plan_sequences(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, gap: float = GAP) -> Plan:
+    """The best of the program's roundings and of best-fit decreasing alone."""
+    items = {n: c for n, c in zip(map(int, lengths), map(int, counts), strict=True) if c}
+    full = items.pop(capacity, 0)
+    whole = [(((capacity, 1),), full)] if full else []
+    if not items:
+        return Plan(whole, 0, full)
+    best = Plan(best_fit_decreasing(dict(items), capacity), 0, 0)
+
+    def offer(part: list[tuple[Config, int]]) -> None:
+        nonlocal best
+        rest = dict(items)
+        for config, times in part:
+            for n, c in config:
+                rest[n] -= c * times
+        made = sum(t for _, t in part)
+        plan = Plan(part + best_fit_decreasing(rest, capacity), made, 0)
+        if (plan.count, -made) < (best.count, -best.from_program):
+            best = plan
+
+    keys = np.array(sorted(items), np.int64)
+    program = CoveringProgram(keys, np.array([items[int(k)] for k in keys]), capacity)
+    done, part = 0, min(100, rounds)
+    while done < rounds:
+        program.run(part)
+        done += part
+        offer(whole_multiples(program.shares, dict(items)))
+        drawn = program.draw_down()
+        volume = float(program.lengths @ program.counts)
+        for share in (0.9, 0.7, 0.5):
+            used, upto = 0.0, 0
+            while upto < len(drawn) and used < share * volume:
+                used += drawn[upto][1] * sum(n * c for n, c in drawn[upto][0])
+                upto += 1
+            offer(drawn[:upto])
+        if best.count <= np.ceil(program.bound - 1e-6) * (1 + gap):
+            break
+        part = min(2 * part, rounds - done)
+    return Plan(whole + best.sequences, best.from_program, full + program.bound)
 
 
 def place_ranges(plan: list[tuple[Config, int]]) -> dict[int, np.ndarray]:
@@ -189,7 +294,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     counts = materialize(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = counts.groupBy("length").agg(F.sum("n").alias("n")).toPandas()  # at most ``capacity`` rows
     plan = plan_sequences(histogram["length"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), capacity, rounds)
-    ranges = spark.sparkContext.broadcast(place_ranges(plan))
+    ranges = spark.sparkContext.broadcast(place_ranges(plan.sequences))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).drop("n")
     numbered = pieces.join(before, ["length", "task"])
     kept = [c for c in pieces.columns if c not in ("task", "nth")]

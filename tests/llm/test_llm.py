@@ -185,28 +185,40 @@ def test_packing(docs, path, library, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["small", "large", "mixed", "one", "few"])
+@pytest.mark.parametrize("kind", ["small", "large", "mixed", "one", "two", "few", "none"])
 def test_plans_cover_and_fit(kind):
+    """Every item once, nothing too long, never more sequences than best-fit decreasing alone, never fewer than the bound."""
     rng = np.random.default_rng(3)
-    x = {"small": rng.integers(1, 60, 5000), "large": rng.integers(400, 1025, 3000), "mixed": np.clip(rng.lognormal(5.5, 1, 20000).astype(int) + 1, 1, 1024), "one": np.full(1000, 300), "few": np.array([5, 1024, 7])}[kind]
-    lengths, counts = np.unique(x, return_counts=True)
-    plan = packing.plan_sequences(lengths, counts, rounds=150)
+    few = [130, 201, 257, 300, 333, 402, 455, 511, 600, 700, 801]
+    x = {"small": rng.integers(1, 60, 5000), "large": rng.integers(400, 1025, 3000), "mixed": np.clip(rng.lognormal(5.5, 1, 20000).astype(int) + 1, 1, 1024)}
+    x |= {"one": np.full(1000, 300), "two": np.array([5, 1024, 7]), "few": rng.choice(few, 50_000), "none": np.zeros(0, int)}
+    lengths, counts = np.unique(x[kind], return_counts=True)
+    plan = packing.plan_sequences(lengths, counts, rounds=200)
     got = Counter()
-    for config, times in plan:
+    for config, times in plan.sequences:
         assert sum(n * c for n, c in config) <= 1024 and times > 0
         for n, c in config:
             got[n] += c * times
-    assert got == Counter(dict(zip(lengths.tolist(), counts.tolist(), strict=True)))
-    left, spaces = 0, []  # first fit decreasing as the yardstick
-    for n in sorted(x.tolist(), reverse=True)[:3000] if kind != "mixed" else []:
-        for k, s in enumerate(spaces):
-            if s >= n:
-                spaces[k] -= n
-                break
-        else:
-            spaces.append(1024 - n)
-    if kind in ("large", "one", "few"):
-        assert sum(t for _, t in plan) <= len(spaces) * 1.01 + left
+    known = dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+    assert got == Counter(known)
+    alone = packing.best_fit_decreasing(known, 1024)
+    assert sum(int(n) * c for n, c in known.items()) / 1024 - 1e-6 <= plan.bound <= plan.count + 1e-6 <= sum(t for _, t in alone) + 1e-6
+    if kind == "few":  # where configurations matter, the program decides, and gets near the bound
+        assert plan.from_program > 0.9 * plan.count and plan.count <= 1.006 * plan.bound
+        assert plan.count < 0.995 * sum(t for _, t in alone)
+
+
+def test_the_covering_program():
+    """Its cover is feasible and not below its bound; a hand-made case where both are known: 500s and 524s fit in pairs."""
+    program = packing.CoveringProgram(np.array([300, 500, 524]), np.array([30, 100, 100]), 1024)
+    program.run(60)
+    covered = Counter()
+    for config, share in program.shares:
+        assert sum(n * c for n, c in config) <= 1024
+        for n, c in config:
+            covered[n] += c * share
+    assert all(covered[n] >= d - 1e-6 for n, d in ((300, 30), (500, 100), (524, 100)))
+    assert 110 - 1e-6 >= program.bound and program.value >= program.bound - 1e-6 and program.value <= 110 * 1.02
 
 
 # --- suffix dedup ---
