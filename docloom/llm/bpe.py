@@ -1,7 +1,7 @@
 """Byte-level BPE: a priority queue of merge ranks over a doubly linked symbol list, and decoding by vocabulary strings.
 
 A text is cut at special strings, then into pre-tokens by the vocabulary's public pattern; every distinct pre-token is
-merged once per worker and its ids (little-endian unsigned 32-bit) are kept in a bounded cache, so a text's ids are a
+merged once per worker and its ids (little-endian unsigned 32-bit) are kept in a bounded cache (long ones aren't), so a text's ids are a
 join of cached byte strings. Pre-tokens are merged either here (``BPE``) or by the tokenizers library (``LibraryBPE``);
 both return the same ids.
 
@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from docloom.llm.common import read_table, tokenizer_path
 
 #: Pre-tokens kept by a worker before its cache starts anew.
 CACHE_WORDS = 250_000
+_PLACE = (1 << 40) - 1
 #: Fixed value: the public pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -59,9 +61,11 @@ class _Words(dict):
         self.encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self[word] = np.array(self.encode(word), "<u4").tobytes()
+        ids = np.array(self.encode(word), "<u4").tobytes()
+        if len(word) < 256:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -95,23 +99,29 @@ class BPE:
         if n < 2:
             return symbol
         rank = self.rank
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = [(*found, i, symbol[i], symbol[i + 1]) for i in range(n - 1) if (found := rank.get((symbol[i], symbol[i + 1])))]
+        before, after = range(-1, n - 1), [*range(1, n), -1]
+        # four bytes a link where a word is long: millions of signs without a break must fit in a worker
+        keep = list if n < 4096 else (lambda values: array("i", values))
+        symbol, before, after = keep(symbol), keep(before), keep(after)
+        # an entry is rank * 2^40 + place; it is stale if the pair that now begins there has another rank
+        queue = [(found[0] << 40) + i for i in range(n - 1) if (found := rank.get((symbol[i], symbol[i + 1])))]
         heapq.heapify(queue)
         while queue:
-            _, merged, i, left, right = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i = entry & _PLACE
             j = after[i]
-            if symbol[i] != left or j < 0 or symbol[j] != right:
+            found = rank.get((symbol[i], symbol[j])) if j >= 0 and symbol[i] >= 0 else None
+            if found is None or found[0] != entry >> 40:
                 continue  # one of the two has been merged meanwhile
-            symbol[i], symbol[j] = merged, -1
+            symbol[i], symbol[j] = found[1], -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := rank.get((merged, symbol[k])):
-                    heapq.heappush(queue, (*found, i, merged, symbol[k]))
+                if found := rank.get((symbol[i], symbol[k])):
+                    heapq.heappush(queue, (found[0] << 40) + i)
             h = before[i]
-            if h >= 0 and (found := rank.get((symbol[h], merged))):
-                heapq.heappush(queue, (*found, h, symbol[h], merged))
+            if h >= 0 and (found := rank.get((symbol[h], symbol[i]))):
+                heapq.heappush(queue, (found[0] << 40) + h)
         return [s for s in symbol if s >= 0]
 
     def encode(self, text: str) -> bytes:

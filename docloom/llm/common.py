@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
+import re
+import tempfile
 import uuid
 import zlib
 
@@ -23,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where the session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        # the warehouse is the one folder that every Spark installation shares; a temporary folder would be each machine's own
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.docloom"
+        # a local master is one machine; on a cluster the warehouse is the folder that all share
+        local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        found = f"file://{tempfile.mkdtemp(prefix='docloom-')}" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.docloom"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,11 +52,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*stored: DataFrame) -> None:
-    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    """Delete what ``materialize`` wrote, once nothing reads it any more, and let Spark drop the shuffles behind it."""
     for df in stored:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._docloom_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if stored:
+        # shuffle files go when the driver's JVM finds their plans unreachable, which may else be long after
+        gc.collect()
+        stored[0].sparkSession._jvm.System.gc()
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

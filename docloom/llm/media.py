@@ -110,13 +110,19 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         os.makedirs(self.folder, exist_ok=True)
         name, entries, out, at = f"{self.folder}/.{uuid.uuid4().hex}.tmp", [], None, 0
-        for batch in iterator:
-            out = out or open(name, "wb", buffering=1 << 20)
-            for key, payload in zip(batch.column("key").to_pylist(), batch.column("payload"), strict=True):
-                data = payload.as_py() or b""
-                out.write(data)
-                entries.append(_ENTRY.pack(key is None, key or 0, at, len(data), zlib.crc32(data)))
-                at += len(data)
+        try:
+            for batch in iterator:
+                out = out or open(name, "wb", buffering=1 << 20)
+                for key, payload in zip(batch.column("key").to_pylist(), batch.column("payload"), strict=True):
+                    data = payload.as_py() or b""
+                    out.write(data)
+                    entries.append(_ENTRY.pack(key is None, key or 0, at, len(data), zlib.crc32(data)))
+                    at += len(data)
+        except BaseException:  # the driver hears nothing of a failed task's file
+            if out is not None:
+                out.close()
+                os.remove(name)
+            raise
         if out is None:
             return _Written(None, 0)
         with out:

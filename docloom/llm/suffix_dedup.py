@@ -468,8 +468,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = materialize(later.groupBy("chunk").agg(F.array_join(F.collect_list("place"), ",").cast("binary").alias("payload")).select(F.lit(_COPIES).alias("kind"), F.lit(None).cast("long").alias("bucket"), "chunk", "payload"), "copies")
     answers = materialize(look_up(_ask(chunks), count, _classes(hot_gram), 1).where("node is not null").select("kind", F.col("bucket"), F.col("node").alias("chunk"), F.col("counts").alias("payload")), "repeated")
     parts = materialize(chunks.groupBy("chunk").cogroup(answers.unionByName(copies).groupBy("chunk")).applyInArrow(_records(ranges), _PART_DDL), "contexts")
+    discard(answers)
     cuts = materialize(parts.where(F.col("kind") == _RECORDS).groupBy("bucket").applyInArrow(_decide, _PART_DDL).unionByName(parts.where(F.col("kind") == _CUTS)), "cuts")
-    discard(answers, parts)
+    discard(parts)
     return chunks.groupBy("chunk").cogroup(cuts.unionByName(copies).groupBy("chunk")).applyInArrow(_cut(with_text), _OUT_DDL + ", text string, text_sha256 string" * with_text)
 
 

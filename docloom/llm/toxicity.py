@@ -6,7 +6,9 @@ hold toxic rows. With the class prior p and the logistic loss, the risk is
     p * mean_P loss(+)  +  max(0, mean_U loss(-) - p * mean_P loss(-))
 
 where the second part estimates the negatives' risk; when it falls below zero the step only undoes that (the
-non-negative correction). Scores are then calibrated (Platt) on labelled training rows.
+non-negative correction). The class prior is the toxic share of the labelled training rows, which is all that labels of 0 are
+read for. Raw scores become probabilities by the same risk over positives and unlabelled rows, each scored by weights that were
+learnt without its part of the sample.
 
 Training uses a bounded sample (documented parameters): at most ``max_positive`` toxic rows and ``max_unlabelled`` others,
 those with the smallest hash of the id, which is the same on every run and at every size. Scoring covers all rows and whole
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import read_table, release
 
 DIM, THRESHOLD = 1 << 20, 0.3
+#: Parts of the sample for raw scores of rows that the weights haven't seen, and the pull of the slope towards 1.
+PARTS, RIDGE = 4, 1e-3
 MAX_POSITIVE, MAX_UNLABELLED = 2_000, 4_000
 _STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -131,21 +135,24 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return w, b
 
 
-def calibrate(raw: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Platt scaling: slope and shift of the logistic that fits labels to raw scores best (Newton steps, damped)."""
-    if not len(raw) or toxic.min() == toxic.max():
+def calibrate(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of raw scores that minimise the same risk (Newton steps, damped); no label 0 is needed.
+
+    With the logistic loss and two parameters the risk is mean_U softplus(z) - p * mean_P z, which is convex. At its
+    minimum the unlabelled rows' mean probability is the prior.
+    """
+    both = np.concatenate([positive, unlabelled])
+    if not len(positive) or not len(unlabelled) or both.std() == 0:
         return 1.0, 0.0
-    centre, spread = raw.mean(), raw.std() or 1.0
-    x = np.column_stack([(raw - centre) / spread, np.ones(len(raw))])
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    target = np.where(toxic == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    beta = np.array([1.0, np.log((n1 + 1) / (n0 + 1))])
+    centre, spread = both.mean(), both.std()
+    xp, xu = (np.column_stack([(x - centre) / spread, np.ones(len(x))]) for x in (positive, unlabelled))
+    start = beta = np.array([spread, centre])  # the raw scores as they are
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        gradient = x.T @ (p - target) + 1e-3 * beta
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        p = 1 / (1 + np.exp(-np.clip(xu @ beta, -30, 30)))
+        gradient = xu.T @ p / len(xu) - prior * xp.mean(0) + RIDGE * (beta - start) * [1, 0]
+        hessian = (xu * (p * (1 - p))[:, None]).T @ xu / len(xu) + np.diag([RIDGE, 1e-6])
         move = np.linalg.solve(hessian, gradient)
-        beta = beta - move * min(1.0, 2 / (np.abs(move).max() + 1e-9))
+        beta = beta - move * min(1.0, 1 / (np.abs(move).max() + 1e-9))
     scale = max(beta[0], 0.0) / spread
     return float(scale), float(beta[1] - scale * centre)
 
@@ -165,37 +172,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # labelled rows and others alike: a row's hash decides
     ids = docs.where(F.col(id_col).isNotNull() & ~in_held_out(id_col)).select(F.col(id_col).cast("long").alias("__id"))
     unlabelled = ids.orderBy(rank, "__id").limit(max_unlabelled).distinct()
-    # calibration rows: a bounded part of the labelled ones
-    judged = marks.orderBy(F.xxhash64(F.col("__id"), F.lit(13)), "__id").limit(max_unlabelled)
     wanted = (
-        positive.select("__id", F.lit(1).alias("p"), F.lit(0).alias("u"), F.lit(None).cast("int").alias("j"))
-        .unionByName(unlabelled.select("__id", F.lit(0).alias("p"), F.lit(1).alias("u"), F.lit(None).cast("int").alias("j")))
-        .unionByName(judged.select("__id", F.lit(0).alias("p"), F.lit(0).alias("u"), F.col("toxic").cast("int").alias("j")))
+        positive.select("__id", F.lit(1).alias("p"), F.lit(0).alias("u"))
+        .unionByName(unlabelled.select("__id", F.lit(0).alias("p"), F.lit(1).alias("u")))
         .groupBy("__id")
-        .agg(F.max("p").alias("p"), F.max("u").alias("u"), F.max("j").alias("j"))
+        .agg(F.max("p").alias("p"), F.max("u").alias("u"))
     )
     sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), "__id")
-    schema = pa.schema([("id", pa.int64()), ("p", pa.int32()), ("u", pa.int32()), ("j", pa.int32()), ("slots", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("p", pa.int32()), ("u", pa.int32()), ("slots", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract = Extractor()
         for b in batches:
             slots = [extract.of(t.as_py()).astype("<u4").tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("__id"), *(b.column(c).cast(pa.int32()) for c in "puj"), pa.array(slots, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("__id"), *(b.column(c).cast(pa.int32()) for c in "pu"), pa.array(slots, pa.binary())], schema=schema)
+        extract.clear()
+        release()
 
     # bounded by the sample's size; kept as one Arrow table, of which the rows below are views
-    table = sample.mapInArrow(run, "id long, p int, u int, j int, slots binary").toArrow().sort_by("id")
-    rows = table.select(["p", "u", "j"]).to_pylist()
+    table = sample.mapInArrow(run, "id long, p int, u int, slots binary").toArrow().sort_by("id")
+    ids, marked, drawn = (table.column(c).to_numpy() for c in ("id", "p", "u"))
     data = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("slots")]
-    chosen_p = [s for s, r in zip(data, rows, strict=True) if r["p"]]
-    chosen_u = [s for s, r in zip(data, rows, strict=True) if r["u"]]
-    if not chosen_p or not chosen_u:
+    if not marked.any() or not drawn.any():
         return Model(np.zeros(DIM), 0.0, 0.0, float(np.log(prior / (1 - prior))), prior)
-    w, bias = train(chosen_p, chosen_u, prior)
-    model = Model(w, bias, 1.0, 0.0, prior)
-    known = [(model.raw(s), r["j"]) for s, r in zip(data, rows, strict=True) if r["j"] is not None]
-    model.scale, model.shift = calibrate(np.array([x for x, _ in known]), np.array([y for _, y in known]))
-    del table, rows, data, chosen_p, chosen_u
+    part = np.array([zlib.crc32(f"{i} part".encode()) % PARTS for i in ids.tolist()])
+
+    def learnt(rows: np.ndarray) -> Model | None:
+        chosen = [[data[k] for k in np.flatnonzero(rows & (m == 1))] for m in (marked, drawn)]
+        return Model(*train(*chosen, prior), 1.0, 0.0, prior) if all(chosen) else None
+
+    raw: list[list[float]] = [[], []]
+    for k in range(PARTS):
+        if (other := learnt(part != k)) is not None:
+            for scores, m in zip(raw, (marked, drawn), strict=True):
+                scores += [other.raw(data[i]) for i in np.flatnonzero((part == k) & (m == 1))]
+    model = learnt(part >= 0)
+    model.scale, model.shift = calibrate(*map(np.array, raw), prior)
+    del table, data
     release()
     return model
 
