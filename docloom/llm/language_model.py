@@ -1,15 +1,16 @@
-"""Language-model scoring by deleted interpolation of bigram, unigram and uniform maximum-likelihood estimates.
+"""Language-model scoring by deleted interpolation of trigram, bigram, unigram and uniform maximum-likelihood estimates.
 
-    P(w | v) = a2(b) * c(v w) / c(v)  +  a1(b) * c(w) / N  +  a0(b) / (V + 1)
+    P(w | u v) = a3(b) * c(u v w) / c(u v)  +  a2(b) * c(v w) / c(v)  +  a1(b) * c(w) / N  +  a0(b) / (V + 1)
 
-The weights depend on the context's frequency bucket b = floor(log2 c(v)) and are learned by expectation-maximisation:
-a slice of the training documents is *deleted* from the counts (count minus slice's count), and its tokens are the held-out
-events that the weights must predict. The final model uses the counts of all training documents with those weights.
+The weights depend on the context's frequency bucket b: floor(log2 c(u v)), or floor(log2 c(v)) where u v is unseen. They are
+learned by expectation-maximisation on deleted counts: every training token in turn is a held-out event, its own occurrence taken
+from all counts (c - 1, N - 1) before the weights must predict it. The final model uses the whole counts with those weights.
 
-Plan (see ``exchange``): documents become chunks of word codes, written once; chunks send their distinct unigram and bigram
-keys with counts to hash ranges, which return corpus counts in the chunks' order; a cogroup of chunks and answers stores
-each token's counts. From these, one pass builds the EM histogram (events binned by bucket and by the logarithms of the
-estimates' ratios: a table bounded by its bins, not by the data) and a second one scores. Counts cover all documents.
+Plan (see ``exchange``): documents become chunks of word codes, written once; chunks ask for their distinct words, bigrams and
+trigrams and get corpus counts in the chunks' order; a cogroup of chunks and answers stores each token's counts. From these, one
+pass builds the EM histogram (events binned by bucket and by the octaves of their estimates, with the mean logarithms in
+each bin: a table bounded by its bins, not by the data) and a second one scores. Counts cover all documents. Bigrams and
+trigrams go by hashes of sixteen bits more than the corpus has tokens, words by 64 bits.
 
 Defined results: null text is the empty text, whose only token is the end; null ids count as training rows; repeated ids are
 rows of their own. Without training rows, the estimates are uniform. An empty table gives no rows.
@@ -25,13 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import MULTIPLIERS, discard, materialize, mixed, read_table, release, row_crc, word_hashes
-from docloom.llm.exchange import ASK_DDL, ask_table, chunk_documents, compress, doc_columns, expand, gathered, look_up, pack_keys, pack_numbers, rows_of, unpack_counts, unpack_keys, unpack_numbers
+from docloom.llm.exchange import ASK_DDL, CHUNK_BYTES, ask_table, chunk_documents, compress, doc_columns, expand, gathered, look_up, pack_keys, pack_numbers, rows_of, unpack_counts, unpack_keys, unpack_numbers
 
-FOLDS, HELD_OUT, SLICE = 5, 1, 10
+FOLDS, HELD_OUT = 5, 1
 #: The end token, which also is the context of a text's first token: fixed value outside any word's likely hash.
 END = np.uint64(0x5A17C0DE0000E0D5)
-#: Bins of an event's log2 estimate ratios: 4 an octave.
-_FINE, _SPAN = 4, 256
+#: Bins an octave, of trigram, bigram and unigram estimates over the uniform one, and the bins of each.
+_FINE, _SPAN = (2, 2, 1), 128
+_WORDS, _PAIRS, _TRIPLES = 1, 2, 3
 
 
 def encode_words(texts: list[bytes]) -> bytes:
@@ -56,39 +58,42 @@ def decode_words(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return unpack_keys(blobs[0]), unpack_numbers(blobs[1]).astype(np.int64), np.frombuffer(expand(blobs[2]), "<i8")
 
 
-def roles(ids: np.ndarray, nulls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(held out, in the deleted slice) of documents."""
+def is_held_out(ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
     crc = np.array([row_crc(None if n else int(i)) for i, n in zip(ids, nulls, strict=True)], np.int64)
-    held_out = (crc % FOLDS == HELD_OUT) & ~nulls
-    return held_out, ~held_out & (crc // FOLDS % SLICE == 0)
+    return (crc % FOLDS == HELD_OUT) & ~nulls
 
 
-def bigram_keys(keys: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context code, bigram key) of each token; the context of a document's first token is the end token."""
-    end = int(np.searchsorted(keys, END))
-    context = np.empty_like(codes)
-    context[1:] = codes[:-1]
-    context[0] = end  # further documents' first tokens follow the end token of the one before
-    return context, mixed(keys[context] * MULTIPLIERS[0] + keys[codes] * MULTIPLIERS[1])
+def gram_keys(keys: np.ndarray, codes: np.ndarray, counts: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first tokens' places, bigram key and trigram key of each token); before a text stand two end tokens."""
+    starts = np.cumsum(counts) - counts
+    h = keys[codes]
+    v = np.empty_like(h)
+    v[1:], v[starts] = h[:-1], END
+    u = np.empty_like(h)
+    u[1:], u[starts] = v[:-1], END
+    pairs = mixed(v * MULTIPLIERS[0] + h * MULTIPLIERS[1])
+    return starts, pairs & mask, mixed(u * MULTIPLIERS[2] + pairs) & mask
 
 
-def _ask(chunks: DataFrame) -> DataFrame:
-    """Each chunk's distinct words and bigrams with their counts in training rows, and in those that are not deleted."""
+def _ask(chunks: DataFrame, mask: np.uint64) -> DataFrame:
+    """Each chunk's distinct words, bigrams and trigrams with their counts in training rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in rows_of(b):
                 ids, _, nulls = doc_columns(row)
                 keys, codes, counts = decode_words(row["body"])
-                held_out, sliced = roles(ids, nulls)
-                train, kept = np.repeat(~held_out, counts), np.repeat(~held_out & ~sliced, counts)
-                n = len(keys)
-                yield from ask_table(1, row["chunk"], keys, [np.bincount(codes[x], minlength=n) for x in (train, kept)]).to_batches()
-                _, pairs = bigram_keys(keys, codes, counts)
-                distinct, place = np.unique(pairs, return_inverse=True)
-                n = len(distinct)
-                yield from ask_table(2, row["chunk"], distinct, [np.bincount(place[x], minlength=n) for x in (train, kept)]).to_batches()
-                del row, keys, codes, pairs, distinct, place
+                train = np.repeat(~is_held_out(ids, nulls), counts)
+                yield from ask_table(_WORDS, row["chunk"], keys, [np.bincount(codes[train], minlength=len(keys))]).to_batches()
+                _, pairs, triples = gram_keys(keys, codes, counts, mask)
+                del keys, codes
+                for kind, grams in ((_PAIRS, pairs), (_TRIPLES, triples)):
+                    # held-out rows ask as well, with counts of zero
+                    distinct, place = np.unique(grams, return_inverse=True)
+                    seen = np.bincount(place[train], minlength=len(distinct))
+                    del place
+                    yield from ask_table(kind, row["chunk"], distinct, [seen]).to_batches()
+                del row, pairs, triples, grams, distinct, seen
                 release()
 
     return chunks.mapInArrow(run, ASK_DDL)
@@ -98,41 +103,69 @@ _COUNTED_DDL = "chunk long, doc_ids binary, nulls binary, tokens binary, totals
 _COUNTED = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "nulls", "tokens", "totals", "histogram"))])
 
 
-def _counted(n_kept: int, v_kept: int):
+def context_counts(c2: np.ndarray, c1: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """c(u v) and c(v) of each token; all documents' first tokens follow the end token."""
+    end = c1[ends[0] - 1] if len(ends) else 0
+    two, one = np.empty_like(c2), np.empty_like(c1)
+    two[1:], one[1:] = c2[:-1], c1[:-1]
+    two[starts] = one[starts] = end
+    return two, one
+
+
+def bucket_of(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """0: no context is known; 1 + log2 c(u v); or 65 + log2 c(v) where only that is known."""
+    log = lambda c: np.log2(np.maximum(c, 1)).astype(np.int64)
+    return np.where(two > 0, 1 + log(two), np.where(one > 0, 65 + log(one), 0))
+
+
+def estimates(c3: np.ndarray, c2: np.ndarray, c1: np.ndarray, two: np.ndarray, one: np.ndarray, n: int, v: int) -> list[np.ndarray]:
+    """Trigram, bigram and unigram estimates over the uniform one; unseen contexts give none."""
+    return [x / np.maximum(y, 1) * (v + 1) for x, y in ((np.where(two > 0, c3, 0), two), (np.where(one > 0, c2, 0), one), (c1, max(n, 1)))]
+
+
+def _events(c3: np.ndarray, c2: np.ndarray, c1: np.ndarray, two: np.ndarray, one: np.ndarray, n: int, v: int) -> tuple[np.ndarray, ...]:
+    """(bin, events, sums of the estimates' logarithms) of training tokens, each with its own occurrence deleted."""
+    two, one = two - 1, one - 1
+    ratios = estimates(c3 - 1, c2 - 1, c1 - 1, two, one, n - 1, v)
+    logs = [np.log2(np.maximum(r, 2.0**-60)) for r in ratios]
+    bins = bucket_of(two, one)
+    for r, g, fine in zip(ratios, logs, _FINE, strict=True):
+        bins = bins * _SPAN + np.where(r > 0, np.clip(np.round(g * fine) + _SPAN // 2, 1, _SPAN - 1), 0).astype(np.int64)
+    bins, place = np.unique(bins, return_inverse=True)
+    return (bins, np.bincount(place, minlength=len(bins)), *(np.bincount(place, np.where(r > 0, g, 0), len(bins)) for r, g in zip(ratios, logs, strict=True)))
+
+
+def _counted(mask: np.uint64, n: int, v: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _COUNTED.empty_table()
         row = {c: left.column(c)[0].as_py() for c in left.column_names}
         ids, _, nulls = doc_columns(row)
         keys, codes, counts = decode_words(row["body"])
-        context, pairs = bigram_keys(keys, codes, counts)
-        place = np.unique(pairs, return_inverse=True)[1]
-        total1, kept1 = (x.astype(np.int64) for x in gathered(right, 1, 8))
-        total2, kept2 = (x.astype(np.int64) for x in gathered(right, 2, 8))
-        # events of the deleted slice, binned by context frequency and by the estimates over the uniform one
-        _, sliced = roles(ids, nulls)
-        at = np.flatnonzero(np.repeat(sliced, counts))
-        c = kept1[context[at]]
-        at, c = at[c > 0], c[c > 0]  # an unseen context has no bigram estimate to weigh
-        bucket = np.log2(c).astype(np.int64)
-        p2, p1 = kept2[place[at]] / c, kept1[codes[at]] / max(n_kept, 1)
-        fine = lambda p: np.where(p > 0, np.clip(np.round(np.log2(np.maximum(p * (v_kept + 1), 1e-30)) * _FINE) + _SPAN // 2, 1, _SPAN - 1), 0).astype(np.int64)
-        bins, n = np.unique((bucket * _SPAN + fine(p2)) * _SPAN + fine(p1), return_counts=True)
+        starts, pairs, triples = gram_keys(keys, codes, counts, mask)
+        total = [gathered(right, _WORDS, 8)[0].astype(np.int64)[codes]]
+        for kind, grams in ((_PAIRS, pairs), (_TRIPLES, triples)):
+            total.append(gathered(right, kind, 8)[0].astype(np.int64)[np.unique(grams, return_inverse=True)[1]])
+        del keys, codes, pairs, triples, grams
+        c1, c2, c3 = total
+        two, one = context_counts(c2, c1, np.cumsum(counts), starts)
+        train = np.repeat(~is_held_out(ids, nulls), counts)
+        events = _events(*(x[train] for x in (c3, c2, c1, two, one)), n, v)
         values = [row["chunk"], row["doc_ids"], row["nulls"], compress(counts.astype("<i8").tobytes())]
-        values.append(b"".join(len(p).to_bytes(4, "little") + p for p in (pack_numbers(total2[place], 8), pack_numbers(total1[codes], 8))))
-        values.append(np.column_stack([bins, n]).astype("<i8").tobytes())
-        del codes, context, pairs, place, total1, kept1, total2, kept2
+        values.append(b"".join(len(p).to_bytes(4, "little") + p for p in (pack_numbers(x, 8) for x in (c3, c2, c1))))
+        values.append(compress(np.column_stack([x.astype("<f8") for x in events]).tobytes()))
+        del total, c1, c2, c3, two, one, events, train
         release()
-        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, _COUNTED, strict=True)], schema=_COUNTED)
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(values, _COUNTED, strict=True)], schema=_COUNTED)
 
     return run
 
 
-def learn_weights(bins: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Interpolation weights (bucket, [bigram, unigram, uniform]) by EM; a bucket with few events leans on the pooled weights."""
-    bucket, p2, p1 = bins // (_SPAN * _SPAN), bins // _SPAN % _SPAN, bins % _SPAN
-    value = lambda b: np.where(b > 0, 2.0 ** ((b - _SPAN // 2) / _FINE), 0.0)
-    p = np.column_stack([value(p2), value(p1), np.ones(len(bins))])
+def learn_weights(bins: np.ndarray, n: np.ndarray, logs: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights (bucket, [trigram, bigram, unigram, uniform]) by EM; a bucket with few events leans on the pooled weights of its kind."""
+    seen = np.column_stack([bins // _SPAN**2, bins // _SPAN, bins])[:, :3] % _SPAN > 0
+    p = np.column_stack([np.where(seen, 2.0 ** (logs / n[:, None]), 0.0), np.ones(len(bins))]) if len(bins) else np.ones((0, 4))
+    bucket = bins // _SPAN**3
 
     def em(p: np.ndarray, n: np.ndarray, start: np.ndarray, prior: float) -> np.ndarray:
         a = start.copy()
@@ -143,34 +176,44 @@ def learn_weights(bins: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarr
             a /= a.sum()
         return np.maximum(a, 1e-6) / np.maximum(a, 1e-6).sum()
 
-    pooled = em(p, n, np.full(3, 1 / 3), 0.0) if len(bins) else np.full(3, 1 / 3)
-    out = np.tile(pooled, (64, 1))
-    for b in np.unique(bucket):
-        mine = bucket == b
-        out[b] = em(p[mine], n[mine], pooled, 20.0)
-    return out
+    out = np.zeros((130, 4))
+    for kind, first, last in ((0, 0, 1), (1, 1, 65), (2, 65, 130)):
+        start = np.array([0.25, 0.25, 0.25, 0.25]) * ([0, 0, 1, 1], [1, 1, 1, 1], [0, 1, 1, 1])[kind]
+        mine = (bucket >= first) & (bucket < last)
+        pooled = em(p[mine], n[mine], start / start.sum(), 1.0) if mine.any() else start / start.sum()
+        out[first:last] = pooled
+        for b in np.unique(bucket[mine]):
+            out[b] = em(p[bucket == b], n[bucket == b], pooled, 20.0)
+        out[first:last] *= start > 0  # an unseen context leaves its weight to the others
+    return out / out.sum(1, keepdims=True)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     chunks = chunk_documents(docs, encode_words, id_col, text_col, name="word-chunks")
-    answers = materialize(look_up(_ask(chunks), chunks.count(), lambda totals: totals, 8), "counts")
-    sums = answers.where("node is null and kind = 1").agg(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(c) for k, c in enumerate(("n", "v", "n_kept", "v_kept"))))
-    total = sums.first()
-    n, v = total.n, total.v
+    count = chunks.count()
+    # two bytes of text are a token at most; sixteen bits more than all tokens need
+    mask = np.uint64((1 << 64) - (1 << max(0, 48 - (max(count, 1) * CHUNK_BYTES // 2).bit_length()) // 8 * 8))
+    answers = materialize(look_up(_ask(chunks, mask), count, lambda totals: totals, 8), "counts")
+    sums = answers.where(F.col("node").isNull() & (F.col("kind") == _WORDS)).agg(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(c) for k, c in enumerate("nv")))
+    n, v = sums.first()
     both = chunks.groupBy("chunk").cogroup(answers.where("node is not null").select("kind", "bucket", "node", "counts").groupBy("node"))
-    counted = materialize(both.applyInArrow(_counted(total.n_kept, total.v_kept), _COUNTED_DDL), "token-counts")
+    counted = materialize(both.applyInArrow(_counted(mask, n, v), _COUNTED_DDL), "token-counts")
+    del both, sums
     discard(chunks, answers)
+    bins = pa.schema([("bin", pa.int64()), *((c, pa.float64()) for c in ("n", "l3", "l2", "l1"))])
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for h in b.column(0):
-                rows = np.frombuffer(h.as_py(), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["bin", "n"])
+                rows = np.frombuffer(expand(h.as_py()), "<f8").reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int64)), *(pa.array(rows[:, k]) for k in range(1, 5))], schema=bins)
 
-    histogram = counted.select("histogram").mapInArrow(pairs, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # bounded by the bins
-    weights = spark.sparkContext.broadcast(learn_weights(histogram["bin"].to_numpy(np.int64), histogram["n"].to_numpy(np.float64)))
+    binned = counted.select("histogram").mapInArrow(events, "bin long, n double, l3 double, l2 double, l1 double")
+    table = binned.groupBy("bin").agg(*(F.sum(c).alias(c) for c in ("n", "l3", "l2", "l1"))).toPandas().sort_values("bin")  # bounded by the bins
+    learnt = learn_weights(table["bin"].to_numpy(np.int64), table["n"].to_numpy(np.float64), table[["l3", "l2", "l1"]].to_numpy(np.float64))
+    weights = spark.sparkContext.broadcast(learnt)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,21 +222,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for row in rows_of(b):
                 ids, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["nulls"], np.uint8).astype(bool)
                 tokens = np.frombuffer(expand(row["tokens"]), "<i8")
-                c2, c1 = (x.astype(np.int64) for x in unpack_counts(row["totals"], 8))
+                c3, c2, c1 = (x.astype(np.int64) for x in unpack_counts(row["totals"], 8))
                 ends = np.cumsum(tokens)
-                context = np.empty_like(c1)
-                context[1:] = c1[:-1]
-                context[0] = c1[ends[0] - 1]  # the end token's count: every document has one
-                bucket = np.where(context > 0, np.log2(np.maximum(context, 1)), 0).astype(np.int64)
-                w = a[bucket]
-                # an unseen context leaves its bigram's weight to the others
-                w2 = np.where(context > 0, w[:, 0], 0.0)
-                p = w2 * (c2 / np.maximum(context, 1)) + (w[:, 1] * (c1 / max(n, 1)) + w[:, 2] / (v + 1)) * ((1 - w2) / (w[:, 1] + w[:, 2]))
-                base = np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))
                 starts = ends - tokens
-                sums = [np.add.reduceat(x, starts) for x in (base, np.log10(p), (c1 > 0).astype(np.int64))]
-                held_out, _ = roles(ids, nulls)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(held_out), pa.array(tokens), pa.array(sums[2]), pa.array(np.full(len(ids), n, np.int64)), pa.array(sums[0]), pa.array(sums[1])], schema=schema)
+                two, one = context_counts(c2, c1, ends, starts)
+                w = a[bucket_of(two, one)]
+                p = w[:, 3].copy()
+                for k, ratio in enumerate(estimates(c3, c2, c1, two, one, n, v)):
+                    p += w[:, k] * ratio
+                base = np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))
+                sums = [np.add.reduceat(x, starts) for x in (base, np.log10(p / (v + 1)), (c1 > 0).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(is_held_out(ids, nulls)), pa.array(tokens), pa.array(sums[2]), pa.array(np.full(len(ids), n, np.int64)), pa.array(sums[0]), pa.array(sums[1])], schema=schema)
+                del row, c3, c2, c1, two, one, w, p, base
+                release()
 
     return counted.select("doc_ids", "nulls", "tokens", "totals").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
