@@ -17,4 +17,7 @@ QUERIES = {
 
 SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op4_suffix_dedup": suffix_dedup.OP4_SQL,
+    "op5_chat": chat.OP5_SQL,
+    "op8_jaccard_join": jaccard_join.OP8_SQL,
 }

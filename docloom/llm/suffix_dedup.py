@@ -478,6 +478,22 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents"))
 
 
+#: The same by SQL: every 100-byte string of every document by its digest, and the union of the repeated ones.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM d WHERE n >= 100)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS again FROM s),
+r AS (SELECT doc_id, p, p - lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) > 100 AS new FROM f WHERE again),
+i AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM r),
+c AS (SELECT doc_id, span, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY ALL),
+k AS (SELECT doc_id, b AS a, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM c UNION ALL SELECT doc_id, 0, min(a) FROM c GROUP BY doc_id),
+t AS (SELECT d.doc_id, string_agg(substr(d.h, 2 * k.a + 1, 2 * (coalesce(k.b, d.n) - k.a)), '' ORDER BY k.a) AS kept FROM d JOIN k USING (doc_id) GROUP BY d.doc_id),
+m AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM c GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes cut out of their texts; every document stays, its other columns as they were.
 

@@ -337,7 +337,7 @@ def test_jaccard_blocks_of_a_hot_group(spark, monkeypatch):
 def test_jaccard_sql_says_the_same(spark, docs):
     con = duckdb.connect()
     con.register("documents", pd.DataFrame([(i, t) for i, t, *_ in corpus()], columns=["doc_id", "text"]))
-    want = {r[0]: r[1:] for r in con.execute(jaccard_join.BRUTE_SQL).fetchall()}
+    want = {r[0]: r[1:] for r in con.execute(jaccard_join.OP8_SQL).fetchall()}
     assert want == brute_components([(i, t) for i, t, *_ in corpus()])
 
 
@@ -511,15 +511,147 @@ def test_members_are_retried_and_damage_is_noticed(spark, docs, tmp_path):
 # --- queries and pipeline ---
 
 
+def from_png(data):
+    """An independent reader: the signature, chunks by their lengths, zlib, and rows of filter type 0."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, parts = 8, {}
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        parts[kind] = parts.get(kind, b"") + body
+        at += 12 + n
+    width, height, depth, colour, *rest = struct.unpack(">IIBBBBB", parts[b"IHDR"])
+    assert (depth, colour, rest) == (8, 0, [0, 0, 0]) and b"IEND" in parts
+    raw = zlib.decompress(parts[b"IDAT"])
+    lines = [raw[k * (width + 1) : (k + 1) * (width + 1)] for k in range(height)]
+    assert len(raw) == height * (width + 1) and all(x[0] == 0 for x in lines)
+    return b"".join(x[1:] for x in lines)
+
+
+def brute_feature(p):
+    n, mean = len(p), sum(p) / len(p)
+    changes, bins = sum(a != b for a, b in zip(p, p[1:], strict=False)), [sum(32 * k <= x < 32 * k + 32 for x in p) for k in range(8)]
+    var = sum((x - mean) ** 2 for x in p) / n
+    return mean, var, changes * 1000 // n, bins
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
-def test_queries_with_sql(spark):
+def test_every_query(spark, library):
+    """The registered queries over whole tables: SQL where there is some, else the library or plain Python."""
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    for name, sql in queries.SQL.items():
-        got = queries.QUERIES[name](spark, str(DATA))
-        want = con.execute(sql)
+    for name in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+    rows = con.execute("SELECT doc_id, coalesce(text, '') FROM documents ORDER BY doc_id").fetchall()
+    results = {}
+    for name, query in queries.QUERIES.items():
+        got = query(spark, str(DATA))
+        if name not in queries.SQL:
+            results[name.split("_")[0]] = by_id(got) if name != "op1_best_fit_packing" else got.collect()
+            continue
+        want = con.execute(queries.SQL[name])
         names = [d[0] for d in want.description]
         assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows}
+    packed = lambda x: struct.pack(f"<{len(x)}I", *x)
+    check_packing(results["op1"], {i: len(x) + 1 for i, x in ids.items()})
+    for r in results["op1"]:
+        assert r.ids_crc32 == zlib.crc32(packed([*ids[r.doc_id], 2][r.start : r.start + r.length]))
+    start, toks = 0, {}
+    for i, t in rows:
+        b = t.encode()
+        assert tuple(results["op3"][i])[1:] == (len(ids[i]), hashlib.sha256(packed(ids[i])).hexdigest(), hashlib.sha256(library.decode(ids[i], skip_special_tokens=False).encode()).hexdigest())
+        r = results["op10"][i]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[i]) + 1, zlib.crc32(packed([*ids[i], 0])))
+        start += len(ids[i]) + 1
+        toks[i] = [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)), "</s>"]
+        p = b + b"\xff" * (max(1, -(-len(b) // 576)) * 576 - len(b))
+        r = results["op9"][i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        stored = media.to_png(p)
+        assert from_png(stored) == p and (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        said = dict(x.split("=") for x in r.feature.split(";"))
+        mean, var, changes, bins = brute_feature(p)
+        assert int(said["mean"]) == pytest.approx(mean * 1000, abs=1.01) and int(said["var"]) == pytest.approx(var * 1000, abs=1.01)
+        assert int(said["changes"]) == changes and said["hist"] == ",".join(map(str, bins))
+        r = results["op7"][i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
+    scores = brute_scores(toks, held)
+    assert all(results["op6"][i].score == pytest.approx(scores[i], rel=0.01, abs=0.05) for i in toks)
+
+
+def test_positive_unlabelled_risk():
+    """The weights' descent against a small dense version: same risk, same signs; calibration meets the prior."""
+    rng = np.random.default_rng(0)
+    has = lambda bad: np.unique(np.concatenate([rng.choice(50, 8), [60, 61][: 2 * bad]]).astype(np.int64))
+    positive, unlabelled = [has(1) for _ in range(120)], [has(k % 10 == 0) for k in range(1200)]
+    w, b = toxicity.train(positive, unlabelled, 0.1)
+    dense = lambda rows: np.array([[f in r for f in range(62)] for r in rows], float)
+    x, u, a, c = dense(positive), dense(unlabelled), np.zeros(62), 0.0
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for _ in range(3000):
+        zp, zu = x @ a + c, u @ a + c
+        if np.logaddexp(0, zu).mean() - 0.1 * np.logaddexp(0, zp).mean() >= 0:
+            gp, gu = -0.1 * np.ones(len(zp)) / len(zp), sigmoid(zu) / len(zu)
+        else:
+            gp, gu = 0.1 * sigmoid(zp) / len(zp), -sigmoid(zu) / len(zu)
+        a, c = a - 0.5 * (x.T @ gp + u.T @ gu), c - 0.5 * (gp.sum() + gu.sum())
+    raw = np.array([b + w[r].sum() for r in unlabelled])
+    bad = np.array([60 in r for r in unlabelled])
+    assert raw[bad].min() > raw[~bad].max() and (u @ a + c)[bad].min() > (u @ a + c)[~bad].max()
+    scale, shift = toxicity.calibrate(np.array([b + w[r].sum() for r in positive]), raw, 0.1)
+    assert sigmoid(scale * raw + shift).mean() == pytest.approx(0.1, abs=0.01)
+
+
+HARD = [(None, "a b c d e f"), (None, None), (1, "x y z"), (1, "x y z"), (1, "another text here"), (2, ""), (3, " ".join(f"long{k % 977}" for k in range(200_000)))]
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op8", "op9", "op10"])
+def test_hard_rows(spark, path, tmp_path, name):
+    """Null and repeated ids, repeated rows, a text of more than a megabyte, and columns that clash with the operators' own."""
+    clash = ", chunk string, node string, bucket string, kind string, ids string, start string, text_sha256 string, n string"
+    df = spark.createDataFrame([(*r, *["q"] * 8) for r in HARD], f"doc_id long, text string{clash}").repartition(2)
+
+    def tokens(d):
+        token_store.write_tokens(d, f"{tmp_path}/{d.count()}", path)
+        return token_store.read_tokens(spark, f"{tmp_path}/{d.count()}")
+
+    def stored(d):
+        media.store_texts(d, f"{tmp_path}/{d.count()}")
+        return media.media_features(media.load_media(spark, f"{tmp_path}/{d.count()}"))
+
+    run = {
+        "op1": lambda d: packing.pack_documents(d, path), "op2": exact_dedup.exact_dedup, "op3": lambda d: bpe.round_trip(d, path), "op4": suffix_dedup.suffix_dedup,
+        "op6": language_model.score_documents, "op8": jaccard_join.jaccard_components, "op9": stored, "op10": tokens,
+    }[name]
+    got = run(df)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.select("doc_id").collect()).count((False, 1)) == 3
+    if name != "op1":
+        assert got.count() == len(HARD)
+    assert run(df.limit(0)).count() == 0
+
+
+def test_toxicity_of_hard_rows(spark):
+    df = spark.createDataFrame([(*r, "q", "q") for r in HARD], "doc_id long, text string, __id string, slots string")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 0, 0), (3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, labels)
+    assert toxicity.score(df, model).count() == len(HARD)
+    assert toxicity.drop_toxic(df, model).columns == df.columns
+
+
+def test_pipeline_of_hard_rows(spark, tmp_path):
+    """Null ids, repeated rows and clashing columns go through all stages; an empty table gives an empty result."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.createDataFrame([(*r, "en", "s", 1, "q") for r in HARD], "doc_id long, text string, lang string, source string, n_chars long, stay_id string")
+    for name, rows in (("full", df), ("none", df.limit(0))):
+        out = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = common.materialize(stage(spark, out, str(tmp_path)), "stage")
+            assert out.columns == df.columns, name
+        assert (corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).count() > 0) == (name == "full")
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test data")
