@@ -122,7 +122,11 @@ def decode_block(data: bytes, table: FrequencyTable, first: int = 0, last: int |
 
 def _stage(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """(part, doc_id, at, n_tokens, ids) in id order, ``at`` counted within the part; written to the shared folder."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # as many ranges as the rows have bytes for, whatever the session's default
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size >> 26, 1 << 20))
+    rows = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +155,12 @@ def _count_tokens(staged: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for n, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = np.bincount(_ids(ids.as_py(), n))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
+            for lo in range(0, b.num_rows, 256):  # the vocabulary is longer than most documents
+                piece = b.slice(lo, 256)
+                got = np.bincount(np.concatenate([_ids(ids.as_py(), n) for n, ids in zip(piece.column(0).to_pylist(), piece.column(1), strict=True)]))
+                short, long = sorted((got, total), key=len)
+                total = long.copy()
+                total[: len(short)] += short
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["token", "n"])
 
