@@ -165,3 +165,57 @@ def is_toc_only(c: Column | str) -> Column:
     t = text_of(c)
     rest = F.trim(F.regexp_replace(t, r"(?m)^#{2,4}\s.*$", ""))
     return (F.trim(t) == "") | ((F.size(F.regexp_extract_all(t, F.lit(r"(?m)^#{2,4}\s"), F.lit(0))) >= 3) & (F.length(rest) < 100))
+
+
+def is_stub(c: Column | str, least: int = 30) -> Column:
+    """Under ``least`` signs once empty cells and heading lines are gone."""
+    rest = F.trim(F.regexp_replace(F.regexp_replace(text_of(c), r"\|\s*\|", ""), r"(?m)^#{1,6}\s.*$", ""))
+    return F.length(rest) < least
+
+
+def agent_tokens(c: Column | str) -> Column:
+    """Identifiers as written, then CJK bigrams and signs, then lower-cased words of three letters or more; each once, in that order."""
+    t = text_of(c)
+    names = F.regexp_extract_all(t, F.lit(r"[A-Z][A-Za-z0-9_]+"), F.lit(0))
+    signs = F.regexp_extract_all(t, F.lit(CJK), F.lit(0))
+    pairs = F.when(F.size(signs) > 1, F.zip_with(F.slice(signs, 1, F.size(signs) - 1), F.slice(signs, 2, F.size(signs)), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
+    words = F.regexp_extract_all(F.lower(t), F.lit("[a-z]{3,}"), F.lit(0))
+    return F.array_distinct(F.concat(names, pairs, signs, words))
+
+
+def rewrite_query(c: Column | str, strategy: str, written: Column | str = "", modules: Column | None = None, signals_: Column | None = None, states: Column | None = None, functions: Column | None = None) -> Column:
+    """A query rewritten with a model's text (hyde, query2doc), or with the names it asks for (keywords); without that text, by keywords."""
+    q = text_of(c)
+    doc = text_of(written) if isinstance(written, Column) or written else F.lit("")
+    none = F.array().cast("array<string>")
+    names = F.concat(*[F.slice(F.coalesce(x, none) if x is not None else none, 1, n) for x, n in ((modules, 3), (signals_, 5), (states, 3), (functions, 3))])
+    keywords = F.concat_ws(" ", q, F.nullif(F.array_join(names, " "), F.lit("")))
+    if strategy == "hyde":
+        return F.when(doc != "", F.concat(F.left(doc, F.lit(800)), F.lit("\n\n问题: "), q)).otherwise(keywords)
+    if strategy == "query2doc":
+        return F.when(doc != "", F.concat(q, F.lit("\n\n"), F.left(doc, F.lit(500)))).otherwise(keywords)
+    return keywords
+
+
+def synonyms(terms: Column, known: dict[str, tuple[str, ...]], limit: int = 20) -> Column:
+    """Terms, then the synonyms of each that is known (whatever its case), distinct, the first ``limit``."""
+    none = F.array().cast("array<string>")
+    table = F.create_map(*[x for k, v in known.items() for x in (F.lit(k.lower()), F.array(*map(F.lit, v)))])
+    more = F.flatten(F.transform(terms, lambda t: F.coalesce(F.try_element_at(table, F.lower(t)), none)))
+    return F.slice(F.array_distinct(F.concat(terms, more)), 1, limit)
+
+
+def grid_html(cells: Column, header_rows: int = 1) -> Column:
+    """HTML of a table grid: array<array<struct<text, row_span, col_span>>>; the first rows are th, spans over 1 are told, texts escaped."""
+
+    def escaped(x: Column) -> Column:
+        for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            x = F.replace(x, F.lit(sign), F.lit(entity))
+        return x
+
+    def cell(x: Column, tag: Column) -> Column:
+        span = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
+        return F.concat(F.lit("<"), tag, span("rowspan", x["row_span"]), span("colspan", x["col_span"]), F.lit(">"), escaped(F.coalesce(x["text"], F.lit(""))), F.lit("</"), tag, F.lit(">"))
+
+    row = lambda r, i: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda x: cell(x, F.when(i < header_rows, "th").otherwise("td"))), ""), F.lit("</tr>"))
+    return F.concat(F.lit("<table>"), F.array_join(F.transform(cells, row), ""), F.lit("</table>"))

@@ -12,10 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import classify, coding_list, estimate_tokens, html_rows, is_toc_only, key_terms, module_name, rule_id, safe_id, section_number, text_of, voltage_range
+from docloom.functions.text import classify, coding_list, estimate_tokens, html_rows, is_stub, is_toc_only, key_terms, module_name, rule_id, safe_id, section_number, slug, text_of, voltage_range
 from docloom.plans.domain import Domain
 
 LEVELS = 6
+# Words that make a name a function, and the supply terminals.
+FUNCTION_WORDS = ("功能", "控制", "管理", "保护", "检测", "诊断")
+TERMINALS = ("KL30", "KL15", "KL31", "KL87", "GND", "VBAT")
 
 
 def doc_window(*order: str) -> Window:
@@ -97,25 +100,54 @@ def context(items: DataFrame, before: int = 5, after: int = 5, width: int = 200)
 # --- chunks ----------------------------------------------------------------------------------------------------------
 
 
+def segment(items: DataFrame, level: int = 3) -> DataFrame:
+    """Items with ``grp``, the index of the item that opens their group: titles down to ``level`` open one, a table is one of its own."""
+    w = Window.partitionBy("doc_id").orderBy("idx")
+    opens = ((F.col("type") == "title") & (F.coalesce("level", F.lit(1)) <= level)) | (F.col("type") == "table") | (F.lag("type").over(w) == "table")
+    return items.withColumn("grp", F.coalesce(F.last(F.when(opens, F.col("idx")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("idx").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+
+
 def merge_small(groups: DataFrame, least: int = 40, most: int = 300, forced: int = 30) -> DataFrame:
-    """Greedy fold over a document's groups (doc_id, ord, text, tokens): small ones join the neighbour before.
+    """(doc_id, ord, last, text, tokens, kind): groups of under ``least`` tokens join the one before, else the one after, if that has under ``most``.
 
+    What is left under ``forced`` tokens joins the one before whatever its size. Tables (kind 'table') neither join nor are joined.
     Sequential by nature, hence grouped pandas; a group is one document's groups.
     """
+    names = ["doc_id", "ord", "last", "text", "tokens", "kind"]
+
+    def join(a: dict, b: dict) -> None:
+        a["text"] = "\n".join(x for x in (a["text"], b["text"]) if x)
+        a["tokens"] += b["tokens"]
+        a["last"] = b["last"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in pdf.sort_values("ord").to_dict("records"):
-            last = out[-1] if out else None
-            if last and ((r["tokens"] < least and last["tokens"] < most) or (last["tokens"] < least and r["tokens"] < most) or r["tokens"] < forced):
-                last["text"] = f"{last['text']}\n{r['text']}"
-                last["tokens"] += r["tokens"]
+        rows, out = pdf.sort_values("ord").to_dict("records"), []
+        k = 0
+        while k < len(rows):
+            r, after = rows[k], rows[k + 1] if k + 1 < len(rows) else None
+            free = lambda x: x is not None and x["kind"] != "table" and x["tokens"] < most
+            k += 1
+            if r["kind"] != "table" and r["tokens"] < least and free(out[-1] if out else None):
+                join(out[-1], r)
+            elif r["kind"] != "table" and r["tokens"] < least and free(after):
+                join(r, after)
+                out.append(r)
+                k += 1
+            else:
+                out.append(r)
+        kept: list[dict] = []
+        for r in out:
+            if kept and r["kind"] != "table" and r["tokens"] < forced and kept[-1]["kind"] != "table":
+                join(kept[-1], r)
             else:
-                out.append({k: r[k] for k in ("doc_id", "ord", "text", "tokens")})
-        return pd.DataFrame(out, columns=["doc_id", "ord", "text", "tokens"])
+                kept.append(r)
+        return pd.DataFrame(kept, columns=names)
 
     kind = groups.schema["doc_id"].dataType.simpleString()
-    return groups.select("doc_id", F.col("ord").cast("long"), "text", F.col("tokens").cast("long")).groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, ord long, text string, tokens long")
+    given = {"last": F.col("ord"), "kind": F.lit("text")}
+    rows = groups.withColumns({k: v for k, v in given.items() if k not in groups.columns})
+    rows = rows.select("doc_id", F.col("ord").cast("long"), F.col("last").cast("long"), "text", F.col("tokens").cast("long"), "kind")
+    return rows.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, ord long, last long, text string, tokens long, kind string")
 
 
 def split_long(chunks: DataFrame, most: int = 1500) -> DataFrame:
@@ -133,38 +165,76 @@ def split_long(chunks: DataFrame, most: int = 1500) -> DataFrame:
     return chunks.select(*[c for c in chunks.columns if c != "text"], F.posexplode(pieces).alias("part", "text"))
 
 
-def build_chunks(items: DataFrame, domain: Domain) -> DataFrame:
-    """Chunks of each section's paragraphs, lists and tables, with module, type, key terms, breadcrumb, embedding text and ids.
+def item_text(level: int = 3) -> Column:
+    """An item's text in a chunk: headings with their marks, tables as lines of cells between bars."""
+    rows = F.array_join(F.transform(html_rows("html"), lambda r: F.array_join(r, " | ")), "\n")
+    mark = F.concat(F.repeat(F.lit("#"), F.least(F.coalesce("level", F.lit(1)), F.lit(level))), F.lit(" "), F.trim(text_of("text")))
+    return F.when(F.col("type") == "title", mark).when(F.col("type") == "table", rows).otherwise(text_of("text"))
+
+
+def chunk_groups(items: DataFrame) -> DataFrame:
+    """(doc_id, ord, last, text, tokens, kind): the texts of ``segment``'s groups; a group of nothing but headings counts their text alone."""
+    said = segment(items).withColumn("t", item_text()).where("type in ('title', 'paragraph', 'list', 'table') and trim(t) <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "t"))), lambda x: x["t"]), "\n")
+    grouped = said.groupBy("doc_id", F.col("grp").alias("ord")).agg(F.max("idx").alias("last"), text.alias("text"), F.when(F.bool_or(F.col("type") == "table"), "table").otherwise("text").alias("kind"))
+    return grouped.withColumn("tokens", estimate_tokens("text"))
+
+
+def chunk_entities(spans: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, ord, entities, signals, states): the ids of entities found between a chunk's first and last item, and the names of two kinds."""
+    found = spans.select("doc_id", "ord", "last").join(entities, "doc_id").where("idx between ord and last")
+    names = lambda kind: F.array_sort(F.collect_set(F.when(F.col("entity_type") == kind, F.col("name"))))
+    return found.groupBy("doc_id", "ord").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"), names("signal").alias("signals"), names("state").alias("states"))
 
-    What stands before a document's first title, or in a document without titles, belongs to a root section of empty title,
-    number and module. A chunk_id is chunk_<module>_<number>:<doc_id>, of at least three digits; modules have no colon, so two
-    documents never share one.
+
+def build_chunks(items: DataFrame, domain: Domain, entities: DataFrame | None = None) -> DataFrame:
+    """Chunks of grouped items, with module, type, key terms, breadcrumb, entities, embedding text and ids.
+
+    A group runs from one title to the next, a table stands alone, and small groups join their neighbours; a chunk belongs to the
+    section of its first item. What stands before a document's first title, or in a document without titles, belongs to a
+    root section of empty title, number and module. Without ``entities`` their columns are empty. A chunk_id is
+    chunk_<module>_<number>:<doc_id>, of at least three digits; modules have no colon, so two documents never share one.
     """
     tree = sections(items)
-    body = place_items(items).where("type in ('paragraph', 'list', 'table')").withColumn("section_idx", F.coalesce("section_idx", F.lit(-1)))
-    text = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.coalesce(F.nullif("text", F.lit("")), F.array_join(F.transform(html_rows("html"), lambda r: F.array_join(r, " | ")), "\n")).alias("t")))), lambda x: x["t"])
-    grouped = body.groupBy("doc_id", F.col("section_idx").alias("start_idx")).agg(F.array_join(text, "\n").alias("text"), F.bool_or(F.col("type") == "table").alias("has_table"))
-    joined = grouped.join(tree, ["doc_id", "start_idx"], "left").join(breadcrumbs(tree), ["doc_id", "start_idx"], "left")
+    start = place_items(items).select("doc_id", F.col("idx").cast("long").alias("ord"), F.coalesce("section_idx", F.lit(-1)).alias("start_idx"))
+    merged = merge_small(chunk_groups(items))
+    joined = merged.join(start, ["doc_id", "ord"]).join(tree, ["doc_id", "start_idx"], "left").join(breadcrumbs(tree), ["doc_id", "start_idx"], "left")
+    if entities is not None:
+        joined = joined.join(chunk_entities(merged, entities), ["doc_id", "ord"], "left")
+    none, no_names = F.lit(""), F.array().cast("array<string>")
     root = F.first("module", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("start_idx"))  # null for the root section
-    none = F.lit("")
-    chunks = split_long(joined.withColumns({"module": F.coalesce(root, none), "title": F.coalesce("title", none), "breadcrumb": F.coalesce("breadcrumb", none)}))
+    lists = {c: F.coalesce(c, no_names) if entities is not None else no_names for c in ("entities", "signals", "states")}
+    chunks = split_long(joined.withColumns({"module": F.coalesce(root, none), "title": F.coalesce("title", none), "breadcrumb": F.coalesce("breadcrumb", none), "has_table": F.col("kind") == "table", **lists}))
     kind = classify("title", "text", domain.chunk_types) if domain.chunk_types else F.lit("general_text")
-    number = F.row_number().over(Window.partitionBy("doc_id", "module").orderBy("start_idx", "part"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "module").orderBy("ord", "part"))
     return chunks.select(
         "doc_id", "module", F.coalesce("number", F.lit("")).alias("section_path"), F.col("title").alias("section_title"), "text", "has_table", "breadcrumb", kind.alias("chunk_type"),
-        estimate_tokens("text").alias("token_count"), key_terms("text").alias("key_terms"),
+        estimate_tokens("text").alias("token_count"), key_terms("text").alias("key_terms"), "entities", "signals", "states",
         F.concat(F.lit("chunk_"), "module", F.lit("_"), F.format_string("%03d", number), F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), none)).alias("chunk_id"),
-        F.concat_ws("\n", F.concat(F.lit("["), "module", F.lit("] "), kind), F.nullif("breadcrumb", none), F.nullif(key_terms("text"), F.lit("")), F.left("text", F.lit(2000))).alias("embedding_text"),
+        F.concat_ws("\n", F.concat(F.lit("["), "module", F.lit("] "), kind), F.nullif("breadcrumb", none), F.nullif(key_terms("text"), F.lit("")), F.left("text", F.when(F.col("has_table"), 2000).otherwise(3000))).alias("embedding_text"),
     )
 
 
+def merge_sections(chunks: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Chunks of one key as one: texts joined by line breaks in order, lists united, flags or-ed, the first row's other columns."""
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), "text"))), lambda x: x["text"]), "\n")
+    aggregates = [F.count(F.lit(1)).alias("n"), text.alias("text")]
+    for c in chunks.columns:
+        if c in ("entities", "signals", "states"):
+            aggregates.append(united(c))
+        elif c == "has_table":
+            aggregates.append(F.bool_or(c).alias(c))
+        elif c not in ("text", "n", *keys):
+            aggregates.append(F.min_by(c, order).alias(c))
+    return chunks.groupBy(*keys).agg(*aggregates)
+
+
 def optimise_chunks(chunks: DataFrame) -> DataFrame:
     """Drop chunks of headings only, merge those of one section, drop stubs (under 30 signs once bars and headings are gone)."""
-    kept = chunks.where(~is_toc_only("text"))
     order = F.struct(F.length("chunk_id").alias("n"), "chunk_id")  # numbers of more than three digits come last
-    grouped = kept.groupBy("doc_id", "module", "section_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), "text"))), lambda x: x["text"]), "\n").alias("text"), F.bool_or("has_table").alias("has_table"), F.min_by("chunk_id", order).alias("chunk_id"), F.min("section_title").alias("section_title"), F.min("chunk_type").alias("chunk_type"))
-    rest = F.trim(F.regexp_replace(F.regexp_replace("text", r"\|\s*\|", ""), r"(?m)^#{1,6}\s.*$", ""))
-    return grouped.where(F.length(rest) >= 30).withColumn("token_count", (F.length("text") / 3).cast("int"))
+    merged = merge_sections(chunks.where(~is_toc_only("text")), ["doc_id", "module", "section_path"], order)
+    return merged.where(~is_stub("text")).withColumn("token_count", (F.length("text") / 3).cast("int"))
 
 
 def chunk_stats(chunks: DataFrame, by: list[str]) -> DataFrame:
@@ -184,7 +254,7 @@ def table_cells(tables: DataFrame) -> DataFrame:
 def classify_tables(tables: DataFrame, domain: Domain) -> DataFrame:
     """(doc_id, idx, table_class): a point for each header group that occurs in the first two rows; two are needed, first wins ties."""
     head = F.lower(F.array_join(F.flatten(F.slice(html_rows("html"), 1, 2)), " ␟ "))
-    scores = [F.struct(reduce(lambda a, g: a + F.when(reduce(lambda x, k: x | F.contains(head, F.lit(k)), g.split("|")[1:], F.contains(head, F.lit(g.split("|")[0]))), 1).otherwise(0), groups, F.lit(0)).alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("name")) for n, (name, groups) in enumerate(domain.table_headers.items())]
+    scores = [F.struct(reduce(lambda a, g: a + F.when(reduce(lambda x, k: x | F.contains(head, F.lit(k)), g, F.lit(False)), 1).otherwise(0), groups, F.lit(0)).alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("name")) for n, (name, groups) in enumerate(domain.table_headers.items())]
     best = F.array_max(F.array(*scores))
     return tables.withColumn("best", best).select("doc_id", "idx", "html", F.when(F.col("best.score") >= 2, F.col("best.name")).otherwise("unknown").alias("table_class"))
 
@@ -194,7 +264,7 @@ def table_records(classified: DataFrame, domain: Domain) -> DataFrame:
 
     Each header takes the first free field. Empty, separator and nameless rows go (the name falls back to the first filled cell).
     """
-    columns = {k: {f: w.split("|") for f, w in v.items()} for k, v in domain.table_columns.items()}
+    columns = domain.table_columns
 
     def assign(batches):
         for pdf in batches:
@@ -279,9 +349,60 @@ def text_relations(placed: DataFrame, domain: Domain) -> DataFrame:
     return rows.groupBy("doc_id", "src", "dst", "rel").agg(F.min("ord").alias("ord"))
 
 
+def title_entities(tree: DataFrame, domain: Domain) -> DataFrame:
+    """(doc_id, entity_id, entity_type, name, idx) of titles: a module for each of level 1, the states and functions they name."""
+    title, module = text_of("title"), F.col("module")
+    states = [s for s in domain.state_names if s.isascii()]
+    latin = F.regexp_extract_all(title, F.lit("(?i)\\b(" + "|".join(states or ["(?!)"]) + ")\\b"), F.lit(1))
+    named = F.filter(F.regexp_extract_all(title, F.lit("([一-鿿]{2,8}?)(?:状态|模式)"), F.lit(1)), lambda x: F.length(x) >= 2)
+    function = F.when(title.rlike("功能|控制|管理|保护|检测|诊断|(?i)function|control"), F.array(F.left(title, F.lit(60)))).otherwise(F.array().cast("array<string>"))
+    one = lambda kind, names, key: F.transform(names, lambda x: F.struct(F.lit(kind).alias("entity_type"), key(x).alias("entity_id"), x.alias("name")))
+    of_module = F.when((F.col("level") == 1) & (module != ""), F.array(module)).otherwise(F.array().cast("array<string>"))
+    found = F.concat(
+        one("module", of_module, lambda x: F.concat(F.lit("module_"), x)),
+        one("state", F.concat(latin, named), lambda x: F.concat(F.lit("state_"), module, F.lit("_"), x)),
+        one("function", function, lambda x: F.concat(F.lit("func_"), module, F.lit("_"), slug(x))),
+    )
+    rows = tree.select("doc_id", F.col("start_idx").alias("idx"), F.explode(found).alias("e")).select("doc_id", "e.entity_id", "e.entity_type", "e.name", "idx")
+    return first_by(rows, ["doc_id", "entity_id"], "idx")
+
+
+def entity_type_of(name: Column | str, existing: Column, domain: Domain, functions: tuple[str, ...] = FUNCTION_WORDS, terminals: tuple[str, ...] = TERMINALS) -> Column:
+    """The type a name is known by (``existing``, may be null), else guessed: parameter by prefix, state, function by keyword, 0x, terminal, identifier."""
+    n = text_of(name)
+    return (
+        F.when(n == "", "signal")
+        .when(existing.isNotNull(), existing)
+        .when(n.rlike("^(?:Cfg|cfg|Cal|cal|NVM_|nvm_)"), "parameter")
+        .when(F.lower(n).isin(*domain.state_names) if domain.state_names else F.lit(False), "state")
+        .when(reduce(lambda a, w: a | F.contains(n, F.lit(w)), functions, F.lit(False)), "function")
+        .when(F.startswith(n, F.lit("0x")), "can_message")
+        .when(F.upper(n).isin(*terminals), "hardware_pin")
+        .when(n.rlike("^[A-Z][A-Za-z0-9_]{3,}$"), "signal")
+        .otherwise("function")
+    )
+
+
+def merge_entities(rows: DataFrame) -> DataFrame:
+    """One entity for each (name, entity_type, module): the first row's id, all rows' properties, of which later ones win. Rows: ord, properties (map)."""
+    keys = ["name", "entity_type", "module"]
+    ids = rows.groupBy(*keys).agg(F.min_by("entity_id", "ord").alias("entity_id"))
+    said = rows.select(*keys, "ord", F.explode("properties").alias("key", "value")).groupBy(*keys, "key").agg(F.max_by("value", "ord").alias("value"))
+    held = said.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
+    return ids.join(held, keys, "left").select(*keys, "entity_id", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"))
+
+
+def locate_entities(entities: DataFrame, placed: DataFrame, tree: DataFrame) -> DataFrame:
+    """Entities with the module and section number they were found in ('' before the first title)."""
+    at = placed.select("doc_id", "idx", F.col("section_idx").alias("start_idx"))
+    where = tree.select("doc_id", "start_idx", "module", F.col("number").alias("section_path"))
+    joined = entities.join(at, ["doc_id", "idx"], "left").join(where, ["doc_id", "start_idx"], "left")
+    return joined.select(*entities.columns, text_of("module").alias("module"), text_of("section_path").alias("section_path"))
+
+
 def belongs_to(entities: DataFrame, placed: DataFrame) -> DataFrame:
     """Edges of weight 0.1 from each entity to the section it was found in."""
-    return entities.join(placed.select("doc_id", "idx", "section_idx"), ["doc_id", "idx"]).where("section_idx is not null").select("doc_id", F.col("entity_id").alias("src"), F.concat(F.lit("section_"), F.col("section_idx").cast("string")).alias("dst"), F.lit("belongs_to").alias("rel"), F.lit(0.1).alias("weight")).distinct()
+    return entities.join(placed.select("doc_id", "idx", "section_idx"), ["doc_id", "idx"]).where("section_idx is not null").select("doc_id", F.col("entity_id").alias("src"), F.concat(F.lit("section_"), F.col("section_idx").cast("string")).alias("dst"), F.lit("belongs_to").alias("rel"), F.lit(0.1).alias("weight"), F.col("idx").cast("long").alias("ord")).distinct()
 
 
 def prose_rules(items: DataFrame, trigger: str = "前置条件|触发条件|Precondition|Trigger", action: str = "执行输出|Action|Output", ahead: int = 11) -> DataFrame:

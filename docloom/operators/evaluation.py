@@ -22,9 +22,51 @@ def recall(found: Column, expected: Column) -> Column:
     return F.when(F.size(expected) > 0, F.size(F.array_intersect(F.array_distinct(found), F.array_distinct(expected))) / F.size(F.array_distinct(expected))).otherwise(1.0)
 
 
-def path_score(path: Column, expected: Column, conditions: Column, expected_conditions: Column) -> Column:
-    """0.35 same ends and steps, 0.15 hops, 0.35 conditions, 0.15 share of nodes."""
-    return 0.35 * (path == expected).cast("int") + 0.15 * (F.size(path) == F.size(expected)).cast("int") + 0.35 * recall(conditions, expected_conditions) + 0.15 * recall(path, expected)
+def path_score(path: Column, expected: Column, conditions: Column, key_conditions: Column, forbidden: Column) -> Column:
+    """0.35 steps in place, 0.15 hops, 0.35 key conditions that occur in the path's, 0.15 unless a forbidden path begins it.
+
+    A part without an expectation counts half; no path at all scores 0. ``forbidden`` is an array of paths.
+    """
+    same = F.size(F.filter(F.zip_with(F.slice(path, 1, F.size(expected)), expected, lambda a, e: a == e), lambda x: x))
+    hops, want = F.size(path) - 1, F.size(expected) - 1
+    text = F.lower(F.array_join(conditions, " "))
+    found = F.size(F.filter(key_conditions, lambda c: F.contains(text, F.lower(c))))
+    bad = F.exists(forbidden, lambda f: (F.size(f) <= F.size(path)) & (F.slice(path, 1, F.size(f)) == f))
+    steps = F.when(F.size(expected) > 0, same / F.size(expected)).otherwise(0.5)
+    near = F.when(want > 0, F.greatest(F.lit(0.0), 1 - F.abs(hops - want) / want)).otherwise(0.5)
+    said = F.when(F.size(key_conditions) > 0, found / F.size(key_conditions)).otherwise(0.5)
+    return F.when(F.size(path) == 0, 0.0).otherwise(0.35 * steps + 0.15 * near + 0.35 * said + 0.15 * F.when(bad, 0.0).otherwise(1.0))
+
+
+def impact_score(found: Column, expected: Column, forbidden: Column, depth: Column, least_depth: Column) -> Column:
+    """0.5 recall, 0.3 without forbidden entities, 0.2 depth, whatever the case of names; nothing found scores 0."""
+    low = lambda c: F.array_distinct(F.transform(c, F.lower))
+    wrong = F.size(F.array_intersect(low(found), low(forbidden))) / F.greatest(F.size(low(found)), F.lit(1))
+    hit = F.when(F.size(expected) > 0, recall(low(found), low(expected))).otherwise(0.5)
+    deep = F.when(least_depth > 0, F.least(F.lit(1.0), depth / least_depth)).otherwise(0.5)
+    return F.when(F.size(found) == 0, 0.0).otherwise(0.5 * hit + 0.3 * (1 - wrong) + 0.2 * deep)
+
+
+def issue_score(found: Column, expected: Column, forbidden: Column) -> Column:
+    """Mean of recall and precision less 0.2 for each forbidden kind; without expectations 1 less 0.2 for each kind found."""
+    hits = F.size(F.array_intersect(found, expected))
+    precision = F.when(F.size(found) > 0, hits / F.size(F.array_distinct(found))).otherwise(0.5)
+    score = 0.5 * recall(found, expected) + 0.5 * precision - 0.2 * F.size(F.array_intersect(found, forbidden))
+    alone = 1 - 0.2 * F.size(F.array_distinct(found))
+    return F.greatest(F.lit(0.0), F.when(F.size(expected) > 0, score).otherwise(alone))
+
+
+def coverage_score(evidence: DataFrame) -> DataFrame:
+    """(query_id, coverage): mean coverage of a query's evidence (query_id, source, coverage) and its sources' diversity (a third each, 1 at most), half and half."""
+    diversity = F.least(F.count_distinct("source") / 3, F.lit(1.0))
+    return evidence.groupBy("query_id").agg((0.5 * F.avg("coverage") + 0.5 * diversity).alias("coverage"))
+
+
+def node_health(outputs: DataFrame) -> DataFrame:
+    """(node, runs, ok, failed, utilisation, mean_confidence) over the nodes of many plans; outputs: query_id, node, status, confidence."""
+    total = outputs.select("query_id").distinct().agg(F.count(F.lit(1)).alias("all"))
+    by = outputs.groupBy("node").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_distinct("query_id").alias("q"), F.avg("confidence").alias("mean_confidence"))
+    return by.crossJoin(total).select("node", "runs", "ok", "failed", (F.col("q") / F.col("all")).alias("utilisation"), "mean_confidence")  # one row of totals
 
 
 def completeness(counts: DataFrame, dimensions: DataFrame) -> DataFrame:

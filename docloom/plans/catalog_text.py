@@ -142,7 +142,7 @@ def confidence_cascade(t: Tables) -> DataFrame:
 
 @query("SELECT conv_id, turn, CASE WHEN contains(q, 'the') AND contains(q, 'and') THEN 'both' WHEN contains(q, 'que') THEN 'que' WHEN contains(q, 'der') THEN 'der' ELSE 'default' END AS route FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS q FROM conversations WHERE role = 'user')")
 def router_keyword_override(t: Tables) -> DataFrame:
-    rules = [("both", "the and"), ("que", "que"), ("der", "der")]
+    rules = [("both", ("the", "and")), ("que", ("que",)), ("der", ("der",))]
     return t.conversations.where("role = 'user'").select("conv_id", "turn", F.coalesce(route("text", rules), F.lit("default")).alias("route"))
 
 

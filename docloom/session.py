@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import etl, graph
+from docloom.operators.enrich import table_edges
 from docloom.plans.domain import Domain, Domains
 from docloom.plans.planner import NodeOutput, build_plan, run_plan, select_template
 from docloom.plans.retrieval import Corpus, evidence, retrieve
@@ -29,14 +30,18 @@ class Engine:
     def analyse(self, items: DataFrame) -> dict[str, DataFrame]:
         """Sections, chunks, entities, edges, table records and rules of parsed items."""
         clean = items.where("idx is not null")
-        placed = etl.place_items(clean)
-        entities = etl.text_entities(clean, self.domain)
+        placed, tree = etl.place_items(clean), etl.sections(clean)
+        found = etl.text_entities(clean, self.domain).unionByName(etl.title_entities(tree, self.domain))
+        entities = etl.locate_entities(etl.first_by(found, ["doc_id", "entity_id"], "idx"), placed, tree)
         records = etl.table_records(etl.classify_tables(clean.where("type = 'table'"), self.domain), self.domain)
+        said = etl.text_relations(placed, self.domain).withColumn("weight", F.lit(1.0)).withColumn("ord", F.col("ord").cast("long"))
+        tabled = table_edges(records).withColumn("weight", F.lit(1.0)).withColumn("ord", F.lit(0).cast("long"))
+        columns = ["doc_id", "src", "dst", "rel", "weight", "ord"]
         return {
-            "sections": etl.sections(clean),
-            "chunks": etl.build_chunks(clean, self.domain),
+            "sections": tree,
+            "chunks": etl.build_chunks(clean, self.domain, entities),
             "entities": entities,
-            "edges": etl.text_relations(placed, self.domain).withColumn("weight", F.lit(1.0)).select("doc_id", "src", "dst", "rel", "weight").unionByName(etl.belongs_to(entities, placed)),
+            "edges": said.select(columns).unionByName(tabled.select(columns)).unionByName(etl.belongs_to(entities, placed).select(columns)),
             "table_records": records,
             "rules": etl.prose_rules(clean).select("rule_id", "rule_type", "condition", "action", "confidence").unionByName(etl.table_rules(records).select("rule_id", "rule_type", "condition", "action", "confidence")),
         }

@@ -58,9 +58,14 @@ def test_entities_and_chunks(items):
     assert {("state", "Driving"), ("can_message", "BCM_LightSts")} <= found
     rel = {(r.rel, r.dst) for r in etl.text_relations(etl.place_items(items), domain).collect()}
     assert ("transition_to", "Driving") in rel
-    chunks = etl.build_chunks(items, domain).collect()
-    assert {c.section_path for c in chunks} == {"1", "1.1", "1.1.1", "1.2"}
-    assert any("9V-16V" in c.text for c in chunks)
+    tree, placed = etl.sections(items), etl.place_items(items)
+    entities = etl.locate_entities(etl.text_entities(items, domain), placed, tree)
+    assert {(r.name, r.section_path) for r in entities.collect()} >= {("Driving", "1"), ("BCM_LightSts", "1.2")}
+    chunks = etl.build_chunks(items, domain, entities).orderBy("chunk_id").collect()
+    # small groups join the one before; the table stands alone
+    assert [(c.section_path, c.has_table) for c in chunks] == [("1", False), ("1.1.1", True), ("1.2", False)]
+    assert chunks[0].text.startswith("# 1 Exterior light\nIntro") and "9V-16V" in chunks[1].text
+    assert "Driving" in chunks[0].states and any("PEPS_Mode" in e for e in chunks[0].entities) and chunks[1].entities == []
     assert len({c.chunk_id for c in chunks}) == len(chunks)
 
 
@@ -72,9 +77,15 @@ def test_chunks_before_and_without_titles(spark):
     got = {(c.doc_id, c.section_path): c for c in etl.build_chunks(spark.createDataFrame(rows, ITEM), body_control()).collect()}
     assert {k: (c.text, c.module, c.section_title, c.breadcrumb, c.has_table) for k, c in got.items()} == {
         ("a.csv", ""): ("x | y", "", "", "", True),
-        ("b.md", ""): ("preface", "", "", "", False),
-        ("b.md", "1"): ("body", "1_Exterior_light", "1 Exterior light", "1 Exterior light", False),
+        ("b.md", ""): ("preface\n# 1 Exterior light\nbody", "", "", "", False),
     }
+    # a preface long enough to stand alone
+    rows[1] = (*rows[1][:5], "preface " * 80, "")
+    rows[3] = (*rows[3][:5], "body " * 80, "")
+    got |= {(c.doc_id, c.section_path): c for c in etl.build_chunks(spark.createDataFrame(rows, ITEM), body_control()).collect()}
+    assert (got["b.md", ""].text, got["b.md", ""].module) == (("preface " * 80), "")
+    assert (got["b.md", "1"].module, got["b.md", "1"].breadcrumb) == ("1_Exterior_light", "1 Exterior light")
+    assert got["b.md", "1"].text == "# 1 Exterior light\n" + "body " * 80
     assert all(c.chunk_id and c.embedding_text.endswith(c.text) for c in got.values())
 
 
@@ -82,19 +93,21 @@ def test_chunk_ids_of_several_documents(spark):
     titles = F.explode(F.sequence(F.lit(0), F.lit(2003))).alias("idx")
     docs = spark.createDataFrame([("a",), ("b",)], "doc_id string").select("doc_id", titles)
     title = F.col("idx") % 2 == 0
-    items = docs.select("doc_id", "idx", F.lit(0).alias("page"), F.when(title, "title").otherwise("paragraph").alias("type"), F.when(title, 1).alias("level"), F.when(title, "Light").otherwise(F.concat(F.lit("text of the paragraph at place "), F.col("idx").cast("string"))).alias("text"), F.lit("").alias("html"))
+    items = docs.select("doc_id", "idx", F.lit(0).alias("page"), F.when(title, "title").otherwise("paragraph").alias("type"), F.when(title, 1).alias("level"), F.when(title, "Light").otherwise(F.concat(F.repeat(F.lit("some words "), F.lit(20)), F.lit("and the paragraph at place "), F.col("idx").cast("string"))).alias("text"), F.lit("").alias("html"))
     chunks = etl.build_chunks(items, body_control()).select("doc_id", "module", "section_path", "section_title", "chunk_type", "text", "has_table", "chunk_id").cache()
     ids = [c.chunk_id for c in chunks.collect()]
     assert len(ids) == len(set(ids)) == 2004
     assert {"chunk_Light_100:a", "chunk_Light_1000:a", "chunk_Light_1000:b", "chunk_Light_001:b"} <= set(ids)
     for c in etl.optimise_chunks(chunks).collect():
-        assert [int(x.rsplit(" ", 1)[1]) for x in c.text.split("\n")] == list(range(1, 2004, 2))
+        assert [int(x.rsplit(" ", 1)[1]) for x in c.text.split("\n") if x != "# Light"] == list(range(1, 2004, 2))
         assert c.chunk_id == f"chunk_Light_001:{c.doc_id}"
 
 
 def test_folds(spark):
     groups = spark.createDataFrame([(1, 0, "a", 10), (1, 1, "b", 10), (1, 2, "c", 400), (1, 3, "d", 50), (1, 4, "e", 20)], "doc_id long, ord int, text string, tokens int")
-    assert [(r.text, r.tokens) for r in etl.merge_small(groups).orderBy("ord").collect()] == [("a\nb", 20), ("c", 400), ("d\ne", 70)]
+    assert [(r.text, r.tokens, r.last) for r in etl.merge_small(groups).orderBy("ord").collect()] == [("a\nb", 20, 1), ("c", 400, 2), ("d\ne", 70, 4)]
+    tables = groups.withColumn("kind", F.when(F.col("text") == "b", "table").otherwise("text"))
+    assert [r.text for r in etl.merge_small(tables).orderBy("ord").collect()] == ["a", "b", "c", "d\ne"]
     long = spark.createDataFrame([(1, "\n\n".join(["x" * 2000] * 6))], "doc_id long, text string")
     assert etl.split_long(long, 1500).count() == 3
 
@@ -102,14 +115,13 @@ def test_folds(spark):
 def test_pipeline(spark, items):
     engine = Engine(spark)
     made = engine.analyse(items)
-    chunks = made["chunks"].withColumns({c: F.array().cast("array<string>") for c in ("entities", "signals", "states")}).cache()
-    entities = made["entities"].select("entity_id", "entity_type", "name", F.lit("").alias("module"), F.lit("1.1").alias("section_path"))
-    edges = made["edges"].select("src", "dst", "rel", "weight", F.lit(0).cast("long").alias("ord"), F.lit("").alias("guard"))
-    engine.load(chunks, entities, edges, rules=made["rules"].withColumn("module", F.lit("m")), transitions=spark.createDataFrame([("Inactive", "Driving", "")], "src string, dst string, guard string"))
+    moves = spark.createDataFrame([("Inactive", "Driving", "")], "src string, dst string, guard string")
+    engine.load(made["chunks"].cache(), made["entities"], made["edges"], rules=made["rules"].withColumn("module", F.lit("m")), transitions=moves)
     queries = spark.createDataFrame([(1, "PEPS_Mode 触发条件"), (2, "   ")], "query_id long, query string")
     got = engine.search(queries, 3).collect()
     assert {r.query_id for r in got} == {1}
-    assert min(got, key=lambda r: r.rank).section_path == "1.1"
+    best = min(got, key=lambda r: r.rank)
+    assert best.section_path == "1" and best.entity_hits > 0
     out = engine.ask("Driving 状态 死锁")
     assert out["template"] == "reachability_check"
     assert {k for k, v in out.items() if getattr(v, "status", "ok") != "ok"} == set()
