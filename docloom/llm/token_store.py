@@ -124,7 +124,7 @@ def _stage(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str)
     """(part, doc_id, at, n_tokens, ids) in id order, ``at`` counted within the part; written to the shared folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # as many ranges as the rows have bytes for, whatever the session's default
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size >> 26, 1 << 20))
     rows = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
