@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import read_table, tokenizer_path
 
-#: Pre-tokens kept by a worker before its cache starts anew.
-CACHE_WORDS = 250_000
+#: Pre-tokens that each of a worker's two generations keeps (some 200 bytes each).
+CACHE_WORDS = 350_000
 _PLACE = (1 << 40) - 1
 #: Fixed value: the public pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,16 +54,19 @@ def byte_symbols() -> list[str]:
 
 
 class _Words(dict):
-    """Pre-token -> its ids as bytes; starts anew when full."""
+    """Pre-token -> its ids as bytes, in two generations: when the young one is full it becomes the old one, whose hits come back."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word), "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("I", self.encode(word)).tobytes()
         if len(word) < 256:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -146,11 +149,10 @@ class LibraryBPE(BPE):
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_file(path).model  # its ids are those of encode(); a pre-token needs no further splitting
-        self._signs = byte_symbols()
+        self._signs = {b: s for b, s in enumerate(byte_symbols())}
 
     def encode_word(self, word: str) -> list[int]:
-        signs = self._signs
-        return [t.id for t in self._model.tokenize("".join([signs[b] for b in word.encode()]))]
+        return [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._signs))]
 
 
 _LOADED: dict[tuple[str, bool], BPE] = {}

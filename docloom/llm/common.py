@@ -92,27 +92,10 @@ def local_path(uri: str) -> str:
     return uri
 
 
-#: Words whose hashes a worker keeps (some 180 bytes each).
-CACHED_WORDS = 200_000
-
-
-class _WordHashes(dict):
-    """Word -> 64-bit hash; starts anew when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_WORDS = _WordHashes()
-
-
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased: what bytes.lower() and split() do."""
     words = text.lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 #: Odd multipliers for combining hashes, from the fractional parts of a Weyl sequence.
