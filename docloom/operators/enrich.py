@@ -68,7 +68,7 @@ def rule_relevance(rules: DataFrame, intents: DataFrame, top: int = 8) -> DataFr
     said = F.lower(F.concat_ws(" ", "condition", "action"))
     hits = lambda c: F.size(F.filter(c, lambda x: (x != "") & F.contains(said, F.lower(x))))
     score = 3 * F.array_contains("modules", F.col("module")).cast("int") + 2 * (hits("signals") + hits("states") + hits("functions")) + hits("keywords")
-    scored = rules.join(words, F.lit(True)).withColumn("score", score).where("score > 0")  # a stated set of queries against the rules
+    scored = rules.crossJoin(words).withColumn("score", score).where("score > 0")  # a stated set of queries against the rules
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rule_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rule_id", "module", "score", "rank")
 

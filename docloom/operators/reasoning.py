@@ -102,7 +102,7 @@ def path_guards(paths: DataFrame, transitions: DataFrame) -> DataFrame:
     told = steps.join(first, ["src", "dst"], "left").withColumn("guard", text_of("guard"))
     rows = told.groupBy("start", "goal", "path", "hops").agg(F.array_sort(F.collect_list(F.struct("nth", "guard"))).alias("g"))
     guards = F.transform("g", lambda x: x["guard"])
-    return rows.select("start", "goal", "path", "hops", guards.alias("guards"), F.array_sort(F.array_distinct(F.flatten(F.transform(guards, signals)))).alias("signals"))
+    return rows.select("start", "goal", "path", "hops", guards.alias("guards"), F.array_sort(F.array_distinct(F.flatten(F.transform(guards, lambda g: signals(g))))).alias("signals"))
 
 
 def impact_summary(terms: DataFrame, rules: DataFrame, transitions: DataFrame, n_signals: int = 8, per_module: int = 3) -> DataFrame:

@@ -188,24 +188,6 @@ def char_budget(df: DataFrame, budget: int, width: int = 500, header: int = 20)
     return df.withColumn("used", F.sum(block).over(w)).where(F.col("used") <= budget)
 
 
-def merge_boost(df: DataFrame) -> DataFrame:
-    """Boosts of merged candidates as one product: entities, owner module, chunk type, keywords, section.
-
-    Reads entity_hits, same_module, hint_signal, chunk_type, keyword_hits, same_section.
-    """
-    c = F.col
-    factor = 1 + 0.3 * c("entity_hits")
-    factor = factor * F.when(c("same_module") & c("hint_signal") & (c("chunk_type") == "signal_table"), 2.5).when(c("same_module"), 1.6).otherwise(1.0)
-    factor = factor * F.when(c("chunk_type") == "function_requirement", 1.4).when(c("chunk_type") == "general_text", 0.85).otherwise(1.0)
-    factor = factor * F.when(c("keyword_hits") >= 3, 1 + 0.15 * F.least(c("keyword_hits"), F.lit(6))).otherwise(1.0)
-    factor = factor * F.when(c("same_section"), 1.2).otherwise(1.0)
-    return df.withColumn("score", c("score") * factor)
-
-
-def rule_bonus(df: DataFrame) -> DataFrame:
-    """Rule-based re-ranking: score x (1 + sum of bonuses). Reads same_module, signal_hits, state_hits, has_table, keyword_hits, has_image."""
-    c = F.col
-    bonus = F.when(c("same_module"), 0.2).otherwise(0.0) + 0.15 * c("signal_hits") + 0.15 * c("state_hits")
-    bonus = bonus + F.when(c("has_table"), 0.1).otherwise(0.0) + F.when(c("keyword_hits") >= 4, 0.1 * F.least(c("keyword_hits") - 3, F.lit(5))).otherwise(0.0)
-    bonus = bonus + F.when(c("has_image"), 0.05).otherwise(0.0)
-    return df.withColumn("rule_score", bonus).withColumn("score", c("score") * (1 + bonus))
+def min_score(df: DataFrame, least: float = 0.0) -> DataFrame:
+    """Candidates that score ``least`` or more (0 in dense search, 0.1 in hybrid)."""
+    return df.where(F.col("score") >= least)

@@ -119,11 +119,6 @@ def duplicate_transitions(t: Tables) -> DataFrame:
     return graph.duplicate_transitions(e).select("src", "dst", "n", F.array_join("guards", ",").alias("guards"))
 
 
-@query("WITH " + _TRANS + " SELECT src, count(DISTINCT dst) AS exits FROM tr GROUP BY 1 HAVING count(DISTINCT dst) > 1")
-def multi_exit_states(t: Tables) -> DataFrame:
-    return graph.multi_exit(_transitions(t).withColumn("guard", F.concat(F.lit("count is "), F.col("n").cast("string")))).select("src", "exits")
-
-
 def _rules(t: Tables) -> DataFrame:
     p = t.part
     return p.select(F.col("p_partkey").alias("rule_id"), F.concat_ws("/", "p_brand", "p_type").alias("module"), F.lit("signal").alias("rule_type"), F.concat(F.lit("Part_Size = "), F.col("p_size").cast("string")).alias("condition"), F.left("p_name", F.lit(3)).alias("action"))
@@ -134,41 +129,25 @@ def rule_conflicts_selfjoin(t: Tables) -> DataFrame:
     return graph.rule_conflicts(_rules(t)).select("module", "a", "b", "kind")
 
 
-@query("WITH q AS (SELECT n_nationkey AS query_id, n_name AS term FROM nation) SELECT q.query_id, s_suppkey AS entity_id FROM q JOIN supplier ON contains(lower(s_name), lower(left(q.term, 3))) OR contains(s_suppkey::VARCHAR, q.query_id::VARCHAR)")
-def entity_search_contains(t: Tables) -> DataFrame:
-    q = t.nation.select(F.col("n_nationkey").alias("query_id"), F.left("n_name", F.lit(3)).alias("name_term"))
-    e = t.supplier.select(F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("name"))
-    terms = q.select("query_id", F.col("name_term").alias("term"))
-    hit = F.contains(F.lower("name"), F.lower("term")) | F.contains(F.col("entity_id").cast("string"), F.col("query_id").cast("string"))
-    return terms.join(e, hit).select("query_id", "entity_id")
-
-
 @query("SELECT lower(n_name) AS term, n_nationkey AS entity_id, n_name AS name FROM nation")
 def entity_exact_lookup(t: Tables) -> DataFrame:
     entities = t.nation.select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("name"))
     return graph.lookup_entities(entities, t.nation.select(F.lower("n_name").alias("term")))
 
 
-@query("SELECT DISTINCT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'controls' AS rel FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
-def fk_antijoin_enrich(t: Tables) -> DataFrame:
-    o = t.orders.withColumn("src", _key("o", "o_orderkey")).withColumn("dst", _key("c", "o_custkey"))
-    known = o.where("o_orderstatus = 'F'").select("dst").distinct()
-    new = o.select("src", "dst", F.lit("controls").alias("rel"), F.lit(0.6).alias("weight")).join(known, "dst", "left_anti")
-    none = new.where(F.lit(False)).select("src", "dst", "rel")
-    return graph.enrich(none, new).select("src", "dst", "rel")
-
-
 @query("WITH names AS (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE substr(n_name, 2, 4) END AS name FROM nation), x AS (SELECT name, min(n_nationkey) AS entity_id FROM names JOIN nation ON lower(n_name) = lower(name) GROUP BY 1) SELECT name, entity_id, 'exact' AS tier FROM x UNION ALL SELECT name, min(n_nationkey), 'substring' FROM names JOIN nation ON contains(lower(n_name), lower(name)) WHERE name NOT IN (SELECT name FROM x) GROUP BY 1")
 def two_tier_lookup(t: Tables) -> DataFrame:
     names = t.nation.select(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.substring("n_name", 2, 4)).alias("name")).distinct()
     return graph.resolve_names(names, t.nation.select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("name")))
 
 
-@query("WITH m AS (SELECT p_partkey, p_type AS module, 3 * (contains(p_type, 'STEEL') OR contains(p_type, 'BRASS'))::INT + 2 * (p_size > 25)::INT + (contains(p_name, 'a'))::INT AS s FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY s DESC, p_partkey) AS k FROM m) SELECT module, p_partkey, s AS score, k AS rank FROM r WHERE k <= 3")
+@query("WITH m AS (SELECT p_partkey AS rule_id, p_type AS module, 2 * contains(lower(p_name || ' ' || p_brand), 'widget')::INT + contains(lower(p_name || ' ' || p_brand), 'a')::INT + 3 * (p_type = 'PROMO')::INT AS s FROM part), t AS (SELECT *, row_number() OVER (ORDER BY s DESC, rule_id) AS k FROM m WHERE s > 0), r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY k) AS n FROM t WHERE k <= 8) SELECT module, rule_id, s AS score, n AS rank FROM r WHERE n <= 3")
 def rules_top3_per_module(t: Tables) -> DataFrame:
-    s = 3 * (F.contains("p_type", F.lit("STEEL")) | F.contains("p_type", F.lit("BRASS"))).cast("int") + 2 * (F.col("p_size") > 25).cast("int") + F.contains("p_name", F.lit("a")).cast("int")
-    m = t.part.select("p_partkey", F.col("p_type").alias("module"), s.alias("score"))
-    return ranked(m, 3, by="module", tie="p_partkey").select("module", "p_partkey", "score", "rank")
+    """The best eight rules of one question, then at most three of each module."""
+    rules = t.part.select(F.col("p_partkey").alias("rule_id"), F.col("p_type").alias("module"), F.col("p_name").alias("condition"), F.col("p_brand").alias("action"))
+    asked = "query_id int, modules array<string>, signals array<string>, states array<string>, functions array<string>, keywords array<string>"
+    best = rule_relevance(rules, t.spark.createDataFrame([(1, ["PROMO"], ["widget"], [], [], ["a"])], asked))
+    return ranked(best.withColumn("score_", F.col("score")).withColumn("score", -F.col("rank")), 3, by="module", tie="rule_id").select("module", "rule_id", F.col("score_").alias("score"), "rank")
 
 
 @query("WITH q AS (SELECT DISTINCT p_type AS query_id FROM part), m AS (SELECT query_id, p_partkey AS rule_id, p_type AS module, 3 * (p_type = query_id)::INT + 2 * contains(lower(p_name || ' ' || p_brand), 'co')::INT + contains(lower(p_name || ' ' || p_brand), 'a')::INT + contains(lower(p_name || ' ' || p_brand), 'e')::INT AS score FROM q, part), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rule_id) AS rank FROM m WHERE score > 0) SELECT query_id, rule_id, module, score, rank FROM r WHERE rank <= 8")

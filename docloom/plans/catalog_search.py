@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import ascii_words
 from docloom.operators import evaluation, search
+from docloom.plans import retrieval
 from docloom.plans.registry import Tables, query
 
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}')"
@@ -158,23 +159,40 @@ def head_tail_rerank(t: Tables) -> DataFrame:
 def _candidates(t: Tables) -> DataFrame:
     """Candidates with the properties the boosts read, derived from the documents' columns."""
     d = t.documents.select("doc_id", "lang", "source", "n_chars")
-    j = _bm25(t, 20).join(d, "doc_id").withColumn("chunk_type", F.when(F.col("lang") == "en", "signal_table").when(F.col("lang") == "de", "function_requirement").otherwise("general_text"))
+    kind = F.when(F.col("lang") == "en", "signal_table").when(F.col("lang") == "de", "function_requirement").when(F.col("lang") == "fr", "state_transition").when(F.col("n_chars") % 2 == 0, "division_table").otherwise("general_text")
+    j = _bm25(t, 20).join(d, "doc_id").withColumn("chunk_type", kind)
     flag = lambda k: F.pmod("doc_id", F.lit(k)) == 0
     hits = lambda k: F.pmod(F.col("n_chars"), F.lit(k)).cast("int")
-    return j.select("query_id", "doc_id", "score", "rank", "chunk_type", flag(2).alias("same_module"), flag(3).alias("hint_signal"), hits(4).alias("entity_hits"), hits(8).alias("keyword_hits"), flag(5).alias("same_section"), hits(3).alias("signal_hits"), hits(2).alias("state_hits"), flag(7).alias("has_table"), flag(11).alias("has_image"))
+    flags = {"in_module": 2, "hint_signal_def": 3, "in_section": 5, "has_table": 7, "has_image": 11, "hint_transition": 13, "hint_division": 17, "hint_tooling": 19}
+    counts = {"entity_hits": 4, "keyword_hits": 8, "signal_hits": 3, "state_hits": 2}
+    return j.select("query_id", "doc_id", "score", "chunk_type", *(flag(k).alias(c) for c, k in flags.items()), *(hits(k).alias(c) for c, k in counts.items()))
 
 
-_CAND = "c0 AS (SELECT bt.query_id, bt.doc_id, bt.score, CASE lang WHEN 'en' THEN 'signal_table' WHEN 'de' THEN 'function_requirement' ELSE 'general_text' END AS ct, doc_id % 2 = 0 AS sm, doc_id % 3 = 0 AS hs, n_chars % 4 AS eh, n_chars % 8 AS kh, doc_id % 5 = 0 AS ss, n_chars % 3 AS sh, n_chars % 2 AS th, doc_id % 7 = 0 AS ht, doc_id % 11 = 0 AS hi FROM bt JOIN documents USING (doc_id) WHERE rank <= 20)"
+_CAND = """c0 AS (SELECT bt.query_id, bt.doc_id, bt.score, CASE WHEN lang = 'en' THEN 'signal_table' WHEN lang = 'de' THEN 'function_requirement' WHEN lang = 'fr' THEN 'state_transition' WHEN n_chars % 2 = 0 THEN 'division_table' ELSE 'general_text' END AS ct,
+doc_id % 2 = 0 AS sm, doc_id % 3 = 0 AS hs, doc_id % 5 = 0 AS ss, doc_id % 7 = 0 AS ht, doc_id % 11 = 0 AS hi, doc_id % 13 = 0 AS hm, doc_id % 17 = 0 AS hd, doc_id % 19 = 0 AS hg,
+n_chars % 4 AS eh, n_chars % 8 AS kh, n_chars % 3 AS sh, n_chars % 2 AS th FROM bt JOIN documents USING (doc_id) WHERE rank <= 20)"""
 
 
-@query(f"WITH {_BM25}, {_CAND} SELECT query_id, doc_id, round(score * (1 + 0.3 * eh) * CASE WHEN sm AND hs AND ct = 'signal_table' THEN 2.5 WHEN sm THEN 1.6 ELSE 1.0 END * CASE ct WHEN 'function_requirement' THEN 1.4 WHEN 'general_text' THEN 0.85 ELSE 1.0 END * CASE WHEN kh >= 3 THEN 1 + 0.15 * least(kh, 6) ELSE 1.0 END * CASE WHEN ss THEN 1.2 ELSE 1.0 END, 6) AS score FROM c0")
+@query(f"""WITH {_BM25}, {_CAND} SELECT query_id, doc_id, round(score * (1 + 0.3 * eh) * CASE WHEN sm AND hs AND ct = 'signal_table' THEN 2.5 WHEN sm THEN 1.6 ELSE 1.0 END
+* CASE WHEN hs AND ct = 'signal_table' THEN 1.35 WHEN hs AND ct = 'general_text' AND NOT sm THEN 0.85 ELSE 1.0 END * CASE WHEN hm AND ct = 'state_transition' THEN 1.3 ELSE 1.0 END
+* CASE ct WHEN 'function_requirement' THEN CASE WHEN hg OR hd THEN 1.8 ELSE 1.4 END WHEN 'division_table' THEN CASE WHEN hd THEN 2.0 ELSE 1.5 END ELSE 1.0 END
+* CASE WHEN kh >= 3 THEN 1 + 0.15 * least(kh, 6) ELSE 1.0 END * CASE WHEN ss THEN 1.2 ELSE 1.0 END, 6) AS score FROM c0""")
 def merge_boost(t: Tables) -> DataFrame:
-    return search.merge_boost(_candidates(t)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    c = _candidates(t)
+    return c.select("query_id", "doc_id", F.round(F.col("score") * retrieval.merge_factor(), 6).alias("score"))
 
 
-@query(f"WITH {_BM25}, {_CAND}, b AS (SELECT *, CASE WHEN sm THEN 0.2 ELSE 0.0 END + 0.15 * sh + 0.15 * th + CASE WHEN ht THEN 0.1 ELSE 0.0 END + CASE WHEN kh >= 4 THEN 0.1 * least(kh - 3, 5) ELSE 0.0 END + CASE WHEN hi THEN 0.05 ELSE 0.0 END AS rb FROM c0) SELECT query_id, doc_id, round(rb, 6)::DOUBLE AS rule_score, round(score * (1 + rb), 6) AS score FROM b")
+@query(f"""WITH {_BM25}, {_CAND}, b AS (SELECT *, CASE WHEN sm THEN 0.2 ELSE 0 END + CASE WHEN ht THEN 0.1 ELSE 0 END + CASE WHEN hi THEN 0.05 ELSE 0 END + 0.15 * sh + 0.15 * th + CASE WHEN hs AND ct = 'signal_table' THEN 0.2 ELSE 0 END
++ CASE WHEN hm AND ct = 'state_transition' THEN 0.2 ELSE 0 END + CASE ct WHEN 'function_requirement' THEN 0.2 WHEN 'division_table' THEN 0.25 ELSE 0 END + CASE WHEN kh >= 4 THEN 0.1 * least(kh - 3, 5) ELSE 0 END AS rb FROM c0)
+SELECT query_id, doc_id, round(rb, 6)::DOUBLE AS rule_score, round(score * (1 + rb), 6)::DOUBLE AS score FROM b""")
 def rule_rerank(t: Tables) -> DataFrame:
-    return search.rule_bonus(_candidates(t)).select("query_id", "doc_id", F.round("rule_score", 6).alias("rule_score"), F.round("score", 6).alias("score"))
+    c = _candidates(t).withColumn("bonus", retrieval.rule_bonus())
+    return c.select("query_id", "doc_id", F.round("bonus", 6).alias("rule_score"), F.round(F.col("score") * (1 + F.col("bonus")), 6).alias("score"))
+
+
+@query(f"WITH {_KNN} SELECT query_id, doc_id, round(score, 5) AS score, rank FROM kt WHERE rank <= 10 AND score >= 0.3")
+def knn_min_score(t: Tables) -> DataFrame:
+    return search.min_score(_knn(t, 10), 0.3).select("query_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query("SELECT doc_id, left(text, 100) AS prefix FROM (SELECT *, row_number() OVER (PARTITION BY left(coalesce(text, ''), 100) ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1")

@@ -15,12 +15,6 @@ def token_estimate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", fn.estimate_tokens("text").alias("tokens"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}')) AS n, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{2,}')[1:5], ' ') AS head FROM documents")
-def tokenize_ascii(t: Tables) -> DataFrame:
-    w = fn.ascii_words("text")
-    return t.documents.select("doc_id", F.size(w).cast("long").alias("n"), F.array_join(F.slice(w, 1, 5), " ").alias("head"))
-
-
 _TYPES = (("junk", r"[#$%&*]{3}"), ("numeric", r"[0-9]{3}"), ("long_word", r"[a-z]{12}"))
 
 
@@ -81,24 +75,12 @@ def seq_ids_per_module(t: Tables) -> DataFrame:
     return placed.select("doc_id", F.concat(F.lit("chunk_"), "source", F.lit("_"), F.format_string("%06d", F.col("before") + F.col("nth"))).alias("chunk_id"))
 
 
-@query(f"WITH {_ITEMS}, f AS (SELECT *, last_value(CASE WHEN type = 'title' THEN idx END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS s FROM items) SELECT doc_id, coalesce(s, -1) AS section_idx, count(*) AS n, string_agg(text, chr(10) ORDER BY idx) AS text FROM f WHERE type <> 'title' GROUP BY 1, 2")
-def same_section_merge(t: Tables) -> DataFrame:
-    body = etl.place_items(_lines(t)).where("type <> 'title'").withColumn("section_idx", F.coalesce("section_idx", F.lit(-1)).cast("long"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"])
-    return body.groupBy("doc_id", "section_idx").agg(F.count(F.lit(1)).alias("n"), F.array_join(texts, "\n").alias("text"))
-
-
 @query("WITH d AS (SELECT lang, greatest(1, floor(length(text) * 0.3)::INT) AS token_count FROM documents) SELECT lang, count(*) AS n, round(avg(token_count), 6) AS mean_tokens, median(token_count) AS median_tokens, count(*) FILTER (token_count < 50) AS near_empty, count(*) FILTER (token_count < 200) AS undersized FROM d GROUP BY 1")
 def chunk_quality_stats(t: Tables) -> DataFrame:
     d = t.documents.select("lang", "text", fn.estimate_tokens("text").alias("token_count"))
     return etl.chunk_stats(d, ["lang"]).select("lang", "n", F.round("mean_tokens", 6).alias("mean_tokens"), "median_tokens", "near_empty", "undersized")
 
 
-@query("SELECT doc_id FROM documents WHERE trim(coalesce(text, '')) = '' OR (len(regexp_extract_all(text, '(?m)^#{2,4}\\s')) >= 3 AND length(trim(regexp_replace(text, '(?m)^#{2,4}\\s.*$', '', 'g'))) < 100)")
-def toc_filter(t: Tables) -> DataFrame:
-    return t.documents.where(fn.is_toc_only("text")).select("doc_id")
-
-
 @query("WITH c AS (SELECT p_partkey, 'x' || p_size || '=' || p_type || ', y' || p_size || '=' || p_brand AS coding FROM part), e AS (SELECT p_partkey, unnest(string_split(coding, ',')) AS x FROM c) SELECT p_partkey, trim(split_part(x, '=', 1)) AS code, trim(split_part(x, '=', 2)) AS meaning FROM e")
 def coding_list_explode(t: Tables) -> DataFrame:
     coding = F.concat(F.lit("x"), F.col("p_size").cast("string"), F.lit("="), "p_type", F.lit(", y"), F.col("p_size").cast("string"), F.lit("="), "p_brand")
@@ -113,13 +95,6 @@ def voltage_range_parse(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", fn.voltage_range(said).alias("v")).select("p_partkey", "v.low", "v.high")
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')) AS title, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, len(regexp_extract_all(html, '<li[ >]')) AS list_items FROM pages")
-def html_title_text(t: Tables) -> DataFrame:
-    h = F.coalesce("html", F.lit(""))
-    count = lambda tag: F.size(F.regexp_extract_all(h, F.lit(f"<{tag}[ >]"), F.lit(0))).cast("long")
-    return t.pages.select("page_id", F.trim(F.regexp_replace(F.regexp_extract(h, "(?s)<h1[^>]*>(.*?)</h1>", 1), "<[^>]+>", "")).alias("title"), count("p").alias("paragraphs"), count("li").alias("list_items"))
-
-
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
 def group_counts_grouping_sets(t: Tables) -> DataFrame:
     d = t.documents

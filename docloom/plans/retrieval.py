@@ -43,8 +43,8 @@ def hit_sections(hits: DataFrame) -> DataFrame:
     return hits.where("section_path <> ''").select("query_id", F.explode(up).alias("section")).distinct()
 
 
-def _boosts(c: DataFrame) -> Column:
-    """The merge stage's factors, one product."""
+def merge_factor() -> Column:
+    """The merge stage's factors, one product: entities, owner module, chunk type and hints, keywords, section."""
     f = F.col
     parts = [
         1 + 0.3 * f("entity_hits"),
@@ -60,11 +60,11 @@ def _boosts(c: DataFrame) -> Column:
     return reduce(lambda a, b: a * b, parts)
 
 
-def _bonus() -> Column:
-    """The rule stage's bonuses, one sum."""
+def rule_bonus() -> Column:
+    """The rule stage's bonuses, one sum: module, table, image, signals, states, hints, chunk type, keywords."""
     f = F.col
     parts = [
-        F.when(f("in_module"), 0.2), F.when(f("has_table"), 0.1), 0.15 * f("signal_hits"), 0.15 * f("state_hits"),
+        F.when(f("in_module"), 0.2), F.when(f("has_table"), 0.1), F.when(f("has_image"), 0.05), 0.15 * f("signal_hits"), 0.15 * f("state_hits"),
         F.when(f("hint_signal_def") & (f("chunk_type") == "signal_table"), 0.2),
         F.when(f("hint_transition") & f("chunk_type").isin("state_transition", "state_machine"), 0.2),
         F.when(f("chunk_type") == "function_requirement", 0.2), F.when(f("chunk_type") == "division_table", 0.25),
@@ -102,6 +102,10 @@ def retrieve(queries: DataFrame, corpus: Corpus, domain: Domain, top_k: int = 10
         lists.append(search.knn(vectors, keys.select("doc_id", "vector"), 20).withColumnRenamed("doc_id", "key").join(keys.select(F.col("doc_id").alias("key"), F.col("chunk_id").alias("doc_id")), "key").drop("key"))
     fused = search.ranked(search.rrf(lists), 20).select("query_id", F.col("doc_id").alias("chunk_id"), "score")
     chunks = corpus.chunks.select("chunk_id", "text", "module", "chunk_type", "section_path", "section_title", "entities", "signals", "states", "has_table")
+    if "has_image" not in corpus.chunks.columns:
+        chunks = chunks.withColumn("has_image", F.lit(False))
+    else:
+        chunks = chunks.join(corpus.chunks.select("chunk_id", "has_image"), "chunk_id")
     c = fused.join(chunks, "chunk_id").join(intent.drop("query"), "query_id").join(ids, "query_id", "left").join(sections, "query_id", "left")
     none = F.array().cast("array<string>")
     known = lambda x: F.coalesce(x, none)
@@ -115,12 +119,12 @@ def retrieve(queries: DataFrame, corpus: Corpus, domain: Domain, top_k: int = 10
         "signal_hits": F.size(F.array_intersect(known("signals"), known("keywords"))),
         "state_hits": F.size(F.array_intersect(known("states"), known("keywords"))),
     })
-    merged = search.dedup_prefix(c.withColumn("score", F.col("score") * _boosts(c)).withColumn("tie", F.xxhash64("chunk_id")), 100, by="query_id", tie="tie")
+    merged = search.dedup_prefix(c.withColumn("score", F.col("score") * merge_factor()).withColumn("tie", F.xxhash64("chunk_id")), 100, by="query_id", tie="tie")
     words = intent.select("query_id", F.array_distinct(tokenize("query")).alias("query_words"))
     pool = search.ranked(merged.join(words, "query_id").withColumnRenamed("chunk_id", "doc_id"), 20)
     sim = search.jaccard(F.col("query_words"), F.array_distinct(tokenize("text")))
     reranked = search.head_tail(pool, 12, search.semantic_boost(F.col("score"), sim))
-    bonus = _bonus()
+    bonus = rule_bonus()
     final = reranked.withColumn("rule_score", bonus).withColumn("score", F.col("new_score") * (1 + bonus)).drop("rank")
     return search.ranked(final, top_k).select("query_id", "rank", F.col("doc_id").alias("chunk_id"), "score", "rule_score", "module", "chunk_type", "section_path", "section_title", "text", "entity_hits", "keyword_hits", "question_type")
 
