@@ -31,12 +31,16 @@ CHUNK_DDL = "chunk long, doc_ids binary, lengths binary, nulls binary, body bina
 _CHUNK = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("nulls", pa.binary()), ("body", pa.binary())])
 
 
+#: One of each for a worker process: to make them anew costs more than to use them on a few kilobytes.
+_COMPRESSOR, _EXPANDER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def compress(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _COMPRESSOR.compress(data)
 
 
 def expand(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _EXPANDER.decompress(data)
 
 
 def pack_keys(keys: np.ndarray) -> bytes:

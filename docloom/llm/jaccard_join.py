@@ -38,34 +38,57 @@ from pyspark.sql import functions as F
 from docloom.llm.common import MULTIPLIERS, discard, fresh, materialize, mixed, read_table, release, word_hashes
 from docloom.llm.components import connected_components
 from docloom.llm.exact_dedup import with_groups
-from docloom.llm.exchange import ASK, ASK_DDL, ask_table, chunk_documents, compress, doc_columns, expand, gathered, look_up, rows_of
+from docloom.llm.exchange import ASK, ASK_DDL, ask_table, chunk_documents, doc_columns, gathered, look_up, pack_keys, pack_numbers, rows_of, unpack_keys, unpack_numbers
 
 WORDS, PERCENT = 5, 75
 HOT, BLOCK_BYTES, BLOCK_DOCS = 48, 4 << 20, 512
 _MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles."""
-    h = word_hashes(text)
+def shingles(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text whose word hashes are ``h``."""
     n = len(h)
     if not n:
         return h
     size = min(n, words)
     out = np.full(n - size + 1, np.uint64(size), np.uint64)  # a short sequence never equals a whole shingle
     for k in range(size):
-        out = out + h[k : n - size + 1 + k] * MULTIPLIERS[k]
-    return np.unique(mixed(out))
+        out += h[k : n - size + 1 + k] * MULTIPLIERS[k]
+    out = np.sort(mixed(out))
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def linked(common: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return 100 * common >= percent * (n + m - common)
 
 
-def _texts(row: dict) -> list[bytes]:
-    _, lengths, _ = doc_columns(row)
-    body, ends = expand(row["body"]), np.cumsum(lengths)
-    return [body[e - n : e] for e, n in zip(ends, lengths, strict=True)]
+def encode_words(texts: list[bytes]) -> bytes:
+    """A chunk's body: distinct word hashes, a code for each word, words of each document; then sizes and digests of their sets."""
+    hashes = [word_hashes(t) for t in texts]
+    sets = [shingles(h) for h in hashes]
+    keys, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+    blobs = [pack_keys(keys), pack_numbers(codes), np.array([len(h) for h in hashes], "<i8").tobytes()]
+    blobs += [np.array([len(s) for s in sets], "<i8").tobytes(), b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)]
+    del hashes, sets, codes
+    release()
+    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+
+
+def _parts(row: dict) -> list[bytes]:
+    blobs, at, body = [], 0, row["body"]
+    while at < len(body):
+        n = int.from_bytes(body[at : at + 8], "little")
+        blobs.append(body[at + 8 : at + 8 + n])
+        at += 8 + n
+    return blobs
+
+
+def _sets(row: dict, places: list[int]) -> list[np.ndarray]:
+    """Shingle sets of the documents at ``places``."""
+    keys, codes, counts = _parts(row)[:3]
+    h, ends = unpack_keys(keys)[unpack_numbers(codes)], np.cumsum(np.frombuffer(counts, "<i8"))
+    starts = ends - np.frombuffer(counts, "<i8")
+    return [shingles(h[starts[p] : ends[p]]) for p in places]
 
 
 _SET_DDL = "chunk long, place int, doc_id long, n_shingles long, digest binary"
@@ -77,10 +100,9 @@ def _describe(chunks: DataFrame) -> DataFrame:
         for b in batches:
             for row in rows_of(b):
                 ids, _, nulls = doc_columns(row)
-                sets = [shingles(t) for t in _texts(row)]
-                release()
+                sizes, digests = _parts(row)[3:]
                 columns = [np.full(len(ids), row["chunk"]), np.arange(len(ids), dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(ids, mask=nulls), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())], schema=_SET)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(ids, mask=nulls), pa.array(np.frombuffer(sizes, "<i8")), pa.array([digests[k : k + 16] for k in range(0, len(digests), 16)], pa.binary())], schema=_SET)
 
     return chunks.mapInArrow(run, _SET_DDL)
 
@@ -106,10 +128,9 @@ def _ask(mask: np.uint64):
         if not left.num_rows or not places:
             return ASK.empty_table()
         row = _chunk_row(left)
-        texts = _texts(row)
-        keys, counts = np.unique(np.concatenate([shingles(texts[p]) for p in places]) & mask, return_counts=True)
+        keys, counts = np.unique(np.concatenate(_sets(row, places)) & mask, return_counts=True)
         out = ask_table(1, row["chunk"], keys, [counts])
-        del texts, keys, counts
+        del row, keys, counts
         release()
         return out
 
@@ -146,11 +167,8 @@ def _prefixes(mask: np.uint64, percent: int):
             return _PREFIX.empty_table()
         row = _chunk_row(left)
         ids, _, _ = doc_columns(row)
-        texts = _texts(row)
-        sets = [shingles(texts[p]) for p in places]
-        short = np.concatenate(sets) & mask
-        frequency = gathered(right, 1, 4)[0][np.searchsorted(np.unique(short), short)].astype(np.int64)
-        del texts, short
+        sets = _sets(row, places)
+        frequency = gathered(right, 1, 4)[0][np.unique(np.concatenate(sets) & mask, return_inverse=True)[1]].astype(np.int64)
         out: list[list] = [[], [], [], [], []]
         at = 0
         for p, s in zip(places, sets, strict=True):
@@ -349,7 +367,7 @@ def link_labels(prefixes: DataFrame, hot: int = HOT, percent: int = PERCENT) ->
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    chunks = chunk_documents(docs, lambda texts: compress(b"".join(texts)), id_col, text_col, name="text-chunks")
+    chunks = chunk_documents(docs, encode_words, id_col, text_col, name="word-chunks")
     described = materialize(_describe(chunks), "shingle-sets")
     total = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first().n
     # enough bits that few shingles share a counter (which costs time only); the rest of the hash isn't sent
