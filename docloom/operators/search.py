@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokenize
+from docloom.sources.storage import stored
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -48,16 +49,18 @@ def corpus_stats(docs: DataFrame, text: Column | str = "text", tokens=tokenize)
 def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", tokens=tokenize) -> DataFrame:
     """(query_id, doc_id, score). A query's repeated terms count as often as they occur.
 
-    Postings are filtered to the queries' terms before they are counted, so the shuffle holds those alone.
+    Documents are tokenised once. Postings are filtered to the queries' terms before they are counted, so the shuffle holds those alone.
     """
     asked = queries.select("query_id", F.explode(tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    occurrences = doc_terms(docs, text, tokens).select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tokenised = stored(doc_terms(docs, text, tokens))  # once, for the statistics and for the postings
+    stats = tokenised.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_len"))
+    occurrences = tokenised.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     index = occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("dl").alias("dl"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avg = F.col("n_docs"), F.greatest(F.col("avg_len"), F.lit(1.0))
     tf = F.col("c") / F.col("dl")
     part = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avg))
-    joined = index.join(df, "term").join(asked, "term").crossJoin(corpus_stats(docs, text, tokens))  # one row of statistics
+    joined = index.join(df, "term").join(asked, "term").crossJoin(stats)  # one row of statistics
     return joined.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
 
 

@@ -135,8 +135,8 @@ _QWORDS, _DWORDS = _WORDS_SQL.format("b.text"), _WORDS_SQL.format("d.text")
 
 def _with_words(t: Tables, k: int) -> DataFrame:
     q = _queries(t).select("query_id", F.array_distinct(ascii_words("text")).alias("query_words"))
-    d = t.documents.select("doc_id", F.array_distinct(ascii_words("text")).alias("words"))
-    return _bm25(t, k).join(q, "query_id").join(d, "doc_id")
+    found = _bm25(t, k).join(q, "query_id").join(t.documents.select("doc_id", "text"), "doc_id")
+    return found.withColumn("words", F.array_distinct(ascii_words("text")))  # of what was found alone
 
 
 _JACCARD = f"j AS (SELECT query_id, doc_id, score, rank, len(list_intersect({_QWORDS}, {_DWORDS})) * 1.0 / greatest(len(list_distinct(list_concat({_QWORDS}, {_DWORDS}))), 1) AS sim FROM bt JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 20)"
