@@ -60,6 +60,8 @@ def walk(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     out = None
     for h in range(1, max_hops + 1):
         level = level.join(e, "node").where(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
+        if h < max_hops:
+            level = stored(level)  # else every later hop would walk the earlier ones anew
         step = level.withColumn("hops", F.lit(h))
         out = step if out is None else out.unionByName(step)
     return out
@@ -134,18 +136,6 @@ def impact(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     return expand(edges, seeds, max_depth, direction="out").select("seed", "node", F.col("distance").alias("depth"))
 
 
-def backward_tree(edges: DataFrame, goals: DataFrame, depth: int) -> DataFrame:
-    """(goal, node, parent, path, level, leaf): incoming steps as a tree of rows; a branch ends at a cycle or at ``depth``."""
-    e = edges.select(F.col("dst").alias("node"), F.col("src").alias("before")).distinct()
-    level = goals.select("goal", F.col("goal").alias("node"), F.array("goal").alias("path"))
-    out = level.select("goal", "node", F.lit(None).cast(level.schema["goal"].dataType).alias("parent"), "path", F.lit(0).alias("level"), F.lit(False).alias("leaf"))
-    for d in range(1, depth + 1):
-        step = level.join(e, "node").select("goal", F.col("node").alias("parent"), F.col("before").alias("node"), "path", F.array_contains("path", F.col("before")).alias("cycle"))
-        out = out.unionByName(step.select("goal", "node", "parent", F.array_append("path", F.col("node")).alias("path"), F.lit(d).alias("level"), (F.col("cycle") | F.lit(d == depth)).alias("leaf")))
-        level = step.where(~F.col("cycle")).select("goal", "node", F.array_append("path", F.col("node")).alias("path"))
-    return out
-
-
 def subgraph(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges that touch a stated id: two semi-joins instead of one join on OR."""
     touching = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").unionByName(edges.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as fn
 from docloom.operators import enrich, etl, evaluation, graph, reasoning, search
-from docloom.plans import planner, retrieval
+from docloom.plans import agent, planner, retrieval
 from docloom.plans.domain import Domain, body_control
 from docloom.plans.registry import Tables, query
 from docloom.sources import sinks
@@ -657,3 +657,49 @@ def cypher_statements(t: Tables) -> DataFrame:
     said = sinks.cypher(entities, edges.withColumn("weight", F.lit(1.0)))
     like = lambda p: F.count_if(F.col("statement").like(p))
     return said.agg(like("MERGE (n:Nation%").alias("nations"), like("MERGE (n:Customer%").alias("customers"), like("MATCH%").alias("relations"))
+
+
+@query("WITH i AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'N ' || s_nationkey END AS module, s_name AS content FROM supplier) SELECT s_suppkey, CASE WHEN module = '' THEN 'unknown' ELSE replace(module, ' ', '_') END || '/root/' || left(md5(content), 8) || '.png' AS storage_path FROM i")
+def image_store_paths(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    images = t.supplier.select("s_suppkey", F.when(k % 3 == 0, "").otherwise(_text("N ", F.col("s_nationkey"))).alias("module"), F.lit(None).cast("string").alias("section"), F.col("s_name").cast("binary").alias("content"), F.lit("").alias("suffix"))
+    return sinks.image_paths(images).select("s_suppkey", "storage_path")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'type' || s_nationkey ELSE '' END AS image_type, CASE WHEN s_nationkey % 2 = 0 THEN repeat('a picture ', 50) ELSE '' END AS description FROM supplier")
+def image_captions(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    captions = t.nation.where(k % 2 == 0).select(k.cast("string").alias("name"), _text("type", k).alias("image_type"), F.repeat(F.lit("a picture "), F.lit(90)).alias("description"))
+    return sinks.captioned(t.supplier.select("s_suppkey", F.col("s_nationkey").cast("string").alias("name")), captions).select("s_suppkey", "image_type", "description")
+
+
+# --- agents ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) || '/to ' || n_nationkey || '/last' ELSE n_name END AS parts FROM nation WHERE n_name NOT LIKE '% %'")
+def question_parts(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    said = F.when(k % 2 == 0, F.concat(F.lower("n_name"), _text(" and to ", k, "，last？last; "))).otherwise(F.col("n_name"))
+    return t.nation.where("n_name not like '% %'").select("n_nationkey", F.array_join(agent.sub_questions(said), "/").alias("parts"))
+
+
+@query("WITH e AS (SELECT s_nationkey AS query_id, 'supplier alpha' || CASE WHEN s_nationkey % 2 = 0 THEN ' beta' ELSE '' END AS text FROM supplier), k AS (SELECT DISTINCT query_id FROM e) SELECT n_nationkey AS query_id, round(CASE WHEN k.query_id IS NULL THEN 0 WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END / 3.0, 6)::DOUBLE AS covered, CASE WHEN k.query_id IS NULL THEN 'alpha/beta' WHEN n_nationkey % 2 = 0 THEN 'gamma' ELSE 'beta/gamma' END AS gaps FROM nation LEFT JOIN k ON k.query_id = n_nationkey")
+def evidence_gaps(t: Tables) -> DataFrame:
+    asked = t.nation.select(F.col("n_nationkey").alias("query_id"), F.lit("alpha beta gamma").alias("query"))
+    e = t.supplier.select(F.col("s_nationkey").alias("query_id"), F.concat(F.lit("supplier alpha"), F.when(F.col("s_nationkey") % 2 == 0, " beta").otherwise("")).alias("text"))
+    return agent.keyword_gaps(asked, e).select("query_id", F.round("covered", 6).alias("covered"), F.array_join("gaps", "/").alias("gaps"))
+
+
+@query("SELECT DISTINCT s_nationkey AS query_id, s_name AS cited FROM supplier WHERE s_suppkey % 4 = 0")
+def answer_citations(t: Tables) -> DataFrame:
+    s = t.supplier
+    answers = s.where("s_suppkey % 4 = 0").groupBy(F.col("s_nationkey").alias("query_id")).agg(F.concat(F.lit("see "), F.array_join(F.array_sort(F.collect_list("s_name")), ", ")).alias("answer"))
+    return agent.citations(answers, s.select(F.col("s_nationkey").alias("query_id"), F.col("s_name").alias("id")))
+
+
+@query("SELECT c_custkey, starts_with(c_name, left(c_mktsegment, 1)) OR starts_with(c_name, 'Cust') AS in_section, round(CASE WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 1 END, 6)::DOUBLE AS recall FROM customer")
+def section_and_entity_recall(t: Tables) -> DataFrame:
+    """Prefix matches of sections, and the share of expected entities that were found (whole where none is expected)."""
+    found, expected = F.array("c_name", "c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, F.array("c_name", F.lit("zz"))).otherwise(F.array().cast("array<string>"))
+    prefix = F.exists(F.array(F.left("c_mktsegment", F.lit(1)), F.lit("Cust")), lambda p: F.startswith(F.col("c_name"), p))
+    return t.customer.select("c_custkey", prefix.alias("in_section"), F.round(evaluation.recall(found, expected), 6).alias("recall"))

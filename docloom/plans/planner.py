@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import text_of
 from docloom.plans.domain import DEFINITION_WORDS, TIME_SPANS, Domain
+from docloom.sources.storage import stored
+
 
 @dataclass(frozen=True)
 class Template:
@@ -149,7 +151,8 @@ def run_plan(plan: Plan, executors: dict[str, Callable[[dict, dict[str, DataFram
     def one(node: str) -> NodeOutput:
         given = {a: out[a].rows for a, b in plan.edges if b == node and a in out and out[a].rows is not None}
         try:
-            return NodeOutput(node, "ok", executors[node](plan.params.get(node, {}), given))
+            rows = executors[node](plan.params.get(node, {}), given)
+            return NodeOutput(node, "ok", stored(rows) if rows is not None else None)  # so that what fails at run time fails here
         except Exception as e:  # noqa: BLE001  a node's failure is a result
             return NodeOutput(node, "failed", None, f"{type(e).__name__}: {e}"[:500])
 

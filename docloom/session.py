@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from docloom.operators import etl, graph
 from docloom.operators.enrich import table_edges
+from docloom.operators.reasoning import state_moves
+from docloom.plans.agent import Tools, augment, gather, reflect
 from docloom.plans.domain import Domain, Domains
 from docloom.plans.planner import NodeOutput, build_plan, run_plan, select_template
 from docloom.plans.retrieval import Corpus, evidence, retrieve
@@ -68,18 +70,44 @@ class Engine:
         said = F.lit(question.lower())
         states = self.transitions.select(F.explode(F.array("src", "dst")).alias("node")).distinct().where(F.contains(said, F.lower("node"))) if self.transitions is not None else None
         named = self.corpus.entities.where((F.col("name") != "") & F.contains(said, F.lower("name")))
+        names = [r.node for r in states.limit(8).collect()] if states is not None else []  # a question names a few states
+        pairs = self.spark.createDataFrame([(a, b) for a in names for b in names if a != b], "start string, goal string")
         executors = {
             "intent": lambda p, given: self.templates(q),
             "chunk_search": lambda p, given: self.search(q),
             "rule_lookup": lambda p, given: self.rules.where(F.exists(F.split(F.lit(question), r"\s+"), lambda w: F.contains(F.lower("condition"), F.lower(w)))).limit(10),
             "state_machine": lambda p, given: self.transitions,
-            "path_finder": lambda p, given: graph.simple_paths(self.transitions, states.select(F.col("node").alias("start")).crossJoin(states.select(F.col("node").alias("goal"))).where("start <> goal")),
+            "path_finder": lambda p, given: graph.simple_paths(self.transitions, pairs),
             "impact": lambda p, given: graph.impact(graph.collapse(self.corpus.edges), named.select(F.col("entity_id").alias("seed")), 3),
             "conflicts": lambda p, given: graph.rule_conflicts(self.rules),
             "reachability": lambda p, given: graph.degrees(self.transitions.select(F.col("src").alias("node")).distinct(), self.transitions),
-            "completeness": lambda p, given: q.withColumn("inputs", F.lit(len(given))),
+            "completeness": lambda p, given: q.withColumn("inputs", F.lit(len(given))).withColumn("filled", F.lit(sum(not x.isEmpty() for x in given.values()))),
         }
-        out: dict[str, NodeOutput | str] = dict(run_plan(build_plan(template), executors))
-        found = evidence(self.search(q)).first()
+        plan = build_plan(template)
+        out: dict[str, NodeOutput | str] = dict(run_plan(plan, executors))
+        better = augment(plan, reflect(out))
+        if better is not plan:  # one more round, with stand-ins for what failed or found nothing
+            out = dict(run_plan(better, executors))
+        chunks = out["chunk_search"].rows if "chunk_search" in out else None
+        found = evidence(chunks).first() if chunks is not None else None
         text = found.evidence if found else ""
         return out | {"template": template, "answer": self.llm(text, question) if self.llm else text}
+
+    def gather(self, questions: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+        """Evidence and verdict of the verifying loop for questions (query_id, query)."""
+        return gather(lambda q: self.search(q, 5), questions, rounds)
+
+    def tools(self, limit: int = 5) -> Tools:
+        """The seven tools of an agent over what is loaded."""
+        asked = lambda query: self.spark.createDataFrame([(0, query)], "query_id long, query string")
+        seed = lambda name: self.corpus.entities.where(F.lower("name") == F.lit(name.lower())).select(F.col("entity_id").alias("seed"))
+        known = {
+            "search_chunks": lambda query, top_k=5: self.search(asked(query), top_k),
+            "query_graph": lambda name, hops=1: graph.expand(self.corpus.edges, seed(name), hops),
+            "query_rules": lambda word: self.rules.where(F.contains(F.lower(F.concat_ws(" ", "condition", "action")), F.lit(word.lower()))),
+            "query_state_machine": lambda state: state_moves(self.transitions, self.spark.createDataFrame([(state,)], "state string")),
+            "trace_path": lambda start, goal, hops=6: graph.simple_paths(self.transitions, self.spark.createDataFrame([(start, goal)], "start string, goal string"), hops),
+            "analyze_impact": lambda name, depth=3: graph.impact(self.corpus.edges, seed(name), depth),
+            "check_reachability": lambda: graph.degrees(self.transitions.select(F.col("src").alias("node")).distinct(), self.transitions),
+        }
+        return Tools(known, limit)

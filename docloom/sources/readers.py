@@ -73,6 +73,35 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(text("rule_id").alias("rule_id"), text("module").alias("module"), text("rule_type").alias("rule_type"), text("condition_expr", "condition").alias("condition"), text("action", "action_text").alias("action"), text("source_section", "section").alias("section"), F.coalesce("r.confidence", F.lit(0.0)).alias("confidence"))
 
 
+def read_sections(spark: SparkSession, path: str) -> DataFrame:
+    """A section tree at rest: (section_id, parent_id, level, number, title, module, start_idx, end_idx); missing modules are ''."""
+    one = "array<struct<section_id:string,id:string,parent_id:string,level:int,number:string,title:string,module:string,start_idx:int,end_idx:int>>"
+    rows = _json(spark, path, f"sections {one}, nodes {one}").select(F.explode(_either("sections", "nodes")).alias("s"))
+    return rows.select(F.coalesce("s.section_id", "s.id").alias("section_id"), "s.parent_id", F.coalesce("s.level", F.lit(1)).alias("level"), "s.number", F.coalesce("s.title", F.lit("")).alias("title"), F.coalesce("s.module", F.lit("")).alias("module"), "s.start_idx", "s.end_idx")
+
+
+def data_sets(spark: SparkSession, folder: str, marker: str = "knowledge_graph.json") -> DataFrame:
+    """(name, path, entities, relations) of each data set below a folder: a folder that holds ``marker``."""
+    node, edge = "array<struct<id:string>>", "array<struct<type:string>>"
+    raw = _json(spark, f"{folder}/*/{marker}", f"entities {node}, nodes {node}, relationships {edge}, edges {edge}").withColumn("file", F.input_file_name())
+    home = F.regexp_extract("file", "^(.*)/[^/]+$", 1)
+    count = lambda a, b: F.coalesce(F.size(_either(a, b)), F.lit(0))
+    return raw.select(F.regexp_extract(home, "([^/]+)$", 1).alias("name"), home.alias("path"), F.greatest(count("entities", "nodes"), F.lit(0)).alias("entities"), F.greatest(count("relationships", "edges"), F.lit(0)).alias("relations"))
+
+
+def pictures(items: DataFrame, source: str = "source") -> DataFrame:
+    """(doc_id, idx, name, suffix, content) of images given as data URIs: named by the first 12 signs of their content's MD5, each content once a document.
+
+    Vector markup has no picture and is left out.
+    """
+    uri = F.col(source)
+    suffix = F.lower(F.regexp_extract(uri, "^data:image/([A-Za-z0-9]+)", 1))
+    content = F.try_to_binary(F.regexp_extract(uri, "base64,(.*)$", 1), F.lit("base64"))
+    rows = items.where(uri.startswith("data:image/") & ~suffix.isin("svg", "vml")).select("doc_id", "idx", suffix.alias("suffix"), content.alias("content")).where("content is not null")
+    named = rows.withColumn("name", F.left(F.md5("content"), F.lit(12)))
+    return named.groupBy("doc_id", "name").agg(F.min("idx").alias("idx"), F.min_by("suffix", "idx").alias("suffix"), F.min_by("content", "idx").alias("content")).select("doc_id", "idx", "name", "suffix", "content")
+
+
 def read_state_machines(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
     """(states, transitions) of all files of a glob, every module kept apart; single and multi-module layouts."""
     state = "array<struct<name:string,is_initial:boolean,is_terminal:boolean>>"

@@ -45,3 +45,17 @@ def machine_summary(transitions: DataFrame) -> DataFrame:
     """(module, summary): a line for each transition, sorted."""
     line = F.concat("src", F.lit(" -> "), "dst", F.when(F.col("guard") != "", F.concat(F.lit(" ["), "guard", F.lit("]"))).otherwise(""))
     return transitions.groupBy("module").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("summary"))
+
+
+def image_paths(images: DataFrame) -> DataFrame:
+    """Images (module, section, content, suffix) with their place in an object store: module/section/first 8 signs of the MD5.suffix."""
+    name = F.concat(F.left(F.md5("content"), F.lit(8)), F.lit("."), F.coalesce(F.nullif("suffix", F.lit("")), F.lit("png")))
+    part = lambda c, other: F.coalesce(F.nullif(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\w.-]+", "_"), F.lit("")), F.lit(other))
+    return images.withColumn("storage_path", F.concat_ws("/", part("module", "unknown"), part("section", "root"), name))
+
+
+def captioned(images: DataFrame, captions: DataFrame) -> DataFrame:
+    """Images with what a vision model said of their content (name, image_type, description), '' where it has not been asked; descriptions are cut at 500."""
+    said = captions.groupBy("name").agg(F.min_by("image_type", "description").alias("image_type"), F.min("description").alias("description"))
+    joined = images.join(said, "name", "left")
+    return joined.withColumn("image_type", F.coalesce("image_type", F.lit(""))).withColumn("description", F.left(F.coalesce("description", F.lit("")), F.lit(500)))
