@@ -90,9 +90,10 @@ def page_ranges(tree: DataFrame, items: DataFrame) -> DataFrame:
     return ancestors(tree).join(own, ["doc_id", "start_idx"]).groupBy("doc_id", F.col("ancestor_idx").alias("start_idx")).agg(F.min("lo").alias("first_page"), F.max("hi").alias("last_page"))
 
 
-def context(items: DataFrame, before: int = 5, after: int = 5, width: int = 200) -> DataFrame:
-    """Items with the cut texts of their neighbours in order, joined by blanks."""
-    cut = F.left(text_of("text"), F.lit(width))
+def context(items: DataFrame, before: int = 5, after: int = 5, width: int = 200, title: int = 100) -> DataFrame:
+    """Items with the cut texts of their neighbours in order, joined by blanks; titles stand in brackets."""
+    t = text_of("text")
+    cut = F.when(F.col("type") == "title", F.concat(F.lit("["), F.left(t, F.lit(title)), F.lit("]"))).otherwise(F.left(t, F.lit(width)))
     w = doc_window()
     return items.withColumn("context_before", F.array_join(F.collect_list(cut).over(w.rowsBetween(-before, -1)), " ")).withColumn("context_after", F.array_join(F.collect_list(cut).over(w.rowsBetween(1, after)), " "))
 

@@ -93,3 +93,9 @@ def hallucination(sentences: DataFrame, evidence: DataFrame, least: float = 0.3)
 def confusion(results: DataFrame) -> DataFrame:
     """(expected, actual, n)."""
     return results.groupBy("expected", "actual").agg(F.count(F.lit(1)).alias("n"))
+
+
+def group_counts(df: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """(columns..., n): rows counted by several sets of columns in one pass; a column that a set leaves out is null."""
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    return df.groupingSets([[df[c] for c in s] for s in sets], *(df[c] for c in columns)).agg(F.count(F.lit(1)).alias("n"))

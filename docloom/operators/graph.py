@@ -32,6 +32,11 @@ def lookup_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
     return names.withColumn("key", F.lower("term")).join(entities.withColumn("key", F.lower("name")), "key").select("term", "entity_id", "name")
 
 
+def modules(entities: DataFrame) -> DataFrame:
+    """(entity_id, name) of the modules."""
+    return entities.where("entity_type = 'module'").select("entity_id", "name")
+
+
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, relations: tuple[str, ...] | None = None, direction: str = "both") -> DataFrame:
     """(seed, node, distance, rel): nodes within ``hops`` of each seed, the relation of the edge that found them first.
 

@@ -6,7 +6,7 @@ is forced to broadcast, so adaptive execution does so only where the measured si
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,11 +184,39 @@ def diverse(df: DataFrame, kind: str, cap: int, k: int) -> DataFrame:
     return ranked(df.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap).drop("nth", "rank"), k)
 
 
-def char_budget(df: DataFrame, budget: int, width: int = 500, header: int = 20) -> DataFrame:
-    """Rows in rank order as long as their blocks (cut text and header) fit the budget: a prefix, as the sums only grow."""
+def char_budget(df: DataFrame, budget: int, width: int = 500, header: int = 20, most: int = 8) -> DataFrame:
+    """The first ``most`` rows in rank order as long as their blocks (cut text and header) fit the budget: a prefix, as the sums only grow."""
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     block = F.least(F.length("text"), F.lit(width)) + header
-    return df.withColumn("used", F.sum(block).over(w)).where(F.col("used") <= budget)
+    nth = F.count(F.lit(1)).over(w)
+    return df.withColumn("used", F.sum(block).over(w)).withColumn("nth_", nth).where((F.col("used") <= budget) & (F.col("nth_") <= most)).drop("nth_")
+
+
+def hashed_embedding(tokens: Column, dim: int = 64) -> Column:
+    """A deterministic stand-in for a model: token counts in ``dim`` slots (by MD5), as a unit vector; zeros without tokens."""
+    slots = F.transform(tokens, lambda t: F.conv(F.left(F.md5(t.cast("binary")), F.lit(8)), 16, 10).cast("long") % dim)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+
+def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]] | None = None, text: str = "text", vector: str = "vector", tokens=tokenize, dim: int = 64) -> DataFrame:
+    """``df`` with vectors where ``vector`` is null or missing: by a model (texts to vectors, called batch by batch), else ``hashed_embedding``."""
+    have = F.col(vector).cast("array<double>") if vector in df.columns else F.lit(None).cast("array<double>")
+    rest = [c for c in df.columns if c != vector]
+    if model is None:
+        return df.select(*rest, F.coalesce(have, hashed_embedding(tokens(text), dim)).alias(vector))
+    rows = df.select(*rest, have.alias(vector))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, texts = b.column(vector).to_pylist(), b.column(text).to_pylist()
+            open_ = [k for k, v in enumerate(found) if v is None]
+            for k, v in zip(open_, model([texts[k] or "" for k in open_]) if open_ else [], strict=True):
+                found[k] = list(map(float, v))
+            yield b.set_column(b.schema.get_field_index(vector), vector, pa.array(found, pa.list_(pa.float64())))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def min_score(df: DataFrame, least: float = 0.0) -> DataFrame:

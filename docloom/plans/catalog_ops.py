@@ -4,6 +4,8 @@
 and both read whole.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from docloom.operators import enrich, etl, evaluation, graph, reasoning, search
 from docloom.plans import agent, planner, retrieval
 from docloom.plans.domain import Domain, body_control
 from docloom.plans.registry import Tables, query
-from docloom.sources import sinks
+from docloom.sources import readers, sinks
+from docloom.sources.storage import shared_folder
 
 # --- fixtures --------------------------------------------------------------------------------------------------------
 
@@ -703,3 +706,138 @@ def section_and_entity_recall(t: Tables) -> DataFrame:
     found, expected = F.array("c_name", "c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, F.array("c_name", F.lit("zz"))).otherwise(F.array().cast("array<string>"))
     prefix = F.exists(F.array(F.left("c_mktsegment", F.lit(1)), F.lit("Cust")), lambda p: F.startswith(F.col("c_name"), p))
     return t.customer.select("c_custkey", prefix.alias("in_section"), F.round(evaluation.recall(found, expected), 6).alias("recall"))
+
+
+# --- readers: artefacts are written to the shared folder as the JSON they lie in, and read back -----------------------
+
+
+def _written(t: Tables, rows: DataFrame, head: str, body: Column, tail: str = "]}") -> str:
+    """A JSON file of one object whose list holds ``body`` of each row."""
+    folder = f"{shared_folder(t.spark)}/json-{uuid.uuid4().hex}"
+    parts = F.array_join(F.array_sort(F.collect_list(body)), ",")
+    rows.agg(F.concat(F.lit(head), parts, F.lit(tail)).alias("value")).coalesce(1).write.text(folder)
+    return folder
+
+
+def _json(**fields: Column) -> Column:
+    return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
+
+
+@query("SELECT 'c' || n_nationkey AS chunk_id, n_name AS text, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS n_entities, false AS has_table FROM nation")
+def read_chunk_files(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    one = _json(chunk_id=_text("c", k), text=F.col("n_name"), entities=F.when(k % 2 == 0, F.array(F.lit("e"))))
+    got = readers.read_chunks(t.spark, _written(t, t.nation, '{"text_chunks": [', one))
+    return got.select("chunk_id", "text", F.size("entities").alias("n_entities"), "has_table")
+
+
+@query("SELECT 'p' || n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN '0.0/0.0' ELSE n_nationkey || '.0/1.5' END AS vector FROM nation")
+def read_point_files(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    one = _json(id=_text("p", k), vector=F.when(k % 3 > 0, F.array(k.cast("double"), F.lit(1.5))))
+    got = readers.read_points(t.spark, _written(t, t.nation, '{"dim": 2, "points": [', one))
+    return got.select("id", F.array_join(F.transform("vector", lambda x: x.cast("string")), "/").alias("vector"))
+
+
+@query("SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'in' AS rel, 1.0::DOUBLE AS weight, r_name AS name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 5 > 0")
+def read_graph_files(t: Tables) -> DataFrame:
+    """Nodes and edges under their other names; edges without a source are left out, sources without a node are bare."""
+    k = F.col("n_nationkey")
+    nodes = t.region.agg(F.array_join(F.array_sort(F.collect_list(_json(id=_text("r", F.col("r_regionkey")), name=F.col("r_name"), type=F.lit("region")))), ",").alias("nodes"))
+    edges = t.nation.agg(F.array_join(F.collect_list(_json(source=F.when(k % 5 > 0, _text("n", k)).otherwise(""), target=_text("r", F.col("n_regionkey")), type=F.lit("IN"))), ",").alias("edges"))
+    folder = f"{shared_folder(t.spark)}/json-{uuid.uuid4().hex}"
+    nodes.crossJoin(edges).select(F.concat(F.lit('{"nodes": ['), "nodes", F.lit('], "edges": ['), "edges", F.lit("]}"))).coalesce(1).write.text(folder)  # one row each
+    entities, links = readers.read_graph(t.spark, folder)
+    named = entities.where("entity_type = 'region'").select(F.col("entity_id").alias("dst"), "name")
+    bare = entities.where("entity_type = ''").select(F.col("entity_id").alias("src"))
+    return links.join(named, "dst").join(bare, "src", "left_semi").select("src", "dst", "rel", "weight", "name")
+
+
+@query("SELECT 'R' || p_partkey AS rule_id, p_brand AS module, 'size = ' || p_size AS condition, p_type AS action, 0.0::DOUBLE AS confidence FROM part")
+def read_rule_files(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    one = _json(rule_id=_text("R", k), module=F.col("p_brand"), condition_expr=F.when(k % 2 == 0, _text("size = ", F.col("p_size"))), condition=F.when(k % 2 == 1, _text("size = ", F.col("p_size"))), action_text=F.col("p_type"))
+    return readers.read_rules(t.spark, _written(t, t.part, '{"rules": [', one)).select("rule_id", "module", "condition", "action", "confidence")
+
+
+@query(f"WITH {_M} SELECT 'K' AS module, src, dst, guard FROM m")
+def read_machine_files(t: Tables) -> DataFrame:
+    one = _json(source=F.col("src"), target=F.col("dst"), guard=F.nullif("guard", F.lit("")))
+    return readers.read_state_machines(t.spark, _written(t, _machine(t), '{"module": "K", "states": [], "transitions": [', one))[1].select("module", "src", "dst", "guard")
+
+
+@query("SELECT 's' || n_nationkey AS section_id, 's' || n_regionkey AS parent_id, 1 AS level, n_name AS title, '' AS module FROM nation")
+def read_section_files(t: Tables) -> DataFrame:
+    one = _json(id=_text("s", F.col("n_nationkey")), parent_id=_text("s", F.col("n_regionkey")), title=F.col("n_name"))
+    return readers.read_sections(t.spark, _written(t, t.nation, '{"nodes": [', one)).select("section_id", "parent_id", "level", "title", "module")
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '(?s)<h1[^>]*>\\s*[^<\\s]') AND NOT contains(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&')")
+def page_titles(t: Tables) -> DataFrame:
+    """Titles of level 1 as the page parser finds them, of pages whose title has no character entity."""
+    plain = t.pages.where(F.col("html").rlike(r"(?s)<h1[^>]*>\s*[^<\s]") & ~F.contains(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1), F.lit("&")))
+    first = readers.page_items(plain).where("type = 'title' and level = 1").groupBy("doc_id").agg(F.min_by("text", "idx").alias("title"))
+    return first.select(F.col("doc_id").cast("long").alias("page_id"), "title")
+
+
+@query("SELECT n_regionkey AS doc_id, n_nationkey AS idx, n_nationkey % 3 AS page, CASE WHEN n_nationkey % 4 = 0 THEN 'title' ELSE 'paragraph' END AS type, CASE WHEN n_nationkey % 4 = 0 THEN 2 END AS level, n_name AS text FROM nation WHERE n_nationkey % 7 > 0")
+def page_wrapping(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    flat = t.nation.select(F.col("n_regionkey").alias("doc_id"), k.alias("idx"), (k % 3).alias("page_idx"), F.when(k % 7 == 0, "footer").otherwise("text").alias("type"), F.when(k % 4 == 0, 2).alias("text_level"), F.col("n_name").alias("text"), F.lit(None).cast("string").alias("html"))
+    return etl.page_wrap(flat).select("doc_id", "idx", "page", "type", "level", "text")
+
+
+# --- more sinks, evidence, embeddings --------------------------------------------------------------------------------
+
+
+@query(f"WITH {_M} SELECT module, string_agg(src || ' -> ' || dst || CASE WHEN guard <> '' THEN ' [' || guard || ']' ELSE '' END, chr(10) ORDER BY src || ' -> ' || dst || CASE WHEN guard <> '' THEN ' [' || guard || ']' ELSE '' END) AS summary FROM m GROUP BY 1")
+def machine_summaries(t: Tables) -> DataFrame:
+    return sinks.machine_summary(_machine(t))
+
+
+@query("SELECT doc_id AS id, lang AS module, length(left(coalesce(text, ''), 5000)) AS n FROM documents")
+def point_payloads(t: Tables) -> DataFrame:
+    c = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("module"), F.lit("x").alias("chunk_type"), F.lit("").alias("section_path"), F.lit("").alias("section_title"), "text", F.col("text").alias("embedding_text"), F.lit(False).alias("has_table"), F.lit(1).alias("token_count"))
+    return sinks.vector_points(c).select("id", "payload.module", F.length("payload.embedding_text").alias("n"))
+
+
+@query("WITH r AS (SELECT s_nationkey AS query_id, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rank FROM supplier) SELECT query_id, string_agg('### ' || rank || '. ' || s_suppkey || chr(10) || s_name, chr(10) || chr(10) ORDER BY rank) AS evidence FROM r WHERE rank <= 8 GROUP BY 1")
+def evidence_markdown(t: Tables) -> DataFrame:
+    r = search.ranked(t.supplier.select(F.col("s_nationkey").alias("query_id"), F.col("s_suppkey").alias("doc_id"), (-F.col("s_suppkey")).alias("score"), F.col("s_suppkey").cast("string").alias("section_title"), F.col("s_name").alias("text")), 99)
+    return retrieval.evidence(r)
+
+
+@query("WITH w AS (SELECT n_nationkey, unnest(regexp_extract_all(lower(n_name), '[a-z0-9_]{2,}')) AS x FROM nation), b AS (SELECT n_nationkey, ('0x' || left(md5(x), 8))::BIGINT % 8 AS k, count(*) AS n FROM w GROUP BY 1, 2), s AS (SELECT n_nationkey, sqrt(sum(n * n)) AS norm FROM b GROUP BY 1) SELECT n_nationkey, k::INT AS slot, round(n / norm, 6) AS value FROM b JOIN s USING (n_nationkey)")
+def hashed_embeddings(t: Tables) -> DataFrame:
+    e = search.embed(t.nation.select("n_nationkey", F.col("n_name").alias("text")), dim=8)
+    return e.select("n_nationkey", F.posexplode("vector").alias("slot", "value")).where("value > 0").select("n_nationkey", "slot", F.round("value", 6).alias("value"))
+
+
+@query("SELECT n_regionkey AS doc_id, 'e' || n_nationkey AS src, 'section_' || (n_nationkey // 5 * 5) AS dst, 'belongs_to' AS rel, 0.1::DOUBLE AS weight FROM nation")
+def section_membership(t: Tables) -> DataFrame:
+    k = F.col("n_nationkey")
+    e = t.nation.select(F.col("n_regionkey").alias("doc_id"), k.alias("idx"), _text("e", k).alias("entity_id"))
+    placed = t.nation.select(F.col("n_regionkey").alias("doc_id"), k.alias("idx"), ((k / 5).cast("int") * 5).alias("section_idx"))
+    return etl.belongs_to(e, placed).select("doc_id", "src", "dst", "rel", "weight")
+
+
+@query("SELECT s_nationkey AS doc_id, s_name AS src, lead(s_name) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS dst, 'next_in_table' AS rel FROM supplier QUALIFY dst IS NOT NULL UNION ALL SELECT DISTINCT s_nationkey, s_name, 'ON' || (s_suppkey % 2), 'references' FROM supplier")
+def state_table_edges(t: Tables) -> DataFrame:
+    k = F.col("s_suppkey")
+    records = t.supplier.select(F.col("s_nationkey").alias("doc_id"), F.lit(0).alias("idx"), F.lit("state_machine").alias("table_class"), k.cast("int").alias("row_index"), F.create_map(F.lit("power_mode"), _text("ON", k % 2)).alias("fields"), F.col("s_name").alias("name"))
+    return enrich.table_edges(records)
+
+
+@query("SELECT 'module_' || r_regionkey AS entity_id, r_name AS name FROM region")
+def module_list(t: Tables) -> DataFrame:
+    e = t.region.select(_text("module_", F.col("r_regionkey")).alias("entity_id"), F.col("r_name").alias("name"), F.lit("module").alias("entity_type"))
+    return graph.modules(e.unionByName(t.nation.select(F.col("n_name").alias("entity_id"), F.col("n_name").alias("name"), F.lit("nation").alias("entity_type"))))
+
+
+@query("SELECT c_nationkey AS doc_id, c_mktsegment AS module, '1' AS section_path, string_agg(c_name || ' is the name of a customer', chr(10) ORDER BY c_custkey) AS text, (length(string_agg(c_name || ' is the name of a customer', chr(10) ORDER BY c_custkey)) // 3)::INT AS token_count FROM customer WHERE c_custkey % 5 > 0 GROUP BY 1, 2")
+def chunk_optimisation(t: Tables) -> DataFrame:
+    """Heading-only chunks go, chunks of a section are joined in the order of their ids; stubs go last."""
+    k = F.col("c_custkey")
+    text = F.when(k % 5 == 0, "## a\n## b\n### c\n").otherwise(F.concat("c_name", F.lit(" is the name of a customer")))
+    c = t.customer.select(F.col("c_nationkey").alias("doc_id"), F.col("c_mktsegment").alias("module"), F.lit("1").alias("section_path"), text.alias("text"), F.format_string("%09d", k).alias("chunk_id"), F.lit(False).alias("has_table"))
+    return etl.optimise_chunks(c).select("doc_id", "module", "section_path", "text", "token_count")

@@ -207,7 +207,7 @@ def diversity_topk(t: Tables) -> DataFrame:
     return search.diverse(pool, "lang", 3, 8).select("query_id", "doc_id", "lang", "rank")
 
 
-@query(f"WITH {_BM25}, u AS (SELECT query_id, doc_id, rank, sum(least(length(text), 500) + 20) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM bt JOIN documents USING (doc_id) WHERE rank <= 20) SELECT query_id, doc_id, rank, used::BIGINT AS used FROM u WHERE used <= 4000")
+@query(f"WITH {_BM25}, u AS (SELECT query_id, doc_id, rank, sum(least(length(text), 500) + 20) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM bt JOIN documents USING (doc_id) WHERE rank <= 20) SELECT query_id, doc_id, rank, used::BIGINT AS used FROM u WHERE used <= 4000 AND rank <= 8")
 def evidence_char_budget(t: Tables) -> DataFrame:
     pool = _bm25(t, 20).join(t.documents.select("doc_id", "text"), "doc_id")
     return search.char_budget(pool, 4000).select("query_id", "doc_id", "rank", F.col("used").cast("long").alias("used"))

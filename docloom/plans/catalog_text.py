@@ -58,7 +58,7 @@ def section_breadcrumbs(t: Tables) -> DataFrame:
     return etl.breadcrumbs(etl.sections(_lines(t))).select("doc_id", F.col("start_idx").cast("long").alias("start_idx"), "breadcrumb")
 
 
-@query(f"WITH {_ITEMS} SELECT doc_id, idx, coalesce(string_agg(left(text, 200), ' ') OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS context_before, coalesce(string_agg(left(text, 200), ' ') OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), '') AS context_after FROM items")
+@query(f"WITH {_ITEMS} SELECT doc_id, idx, coalesce(string_agg(CASE WHEN type = 'title' THEN '[' || left(text, 100) || ']' ELSE left(text, 200) END, ' ') OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS context_before, coalesce(string_agg(CASE WHEN type = 'title' THEN '[' || left(text, 100) || ']' ELSE left(text, 200) END, ' ') OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), '') AS context_after FROM items")
 def context_window(t: Tables) -> DataFrame:
     return etl.context(_lines(t)).select("doc_id", F.col("idx").cast("long").alias("idx"), "context_before", "context_after")
 
@@ -97,8 +97,7 @@ def voltage_range_parse(t: Tables) -> DataFrame:
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
 def group_counts_grouping_sets(t: Tables) -> DataFrame:
-    d = t.documents
-    return d.groupingSets([[d.lang], [d.source], [d.lang, d.source], []], d.lang, d.source).agg(F.count(F.lit(1)).alias("n")).select("lang", "source", "n")
+    return evaluation.group_counts(t.documents, [["lang"], ["source"], ["lang", "source"], []]).select("lang", "source", "n")
 
 
 @query("SELECT c_custkey, trim(regexp_replace(left(regexp_replace(regexp_replace(c_name || ' / ' || c_mktsegment, '[^\\p{L}\\p{N}_]', '_', 'g'), '_+', '_', 'g'), 50), '^_+|_+$', '', 'g')) AS safe, 'RULE_' || c_mktsegment || '_' || left(c_name, 10) || '_' || left(md5(c_name), 8) AS rule FROM customer")

@@ -61,7 +61,7 @@ class Engine:
         return queries.select("query_id", "query", select_template("query", self.domain).alias("template"))
 
     def modules(self) -> DataFrame:
-        return self.corpus.entities.where("entity_type = 'module'").select("entity_id", "name").orderBy("name")
+        return graph.modules(self.corpus.entities).orderBy("name")
 
     def ask(self, question: str) -> dict[str, NodeOutput | str]:
         """One question through its plan; nodes' rows are DataFrames, the answer text comes from the model or is the evidence itself."""
