@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import read_table, tokenizer_path
+from docloom.llm.common import read_table, spread, tokenizer_path
 
 #: Pre-tokens that each of a worker's two generations keeps (some 200 bytes each).
 CACHE_WORDS = 350_000
@@ -177,7 +177,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = [bpe.encode(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], schema=out)
 
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return spread(rows).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -208,7 +208,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 text_hex.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], schema=out)
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(rows).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

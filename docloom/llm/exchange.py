@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, release
+from docloom.llm.common import materialize, release, spread
 
 CHUNK_BYTES = 8 << 20
 
@@ -90,7 +90,7 @@ def chunk_documents(docs: DataFrame, encode: Callable[[list[bytes]], bytes], id_
         if ids:
             yield close()
 
-    return materialize(rows.mapInArrow(run, CHUNK_DDL), name)
+    return materialize(spread(rows).mapInArrow(run, CHUNK_DDL), name)
 
 
 def doc_columns(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

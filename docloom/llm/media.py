@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import local_path, read_table, shared_path
+from docloom.llm.common import local_path, read_table, shared_path, spread
 
 WIDTH = 576
 _ENTRY, _FOOTER = struct.Struct("<?xxxxxxxqQQIxxxx"), struct.Struct("<QQ8s")
@@ -240,7 +240,8 @@ def store_texts(docs: DataFrame, target: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(stored, pa.binary())], schema=_SCHEMA)
 
     docs.sparkSession.dataSource.register(PayloadArchive)
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).mapInArrow(run, _DDL)
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
+    rows = spread(rows).mapInArrow(run, _DDL)
     rows.write.format("payload_archive").mode("append").save(target)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import read_table, release
+from docloom.llm.common import read_table, release, spread
 
 DIM, THRESHOLD = 1 << 20, 0.3
 #: Parts of the sample for raw scores of rows that the weights haven't seen, and the pull of the slope towards 1.
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([known.probability(extract.of(t.as_py())) for t in b.column(2)], pa.float64())], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), in_held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return spread(rows).mapInArrow(run, "doc_id long, held_out boolean, score double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,4 +246,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
             keep = [known.probability(extract.of(t.as_py())) < threshold for t in b.column(at)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
