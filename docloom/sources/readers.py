@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.sources.office import PARSERS
+
 ITEM_DDL = "type string, level int, text string, html string"
 TEXT_SUFFIXES = (".html", ".htm", ".md", ".txt", ".csv")
 
@@ -219,13 +221,14 @@ _TEXT: dict[str, Parser] = {".html": lambda b: html_items(b.decode("utf-8", "rep
 _TEXT |= {".htm": _TEXT[".html"], ".txt": _TEXT[".md"], ".csv": lambda b: markdown_items("\n".join("|" + "|".join(x.split(",")) + "|" for x in b.decode("utf-8", "replace").splitlines()))}
 
 
-def parse_documents(spark: SparkSession, path: str, parsers: dict[str, Parser] | None = None) -> DataFrame:
+def parse_documents(spark: SparkSession, path: str, parsers: dict[str, Parser | list[Parser]] | None = None) -> DataFrame:
     """Items of all files under a path (globs allowed), one binary scan: doc_id (path), idx, page, type, level, text, html, warnings.
 
-    ``parsers`` adds or replaces formats by suffix (office formats and PDF need libraries of the caller's choice). A file that
-    can't be parsed gives one row with a warning instead of failing the job.
+    ``parsers`` adds or replaces formats by suffix; several for one suffix are tried in order until one succeeds, and what the
+    others said stays as warnings (PDF needs a library of the caller's choice). A file that can't be parsed at all gives one row
+    with warnings instead of failing the job.
     """
-    known = {**_TEXT, **(parsers or {})}
+    known = {**_TEXT, **PARSERS, **(parsers or {})}
     ddl = f"doc_id string, idx int, page int, {ITEM_DDL}, warnings array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,13 +237,17 @@ def parse_documents(spark: SparkSession, path: str, parsers: dict[str, Parser] |
             rows = []
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
                 suffix = re.search(r"(\.[^./]+)?$", name)[0].lower()
-                try:
-                    items = known[suffix](bytes(data))
-                    rows += [(name, i, 0, *x, []) for i, x in zip(count(), items)]
-                except KeyError:
-                    rows.append((name, None, None, None, None, None, None, [f"no parser for {suffix or 'files without suffix'}"]))
-                except Exception as e:  # noqa: BLE001  a broken file is a warning
-                    rows.append((name, None, None, None, None, None, None, [f"{type(e).__name__}: {e}"]))
+                chain, warnings, items = known.get(suffix, []), [], None
+                for parser in chain if isinstance(chain, (list, tuple)) else [chain]:
+                    try:
+                        items = parser(bytes(data))
+                        break
+                    except Exception as e:  # noqa: BLE001  a broken file is a warning
+                        warnings.append(f"{type(e).__name__}: {e}")
+                if items is not None:
+                    rows += [(name, i, 0, *x, warnings) for i, x in zip(count(), items)]
+                else:
+                    rows.append((name, None, None, None, None, None, None, warnings or [f"no parser for {suffix or 'files without suffix'}"]))
             out = pd.DataFrame(rows, columns=names)
             for c in ("idx", "page", "level"):
                 out[c] = out[c].astype("Int32")
