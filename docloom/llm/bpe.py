@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import read_table, spread, tokenizer_path
 
 #: Pre-tokens that each of a worker's two generations keeps (some 200 bytes each).
-CACHE_WORDS = 350_000
+CACHE_WORDS = 500_000
 _PLACE = (1 << 40) - 1
 #: Fixed value: the public pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
