@@ -15,6 +15,7 @@ from docloom.plans.domain import Domain, Domains
 from docloom.plans.planner import NodeOutput, build_plan, run_plan, select_template
 from docloom.plans.retrieval import Corpus, evidence, retrieve
 from docloom.sources import readers, sinks
+from docloom.sources.storage import stored
 
 
 class Engine:
@@ -51,8 +52,11 @@ class Engine:
     def export(self, tables: dict[str, DataFrame], folder: str) -> None:
         sinks.write_json(tables, folder)
 
-    def load(self, chunks: DataFrame, entities: DataFrame, edges: DataFrame, points: DataFrame | None = None, rules: DataFrame | None = None, transitions: DataFrame | None = None) -> None:
-        self.corpus, self.rules, self.transitions = Corpus(chunks, entities, edges, points), rules, transitions
+    def load(self, chunks: DataFrame, entities: DataFrame, edges: DataFrame, points: DataFrame | None = None, rules: DataFrame | None = None, transitions: DataFrame | None = None, store: bool = True) -> None:
+        """What searches run on. Each search reads these tables several times, so they are written to the shared folder first;
+        ``store=False`` takes them as they are, which is right for tables at rest."""
+        keep = lambda df: stored(df) if store and df is not None else df
+        self.corpus, self.rules, self.transitions = Corpus(keep(chunks), keep(entities), keep(edges), keep(points)), keep(rules), keep(transitions)
 
     def search(self, queries: DataFrame, top_k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
         return retrieve(queries, self.corpus, self.domain, top_k, vectors)

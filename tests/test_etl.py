@@ -116,7 +116,7 @@ def test_pipeline(spark, items):
     engine = Engine(spark)
     made = engine.analyse(items)
     moves = spark.createDataFrame([("Inactive", "Driving", "")], "src string, dst string, guard string")
-    engine.load(made["chunks"].cache(), made["entities"], made["edges"], rules=made["rules"].withColumn("module", F.lit("m")), transitions=moves)
+    engine.load(made["chunks"], made["entities"], made["edges"], rules=made["rules"].withColumn("module", F.lit("m")), transitions=moves)
     queries = spark.createDataFrame([(1, "PEPS_Mode 触发条件"), (2, "   ")], "query_id long, query string")
     got = engine.search(queries, 3).collect()
     assert {r.query_id for r in got} == {1}
