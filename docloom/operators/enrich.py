@@ -5,29 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import signals, text_of
+from docloom.functions.text import text_of
 from docloom.operators.graph import enrich, resolve_names
+from docloom.operators.matching import contains_join
+
+
+# What counts as a signal in guards and rules, the words of faults, and the states that a rule may enter.
+NAMED_SIGNAL = "[A-Z][A-Za-z0-9_]{3,}"
+FAULT_WORDS = ("故障", "失效", "丢失", "超时", "短路", "断路", "异常", "fault", "error")
+ENTERED_STATES = ("abandoned", "inactive", "convenience", "driving", "active", "standby", "sleep", "off", "on")
+
+
+def _found(c: Column | str) -> Column:
+    return F.regexp_extract_all(text_of(c), F.lit(NAMED_SIGNAL), F.lit(0))
+
+
+def state_ids(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """(module, name, entity_id): a state's entity in its own module, else the first state of that name in any."""
+    states = entities.where("entity_type = 'state'").select("entity_id", F.lower("name").alias("key"), text_of("module").alias("home"))
+    hit = names.select("module", "name").distinct().join(states, F.lower("name") == F.col("key"))
+    return hit.groupBy("module", "name").agg(F.min_by("entity_id", F.struct(F.col("home") != F.col("module"), "entity_id")).alias("entity_id"))
 
 
 def guard_edges(transitions: DataFrame, entities: DataFrame) -> DataFrame:
-    """guarded_by edges from a transition's target state to the entities its guard names: weight 0.8 for an exact name, 0.7 for a part."""
-    named = transitions.select("dst", F.explode(signals("guard")).alias("name")).distinct()
-    found = resolve_names(named.select("name").distinct(), entities)
-    return named.join(found, "name").select(F.col("dst").alias("src"), F.col("entity_id").alias("dst"), F.lit("guarded_by").alias("rel"), F.when(F.col("tier") == "exact", 0.8).otherwise(0.7).alias("weight"))
+    """guarded_by edges from a transition's source state (0.8) and target state (0.7) to each entity that its guard names.
+
+    A name is that of an entity, else the first entity whose name holds it. States without an entity have no edge.
+    """
+    module = text_of("module") if "module" in transitions.columns else F.lit("")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("state"), F.lit(0.8).alias("weight")), F.struct(F.col("dst").alias("state"), F.lit(0.7).alias("weight"))))
+    told = transitions.select(module.alias("module"), ends.alias("e"), F.array_distinct(_found("guard")).alias("named")).select("module", "e.*", F.explode("named").alias("signal"))
+    states = state_ids(told.select("module", F.col("state").alias("name")), entities).select("module", F.col("name").alias("state"), F.col("entity_id").alias("src"))
+    known = resolve_names(told.select(F.col("signal").alias("name")).distinct(), entities).select(F.col("name").alias("signal"), F.col("entity_id").alias("dst"))
+    made = told.join(states, ["module", "state"]).join(known, "signal")
+    return made.groupBy("src", "dst").agg(F.max("weight").alias("weight")).select("src", "dst", F.lit("guarded_by").alias("rel"), "weight")
+
+
+def rule_entity(module: Column | str = "module", rule: Column | str = "rule_id") -> Column:
+    """The id of a rule as a function of its module."""
+    return F.concat(F.lit("function_"), text_of(module), F.lit("_"), F.col(rule).cast("string") if isinstance(rule, str) else rule)
+
+
+def rule_entities(rules: DataFrame) -> DataFrame:
+    """(entity_id, entity_type, name, module): rules as entities, so that edges to them have an end."""
+    return rules.select(rule_entity().alias("entity_id"), F.lit("function").alias("entity_type"), F.col("rule_id").cast("string").alias("name"), text_of("module").alias("module")).distinct()
 
 
 def rule_edges(rules: DataFrame, entities: DataFrame) -> DataFrame:
-    """controls (0.6: an action signal under a function's rule), detected_by (0.9: a fault and its condition signals) and triggers (0.7) edges."""
-    acting = rules.select("rule_id", "rule_type", F.explode(signals("action")).alias("name"))
-    causing = rules.select("rule_id", "rule_type", F.explode(signals("condition")).alias("name"))
-    known = resolve_names(acting.select("name").unionByName(causing.select("name")).distinct(), entities).select("name", "entity_id")
-    act = acting.join(known, "name").select("rule_id", F.col("entity_id").alias("effect"))
-    why = causing.join(known, "name").select("rule_id", "rule_type", F.col("entity_id").alias("cause"))
-    pairs = why.join(act, "rule_id").where("cause <> effect")
-    rel = F.when(F.col("rule_type") == "fault", "detected_by").when(F.col("rule_type").isin("output", "signal_value"), "controls").otherwise("triggers")
-    made = pairs.withColumn("rel", rel).withColumn("weight", F.when(F.col("rel") == "detected_by", 0.9).when(F.col("rel") == "controls", 0.6).otherwise(0.7))
-    ends = lambda a, b: F.when(F.col("rel") == "detected_by", F.col(b)).otherwise(F.col(a))  # noqa: E731  a fault points at what detects it
-    return made.select(ends("cause", "effect").alias("src"), ends("effect", "cause").alias("dst"), "rel", "weight")
+    """Edges between entities and rules (rule_id, module, condition, action).
+
+    controls (0.6): from each of the first three signals of a condition to the rule. detected_by (0.9): from the first fault entity that
+    names the rule's first fault word to the rule. triggers (0.7): from the rule to the state that its action names first.
+    """
+    r = rules.select(rule_entity().alias("rule"), text_of("condition").alias("condition"), text_of("action").alias("action"))
+    used = r.select("rule", F.explode(F.slice(_found("condition"), 1, 3)).alias("name"))
+    known = resolve_names(used.select("name").distinct(), entities).select("name", "entity_id")
+    controls = used.join(known, "name").select(F.col("entity_id").alias("src"), F.col("rule").alias("dst"), F.lit("controls").alias("rel"), F.lit(0.6).alias("weight"))
+
+    def first_word(c: Column, words: tuple[str, ...]) -> Column:
+        return F.try_element_at(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(c, w)), F.lit(1))
+
+    said = F.lower(F.concat("condition", F.lit(" "), "action"))
+    names = entities.select("entity_id", "entity_type", F.lower("name").alias("key"))
+
+    def by_word(kind: str, words: tuple[str, ...]) -> DataFrame:
+        """(word, entity_id): for each word the entity of that name, else the first of this type that holds it; a bounded list of words."""
+        held = F.explode(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains("key", w)))
+        return names.where(F.col("entity_type") == kind).select("entity_id", "key", held.alias("word")).groupBy("word").agg(F.min_by("entity_id", F.struct(F.col("key") != F.col("word"), "entity_id")).alias("entity_id"))
+
+    faults = r.select("rule", first_word(said, FAULT_WORDS).alias("word")).join(by_word("fault", FAULT_WORDS), "word")
+    detected = faults.select(F.col("entity_id").alias("src"), F.col("rule").alias("dst"), F.lit("detected_by").alias("rel"), F.lit(0.9).alias("weight"))
+    entered = r.select("rule", first_word(F.lower("action"), ENTERED_STATES).alias("word")).join(by_word("state", ENTERED_STATES), "word")
+    triggers = entered.select(F.col("rule").alias("src"), F.col("entity_id").alias("dst"), F.lit("triggers").alias("rel"), F.lit(0.7).alias("weight"))
+    return controls.unionByName(detected).unionByName(triggers).distinct()
 
 
 def enrich_graph(edges: DataFrame, entities: DataFrame, rules: DataFrame, transitions: DataFrame) -> DataFrame:
@@ -43,32 +93,22 @@ def promote_pins(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s.select(key.alias("entity_id"), F.lit("hardware_pin").alias("entity_type"), F.col("pin").alias("name")).distinct(), s.select(F.col("entity_id").alias("src"), key.alias("dst"), F.lit("outputs").alias("rel"), F.lit(1.0).alias("weight"))
 
 
-def table_edges(records: DataFrame) -> DataFrame:
-    """(doc_id, src, dst, rel) from table records: pin and type of signals, succession of states, transitions, faults' reactions, configured functions."""
-    f = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit(""))
-    part = lambda kinds, src, dst, rel: records.where(F.col("table_class").isin(*kinds)).select("doc_id", src.alias("src"), dst.alias("dst"), F.lit(rel).alias("rel"))
-    name = F.col("name")
-    nxt = F.lead("name").over(Window.partitionBy("doc_id", "idx").orderBy("row_index"))
-    out = part(("signal_def", "output_pin"), name, f("pin"), "outputs")
-    out = out.unionByName(part(("signal_def", "output_pin"), name, f("signal_type"), "has_type"))
-    out = out.unionByName(records.where("table_class = 'state_machine'").select("doc_id", "idx", name.alias("src"), nxt.alias("dst"), F.lit("next_in_table").alias("rel")).drop("idx"))
-    out = out.unionByName(part(("state_machine",), name, f("power_mode"), "references"))
-    out = out.unionByName(part(("transition",), f("source_state"), f("target_state"), "transition_to"))
-    out = out.unionByName(part(("fault_diag",), name, f("reaction"), "reports"))
-    out = out.unionByName(part(("config_param",), name, f("description"), "configures"))
-    return out.where("src <> '' and dst <> ''").distinct()
-
-
 def rule_relevance(rules: DataFrame, intents: DataFrame, top: int = 8) -> DataFrame:
     """(query_id, rule_id, score, rank): module 3, each signal, state or function 2, each keyword 1; the best ``top``, ties by id.
 
-    intents: query_id and array columns modules, signals, states, functions, keywords.
+    intents: query_id and array columns modules, signals, states, functions, keywords. Rules and intents meet through the words that a
+    rule holds and through its module.
     """
-    words = intents.select("query_id", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("modules", "signals", "states", "functions", "keywords")])
-    said = F.lower(F.concat_ws(" ", "condition", "action"))
-    hits = lambda c: F.size(F.filter(c, lambda x: (x != "") & F.contains(said, F.lower(x))))
-    score = 3 * F.array_contains("modules", F.col("module")).cast("int") + 2 * (hits("signals") + hits("states") + hits("functions")) + hits("keywords")
-    scored = rules.crossJoin(words).withColumn("score", score).where("score > 0")  # a stated set of queries against the rules
+    r = rules.select("rule_id", "module", F.concat_ws(" ", "condition", "action").alias("said_by"))
+
+    def weighed(c: str, points: int) -> Column:
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(x.alias("word"), F.lit(points).alias("points")))
+
+    words = F.concat(weighed("signals", 2), weighed("states", 2), weighed("functions", 2), weighed("keywords", 1))
+    asked = intents.select("query_id", F.explode(words).alias("e")).select("query_id", "e.*").where("word <> ''")
+    hits = contains_join(r, "said_by", asked, "word").select("query_id", "rule_id", "module", "points")
+    home = intents.select("query_id", F.explode(F.array_distinct(F.coalesce("modules", F.array().cast("array<string>")))).alias("module")).join(r, "module").select("query_id", "rule_id", "module", F.lit(3).alias("points"))
+    scored = hits.unionByName(home).groupBy("query_id", "rule_id", "module").agg(F.sum("points").cast("int").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rule_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rule_id", "module", "score", "rank")
 

@@ -299,14 +299,21 @@ def split_transition(c: Column | str) -> Column:
 
 
 def table_rules(records: DataFrame, module: str = "") -> DataFrame:
-    """(rule_id, module, rule_type, condition, action, confidence) from voltage, configuration, signal and fault tables."""
+    """(rule_id, module, rule_type, condition, action, confidence) from voltage, configuration, signal and fault tables.
+
+    The module is that of the records, where they have one, else ``module``.
+    """
+    r = records if "module" in records.columns else records.withColumn("module", F.lit(module))
     f = lambda k: F.coalesce(F.try_element_at("fields", F.lit(k)), F.lit(""))
-    volt = records.where("table_class = 'voltage_range'").withColumn("v", voltage_range(F.coalesce(F.nullif(f("range"), F.lit("")), f("voltage"))))
-    volt = volt.where("v.low is not null").select(F.lit("voltage_range").alias("rule_type"), F.concat(F.lit("Voltage >= "), F.col("v.low").cast("string"), F.lit(" AND Voltage <= "), F.col("v.high").cast("string")).alias("condition"), F.concat_ws("; ", F.nullif(f("status"), F.lit("")), F.nullif(f("function"), F.lit(""))).alias("action"), F.lit(0.92).alias("confidence"))
-    code = records.where("table_class in ('config_param', 'can_signal')").select("table_class", "name", F.explode(coding_list(f("coding"))).alias("x"))
-    code = code.select(F.when(F.col("table_class") == "config_param", "config").otherwise("signal_value").alias("rule_type"), F.concat("name", F.lit(" = "), "x.code").alias("condition"), F.col("x.meaning").alias("action"), F.when(F.col("table_class") == "config_param", 0.90).otherwise(0.93).alias("confidence"))
-    fault = records.where("table_class = 'fault_diag'").select(F.lit("fault").alias("rule_type"), F.concat_ws(" AND ", "name", F.nullif(f("detection"), F.lit(""))).alias("condition"), f("reaction").alias("action"), F.when(f("recovery") != "", 0.88).otherwise(0.85).alias("confidence"))
-    rules = volt.unionByName(code).unionByName(fault).withColumn("module", F.lit(module))
+    rule = lambda kind, condition, action, sure: ["module", kind.alias("rule_type"), condition.alias("condition"), action.alias("action"), sure.alias("confidence")]
+    volt = r.where("table_class = 'voltage_range'").withColumn("v", voltage_range(F.coalesce(F.nullif(f("range"), F.lit("")), f("voltage")))).where("v.low is not null")
+    within = F.concat(F.lit("Voltage >= "), F.col("v.low").cast("string"), F.lit(" AND Voltage <= "), F.col("v.high").cast("string"))
+    volt = volt.select(*rule(F.lit("voltage_range"), within, F.concat_ws("; ", F.nullif(f("status"), F.lit("")), F.nullif(f("function"), F.lit(""))), F.lit(0.92)))
+    code = r.where("table_class in ('config_param', 'can_signal')").select("module", "table_class", "name", F.explode(coding_list(f("coding"))).alias("x"))
+    config = F.col("table_class") == "config_param"
+    code = code.select(*rule(F.when(config, "config").otherwise("signal_value"), F.concat("name", F.lit(" = "), "x.code"), F.col("x.meaning"), F.when(config, 0.90).otherwise(0.93)))
+    fault = r.where("table_class = 'fault_diag'").select(*rule(F.lit("fault"), F.concat_ws(" AND ", "name", F.nullif(f("detection"), F.lit(""))), f("reaction"), F.when(f("recovery") != "", 0.88).otherwise(0.85)))
+    rules = volt.unionByName(code).unionByName(fault)
     return first_by(rules.withColumn("rule_id", rule_id("module", "rule_type", F.concat("condition", F.lit("|"), "action"))), ["rule_id"], "condition")
 
 
@@ -406,33 +413,6 @@ def belongs_to(entities: DataFrame, placed: DataFrame) -> DataFrame:
     return entities.join(placed.select("doc_id", "idx", "section_idx"), ["doc_id", "idx"]).where("section_idx is not null").select("doc_id", F.col("entity_id").alias("src"), F.concat(F.lit("section_"), F.col("section_idx").cast("string")).alias("dst"), F.lit("belongs_to").alias("rel"), F.lit(0.1).alias("weight"), F.col("idx").cast("long").alias("ord")).distinct()
 
 
-def prose_rules(items: DataFrame, trigger: str = "前置条件|触发条件|Precondition|Trigger", action: str = "执行输出|Action|Output", ahead: int = 11) -> DataFrame:
-    """(doc_id, block, rule_id, condition, action, rule_type, confidence): marker blocks of paragraphs.
-
-    A trigger marker opens a block of at most ``ahead`` items, closed by the next title; an action marker switches the field.
-    """
-    t = text_of("text")
-    marked = items.withColumn("mark", F.when(F.col("type") == "title", "end").when(t.rlike(f"^\\s*(?:{trigger})"), "condition").when(t.rlike(f"^\\s*(?:{action})"), "action"))
-    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    opens = (F.col("mark") == "condition") & (F.coalesce(F.lag("mark").over(doc_window()), F.lit("end")) != "condition")
-    state = marked.withColumn("field", F.last("mark", ignorenulls=True).over(w)).withColumn("block", F.last(F.when(opens, F.col("idx")), ignorenulls=True).over(w))
-    inside = state.where(F.col("field").isin("condition", "action") & F.col("block").isNotNull() & (F.col("idx") - F.col("block") <= ahead))
-    body = F.trim(F.regexp_replace(t, f"^\\s*(?:{trigger}|{action})\\s*[:：]?", ""))
-    rows = inside.select("doc_id", "block", "field", "idx", body.alias("body")).where("body <> ''")
-    joined = lambda k, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == k, F.struct("idx", "body")))), lambda x: x["body"]), sep)
-    rules = rows.groupBy("doc_id", "block").agg(joined("condition", " AND ").alias("condition"), joined("action", "; ").alias("action")).where("condition <> ''")
-    kind = F.when(F.col("action").rlike("迁移到|进入|enter|transition"), "transition_guard").when(F.col("action").rlike("发送|输出|send|output"), "output").otherwise("condition_action")
-    return rules.withColumn("rule_type", kind).withColumn("rule_id", rule_id(F.lit(""), "rule_type", F.concat("condition", F.lit("|"), "action"))).withColumn("confidence", F.lit(0.80))
-
-
-def rules_to_transitions(rules: DataFrame) -> DataFrame:
-    """(module, src, dst, guard, rule_id) of transition guards: the state of the condition and the state the action enters."""
-    state = "([A-Z][A-Za-z]+)"
-    src = F.regexp_extract("condition", f"(?:State|状态|处于|in)\\s*(?:=|==)?\\s*{state}", 1)
-    dst = F.regexp_extract("action", f"(?:迁移到|进入|enter|transition to)\\s*{state}", 1)
-    return rules.where("rule_type = 'transition_guard'").select("module", src.alias("src"), dst.alias("dst"), F.col("condition").alias("guard"), "rule_id").where("src <> '' and dst <> ''")
-
-
 def validate_machine(states: DataFrame, transitions: DataFrame) -> DataFrame:
     """(module, kind, state): unreachable (never entered, not initial), deadlock (never left, not terminal) and unknown states."""
     s = states.select("module", F.col("name").alias("state"), "is_initial", "is_terminal")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import text_of
 
 def ir_metrics(results: DataFrame, breakdown: str | None = None) -> DataFrame:
     """hit@1/3/5 and MRR from (query_id, rank, relevant[, breakdown]); queries without a relevant row count as misses.
@@ -56,10 +57,34 @@ def issue_score(found: Column, expected: Column, forbidden: Column) -> Column:
     return F.greatest(F.lit(0.0), F.when(F.size(expected) > 0, score).otherwise(alone))
 
 
-def coverage_score(evidence: DataFrame) -> DataFrame:
-    """(query_id, coverage): mean coverage of a query's evidence (query_id, source, coverage) and its sources' diversity (a third each, 1 at most), half and half."""
-    diversity = F.least(F.count_distinct("source") / 3, F.lit(1.0))
-    return evidence.groupBy("query_id").agg((0.5 * F.avg("coverage") + 0.5 * diversity).alias("coverage"))
+# Sources that reason rather than search, and what notes hold by kind of question (the first kind whose word occurs).
+DEEP_SOURCES = ("state_machine", "rule_engine", "path_finder")
+EXPECTED_NOTES = (
+    (("路径", "如何进入", "如何退出", "迁移"), ("→", "hops", "path", "sequence")),
+    (("影响", "impact", "导致"), ("impact", "depth", "affected")),
+    (("条件", "触发", "为什么"), ("condition", "guard", "前置")),
+)
+
+
+def coverage_score(steps: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """(query_id, coverage): 0.3 for sources (a third each), 0.3 x mean coverage, 0.2 x expected notes found, 0.2 for a deep source with results.
+
+    steps: query_id, source, coverage, optionally results and notes. questions (query_id, query) tell which notes are expected; where none
+    are, that part is 0. At most 1; a question without steps has no row.
+    """
+    results = F.col("results") if "results" in steps.columns else F.lit(1)
+    notes = text_of("notes") if "notes" in steps.columns else F.lit("")
+    marks = [m for _, found in EXPECTED_NOTES for m in found]
+    deep = F.bool_or(F.col("source").isin(*DEEP_SOURCES) & (results > 0))
+    seen = F.filter(F.array(*[F.when(F.bool_or(F.contains(F.lower(notes), F.lit(m))), m) for m in marks]), lambda x: x.isNotNull())
+    by = steps.groupBy("query_id").agg((F.least(F.count_distinct("source") / 3, F.lit(1.0)) * 0.3 + F.coalesce(F.avg("coverage"), F.lit(0.0)) * 0.3 + F.when(deep, 0.2).otherwise(0.0)).alias("base"), seen.alias("seen"))
+    share = F.lit(0.0)
+    if questions is not None:
+        by, low, share = by.join(questions.select("query_id", "query"), "query_id", "left"), F.lower(text_of("query")), F.lit(0.0)
+        for words, found in reversed(EXPECTED_NOTES):
+            asked = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+            share = F.when(asked, F.size(F.array_intersect("seen", F.array(*map(F.lit, found)))) / len(found)).otherwise(share)
+    return by.select("query_id", F.least(F.lit(1.0), F.col("base") + 0.2 * share).alias("coverage"))
 
 
 def node_health(outputs: DataFrame) -> DataFrame:

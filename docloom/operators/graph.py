@@ -6,10 +6,11 @@ written tables until nothing is new. Frontiers are de-duplicated each hop, so wo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import signals, text_of
+from docloom.functions.text import text_of
+from docloom.operators.matching import contains_join
 from docloom.sources.storage import stored
 
 DEPENDENCIES = ("depends_on", "requires", "triggered_by", "controls")
@@ -22,9 +23,10 @@ def collapse(edges: DataFrame) -> DataFrame:
 
 
 def search_entities(entities: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, entity_id, name): case-insensitive substring of name or id; ``terms`` is the small side of a nested-loop join."""
-    t = F.lower("term")
-    return terms.join(entities, F.contains(F.lower("name"), t) | F.contains(F.lower(F.col("entity_id").cast("string")), t)).select("term", "entity_id", "name")
+    """(term, entity_id, name): case-insensitive substring of name or id."""
+    by_name = contains_join(entities.select("entity_id", "name"), "name", terms.select("term"), "term")
+    by_id = contains_join(entities.select("entity_id", "name"), F.col("entity_id").cast("string"), terms.select("term"), "term")
+    return by_name.unionByName(by_id).select("term", "entity_id", "name").distinct()
 
 
 def lookup_entities(entities: DataFrame, names: DataFrame) -> DataFrame:
@@ -157,26 +159,10 @@ def resolve_names(names: DataFrame, entities: DataFrame) -> DataFrame:
     """(name, entity_id, tier): the entity of that very name, else the first one that contains it."""
     exact = names.join(entities.groupBy(F.lower("name").alias("key")).agg(F.min("entity_id").alias("entity_id")), F.lower(names["name"]) == F.col("key")).select(names["name"], "entity_id", F.lit("exact").alias("tier"))
     rest = names.join(exact.select("name"), "name", "left_anti")
-    e = entities.select("entity_id", F.lower("name").alias("target"))
-    near = rest.join(e, F.contains(F.col("target"), F.lower("name"))).groupBy("name").agg(F.min("entity_id").alias("entity_id")).withColumn("tier", F.lit("substring"))
+    near = contains_join(entities.select("entity_id", F.col("name").alias("target")), "target", rest, "name").groupBy("name").agg(F.min("entity_id").alias("entity_id")).withColumn("tier", F.lit("substring"))
     return exact.unionByName(near)
 
 
-def rule_conflicts(rules: DataFrame) -> DataFrame:
-    """(module, a, b, kind) for rule pairs of one module that share condition signals.
-
-    Equal conditions and actions: redundant; equal conditions, other action: action_conflict; else potential_conflict if signals
-    are shared. Two transition guards without a shared signal are normal. Rules: rule_id, module, rule_type, condition, action.
-    """
-    r = rules.withColumn("signals", F.transform(signals("condition"), F.lower))
-    a, b = r.alias("a"), r.alias("b")
-    c: Column = F.size(F.array_intersect("a.signals", "b.signals"))
-    pairs = a.join(b, (F.col("a.module") == F.col("b.module")) & (F.col("a.rule_id") < F.col("b.rule_id")))
-    same = F.lower(F.trim("a.condition")) == F.lower(F.trim("b.condition"))
-    kind = F.when(same & (F.lower(F.trim("a.action")) == F.lower(F.trim("b.action"))), "redundant").when(same, "action_conflict").when(c > 0, "potential_conflict")
-    return pairs.select("a.module", F.col("a.rule_id").alias("a"), F.col("b.rule_id").alias("b"), kind.alias("kind")).where("kind is not null")
-
-
 def state_transitions(events: DataFrame, by: str, state: str, order: list[str]) -> DataFrame:
     """(src, dst, n): consecutive states of each key, counted."""
     nxt = F.lead(state).over(Window.partitionBy(by).orderBy(*order))
@@ -188,14 +174,6 @@ def duplicate_transitions(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(text_of("guard"))).alias("guards")).where("n > 1")
 
 
-def multi_exit(transitions: DataFrame) -> DataFrame:
-    """(src, exits, common_words, exclusive): states with several exits; guards are taken as exclusive if they share at most two words."""
-    words = F.array_except(F.array_distinct(F.split(F.lower(text_of("guard")), r"\s+")), F.array(F.lower("src"), F.lower("dst"), F.lit("")))
-    got = transitions.withColumn("words", words).groupBy("src").agg(F.count_distinct("dst").alias("exits"), F.collect_list("words").alias("all"))
-    common = F.aggregate(F.slice("all", 2, 1 << 30), F.element_at("all", 1), F.array_intersect)
-    return got.where("exits > 1").select("src", "exits", F.size(common).alias("common_words"), (F.size(common) <= 2).alias("exclusive"))
-
-
 def greedy_chain(edges: DataFrame, starts: DataFrame, steps: int = 5) -> DataFrame:
     """(start, path): from each start along the first edge of every node, at most ``steps``, stopping at a cycle."""
     first = edges.groupBy("src").agg(F.min_by("dst", "ord").alias("next")).withColumnRenamed("src", "node")

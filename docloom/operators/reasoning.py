@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import signals, text_of
+from docloom.operators.matching import contains_join
 from docloom.sources.storage import stored
 
 
@@ -29,9 +30,9 @@ def impact_edges(transitions: DataFrame, rules: DataFrame) -> DataFrame:
     edge = lambda a, src, b, dst, via: [F.lit(a).alias("src_type"), src.alias("src"), F.lit(b).alias("dst_type"), dst.alias("dst"), via.alias("via")]
     rule, target = F.col("rule_id").cast("string"), F.col("target_state")
     moves = transitions.select(*edge("state", F.col("src"), "state", F.col("dst"), F.concat(F.lit("transition: "), F.left(text_of("guard"), F.lit(60)))))
-    guarded = rules.select("rule_id", F.explode(_known("preconditions")).alias("said")).join(states, F.contains(F.lower("said"), F.lower("name")))
+    guarded = contains_join(rules.select("rule_id", F.explode(_known("preconditions")).alias("said")), "said", states, "name")
     guards = guarded.select(*edge("state", F.col("name"), "rule", rule, F.concat(F.lit("guarded by "), "name")))
-    using = rules.join(named, F.contains(F.lower(F.concat_ws(" ", "condition", "action")), F.lower("name")))
+    using = contains_join(rules, F.concat_ws(" ", "condition", "action"), named, "name")
     uses = using.select(*edge("signal", F.col("name"), "rule", rule, F.concat(F.lit("signal "), "name")))
     through = using.where(text_of("target_state") != "").select(*edge("signal", F.col("name"), "state", target, F.concat(F.lit("rule "), rule)))
     enters = rules.where(text_of("target_state") != "").select(*edge("rule", rule, "state", target, F.concat(F.lit("rule "), rule)))
@@ -68,7 +69,7 @@ def impact_report(impacted: DataFrame, rules: DataFrame) -> DataFrame:
 def first_rule_module(names: DataFrame, rules: DataFrame) -> DataFrame:
     """(name, module): the module of the first rule (by id) whose text holds the name; Unknown without one."""
     said = F.lower(F.concat_ws(" ", F.col("rule_id").cast("string"), "condition", "action", "target_state", F.array_join(_known("preconditions"), " ")))
-    hits = names.join(rules.select("rule_id", "module", said.alias("said")), F.contains("said", F.lower("name")))
+    hits = contains_join(rules.select("rule_id", "module", said.alias("said")), "said", names, "name")
     first = hits.groupBy("name").agg(F.min_by("module", "rule_id").alias("module"))
     return names.join(first, "name", "left").select("name", F.coalesce("module", F.lit("Unknown")).alias("module"))
 
@@ -108,10 +109,10 @@ def path_guards(paths: DataFrame, transitions: DataFrame) -> DataFrame:
 def impact_summary(terms: DataFrame, rules: DataFrame, transitions: DataFrame, n_signals: int = 8, per_module: int = 3) -> DataFrame:
     """(term, rules, modules, signals, transitions): rules that mention a term, their modules, their actions' signals, guards that name it."""
     said = F.lower(F.concat_ws(" ", "condition", "action", "target_state", F.array_join(_known("preconditions"), " ")))
-    hits = terms.join(rules.withColumn("said", said), F.contains("said", F.lower("term")))
+    hits = contains_join(rules, said, terms, "term")
     found = F.regexp_extract_all(text_of("action"), F.lit("[A-Z][A-Za-z0-9_]{3,}"), F.lit(0))
     by_rule = hits.groupBy("term").agg(F.count_distinct("rule_id").alias("rules"), F.array_sort(F.collect_set("module")).alias("modules"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set(found)))), 1, n_signals).alias("signals"))
-    moves = terms.join(transitions, F.contains(F.lower(text_of("guard")), F.lower("term")))
+    moves = contains_join(transitions, "guard", terms, "term")
     nth = F.row_number().over(Window.partitionBy("term", "module").orderBy("ord"))
     kept = moves.withColumn("k", nth).where(F.col("k") <= per_module)
     by_move = kept.groupBy("term").agg(F.array_sort(F.collect_list(F.concat("src", F.lit("->"), "dst"))).alias("transitions"))
@@ -165,7 +166,7 @@ def entity_context(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def capped_entities(terms: DataFrame, entities: DataFrame, exact: int = 3, partial: int = 5) -> DataFrame:
     """(query_id, term, entity_id, entity_type, tier): of the entities that a term names, the first of each type: ``exact`` equal names, ``partial`` others."""
-    hit = terms.join(entities, F.contains(F.lower("name"), F.lower("term"))).withColumn("tier", F.when(F.lower("name") == F.lower("term"), "exact").otherwise("partial"))
+    hit = contains_join(entities, "name", terms, "term").withColumn("tier", F.when(F.lower("name") == F.lower("term"), "exact").otherwise("partial"))
     nth = F.row_number().over(Window.partitionBy("query_id", "term", "entity_type", "tier").orderBy("entity_id"))
     return hit.withColumn("k", nth).where(F.col("k") <= F.when(F.col("tier") == "exact", exact).otherwise(partial)).select("query_id", "term", "entity_id", "entity_type", "tier")
 

@@ -62,7 +62,7 @@ def gather(search: Callable[[DataFrame], DataFrame], questions: DataFrame, round
         steps = stored(new_steps(done, open_.select("query_id", F.lit(f"gap-{k}").alias("source"), F.explode("gaps").alias("query"))))
         if steps.isEmpty():
             break
-    return evidence, questions.select("query_id").join(coverage_score(evidence), "query_id", "left").join(keyword_gaps(questions, evidence), "query_id")
+    return evidence, questions.select("query_id").join(coverage_score(evidence, questions), "query_id", "left").join(keyword_gaps(questions, evidence), "query_id")
 
 
 def reflect(outputs: dict[str, NodeOutput], sufficient: bool = True) -> list[tuple[str, str]]:

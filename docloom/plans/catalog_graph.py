@@ -119,16 +119,6 @@ def duplicate_transitions(t: Tables) -> DataFrame:
     return graph.duplicate_transitions(e).select("src", "dst", "n", F.array_join("guards", ",").alias("guards"))
 
 
-def _rules(t: Tables) -> DataFrame:
-    p = t.part
-    return p.select(F.col("p_partkey").alias("rule_id"), F.concat_ws("/", "p_brand", "p_type").alias("module"), F.lit("signal").alias("rule_type"), F.concat(F.lit("Part_Size = "), F.col("p_size").cast("string")).alias("condition"), F.left("p_name", F.lit(3)).alias("action"))
-
-
-@query("SELECT a.p_brand || '/' || a.p_type AS module, a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_size = b.p_size AND lower(trim(left(a.p_name, 3))) = lower(trim(left(b.p_name, 3))) THEN 'redundant' WHEN a.p_size = b.p_size THEN 'action_conflict' ELSE 'potential_conflict' END AS kind FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")
-def rule_conflicts_selfjoin(t: Tables) -> DataFrame:
-    return graph.rule_conflicts(_rules(t)).select("module", "a", "b", "kind")
-
-
 @query("SELECT lower(n_name) AS term, n_nationkey AS entity_id, n_name AS name FROM nation")
 def entity_exact_lookup(t: Tables) -> DataFrame:
     entities = t.nation.select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("name"))

@@ -315,11 +315,6 @@ def rules_of_tables(t: Tables) -> DataFrame:
     return etl.table_rules(etl.table_records(etl.classify_tables(_tables(t), body_control()), body_control())).select("rule_type", "condition", "action", "confidence")
 
 
-@query("SELECT s_suppkey AS doc_id, 'A' AS src, 'B' || (s_suppkey % 5) AS dst, 'transition_to' AS rel FROM supplier WHERE s_suppkey % 3 = 1")
-def edges_of_tables(t: Tables) -> DataFrame:
-    return enrich.table_edges(etl.table_records(etl.classify_tables(_tables(t), body_control()), body_control()))
-
-
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 < 2 THEN n_name END AS source, CASE WHEN n_nationkey % 3 < 2 THEN 'to ' || n_regionkey END AS target FROM nation")
 def transition_split(t: Tables) -> DataFrame:
     k = F.col("n_nationkey") % 3
@@ -327,24 +322,6 @@ def transition_split(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", etl.split_transition(said).alias("x")).select("n_nationkey", "x.source", "x.target")
 
 
-def _prose(t: Tables) -> DataFrame:
-    """Blocks of trigger and action paragraphs under a title, one document a supplier."""
-    k = F.col("s_suppkey")
-    lines = F.array(F.lit("1 Title"), _text("Trigger: State = Sa", k % 7), _text("Sig_Abc = ", k % 2), F.lit("Action: first"), F.when(k % 2 == 0, _text("enter Sb", k % 5)).otherwise("send Out"))
-    rows = t.supplier.select(k.alias("doc_id"), F.posexplode(lines).alias("idx", "text"))
-    return rows.select("doc_id", "idx", F.lit(0).alias("page"), F.when(F.col("idx") == 0, "title").otherwise("paragraph").alias("type"), F.lit(1).alias("level"), "text", F.lit("").alias("html"))
-
-
-@query("SELECT s_suppkey AS doc_id, 'State = Sa' || (s_suppkey % 7) || ' AND Sig_Abc = ' || (s_suppkey % 2) AS condition, CASE WHEN s_suppkey % 2 = 0 THEN 'first; enter Sb' || (s_suppkey % 5) ELSE 'first; send Out' END AS action, CASE WHEN s_suppkey % 2 = 0 THEN 'transition_guard' ELSE 'output' END AS rule_type FROM supplier")
-def rules_of_prose(t: Tables) -> DataFrame:
-    return etl.prose_rules(_prose(t)).select("doc_id", "condition", "action", "rule_type")
-
-
-@query("SELECT DISTINCT 'm' AS module, 'Sa' AS src, 'Sb' AS dst, 'State = Sa' || (s_suppkey % 7) || ' AND Sig_Abc = 0' AS guard FROM supplier WHERE s_suppkey % 2 = 0")
-def transitions_of_rules(t: Tables) -> DataFrame:
-    return etl.rules_to_transitions(etl.prose_rules(_prose(t)).withColumn("module", F.lit("m"))).select("module", "src", "dst", "guard").distinct()
-
-
 @query(f"WITH {_M}, s AS (SELECT 'M' || (n_nationkey % 3) AS module, 'S' || n_nationkey AS state, n_nationkey < 3 AS i, n_nationkey % 5 = 0 AS t FROM nation), a AS (SELECT DISTINCT module, dst AS state FROM m), b AS (SELECT DISTINCT module, src AS state FROM m) SELECT module, 'unreachable' AS kind, state FROM s WHERE NOT i AND (module, state) NOT IN (SELECT (module, state) FROM a) UNION ALL SELECT module, 'deadlock', state FROM s WHERE NOT t AND (module, state) NOT IN (SELECT (module, state) FROM b) UNION ALL SELECT * FROM (SELECT module, 'unknown', state FROM (SELECT * FROM a UNION SELECT * FROM b) WHERE (module, state) NOT IN (SELECT (module, state) FROM s))")
 def machine_validation(t: Tables) -> DataFrame:
     k = F.col("n_nationkey")
@@ -508,13 +485,6 @@ def fk_antijoin_enrich(t: Tables) -> DataFrame:
     return graph.enrich(known, o.unionByName(o).drop("o_orderkey")).select("src", "dst", "rel")
 
 
-@query("WITH g AS (SELECT n_regionkey AS src, n_nationkey AS dst, 'alpha beta gamma x' || (n_nationkey % 2) AS guard FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n_regionkey, n_nationkey, 'w' || n_nationkey || ' alpha' FROM nation WHERE n_regionkey >= 3) SELECT src::VARCHAR AS src, count(DISTINCT dst) AS exits, CASE WHEN src < 3 THEN 3 + (count(DISTINCT dst % 2) = 1)::INT ELSE 1 END::INT AS common_words, src >= 3 AS exclusive FROM g GROUP BY g.src HAVING count(DISTINCT dst) > 1")
-def multi_exit_states(t: Tables) -> DataFrame:
-    k, r = F.col("n_nationkey"), F.col("n_regionkey")
-    e = t.nation.select(r.cast("string").alias("src"), k.cast("string").alias("dst"), F.when(r < 3, _text("alpha beta gamma x", k % 2)).otherwise(_text("w", k, " alpha")).alias("guard"))
-    return graph.multi_exit(e)
-
-
 @query(f"WITH RECURSIVE {_M}, f AS (SELECT src, arg_min(dst, ord) AS next FROM m GROUP BY 1), w AS (SELECT 'S' || n_nationkey AS start, 'S' || n_nationkey AS node, ['S' || n_nationkey] AS path, 0 AS k FROM nation UNION ALL SELECT start, next, list_append(path, next), k + 1 FROM w JOIN f ON src = node WHERE k < 5 AND NOT list_contains(path, next)) SELECT start, array_to_string(arg_max(path, k), '>') AS path FROM w GROUP BY 1")
 def greedy_chains(t: Tables) -> DataFrame:
     got = graph.greedy_chain(_machine(t), t.nation.select(_text("S", F.col("n_nationkey")).alias("start")))
@@ -539,33 +509,6 @@ def section_ancestors(t: Tables) -> DataFrame:
 # --- rules -----------------------------------------------------------------------------------------------------------
 
 
-@query("WITH r AS (SELECT p_partkey AS id, p_brand AS module, CASE WHEN p_partkey % 2 = 0 THEN 'transition_guard' ELSE 'signal' END AS kind, 'Sig_Abc' || (p_size % 5) AS sig, 'Sig_Abc' || (p_size % 5) || ' = ' || (p_size % 2) AS condition, lower(left(p_name, 3)) AS action FROM part) SELECT a.module, a.id AS a, b.id AS b, CASE WHEN a.condition = b.condition AND trim(a.action) = trim(b.action) THEN 'redundant' WHEN a.condition = b.condition THEN 'action_conflict' ELSE 'potential_conflict' END AS kind FROM r a JOIN r b ON a.module = b.module AND a.id < b.id WHERE a.sig = b.sig")
-def rule_conflict_kinds(t: Tables) -> DataFrame:
-    """Pairs that share a signal conflict in some way; all others, guards of transitions or not, are normal and left out."""
-    k, size = F.col("p_partkey"), F.col("p_size")
-    r = t.part.select(k.alias("rule_id"), F.col("p_brand").alias("module"), F.when(k % 2 == 0, "transition_guard").otherwise("signal").alias("rule_type"), _text("Sig_Abc", size % 5, " = ", size % 2).alias("condition"), F.left("p_name", F.lit(3)).alias("action"))
-    return graph.rule_conflicts(r)
-
-
-@query("SELECT n_name AS dst_name, 'Sig_Abc' || (n_nationkey % 5) AS signal, CASE WHEN n_nationkey % 5 < 3 THEN 0.8 ELSE 0.7 END::DOUBLE AS weight FROM nation")
-def guard_entity_edges(t: Tables) -> DataFrame:
-    """Guards that name an entity exactly, or as a part of a longer name."""
-    k = F.col("n_nationkey")
-    moves = t.nation.select(F.col("n_name").alias("dst"), _text("Sig_Abc", k % 5, " = 1").alias("guard"))
-    names = t.region.select(_text("e", F.col("r_regionkey")).alias("entity_id"), F.when(F.col("r_regionkey") < 3, _text("Sig_Abc", F.col("r_regionkey"))).otherwise(_text("The_Sig_Abc", F.col("r_regionkey"), "_x")).alias("name"))
-    got = enrich.guard_edges(moves, names)
-    return got.select(F.col("src").alias("dst_name"), F.replace("dst", F.lit("e"), F.lit("Sig_Abc")).alias("signal"), "weight")
-
-
-@query("SELECT DISTINCT CASE WHEN n_nationkey % 3 = 0 THEN 'Out' ELSE 'In' || n_regionkey END AS src, CASE WHEN n_nationkey % 3 = 0 THEN 'In' || n_regionkey ELSE 'Out' END AS dst, CASE n_nationkey % 3 WHEN 0 THEN 'detected_by' WHEN 1 THEN 'controls' ELSE 'triggers' END AS rel, CASE n_nationkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 ELSE 0.7 END::DOUBLE AS weight FROM nation")
-def rule_entity_edges(t: Tables) -> DataFrame:
-    k = F.col("n_nationkey")
-    kind = F.when(k % 3 == 0, "fault").when(k % 3 == 1, "output").otherwise("condition_action")
-    rules = t.nation.select(k.alias("rule_id"), kind.alias("rule_type"), _text("Input_", F.col("n_regionkey"), " = 1").alias("condition"), F.lit("Output_x = 1").alias("action"))
-    names = t.region.select(_text("In", F.col("r_regionkey")).alias("entity_id"), _text("Input_", F.col("r_regionkey")).alias("name")).unionByName(t.region.where("r_regionkey = 0").select(F.lit("Out").alias("entity_id"), F.lit("Output_x").alias("name")))
-    return enrich.rule_edges(rules, names).distinct()
-
-
 @query("SELECT 'pin_PIN_' || s_nationkey AS entity_id, 'PIN ' || s_nationkey AS name, count(*) AS n FROM supplier GROUP BY 1, 2")
 def pin_promotion(t: Tables) -> DataFrame:
     e = t.supplier.select(_text("s", F.col("s_suppkey")).alias("entity_id"), F.lit("signal").alias("entity_type"), F.create_map(F.lit("pin"), _text(" PIN ", F.col("s_nationkey"))).alias("properties"))
@@ -623,12 +566,6 @@ def retrieval_step_dedup(t: Tables) -> DataFrame:
     return reasoning.new_steps(steps.where("event_id % 2 = 1"), steps.where("event_id % 2 = 0"))
 
 
-@query("SELECT user_id AS query_id, round(0.5 * avg((event_id % 11) / 10.0) + 0.5 * least(count(DISTINCT event_type) / 3.0, 1.0), 6)::DOUBLE AS coverage FROM events GROUP BY 1")
-def evidence_coverage(t: Tables) -> DataFrame:
-    e = t.events.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("source"), ((F.col("event_id") % 11) / 10).alias("coverage"))
-    return evaluation.coverage_score(e).withColumn("coverage", F.round("coverage", 6))
-
-
 @query("SELECT event_type AS node, count(*) AS runs, count(*) FILTER (event_id % 3 > 0) AS ok, count(*) FILTER (event_id % 3 = 0) AS failed, round(count(DISTINCT user_id) * 1.0 / (SELECT count(DISTINCT user_id) FROM events), 6)::DOUBLE AS utilisation, round(avg((event_id % 10) / 10.0), 6)::DOUBLE AS mean_confidence FROM events GROUP BY 1")
 def plan_node_health(t: Tables) -> DataFrame:
     e = t.events.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("node"), F.when(F.col("event_id") % 3 > 0, "ok").otherwise("failed").alias("status"), ((F.col("event_id") % 10) / 10).alias("confidence"))
@@ -821,13 +758,6 @@ def section_membership(t: Tables) -> DataFrame:
     return etl.belongs_to(e, placed).select("doc_id", "src", "dst", "rel", "weight")
 
 
-@query("SELECT s_nationkey AS doc_id, s_name AS src, lead(s_name) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS dst, 'next_in_table' AS rel FROM supplier QUALIFY dst IS NOT NULL UNION ALL SELECT DISTINCT s_nationkey, s_name, 'ON' || (s_suppkey % 2), 'references' FROM supplier")
-def state_table_edges(t: Tables) -> DataFrame:
-    k = F.col("s_suppkey")
-    records = t.supplier.select(F.col("s_nationkey").alias("doc_id"), F.lit(0).alias("idx"), F.lit("state_machine").alias("table_class"), k.cast("int").alias("row_index"), F.create_map(F.lit("power_mode"), _text("ON", k % 2)).alias("fields"), F.col("s_name").alias("name"))
-    return enrich.table_edges(records)
-
-
 @query("SELECT 'module_' || r_regionkey AS entity_id, r_name AS name FROM region")
 def module_list(t: Tables) -> DataFrame:
     e = t.region.select(_text("module_", F.col("r_regionkey")).alias("entity_id"), F.col("r_name").alias("name"), F.lit("module").alias("entity_type"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import CJK, expand_query, text_of, tokenize
 from docloom.operators import graph, search
+from docloom.operators.matching import contains_join
 from docloom.plans.domain import Domain
 
 
@@ -28,7 +29,7 @@ def intents(queries: DataFrame, domain: Domain) -> DataFrame:
 def graph_hits(intent: DataFrame, entities: DataFrame, edges: DataFrame, hops: int = 1, seeds: int = 10) -> DataFrame:
     """(query_id, node, distance, rel, name, entity_type, module, section_path): seeds by name, at most ``seeds`` a query, and their neighbours."""
     terms = intent.select("query_id", F.explode("keywords").alias("term"))
-    found = terms.join(entities, F.contains(F.lower("name"), F.lower("term"))).select("query_id", F.col("entity_id").alias("seed"), (F.lower("name") == F.lower("term")).cast("double").alias("score"))
+    found = contains_join(entities, "name", terms, "term").select("query_id", F.col("entity_id").alias("seed"), (F.lower("name") == F.lower("term")).cast("double").alias("score"))
     first = search.ranked(found.groupBy("query_id", "seed").agg(F.max("score").alias("score")), seeds, tie="seed").select("query_id", "seed")
     near = graph.expand(graph.collapse(edges), first.select("seed").distinct(), hops)
     all_ = first.select("query_id", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.lit("seed").alias("rel")).unionByName(first.join(near, "seed").select("query_id", "node", "distance", "rel"))

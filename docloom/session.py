@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import etl, graph
-from docloom.operators.enrich import table_edges
+from docloom.functions.text import text_of
+from docloom.operators import enrich, etl, graph, knowledge, machines
 from docloom.operators.reasoning import state_moves
 from docloom.plans.agent import Tools, augment, gather, reflect
 from docloom.plans.domain import Domain, Domains
@@ -19,7 +19,7 @@ from docloom.sources.storage import stored
 
 
 class Engine:
-    """All methods return lazy DataFrames; a language model, if any, is a callable (evidence, question) -> text on the driver."""
+    """Methods return DataFrames, some after jobs that write intermediate tables to the shared folder; a language model, if any, is a callable (evidence, question) -> text on the driver."""
 
     def __init__(self, spark: SparkSession, domain: str = "bcm", domains: Domains | None = None, llm: Callable[[str, str], str] | None = None):
         self.spark, self.domains, self.llm = spark, domains or Domains(), llm
@@ -31,22 +31,35 @@ class Engine:
         return readers.parse_documents(self.spark, path, parsers)
 
     def analyse(self, items: DataFrame) -> dict[str, DataFrame]:
-        """Sections, chunks, entities, edges, table records and rules of parsed items."""
-        clean = items.where("idx is not null")
-        placed, tree = etl.place_items(clean), etl.sections(clean)
-        found = etl.text_entities(clean, self.domain).unionByName(etl.title_entities(tree, self.domain))
-        entities = etl.locate_entities(etl.first_by(found, ["doc_id", "entity_id"], "idx"), placed, tree)
-        records = etl.table_records(etl.classify_tables(clean.where("type = 'table'"), self.domain), self.domain)
-        said = etl.text_relations(placed, self.domain).withColumn("weight", F.lit(1.0)).withColumn("ord", F.col("ord").cast("long"))
-        tabled = table_edges(records).withColumn("weight", F.lit(1.0)).withColumn("ord", F.lit(0).cast("long"))
-        columns = ["doc_id", "src", "dst", "rel", "weight", "ord"]
+        """All tables of parsed items: sections, chunks, mentions, entities, edges, table_records, rules, states, transitions.
+
+        Mentions, links and rules feed several of these, so each is written to the shared folder once; the rest is lazy. Every end of an
+        edge is an entity; guards, rules and faults add theirs to what texts and tables say.
+        """
+        clean = items.where("idx is not null").withColumn("doc_id", text_of("doc_id")) if dict(items.dtypes)["doc_id"] == "string" else items.where("idx is not null and doc_id is not null")
+        tree = etl.sections(clean)
+        placed = stored(knowledge.located(clean, tree))
+        found = etl.table_records(etl.classify_tables(clean.where("type = 'table'"), self.domain), self.domain)
+        records = stored(knowledge.split_moves(found.join(placed.select("doc_id", "idx", "module", "section_path", "section_title"), ["doc_id", "idx"])))
+        said = stored(knowledge.mentions(placed, self.domain).unionByName(knowledge.record_mentions(records)))
+        links = stored(knowledge.text_links(placed, said, self.domain).unionByName(knowledge.table_links(records)).unionByName(knowledge.section_links(said)))
+        shared = ["rule_id", "module", "rule_type", "condition", "action", "confidence"]
+        rules = stored(machines.prose_rules(clean).unionByName(etl.table_rules(records).select(*shared), allowMissingColumns=True))
+        states, transitions = machines.build_machines(rules)
+        entities, edges = stored(knowledge.entities_of(said, links)), knowledge.edges_of(links)
+        more = stored(enrich.enrich_graph(edges, entities, rules, transitions))
+        added = more.select("src", "dst", "rel", "weight", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("map<string,string>").alias("properties"), F.lit(None).cast(edges.schema["doc_id"].dataType).alias("doc_id"))
+        ruled = enrich.rule_entities(rules).join(more.select(F.explode(F.array("src", "dst")).alias("entity_id")).distinct(), "entity_id", "left_semi").join(entities, "entity_id", "left_anti")
         return {
             "sections": tree,
-            "chunks": etl.build_chunks(clean, self.domain, entities),
-            "entities": entities,
-            "edges": said.select(columns).unionByName(tabled.select(columns)).unionByName(etl.belongs_to(entities, placed).select(columns)),
+            "chunks": etl.optimise_chunks(etl.build_chunks(clean, self.domain, said)),
+            "mentions": said,
+            "entities": entities.unionByName(ruled, allowMissingColumns=True),
+            "edges": edges.unionByName(added),
             "table_records": records,
-            "rules": etl.prose_rules(clean).select("rule_id", "rule_type", "condition", "action", "confidence").unionByName(etl.table_rules(records).select("rule_id", "rule_type", "condition", "action", "confidence")),
+            "rules": rules,
+            "states": states,
+            "transitions": transitions,
         }
 
     def export(self, tables: dict[str, DataFrame], folder: str) -> None:
@@ -83,7 +96,7 @@ class Engine:
             "state_machine": lambda p, given: self.transitions,
             "path_finder": lambda p, given: graph.simple_paths(self.transitions, pairs),
             "impact": lambda p, given: graph.impact(graph.collapse(self.corpus.edges), named.select(F.col("entity_id").alias("seed")), 3),
-            "conflicts": lambda p, given: graph.rule_conflicts(self.rules),
+            "conflicts": lambda p, given: machines.rule_conflicts(self.rules),
             "reachability": lambda p, given: graph.degrees(self.transitions.select(F.col("src").alias("node")).distinct(), self.transitions),
             "completeness": lambda p, given: q.withColumn("inputs", F.lit(len(given))).withColumn("filled", F.lit(sum(not x.isEmpty() for x in given.values()))),
         }

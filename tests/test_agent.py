@@ -24,8 +24,7 @@ def engine_of(spark, tmp_path):
     engine = Engine(spark)
     made = engine.analyse(engine.parse(str(tmp_path / "*.md")))
     moves = spark.createDataFrame([("Inactive", "Driving", "PEPS_Mode = 1"), ("Driving", "Inactive", "")], "src string, dst string, guard string")
-    rules = made["rules"].withColumn("module", F.lit("m"))
-    engine.load(made["chunks"], made["entities"], made["edges"], rules=rules, transitions=moves)
+    engine.load(made["chunks"], made["entities"], made["edges"], rules=made["rules"], transitions=moves)
     return engine
 
 

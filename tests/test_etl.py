@@ -43,15 +43,6 @@ def test_tables(items):
     assert ("voltage_range", "Voltage >= 9.0 AND Voltage <= 16.0") in rules
 
 
-def test_rules_and_machine(spark, items):
-    (rule,) = etl.prose_rules(items).collect()
-    assert (rule.condition, rule.action, rule.rule_type) == ("State = Inactive AND PEPS_Mode = 1", "迁移到 Driving 状态", "transition_guard")
-    moves = etl.rules_to_transitions(etl.prose_rules(items).withColumn("module", F.lit("Light")))
-    assert [(m.src, m.dst) for m in moves.collect()] == [("Inactive", "Driving")]
-    states = spark.createDataFrame([("Light", "Inactive", True, False), ("Light", "Driving", False, False), ("Light", "Lost", False, True)], "module string, name string, is_initial boolean, is_terminal boolean")
-    assert {(r.kind, r.state) for r in etl.validate_machine(states, moves).collect()} == {("deadlock", "Driving"), ("unreachable", "Lost")}
-
-
 def test_entities_and_chunks(items):
     domain = body_control()
     found = {(r.entity_type, r.name) for r in etl.text_entities(items, domain).collect()}
@@ -116,7 +107,7 @@ def test_pipeline(spark, items):
     engine = Engine(spark)
     made = engine.analyse(items)
     moves = spark.createDataFrame([("Inactive", "Driving", "")], "src string, dst string, guard string")
-    engine.load(made["chunks"], made["entities"], made["edges"], rules=made["rules"].withColumn("module", F.lit("m")), transitions=moves)
+    engine.load(made["chunks"], made["entities"], made["edges"], rules=made["rules"], transitions=moves)
     queries = spark.createDataFrame([(1, "PEPS_Mode 触发条件"), (2, "   ")], "query_id long, query string")
     got = engine.search(queries, 3).collect()
     assert {r.query_id for r in got} == {1}

@@ -48,15 +48,6 @@ def test_structure(spark, edges):
     assert rows(graph.levels(acyclic, spark.createDataFrame([("x",), ("y",), ("z",)], "node string"), 5)) == [("x", 0), ("y", 1), ("z", 2)]
 
 
-def test_conflicts(spark):
-    rules = spark.createDataFrame(
-        [(1, "m", "signal", "A_b = 1", "go"), (2, "m", "signal", "a_b = 1", "go"), (3, "m", "signal", "A_b = 1", "stop"), (4, "m", "signal", "A_b = 2", "go"), (5, "n", "signal", "A_b = 1", "go"), (6, "m", "signal", "C_d = 1", "go")],
-        "rule_id int, module string, rule_type string, condition string, action string",
-    )
-    got = {(r.a, r.b): r.kind for r in graph.rule_conflicts(rules).collect()}
-    assert got == {(1, 2): "redundant", (1, 3): "action_conflict", (2, 3): "action_conflict", (1, 4): "potential_conflict", (2, 4): "potential_conflict", (3, 4): "potential_conflict"}
-
-
 def test_enrich_and_names(spark, edges):
     new = spark.createDataFrame([("a", "b", "controls", 0.6), ("a", "z", "controls", 0.6), ("a", "z", "controls", 0.6)], "src string, dst string, rel string, weight double")
     assert rows(graph.enrich(edges.select("src", "dst", "rel"), new)) == [("a", "z", "controls", 0.6)]
