@@ -253,11 +253,15 @@ def table_cells(tables: DataFrame) -> DataFrame:
 
 
 def classify_tables(tables: DataFrame, domain: Domain) -> DataFrame:
-    """(doc_id, idx, table_class): a point for each header group that occurs in the first two rows; two are needed, first wins ties."""
+    """(doc_id, idx, html, table_class): a point for each header group that occurs in the first two rows; two are needed, first wins ties."""
     head = F.lower(F.array_join(F.flatten(F.slice(html_rows("html"), 1, 2)), " ␟ "))
-    scores = [F.struct(reduce(lambda a, g: a + F.when(reduce(lambda x, k: x | F.contains(head, F.lit(k)), g, F.lit(False)), 1).otherwise(0), groups, F.lit(0)).alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("name")) for n, (name, groups) in enumerate(domain.table_headers.items())]
-    best = F.array_max(F.array(*scores))
-    return tables.withColumn("best", best).select("doc_id", "idx", "html", F.when(F.col("best.score") >= 2, F.col("best.name")).otherwise("unknown").alias("table_class"))
+    seen = lambda group: F.exists(F.array(*map(F.lit, group)), lambda word: F.contains(F.col("head_"), word)).cast("int")
+    scores = [F.struct(reduce(lambda a, b: a + b, map(seen, groups)).alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("name")) for n, (name, groups) in enumerate(domain.table_headers.items())]
+    if not scores:
+        return tables.select("doc_id", "idx", "html", F.lit("unknown").alias("table_class"))
+    # the parsed head is a column of its own, else each of the keywords would parse the table anew
+    best = tables.select("doc_id", "idx", "html", head.alias("head_")).withColumn("best", F.array_max(F.array(*scores)))
+    return best.select("doc_id", "idx", "html", F.when(F.col("best.score") >= 2, F.col("best.name")).otherwise("unknown").alias("table_class"))
 
 
 def table_records(classified: DataFrame, domain: Domain) -> DataFrame:
@@ -280,8 +284,8 @@ def table_records(classified: DataFrame, domain: Domain) -> DataFrame:
             yield pdf.assign(names=out)[["doc_id", "idx", "table_class", "names", "rows"]]
 
     kind = classified.schema["doc_id"].dataType.simpleString()
-    rows = html_rows("html")
-    base = classified.where("table_class <> 'unknown'").select("doc_id", "idx", "table_class", F.try_element_at(rows, F.lit(1)).alias("header"), rows.alias("rows"))
+    parsed = classified.where("table_class <> 'unknown'").select("doc_id", "idx", "table_class", html_rows("html").alias("rows"))
+    base = parsed.select("doc_id", "idx", "table_class", F.try_element_at("rows", F.lit(1)).alias("header"), "rows")
     named = base.mapInPandas(assign, f"doc_id {kind}, idx int, table_class string, names array<string>, rows array<array<string>>")
     cells = named.select("doc_id", "idx", "table_class", "names", F.posexplode("rows").alias("row_index", "raw_cells")).where("row_index > 0")
     filled = F.exists("raw_cells", lambda x: (x != "") & ~x.rlike(r"^[-—:|\s]+$"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import text_of
 from docloom.operators.matching import contains_join
-from docloom.sources.storage import stored
+from docloom.sources.storage import discard, stored
 
 DEPENDENCIES = ("depends_on", "requires", "triggered_by", "controls")
 
@@ -114,10 +114,16 @@ def closure(edges: DataFrame, limit: int = 100) -> DataFrame:
     delta = total
     for _ in range(limit):
         step = delta.select("src", F.col("dst").alias("via")).join(total.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        delta = stored(step.join(total, ["src", "dst"], "left_anti"))
+        found = stored(step.join(total, ["src", "dst"], "left_anti"))
+        if delta is not total:
+            discard(delta)
+        delta = found
         if delta.isEmpty():
+            discard(delta)
             return total
-        total = stored(total.unionByName(delta))
+        grown = stored(total.unionByName(delta))
+        discard(total)
+        total = grown
     raise RuntimeError("the closure did not settle")
 
 

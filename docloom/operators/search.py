@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokenize
-from docloom.sources.storage import stored
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -31,10 +30,15 @@ def doc_terms(docs: DataFrame, text: Column | str = "text", tokens=tokenize) ->
     return t.withColumn("dl", F.size("terms"))
 
 
+def term_counts(terms: DataFrame) -> DataFrame:
+    """(term, doc_id, c, dl) of ``doc_terms``."""
+    t = terms.select("doc_id", "dl", F.explode("terms").alias("term"))
+    return t.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("dl").alias("dl"))
+
+
 def postings(docs: DataFrame, text: Column | str = "text", tokens=tokenize) -> DataFrame:
     """(term, doc_id, c, dl, tf): the inverted index; tf is the count over the length."""
-    t = doc_terms(docs, text, tokens).select("doc_id", "dl", F.explode("terms").alias("term"))
-    return t.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("dl").alias("dl")).withColumn("tf", F.col("c") / F.col("dl"))
+    return term_counts(doc_terms(docs, text, tokens)).withColumn("tf", F.col("c") / F.col("dl"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -46,16 +50,8 @@ def corpus_stats(docs: DataFrame, text: Column | str = "text", tokens=tokenize)
     return doc_terms(docs, text, tokens).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_len"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", tokens=tokenize) -> DataFrame:
-    """(query_id, doc_id, score). A query's repeated terms count as often as they occur.
-
-    Documents are tokenised once. Postings are filtered to the queries' terms before they are counted, so the shuffle holds those alone.
-    """
-    asked = queries.select("query_id", F.explode(tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    tokenised = stored(doc_terms(docs, text, tokens))  # once, for the statistics and for the postings
-    stats = tokenised.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_len"))
-    occurrences = tokenised.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    index = occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("dl").alias("dl"))
+def bm25_scores(asked: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) from asked terms (query_id, term, times), their postings (term, doc_id, c, dl) and one row n_docs, avg_len."""
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, avg = F.col("n_docs"), F.greatest(F.col("avg_len"), F.lit(1.0))
     tf = F.col("c") / F.col("dl")
@@ -64,6 +60,19 @@ def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", tokens=tokeniz
     return joined.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
 
 
+def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", tokens=tokenize) -> DataFrame:
+    """(query_id, doc_id, score) over documents without an index; a query's repeated terms count as often as they occur.
+
+    Postings are filtered to the queries' terms before they are counted, so the shuffle holds those alone. Documents at rest that are
+    searched more than once want an index (``operators.index``), which tokenises them once.
+    """
+    asked = queries.select("query_id", F.explode(tokens(text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = doc_terms(docs, text, tokens)
+    stats = terms.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_len"))
+    occurrences = terms.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    return bm25_scores(asked, occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("dl").alias("dl")), stats)
+
+
 def _top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     rounded = np.round(scores, 9)
     if len(ids) > 4 * k:
@@ -77,24 +86,73 @@ def _top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def knn(queries: DataFrame, vectors: DataFrame, k: int, max_bytes: int = 64 << 20) -> DataFrame:
     """(query_id, doc_id, score, rank): exact nearest neighbours by dot product over L2-normalised vectors.
 
-    ``queries`` (query_id, vector) is a stated query set: its matrix is measured, and broadcast up to ``max_bytes``; each
-    Arrow batch is one BLAS product that keeps ``k`` rows a query. A larger set goes through in slices of that size.
+    ``queries`` (query_id, vector) is a stated query set: its size is measured. Up to ``max_bytes`` its matrix is broadcast, and each
+    Arrow batch of vectors is one BLAS product that keeps ``k`` rows a query. A larger set stays distributed: see ``_knn_grid``.
     A null vector, or a zero one, scores 0.
     """
     spark = vectors.sparkSession
     sample = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     if not sample.n:
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    slices = max(1, -(-sample.n * (sample.d or 1) * 8 // max_bytes))
-    parts = []
-    for s in range(slices):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).select("query_id", "vector").toPandas()
-        if len(rows):
-            parts.append(_knn_slice(rows["query_id"].to_numpy(np.int64), rows["vector"].tolist(), vectors, k, sample.d or 1))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ranked(out, k)
+    d = max(1, sample.d or 1)
+    if sample.n * d * 8 > max_bytes:
+        return ranked(_knn_grid(queries, vectors, k, d, -(-sample.n * d * 8 // max_bytes)), k)
+    rows = queries.select("query_id", "vector").toPandas()
+    return ranked(_knn_slice(rows["query_id"].to_numpy(np.int64), rows["vector"].tolist(), vectors, k, d), k)
+
+
+def _blocks(rows: DataFrame, d: int, most: int = 4096) -> DataFrame:
+    """(n, ids, matrix): normalised vectors in blocks of up to ``most``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, most):
+                part = b.slice(at, most)
+                m = _normalised(part.column(1).to_pylist(), d)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(m)], pa.int32()), "ids": pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), "matrix": pa.array([m.astype("<f8").tobytes()], pa.binary())})
+
+    return rows.mapInArrow(run, "n int, ids binary, matrix binary")
+
+
+def _knn_grid(queries: DataFrame, vectors: DataFrame, k: int, d: int, groups: int, lanes: int = 64) -> DataFrame:
+    """(query_id, doc_id, score): query groups by lanes of vector blocks, in one pass. A task holds one group (some ``max_bytes`` of queries) and
+    its best ``k`` so far, streams a lane's blocks past it, and emits ``k`` rows a query; nothing passes through the driver."""
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n))
+    asked = _blocks(queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")), d).withColumn("g", own(groups)).withColumn("lane", copies(lanes)).withColumn("stage", F.lit(0))
+    held = _blocks(vectors.select(F.col("doc_id").cast("long"), F.col("vector").cast("array<double>")), d).withColumn("lane", own(lanes)).withColumn("g", copies(groups)).withColumn("stage", F.lit(1))
+    cells = asked.unionByName(held).select((F.col("g") * lanes + F.col("lane")).cast("int").alias("cell"), "stage", "n", "ids", "matrix")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, parts, group, best = None, [], None, None
+
+        def results() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                real = best[0] > -np.inf
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(group[0], real.sum(1))), "doc_id": pa.array(best[1][real]), "score": pa.array(best[0][real])})
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                now, stage, n, ids, matrix = (c[at].as_py() for c in batch.columns)
+                if now != cell:
+                    yield from results()
+                    cell, parts, group, best = now, [], None, None
+                ids, m = np.frombuffer(ids, "<i8"), np.frombuffer(matrix, "<f8").reshape(n, d)
+                if stage == 0:
+                    parts.append((ids, m))
+                    continue
+                if group is None and parts:
+                    group = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    best = np.full((len(group[0]), k), -np.inf), np.zeros((len(group[0]), k), np.int64)
+                for first in range(0, len(group[0]) if group else 0, 256):
+                    rows = slice(first, first + 256)
+                    s = np.concatenate([best[0][rows], np.round(group[1][rows] @ m.T, 12)], axis=1)
+                    i = np.concatenate([best[1][rows], np.broadcast_to(ids, (len(s), n))], axis=1)
+                    order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
+                    best[0][rows], best[1][rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        yield from results()
+
+    return cells.repartitionById(groups * lanes, F.col("cell")).sortWithinPartitions("cell", "stage").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def _normalised(rows: list, d: int) -> np.ndarray:

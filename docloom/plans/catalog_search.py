@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import ascii_words
-from docloom.operators import evaluation, search
+from docloom.operators import evaluation, index, search
 from docloom.plans import retrieval
 from docloom.plans.registry import Tables, query
 
@@ -32,7 +32,8 @@ def _queries(t: Tables) -> DataFrame:
 
 
 def _bm25(t: Tables, k: int) -> DataFrame:
-    return search.ranked(search.bm25(_queries(t), t.documents, tokens=ascii_words), k)
+    """From the documents' index at rest, which the first of these queries builds."""
+    return search.ranked(index.index_of(t.documents, tokens=ascii_words).search(_queries(t)), k)
 
 
 def _vectors(t: Tables) -> DataFrame:

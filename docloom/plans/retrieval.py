@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import CJK, expand_query, text_of, tokenize
 from docloom.operators import graph, search
+from docloom.operators.index import KeywordIndex
 from docloom.operators.matching import contains_join
 from docloom.plans.domain import Domain
 
@@ -77,12 +78,13 @@ def rule_bonus() -> Column:
 @dataclass
 class Corpus:
     """chunks: chunk_id, text, module, chunk_type, section_path, section_title, entities, signals, states, has_table.
-    points (optional): chunk_id, vector. entities and edges: the knowledge graph."""
+    points (optional): chunk_id, vector. entities and edges: the knowledge graph. index (optional): of the chunks, by chunk_id."""
 
     chunks: DataFrame
     entities: DataFrame
     edges: DataFrame
     points: DataFrame | None = None
+    index: KeywordIndex | None = None
 
 
 def retrieve(queries: DataFrame, corpus: Corpus, domain: Domain, top_k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
@@ -97,7 +99,7 @@ def retrieve(queries: DataFrame, corpus: Corpus, domain: Domain, top_k: int = 10
     sections = hit_sections(hits).groupBy("query_id").agg(F.collect_set("section").alias("hit_sections"))
     expanded = asked.select("query_id", expand_query("query", domain.expansions).alias("text"))
     docs = corpus.chunks.select(F.col("chunk_id").alias("doc_id"), "text")
-    lists = [search.ranked(search.bm25(expanded, docs, tokens=tokenize), 20)]
+    lists = [search.ranked(corpus.index.search(expanded) if corpus.index else search.bm25(expanded, docs, tokens=tokenize), 20)]
     if vectors is not None and corpus.points is not None:
         keys = corpus.points.select("chunk_id", "vector", F.xxhash64("chunk_id").alias("doc_id"))
         lists.append(search.knn(vectors, keys.select("doc_id", "vector"), 20).withColumnRenamed("doc_id", "key").join(keys.select(F.col("doc_id").alias("key"), F.col("chunk_id").alias("doc_id")), "key").drop("key"))

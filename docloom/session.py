@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import text_of
 from docloom.operators import enrich, etl, graph, knowledge, machines
 from docloom.operators.reasoning import state_moves
+from docloom.operators.index import build_index
 from docloom.plans.agent import Tools, augment, gather, reflect
 from docloom.plans.domain import Domain, Domains
 from docloom.plans.planner import NodeOutput, build_plan, run_plan, select_template
@@ -69,7 +70,9 @@ class Engine:
         """What searches run on. Each search reads these tables several times, so they are written to the shared folder first;
         ``store=False`` takes them as they are, which is right for tables at rest."""
         keep = lambda df: stored(df) if store and df is not None else df
-        self.corpus, self.rules, self.transitions = Corpus(keep(chunks), keep(entities), keep(edges), keep(points)), keep(rules), keep(transitions)
+        held = keep(chunks)
+        index = build_index(held.select(F.col("chunk_id").alias("doc_id"), "text")) if store else None
+        self.corpus, self.rules, self.transitions = Corpus(held, keep(entities), keep(edges), keep(points), index), keep(rules), keep(transitions)
 
     def search(self, queries: DataFrame, top_k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
         return retrieve(queries, self.corpus, self.domain, top_k, vectors)
