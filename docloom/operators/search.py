@@ -50,14 +50,15 @@ def corpus_stats(docs: DataFrame, text: Column | str = "text", tokens=tokenize)
     return doc_terms(docs, text, tokens).agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_len"))
 
 
-def bm25_scores(asked: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) from asked terms (query_id, term, times), their postings (term, doc_id, c, dl) and one row n_docs, avg_len."""
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avg = F.col("n_docs"), F.greatest(F.col("avg_len"), F.lit(1.0))
+def bm25_scores(asked: DataFrame, df: DataFrame, index: DataFrame, stats: DataFrame, few: bool = False) -> DataFrame:
+    """(query_id, doc_id, score) from asked terms (query_id, term, times), documents a term (term, df), postings (term, doc_id, c, dl) and one
+    row n_docs, avg_len. What a term weighs is settled on the small side; postings are joined once, and stay where they are if the asked terms
+    have been counted to be ``few``."""
+    weigh = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (K1 + 1) * F.col("times")
+    weights = asked.join(df, "term").crossJoin(stats).select("query_id", "term", weigh.alias("w"), F.greatest(F.col("avg_len"), F.lit(1.0)).alias("avg"))  # one row of statistics
     tf = F.col("c") / F.col("dl")
-    part = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / avg))
-    joined = index.join(df, "term").join(asked, "term").crossJoin(stats)  # one row of statistics
-    return joined.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
+    part = F.col("w") * tf / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
+    return index.join(F.broadcast(weights) if few else weights, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", tokens=tokenize) -> DataFrame:
@@ -70,7 +71,8 @@ def bm25(queries: DataFrame, docs: DataFrame, text: str = "text", tokens=tokeniz
     terms = doc_terms(docs, text, tokens)
     stats = terms.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("avg_len"))
     occurrences = terms.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    return bm25_scores(asked, occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("dl").alias("dl")), stats)
+    index = occurrences.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("dl").alias("dl"))
+    return bm25_scores(asked, document_frequency(index), index, stats)
 
 
 def _top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
