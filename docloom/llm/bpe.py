@@ -37,11 +37,39 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa
 LATIN1_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 _any, _latin1 = regex.compile(PATTERN).findall, re.compile(LATIN1_PATTERN).findall
 
+#: Letters and numbers of newer Unicode tables, which this vocabulary's library takes for other signs (first, last); in the
+#: first 65,536 code points and beyond.
+NEWER = (
+    (0x558, 0x558), (0x58b, 0x58c), (0x88f, 0x88f), (0xc5c, 0xc5c), (0xcdc, 0xcdc), (0x208f, 0x208f), (0x209d, 0x209f), (0xa7ce, 0xa7cf),
+    (0xa7d2, 0xa7d2), (0xa7d4, 0xa7d4), (0xa7dd, 0xa7dd), (0xa7e2, 0xa7e2), (0xa7f1, 0xa7f1), (0xab6c, 0xab6d),
+)
+NEWER_BEYOND = (
+    (0x107bb, 0x107bf), (0x10940, 0x10959), (0x10ec5, 0x10ec7), (0x10ed9, 0x10eee), (0x11b0a, 0x11b0a), (0x11db0, 0x11ddb),
+    (0x11de0, 0x11de9), (0x11df1, 0x11df1), (0x1246f, 0x1246f), (0x12475, 0x1247f), (0x12550, 0x12686), (0x16ea0, 0x16eb8),
+    (0x16ebb, 0x16ed3), (0x16ff2, 0x16ff6), (0x187f8, 0x187ff), (0x18cd6, 0x18cda), (0x18d09, 0x18d20), (0x18d80, 0x18df2),
+    (0x18e00, 0x19191), (0x191a0, 0x191d2), (0x1b123, 0x1b128), (0x1b168, 0x1b168), (0x1d6a6, 0x1d6a6), (0x1df1f, 0x1df24),
+    (0x1df2b, 0x1df81), (0x1df90, 0x1df96), (0x1dfcd, 0x1dfff), (0x1e6c0, 0x1e6de), (0x1e6e0, 0x1e6e2), (0x1e6e4, 0x1e6e5),
+    (0x1e6e7, 0x1e6ed), (0x1e6f0, 0x1e6f4), (0x1e6fe, 0x1e6ff), (0x2b73a, 0x2b73f), (0x2b81e, 0x2b81e), (0x2cea2, 0x2cead),
+    (0x323b0, 0x33479), (0x3d000, 0x3fc3f),
+)
+
+
+def _ranges(pairs: tuple[tuple[int, int], ...]) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in pairs)
+
+
+_NEW = _ranges(NEWER + NEWER_BEYOND)
+_older = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{_NEW}]]+| ?[\p{{N}}--[{_NEW}]]+| ?[[^\s\p{{L}}\p{{N}}]||[{_NEW}]]+|\s+(?!\S)|\s+").findall
+# Most texts have no such sign: two scans by short classes tell.
+_newer, _beyond, _newer_beyond = re.compile(f"[{_ranges(NEWER)}]").search, re.compile("[\U00010000-\U0010ffff]").search, re.compile(f"[{_ranges(NEWER_BEYOND)}]").search
+
 
 def pretokens(text: str) -> list[str]:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
+        if _newer(text) or (_beyond(text) and _newer_beyond(text)):
+            return _older(text)
         return _any(text)
     return _latin1(text)
 

@@ -120,6 +120,27 @@ def test_bpe_on_random_texts(path, library):
         assert own.decode(ids) == t
 
 
+def test_every_sign_is_cut_as_in_the_library(library):
+    """All code points, beside letters, numbers, other signs and blanks."""
+    cut = library.pre_tokenizer.pre_tokenize_str
+    other = []
+    for c in (c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF):
+        s = f"a{chr(c)}a1{chr(c)}1!{chr(c)}! {chr(c)}"
+        if [len(x) for x in bpe.pretokens(s)] != [b - a for _, (a, b) in cut(s)]:
+            other.append(c)
+    assert other == []
+
+
+def test_signs_of_newer_tables(path, library):
+    r = random.Random(6)
+    newer = [chr(r.randint(a, b)) for a, b in bpe.NEWER + bpe.NEWER_BEYOND]
+    own, lib = bpe.BPE(path), bpe.LibraryBPE(path)
+    for _ in range(1500):
+        t = "".join(r.choice((r.choice(newer), "'ll", " ", "a", "1", "日", "!", "\n", "é")) for _ in range(r.randrange(12)))
+        ids = struct.pack("<%dI" % len(x := library.encode(t, add_special_tokens=False).ids), *x)
+        assert own.encode(t) == ids == lib.encode(t) and own.decode(ids) == t
+
+
 def test_token_files(spark, docs, path, library, empty, tmp_path):
     token_store.write_tokens(docs, str(tmp_path / "t"), path, block_tokens=700)
     got = by_id(token_store.read_tokens(spark, str(tmp_path / "t")))
