@@ -648,11 +648,13 @@ def section_and_entity_recall(t: Tables) -> DataFrame:
 # --- readers: artefacts are written to the shared folder as the JSON they lie in, and read back -----------------------
 
 
-def _written(t: Tables, rows: DataFrame, head: str, body: Column, tail: str = "]}") -> str:
-    """A JSON file of one object whose list holds ``body`` of each row."""
-    folder = f"{shared_folder(t.spark)}/json-{uuid.uuid4().hex}"
-    parts = F.array_join(F.array_sort(F.collect_list(body)), ",")
-    rows.agg(F.concat(F.lit(head), parts, F.lit(tail)).alias("value")).coalesce(1).write.text(folder)
+def _written(t: Tables, rows: DataFrame, head: str, body: Column, tail: str = "]}", folder: str | None = None, size: int = 1000) -> str:
+    """JSON files of one object each, whose list holds ``body`` of some ``size`` rows: as many files as the rows need, each in its own folder."""
+    folder = folder or f"{shared_folder(t.spark)}/json-{uuid.uuid4().hex}"
+    files = max(1, -(-rows.count() // size))
+    cut = rows.select(body.alias("body")).withColumn("file", F.concat(F.lit(uuid.uuid4().hex[:6]), F.pmod(F.xxhash64("body"), F.lit(files)).cast("string")))
+    one = cut.groupBy("file").agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("body")), ","), F.lit(tail)).alias("value"))
+    one.write.mode("append").partitionBy("file").text(folder)
     return folder
 
 
@@ -680,10 +682,9 @@ def read_point_files(t: Tables) -> DataFrame:
 def read_graph_files(t: Tables) -> DataFrame:
     """Nodes and edges under their other names; edges without a source are left out, sources without a node are bare."""
     k = F.col("n_nationkey")
-    nodes = t.region.agg(F.array_join(F.array_sort(F.collect_list(_json(id=_text("r", F.col("r_regionkey")), name=F.col("r_name"), type=F.lit("region")))), ",").alias("nodes"))
-    edges = t.nation.agg(F.array_join(F.collect_list(_json(source=F.when(k % 5 > 0, _text("n", k)).otherwise(""), target=_text("r", F.col("n_regionkey")), type=F.lit("IN"))), ",").alias("edges"))
-    folder = f"{shared_folder(t.spark)}/json-{uuid.uuid4().hex}"
-    nodes.crossJoin(edges).select(F.concat(F.lit('{"nodes": ['), "nodes", F.lit('], "edges": ['), "edges", F.lit("]}"))).coalesce(1).write.text(folder)  # one row each
+    nodes = _json(id=_text("r", F.col("r_regionkey")), name=F.col("r_name"), type=F.lit("region"))
+    edges = _json(source=F.when(k % 5 > 0, _text("n", k)).otherwise(""), target=_text("r", F.col("n_regionkey")), type=F.lit("IN"))
+    folder = _written(t, t.nation, '{"edges": [', edges, folder=_written(t, t.region, '{"nodes": [', nodes))
     entities, links = readers.read_graph(t.spark, folder)
     named = entities.where("entity_type = 'region'").select(F.col("entity_id").alias("dst"), "name")
     bare = entities.where("entity_type = ''").select(F.col("entity_id").alias("src"))
