@@ -6,7 +6,7 @@ Fixtures are documents made of the driver's rows; the SQL says what the patterns
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import enrich, etl, evaluation, graph, knowledge, machines, matching
+from docloom.operators import enrich, etl, evaluation, knowledge, machines, matching, trees
 from docloom.plans.domain import body_control
 from docloom.plans.registry import Tables, query
 from docloom.sources.storage import stored
@@ -318,3 +318,37 @@ def evidence_coverage(t: Tables) -> DataFrame:
     q = F.col("query_id")
     asked = steps.select("query_id").distinct().withColumn("query", F.when(q % 3 == 0, "如何进入 Driving 路径").when(q % 3 == 1, "什么影响").otherwise("是什么"))
     return evaluation.coverage_score(steps, asked).withColumn("coverage", F.round("coverage", 6))
+
+
+# --- nested structures -----------------------------------------------------------------------------------------------
+
+_NODES = ("t0", "t1", "t2", "t3", "t5", "b0", "p0", "k0", "g0", "g1")
+_KINDS = {"t": "text", "b": "table", "p": "picture", "k": "key_value", "g": "group"}
+_CHILDREN = (("#/body", ("t0", "g0", "t5", "gone")), ("g0", ("t1", "g1", "t0")), ("g1", ("t2", "g0", "t5")))
+#: Even orders read their body as it stands, odd ones backwards.
+_READ = {0: ("t0", "t1", "t2", "t5", "t3", "b0", "p0"), 1: ("t5", "t1", "t2", "t0", "t3", "b0", "p0")}
+
+
+@query("WITH x(odd, idx, ref, orphan) AS (VALUES " + ", ".join(str((odd, n, ref, n > 3)) for odd, refs in _READ.items() for n, ref in enumerate(refs)) + ") SELECT o_orderkey AS doc_id, idx, ref, orphan FROM x JOIN orders ON o_orderkey % 2 = odd")
+def body_items(t: Tables) -> DataFrame:
+    """Nested groups, a cycle, repeated and lost references, and items that nothing refers to: one document an order."""
+    docs = t.orders.select(F.col("o_orderkey").alias("doc_id"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), F.left("ref", F.lit(1)))
+    nodes = docs.select("doc_id", F.posexplode(F.array(*map(F.lit, _NODES))).alias("ord", "ref")).withColumn("kind", kind)
+    lists = F.array(*(F.struct(F.lit(p).alias("parent"), F.array(*map(F.lit, refs)).alias("refs")) for p, refs in _CHILDREN))
+    flat = docs.select("doc_id", F.explode(lists).alias("x")).select("doc_id", "x.parent", F.posexplode("x.refs").alias("n", "ref"))
+    children = flat.withColumn("nth", F.when((F.col("parent") == "#/body") & (F.col("doc_id") % 2 == 1), -F.col("n")).otherwise(F.col("n")))
+    return trees.body_order(nodes, children).select("doc_id", "idx", "ref", "orphan")
+
+
+@query("SELECT p_partkey AS tree_id, CASE WHEN p_partkey % 3 = 0 THEN 'Sig_A' ELSE 'Sig_A=' || p_size || ' AND ' || p_brand END || ' OR Sig_B=' || p_partkey || ' OR only' AS expression FROM part")
+def condition_expressions(t: Tables) -> DataFrame:
+    """An OR of an AND, a nested OR with an empty branch, and a value alone, for each part."""
+    k = F.col("p_partkey")
+    node = lambda n, parent, nth, kind, signal="", value="": F.struct(F.lit(n).alias("node_id"), F.lit(parent).cast("int").alias("parent_id"), F.lit(nth).alias("nth"), F.lit(kind).alias("kind"), (F.lit(signal) if isinstance(signal, str) else signal).alias("signal"), (F.lit(value) if isinstance(value, str) else value).alias("value"))
+    some = k % 3 != 0
+    made = F.array(
+        node(0, None, 0, "OR"), node(1, 0, 0, "AND"), node(2, 1, 0, "LEAF", "Sig_A", F.when(some, F.col("p_size").cast("string"))), node(3, 1, 1, "LEAF", F.when(some, F.col("p_brand")).otherwise("")),
+        node(4, 0, 1, "OR"), node(5, 4, 1, "LEAF", "Sig_B", k.cast("string")), node(6, 4, 0, "AND"), node(7, 0, 2, "LEAF", "", "only"),
+    )
+    return trees.infix(t.part.select(k.alias("tree_id"), F.explode(made).alias("n")).select("tree_id", "n.*"))
