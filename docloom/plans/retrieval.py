@@ -5,14 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import CJK, expand_query, text_of, tokenize
-from docloom.operators import graph, search
+from docloom.functions.text import CJK, expand_query, rewrite_query, text_of, tokenize
+from docloom.operators import graph, reasoning, search
 from docloom.operators.index import KeywordIndex
 from docloom.operators.matching import contains_join
+from docloom.operators.rerank import Embedder, Scorer, rerank
 from docloom.plans.domain import Domain
+from docloom.sources.storage import stored
+
+#: Candidates that are scored anew.
+HEAD = 12
 
 
 def intents(queries: DataFrame, domain: Domain) -> DataFrame:
@@ -27,13 +32,47 @@ def intents(queries: DataFrame, domain: Domain) -> DataFrame:
     return queries.select("query_id", "query", kind.alias("question_type"), modules.alias("modules"), F.slice(F.concat(phrases, names, modules), 1, 15).alias("keywords"), *hints)
 
 
-def graph_hits(intent: DataFrame, entities: DataFrame, edges: DataFrame, hops: int = 1, seeds: int = 10) -> DataFrame:
-    """(query_id, node, distance, rel, name, entity_type, module, section_path): seeds by name, at most ``seeds`` a query, and their neighbours."""
-    terms = intent.select("query_id", F.explode("keywords").alias("term"))
-    found = contains_join(entities, "name", terms, "term").select("query_id", F.col("entity_id").alias("seed"), (F.lower("name") == F.lower("term")).cast("double").alias("score"))
-    first = search.ranked(found.groupBy("query_id", "seed").agg(F.max("score").alias("score")), seeds, tie="seed").select("query_id", "seed")
-    near = graph.expand(graph.collapse(edges), first.select("seed").distinct(), hops)
-    all_ = first.select("query_id", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.lit("seed").alias("rel")).unionByName(first.join(near, "seed").select("query_id", "node", "distance", "rel"))
+#: What a question may name in the graph; the first four seed the graph's stage, in this order.
+NAMED_TYPES = ("signal", "function", "state", "module", "fault", "parameter")
+SEED_TYPES = NAMED_TYPES[:4]
+
+
+def search_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, nth): the query itself, its identifiers and its CJK phrases, the longest first; terms of two signs and more, each once."""
+    q = text_of("query")
+    longest = lambda found, n: F.slice(F.array_sort(found, lambda a, b: F.length(b) - F.length(a)), 1, n)
+    names = longest(F.regexp_extract_all(q, F.lit("[A-Z][A-Za-z0-9_]+"), F.lit(0)), 5)
+    phrases = longest(F.regexp_extract_all(q, F.lit(f"{CJK}{{2,8}}"), F.lit(0)), 8)
+    terms = F.filter(F.array_distinct(F.concat(F.array(q), names, phrases)), lambda x: F.length(x) >= 2)
+    return queries.select("query_id", F.posexplode(terms).alias("nth", "term"))
+
+
+def named_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, nth, tier, entity_id, entity_type, name, module): what a question's terms name, three exact and five partial hits a type and term."""
+    terms = search_terms(queries)
+    found = reasoning.capped_entities(terms.select("query_id", "term"), entities.where(F.col("entity_type").isin(*NAMED_TYPES)))
+    return found.join(terms, ["query_id", "term"]).join(entities.select("entity_id", "name", "module"), "entity_id").drop("term")
+
+
+def graph_seeds(intent: DataFrame, named: DataFrame, entities: DataFrame, most: int = 10, each: int = 3) -> DataFrame:
+    """(query_id, seed): the first ``most`` named entities, by kind, then term; where there is none, up to ``each`` entities a keyword names."""
+    kind = F.array_position(F.array(*map(F.lit, SEED_TYPES)), F.col("entity_type"))
+    order = F.struct(kind, "nth", "tier", F.length("name"), "entity_id")  # 'exact' comes before 'partial'
+    best = named.where(kind > 0).groupBy("query_id", F.col("entity_id").alias("seed")).agg(F.min(order).alias("k"))
+    terms = intent.select("query_id", F.posexplode("keywords").alias("nth", "term")).join(best.select("query_id").distinct(), "query_id", "left_anti")
+    hits = contains_join(entities.select("entity_id", "name"), "name", terms, "term")
+    nth = F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.lower("name") != F.lower("term"), F.length("name"), "entity_id"))
+    lost = hits.withColumn("at", nth).where(F.col("at") <= each)
+    fallback = lost.groupBy("query_id", F.col("entity_id").alias("seed")).agg(F.min(F.struct(F.lit(0).alias("a"), "nth", F.lit("").alias("b"), F.col("at").alias("c"), "entity_id")).alias("k"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("k"))
+    picked = best.withColumn("at", rank).unionByName(fallback.withColumn("at", rank).drop("k"), allowMissingColumns=True)
+    return picked.where(F.col("at") <= most).select("query_id", "seed")
+
+
+def graph_hits(seeds: DataFrame, entities: DataFrame, edges: DataFrame, hops: int = 1) -> DataFrame:
+    """(query_id, node, distance, rel, name, entity_type, module, section_path): seeds (query_id, seed) and their neighbours."""
+    near = graph.expand(graph.collapse(edges), seeds.select("seed").distinct(), hops)
+    all_ = seeds.select("query_id", F.col("seed").alias("node"), F.lit(0).alias("distance"), F.lit("self").alias("rel")).unionByName(seeds.join(near, "seed").select("query_id", "node", "distance", "rel"))
     best = all_.groupBy("query_id", "node").agg(F.min_by("rel", "distance").alias("rel"), F.min("distance").alias("distance"))
     return best.join(entities.select(F.col("entity_id").alias("node"), "name", "entity_type", "module", "section_path"), "node", "left")
 
@@ -87,17 +126,29 @@ class Corpus:
     index: KeywordIndex | None = None
 
 
-def retrieve(queries: DataFrame, corpus: Corpus, domain: Domain, top_k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: Corpus, domain: Domain, top_k: int = 10, vectors: DataFrame | None = None, scorer: Scorer | None = None, embedder: Embedder | None = None, rewrite: str = "") -> DataFrame:
     """(query_id, rank, chunk_id, score, rule_score, ...) for queries (query_id, query); ``vectors`` (query_id, vector) adds dense search.
 
-    Blank queries give no rows.
+    A question's named entities seed the graph and route it to the modules of its signals. ``rewrite`` ('keywords', or 'hyde' and
+    'query2doc' with a column ``written``) adds those names to what keyword search asks. ``scorer`` and ``embedder`` re-rank the best
+    candidates, else word overlap does. Blank queries give no rows.
     """
     asked = queries.where(F.trim(text_of("query")) != "")
     intent = intents(asked, domain)
-    hits = graph_hits(intent, corpus.entities, corpus.edges)
-    ids = hits.groupBy("query_id").agg(F.collect_set("node").alias("hit_ids"), F.collect_set("module").alias("hit_modules"))
+    # both are small and read several times; without tables of their own each reader would match all names anew
+    named = stored(named_entities(asked, corpus.entities))
+    hits = stored(graph_hits(graph_seeds(intent, named, corpus.entities), corpus.entities, corpus.edges))
+    routed = reasoning.signal_modules(named.where("entity_type = 'signal'").select("query_id", F.col("name").alias("signal")).distinct(), corpus.entities, corpus.edges).withColumnRenamed("modules", "routed")
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("entity_type") == kind, F.col("name")))).alias(f"named_{kind}s")
+    names = named.groupBy("query_id").agg(of("signal"), of("state"), of("function"), of("module"))
+    ids = hits.groupBy("query_id").agg(F.collect_set("node").alias("hit_ids"), F.collect_set("module").alias("hit_modules")).join(routed, "query_id", "left").join(names, "query_id", "left")
     sections = hit_sections(hits).groupBy("query_id").agg(F.collect_set("section").alias("hit_sections"))
-    expanded = asked.select("query_id", expand_query("query", domain.expansions).alias("text"))
+    worded = asked
+    if rewrite:
+        written = F.col("written") if "written" in asked.columns else ""
+        said = rewrite_query("query", rewrite, written, F.col("named_modules"), F.col("named_signals"), F.col("named_states"), F.col("named_functions"))
+        worded = asked.join(names, "query_id", "left").withColumn("query", said)
+    expanded = worded.select("query_id", expand_query("query", domain.expansions).alias("text"))
     docs = corpus.chunks.select(F.col("chunk_id").alias("doc_id"), "text")
     lists = [search.ranked(corpus.index.search(expanded) if corpus.index else search.bm25(expanded, docs, tokens=tokenize), 20)]
     if vectors is not None and corpus.points is not None:
@@ -113,20 +164,24 @@ def retrieve(queries: DataFrame, corpus: Corpus, domain: Domain, top_k: int = 10
     none = F.array().cast("array<string>")
     known = lambda x: F.coalesce(x, none)
     said = F.lower(F.concat_ws(" ", "text", "section_title"))
-    targets = F.array_union(known("modules"), known("hit_modules"))
+    targets = F.array_union(F.array_union(known("modules"), known("hit_modules")), known("routed"))
     c = c.withColumns({
         "entity_hits": F.size(F.array_intersect(known("entities"), known("hit_ids"))),
         "in_module": (F.col("module") != "") & F.array_contains(targets, F.col("module")),
         "keyword_hits": F.size(F.filter(known("keywords"), lambda k: (F.length(k) >= 2) & F.contains(said, F.lower(k)))),
         "in_section": F.array_contains(known("hit_sections"), F.col("section_path")),
-        "signal_hits": F.size(F.array_intersect(known("signals"), known("keywords"))),
-        "state_hits": F.size(F.array_intersect(known("states"), known("keywords"))),
+        "signal_hits": F.size(F.array_intersect(known("signals"), F.array_union(known("named_signals"), known("keywords")))),
+        "state_hits": F.size(F.array_intersect(known("states"), F.array_union(known("named_states"), known("keywords")))),
     })
     merged = search.dedup_prefix(c.withColumn("score", F.col("score") * merge_factor()).withColumn("tie", F.xxhash64("chunk_id")), 100, by="query_id", tie="tie")
-    words = intent.select("query_id", F.array_distinct(tokenize("query")).alias("query_words"))
-    pool = search.ranked(merged.join(words, "query_id").withColumnRenamed("chunk_id", "doc_id"), 20)
-    sim = search.jaccard(F.col("query_words"), F.array_distinct(tokenize("text")))
-    reranked = search.head_tail(pool, 12, search.semantic_boost(F.col("score"), sim))
+    pool = search.ranked(merged.join(asked.select("query_id", "query"), "query_id").withColumnRenamed("chunk_id", "doc_id"), 20)
+    if scorer is None and embedder is None:
+        sim = search.jaccard(F.array_distinct(tokenize("query")), F.array_distinct(tokenize("text")))
+        reranked = search.head_tail(pool, HEAD, search.semantic_boost(F.col("score"), sim))
+    else:
+        head = rerank(pool.where(F.col("rank") <= HEAD).select("query_id", "doc_id", "query", "text", "score"), scorer, embedder)
+        told = pool.join(head.select("query_id", "doc_id", F.col("score").alias("told")), ["query_id", "doc_id"], "left")
+        reranked = search.head_tail(told, HEAD, F.col("told"))
     bonus = rule_bonus()
     final = reranked.withColumn("rule_score", bonus).withColumn("score", F.col("new_score") * (1 + bonus)).drop("rank")
     return search.ranked(final, top_k).select("query_id", "rank", F.col("doc_id").alias("chunk_id"), "score", "rule_score", "module", "chunk_type", "section_path", "section_title", "text", "entity_hits", "keyword_hits", "question_type")

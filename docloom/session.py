@@ -11,12 +11,13 @@ from docloom.functions.text import text_of
 from docloom.operators import enrich, etl, graph, knowledge, machines
 from docloom.operators.reasoning import state_moves
 from docloom.operators.index import build_index
+from docloom.operators.search import embed
 from docloom.plans.agent import Tools, augment, gather, reflect
 from docloom.plans.domain import Domain, Domains
 from docloom.plans.planner import NodeOutput, build_plan, run_plan, select_template
 from docloom.plans.retrieval import Corpus, evidence, retrieve
 from docloom.sources import readers, sinks
-from docloom.sources.storage import stored
+from docloom.sources.storage import step, stored
 
 
 class Engine:
@@ -26,26 +27,31 @@ class Engine:
         self.spark, self.domains, self.llm = spark, domains or Domains(), llm
         self.domain: Domain = self.domains.get_or_create(domain)
         self.corpus: Corpus | None = None
+        self.embedder: Callable | None = None
         self.rules = self.states = self.transitions = None
 
     def parse(self, path: str, parsers: dict | None = None) -> DataFrame:
         return readers.parse_documents(self.spark, path, parsers)
 
-    def analyse(self, items: DataFrame) -> dict[str, DataFrame]:
+    def analyse(self, items: DataFrame, done: str = "") -> dict[str, DataFrame]:
         """All tables of parsed items: sections, chunks, mentions, entities, edges, table_records, rules, states, transitions.
 
         Mentions, links and rules feed several of these, so each is written to the shared folder once; the rest is lazy. Every end of an
         edge is an entity; guards, rules and faults add theirs to what texts and tables say.
+
+        ``done`` names what parsed the items (parsers and their version). Under a name, steps are kept by the files that were read, the
+        vocabulary and the name, and a later call over the same files reads them instead of doing them again.
         """
+        keep = lambda step_name, make: step(step_name, items, make, done, repr(self.domain)) if done else stored(make())
         clean = items.where("idx is not null").withColumn("doc_id", text_of("doc_id")) if dict(items.dtypes)["doc_id"] == "string" else items.where("idx is not null and doc_id is not null")
         tree = etl.sections(clean)
-        placed = stored(knowledge.located(clean, tree))
+        placed = keep("located", lambda: knowledge.located(clean, tree))
         found = etl.table_records(etl.classify_tables(clean.where("type = 'table'"), self.domain), self.domain)
-        records = stored(knowledge.split_moves(found.join(placed.select("doc_id", "idx", "module", "section_path", "section_title"), ["doc_id", "idx"])))
-        said = stored(knowledge.mentions(placed, self.domain).unionByName(knowledge.record_mentions(records)))
-        links = stored(knowledge.text_links(placed, said, self.domain).unionByName(knowledge.table_links(records)).unionByName(knowledge.section_links(said)))
+        records = keep("records", lambda: knowledge.split_moves(found.join(placed.select("doc_id", "idx", "module", "section_path", "section_title"), ["doc_id", "idx"])))
+        said = keep("mentions", lambda: knowledge.mentions(placed, self.domain).unionByName(knowledge.record_mentions(records)))
+        links = keep("links", lambda: knowledge.text_links(placed, said, self.domain).unionByName(knowledge.table_links(records)).unionByName(knowledge.section_links(said)))
         shared = ["rule_id", "module", "rule_type", "condition", "action", "confidence"]
-        rules = stored(machines.prose_rules(clean).unionByName(etl.table_rules(records).select(*shared), allowMissingColumns=True))
+        rules = keep("rules", lambda: machines.prose_rules(clean).unionByName(etl.table_rules(records).select(*shared), allowMissingColumns=True))
         states, transitions = machines.build_machines(rules)
         entities, edges = stored(knowledge.entities_of(said, links)), knowledge.edges_of(links)
         more = stored(enrich.enrich_graph(edges, entities, rules, transitions))
@@ -66,16 +72,27 @@ class Engine:
     def export(self, tables: dict[str, DataFrame], folder: str) -> None:
         sinks.write_json(tables, folder)
 
-    def load(self, chunks: DataFrame, entities: DataFrame, edges: DataFrame, points: DataFrame | None = None, rules: DataFrame | None = None, transitions: DataFrame | None = None, store: bool = True) -> None:
-        """What searches run on. Each search reads these tables several times, so they are written to the shared folder first;
-        ``store=False`` takes them as they are, which is right for tables at rest."""
+    def load(self, chunks: DataFrame, entities: DataFrame, edges: DataFrame, points: DataFrame | None = None, rules: DataFrame | None = None, transitions: DataFrame | None = None, store: bool = True, embedder: Callable | None = None) -> None:
+        """What searches run on. Each search reads these tables several times, so they are written to the shared folder first, and the
+        chunks get a keyword index; ``store=False`` takes tables at rest as they are and searches without an index.
+
+        ``embedder`` (texts to vectors, batch by batch) makes the vectors of chunks that ``points`` has none for; they are stored with the
+        others, so that no search makes them again.
+        """
+        self.embedder = embedder
+        if embedder is not None:
+            had = points.select("chunk_id", "vector") if points is not None else self.spark.createDataFrame([], "chunk_id string, vector array<double>")
+            points = stored(embed(chunks.select("chunk_id", "text").join(had, "chunk_id", "left"), embedder).select("chunk_id", "vector"))
         keep = lambda df: stored(df) if store and df is not None else df
         held = keep(chunks)
         index = build_index(held.select(F.col("chunk_id").alias("doc_id"), "text")) if store else None
         self.corpus, self.rules, self.transitions = Corpus(held, keep(entities), keep(edges), keep(points), index), keep(rules), keep(transitions)
 
-    def search(self, queries: DataFrame, top_k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
-        return retrieve(queries, self.corpus, self.domain, top_k, vectors)
+    def search(self, queries: DataFrame, top_k: int = 10, vectors: DataFrame | None = None, **how: object) -> DataFrame:
+        """See ``retrieve``; with points and an embedder (``load``), queries are embedded as the chunks were."""
+        if vectors is None and self.corpus.points is not None and self.embedder is not None:
+            vectors = embed(queries.select("query_id", text_of("query").alias("text")), self.embedder).select("query_id", "vector")
+        return retrieve(queries, self.corpus, self.domain, top_k, vectors, **how)
 
     def templates(self, queries: DataFrame) -> DataFrame:
         return queries.select("query_id", "query", select_template("query", self.domain).alias("template"))

@@ -22,7 +22,10 @@ WINDOW = "The window motor stops on overload and reports a fault. " * 20
 def engine_of(spark, tmp_path):
     (tmp_path / "a.md").write_text(DOC.format(LIGHT, WINDOW))
     engine = Engine(spark)
-    made = engine.analyse(engine.parse(str(tmp_path / "*.md")))
+    items = engine.parse(str(tmp_path / "*.md"))
+    made = engine.analyse(items, "parsers-1")
+    again = engine.analyse(engine.parse(str(tmp_path / "*.md")), "parsers-1")
+    assert sorted(again["mentions"].inputFiles()) == sorted(made["mentions"].inputFiles())  # done once
     moves = spark.createDataFrame([("Inactive", "Driving", "PEPS_Mode = 1"), ("Driving", "Inactive", "")], "src string, dst string, guard string")
     engine.load(made["chunks"], made["entities"], made["edges"], rules=made["rules"], transitions=moves)
     return engine

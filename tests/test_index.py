@@ -84,3 +84,35 @@ def test_steps_are_done_once(spark, tmp_path):
     table = storage.stored(df)
     storage.discard(table, df)
     assert not storage.exists(spark, table._stored_at) and df.count() == 5
+
+
+def test_seeds_and_scorers_in_retrieval(spark):
+    """Seeds by kind and term, the fallback to keywords, routing by a signal's module, a scorer that turns the order round, vectors made once."""
+    from docloom.plans import retrieval
+    from docloom.plans.domain import body_control
+    from docloom.session import Engine
+
+    entities = spark.createDataFrame(
+        [("s1", "signal", "Lamp_Sts", "L", ""), ("f1", "function", "Lamp_Stsx", "W", ""), ("x1", "state", "车窗", "W", ""), ("d1", "fault", "Lamp_Sts", "L", ""), ("c1", "can_message", "Zeta_Id", "L", "")],
+        "entity_id string, entity_type string, name string, module string, section_path string",
+    )
+    edges = spark.createDataFrame([("s1", "c1", "outputs", 0)], "src string, dst string, rel string, ord long")
+    asked = spark.createDataFrame([(1, "what is Lamp_Sts 车窗"), (2, "Zeta_Id"), (3, "nothing")], "query_id long, query string")
+    intent, named = retrieval.intents(asked, body_control()), retrieval.named_entities(asked, entities)
+    seeds = {(r.query_id, r.seed) for r in retrieval.graph_seeds(intent, named, entities).collect()}
+    assert seeds == {(1, "s1"), (1, "f1"), (1, "x1"), (2, "c1")}
+    assert {(r.query_id, r.seed) for r in retrieval.graph_seeds(intent, named, entities, most=1).collect()} == {(1, "s1"), (2, "c1")}
+    chunks = spark.createDataFrame([(f"k{n}", f"lamp text number {n} " + "Lamp_Sts " * n, "L" if n == 2 else "", "general_text", "", "", [], [], [], False) for n in range(1, 4)], "chunk_id string, text string, module string, chunk_type string, section_path string, section_title string, entities array<string>, signals array<string>, states array<string>, has_table boolean")
+    engine, calls = Engine(spark), spark.sparkContext.accumulator(0)
+
+    def vector(texts):
+        calls.add(len(texts))
+        return [[1.0, float("number 3" in t)] for t in texts]
+
+    engine.load(chunks, entities, edges, points=spark.createDataFrame([("k1", [0.0, 1.0])], "chunk_id string, vector array<double>"), embedder=vector)
+    assert calls.value == 2 and engine.corpus.points.count() == 3
+    lamp = asked.where("query_id = 1")
+    got = [r.chunk_id for r in engine.search(lamp).orderBy("rank").collect()]
+    assert set(got) == {"k1", "k2", "k3"} and calls.value > 2
+    best = engine.search(lamp, scorer=lambda pairs: [1.0 if "number 3" in t else 0.0 for _, t in pairs], rewrite="keywords").orderBy("rank").collect()
+    assert best[0].chunk_id == "k3"
