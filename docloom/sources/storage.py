@@ -52,18 +52,20 @@ def discard(*tables: DataFrame) -> None:
 
 
 def fingerprint(df: DataFrame, *parameters: object) -> str | None:
-    """A name for what ``df`` reads from files (paths, lengths, times of change), its plan and ``parameters``; None if it reads no files.
+    """A name for what ``df`` reads from files (their paths, and lengths and times of change in their folders), its plan and ``parameters``;
+    None if it reads no files.
 
     Expression ids differ from plan to plan and are left out.
     """
     paths = sorted(df.inputFiles())
     if not paths:
         return None
-    files, _ = _file_system(df.sparkSession, paths[0])
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
-    status = [files.getFileStatus(path(p)) for p in paths]
+    found = []
+    for folder in sorted({p.rsplit("/", 1)[0] for p in paths}):  # one listing a folder, not a call a file
+        files, at = _file_system(df.sparkSession, folder)
+        found += sorted((folder, s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(at))
     plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
-    said = repr((paths, [(s.getLen(), s.getModificationTime()) for s in status], plan, parameters))
+    said = repr((paths, found, plan, parameters))
     return hashlib.sha256(said.encode()).hexdigest()[:32]
 
 
