@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from docloom.llm.common import read_table
+from docloom.llm.common import read_table, release
 
 PREFIX, SUFFIX, MIDDLE = SENTINELS = ("<P>", "<S>", "<M>")
 UNIT = r"[^\n]*\n|[^\n]+"
@@ -80,8 +80,11 @@ def transform(seed: int = 7, rate: int = 100, spm: int = 50, unit: str = UNIT):
         for k, t in zip(key, text, strict=True):
             row = arrange(t or "", k or "", str(seed), rate, spm, cut)
             rows.append((*row, _hex(row[-1])))
-        out = pd.DataFrame(rows, columns=["n", "form", "prefix_chars", "middle_chars", "output", "output_sha256"])
-        return out.astype({"n": "int64", "prefix_chars": "Int64", "middle_chars": "Int64"})
+        n, form, prefix, middle, output, digest = zip(*rows, strict=True) if rows else ((),) * 6
+        del rows
+        release()  # the batch before this one left its texts
+        long = lambda x: pd.array(x, "Int64")
+        return pd.DataFrame({"n": long(n), "form": form, "prefix_chars": long(prefix), "middle_chars": long(middle), "output": output, "output_sha256": digest})
 
     return run
 
@@ -101,6 +104,7 @@ def restored(output: Column | str = "output", form: Column | str = "form") -> Co
     @pandas_udf("text string, text_sha256 string")
     def run(output: pd.Series, form: pd.Series) -> pd.DataFrame:
         texts = [rebuilt(o or "", f) for o, f in zip(output, form, strict=True)]
+        release()
         return pd.DataFrame({"text": texts, "text_sha256": [_hex(t) for t in texts]}, dtype="object")
 
     return run(output, form)
