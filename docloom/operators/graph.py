@@ -84,6 +84,27 @@ def shortest_paths(paths: DataFrame) -> DataFrame:
     return paths.groupBy("start", "goal").agg(F.min_by("path", F.struct("hops", "path")).alias("path"), F.min("hops").alias("hops"))
 
 
+def routes(edges: DataFrame, pairs: DataFrame, max_hops: int = 50) -> DataFrame:
+    """(start, goal, path, hops): a shortest path between stated pairs, of those the lexicographically first; no row where there is none.
+
+    Breadth-first: a start meets each node once, with one path, and stops when its goals are found. A pair of equal ends has no path.
+    """
+    e = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    open_ = pairs.select("start", "goal").where("start <> goal").distinct()
+    level = open_.select("start", F.col("start").alias("node"), F.array("start").alias("path")).distinct()
+    seen, out = level.select("start", "node"), None
+    for h in range(1, max_hops + 1):
+        step = level.join(open_.select("start").distinct(), "start", "left_semi").join(e, "node").select("start", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"))
+        level = stored(step.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti"))
+        found = level.withColumnRenamed("node", "goal").join(open_, ["start", "goal"], "left_semi").select("start", "goal", "path", F.lit(h).alias("hops"))
+        out = found if out is None else out.unionByName(found)
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level.select("start", "node"))
+        open_ = stored(open_.join(level.withColumnRenamed("node", "goal"), ["start", "goal"], "left_anti"))
+    return out
+
+
 def dependency_chain(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, relations: tuple[str, ...] = DEPENDENCIES) -> DataFrame:
     """(seed, node, depth, path): the shortest, then lexicographically first, path to each node over dependency relations."""
     e = edges.where(F.col("rel").isin(*relations)).select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
@@ -192,10 +213,15 @@ def greedy_chain(edges: DataFrame, starts: DataFrame, steps: int = 5) -> DataFra
 
 
 def levels(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-    """(node, level): Kahn's levels as longest path from a source, for acyclic graphs of at most ``limit`` levels."""
+    """(node, level): Kahn's levels as longest path from a source, for acyclic graphs of at most ``limit`` levels.
+
+    Each level is written once and read by the next; the walk ends with the graph.
+    """
     out = nodes.select("node", F.lit(0).alias("level"))
     front = nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").select("node")
     for d in range(1, limit):
-        front = front.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").select(F.col("next").alias("node")).distinct()
+        front = stored(front.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").select(F.col("next").alias("node")).distinct())
+        if front.isEmpty():
+            break
         out = out.unionByName(front.withColumn("level", F.lit(d)))
     return out.groupBy("node").agg(F.max("level").alias("level"))

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import text_of
-from docloom.operators import enrich, etl, graph, knowledge, machines
+from docloom.operators import enrich, etl, explain, graph, knowledge, machines
 from docloom.operators.reasoning import state_moves
 from docloom.operators.index import build_index
 from docloom.operators.search import embed
 from docloom.plans.agent import Tools, augment, gather, reflect
 from docloom.plans.domain import Domain, Domains
 from docloom.plans.planner import NodeOutput, build_plan, run_plan, select_template
-from docloom.plans.retrieval import Corpus, evidence, retrieve
+from docloom.plans.retrieval import Corpus, evidence, named_entities, retrieve, search_terms
 from docloom.sources import readers, sinks
 from docloom.sources.storage import step, stored
 
@@ -72,7 +72,7 @@ class Engine:
     def export(self, tables: dict[str, DataFrame], folder: str) -> None:
         sinks.write_json(tables, folder)
 
-    def load(self, chunks: DataFrame, entities: DataFrame, edges: DataFrame, points: DataFrame | None = None, rules: DataFrame | None = None, transitions: DataFrame | None = None, store: bool = True, embedder: Callable | None = None) -> None:
+    def load(self, chunks: DataFrame, entities: DataFrame, edges: DataFrame, points: DataFrame | None = None, rules: DataFrame | None = None, transitions: DataFrame | None = None, store: bool = True, embedder: Callable | None = None, states: DataFrame | None = None) -> None:
         """What searches run on. Each search reads these tables several times, so they are written to the shared folder first, and the
         chunks get a keyword index; ``store=False`` takes tables at rest as they are and searches without an index.
 
@@ -87,6 +87,7 @@ class Engine:
         held = keep(chunks)
         index = build_index(held.select(F.col("chunk_id").alias("doc_id"), "text")) if store else None
         self.corpus, self.rules, self.transitions = Corpus(held, keep(entities), keep(edges), keep(points), index), keep(rules), keep(transitions)
+        self.states = keep(states)
 
     def search(self, queries: DataFrame, top_k: int = 10, vectors: DataFrame | None = None, **how: object) -> DataFrame:
         """See ``retrieve``; with points and an embedder (``load``), queries are embedded as the chunks were."""
@@ -134,6 +135,17 @@ class Engine:
         """Evidence and verdict of the verifying loop for questions (query_id, query)."""
         return gather(lambda q: self.search(q, 5), questions, rounds)
 
+    def explain(self, questions: DataFrame) -> DataFrame:
+        """(query_id, part, head, nth, line): what the loaded rules and machines say about each question; see ``operators.explain``.
+
+        States that were not loaded are those which transitions join, none of them initial or terminal.
+        """
+        ends = self.transitions.select("module", F.explode(F.array("src", "dst")).alias("name")).distinct()
+        states = self.states if self.states is not None else ends.withColumns({"is_initial": F.lit(False), "is_terminal": F.lit(False)})
+        moves = self.transitions if "ord" in self.transitions.columns else self.transitions.withColumn("ord", F.col("id"))
+        named = stored(named_entities(questions, self.corpus.entities))
+        return explain.explain(questions, named, search_terms(questions), self.corpus.entities, self.rules, states, moves)
+
     def tools(self, limit: int = 5) -> Tools:
         """The seven tools of an agent over what is loaded."""
         asked = lambda query: self.spark.createDataFrame([(0, query)], "query_id long, query string")
