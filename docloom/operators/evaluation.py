@@ -57,6 +57,50 @@ def issue_score(found: Column, expected: Column, forbidden: Column) -> Column:
     return F.greatest(F.lit(0.0), F.when(F.size(expected) > 0, score).otherwise(alone))
 
 
+def _share(found: Column, expected: Column) -> Column:
+    """``recall``, or half where nothing is expected."""
+    return F.when(F.size(expected) > 0, recall(found, expected)).otherwise(0.5)
+
+
+def said_share(text: Column, expected: Column) -> Column:
+    """The share of expected phrases, each once, that occur in a text whatever the case; half where nothing is expected."""
+    low = F.array_distinct(F.transform(expected, F.lower))
+    return F.when(F.size(low) > 0, F.size(F.filter(low, lambda x: F.contains(F.lower(text), x))) / F.size(low)).otherwise(0.5)
+
+
+def guard_score(guards: Column, sources: Column, sections: Column, expected_guards: Column, expected_sources: Column, expected_sections: Column) -> Column:
+    """0.5 expected phrases in the guards, 0.25 source states, 0.25 sections; a part without an expectation counts half."""
+    return 0.5 * said_share(F.array_join(guards, " "), expected_guards) + 0.25 * _share(sources, expected_sources) + 0.25 * _share(sections, expected_sections)
+
+
+def cause_score(texts: Column, expected: Column) -> Column:
+    """The share of expected root causes that occur in the texts of rules and guards; half without an expectation."""
+    return said_share(F.array_join(texts, " "), expected)
+
+
+def retrieval_report(questions: DataFrame, results: DataFrame) -> DataFrame:
+    """(scope, value, n, hit_1, hit_3, hit_5, mrr, module_accuracy, latency_ms, results) over all questions, each expected module and each question type.
+
+    questions: query_id, expected_module, expected_section, question_type, latency_ms. results: query_id, rank (from 1), module, section_path.
+    Ranks are those of the expected module; its section anywhere among the results counts as a hit at 1. Questions without results are
+    misses; those that expect no module are left out of the modules' rows.
+    """
+    asked = questions.select("query_id", text_of("expected_module").alias("want"), text_of("expected_section").alias("where_"), text_of("question_type").alias("type"), "latency_ms")
+    rows = results.select("query_id", "rank", "module", "section_path").join(asked, "query_id")
+    first = F.min(F.when((F.col("want") != "") & (F.col("module") == F.col("want")), F.col("rank")))
+    placed = F.coalesce(F.bool_or((F.col("where_") != "") & (F.col("section_path") == F.col("where_"))), F.lit(False))
+    best = rows.groupBy("query_id").agg(first.alias("first"), placed.alias("placed"), F.count(F.lit(1)).alias("n"))
+    q = asked.join(best, "query_id", "left")
+    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
+    by = q.groupingSets([[], [F.col("want")], [F.col("type")]], F.col("want"), F.col("type")).agg(
+        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), share((F.col("first") == 1) | F.col("placed")).alias("hit_1"), share(F.col("first") <= 3).alias("hit_3"), share(F.col("first") <= 5).alias("hit_5"),
+        F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"), share(F.col("first") == 1).alias("module_accuracy"), F.avg("latency_ms").alias("latency_ms"), F.avg(F.coalesce("n", F.lit(0))).alias("results"),
+    )
+    scope = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "module").otherwise("type")
+    value = F.when(F.col("g") == 3, "").when(F.col("g") == 1, F.col("want")).otherwise(F.col("type"))
+    return by.where("g <> 1 or want <> ''").select(scope.alias("scope"), value.alias("value"), "n", "hit_1", "hit_3", "hit_5", "mrr", "module_accuracy", "latency_ms", "results")
+
+
 # Sources that reason rather than search, and what notes hold by kind of question (the first kind whose word occurs).
 DEEP_SOURCES = ("state_machine", "rule_engine", "path_finder")
 EXPECTED_NOTES = (

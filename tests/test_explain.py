@@ -1,8 +1,9 @@
 """What rules and machines say about questions, on tables small enough to read."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.operators import explain, graph
+from docloom.operators import evaluation, explain, graph
 from docloom.plans.retrieval import search_terms
 
 QUESTIONS = [
@@ -71,3 +72,29 @@ def test_routes(spark):
     got = {(r.start, r.goal): (r.path, r.hops) for r in graph.routes(edges, pairs).collect()}
     assert got == {("a", "d"): (["a", "b", "d"], 2), ("a", "e"): (["a", "b", "d", "e"], 3), ("d", "b"): (["d", "a", "b"], 2)}
     assert {(r.start, r.goal) for r in graph.routes(edges, pairs, 2).collect()} == {("a", "d"), ("d", "b")}
+
+
+def test_the_engine_explains(spark, tables):
+    """Tables as ``analyse`` gives them: transitions have an id and no order, states may be absent."""
+    from docloom.session import Engine
+
+    _, _, _, rules, _, moves = tables
+    entities = spark.createDataFrame([("e1", "signal", "PEPS_Mode", "P")], "entity_id string, entity_type string, name string, module string")
+    chunks = spark.createDataFrame([], "chunk_id string, text string")
+    edges = spark.createDataFrame([], "src string, dst string, rel string")
+    engine = Engine(spark)
+    engine.load(chunks, entities, edges, rules=rules, transitions=moves.withColumnRenamed("ord", "id"), store=False)
+    got = engine.explain(spark.createDataFrame([(1, "PEPS_Mode deadlock 的影响")], "query_id long, query string"))
+    told = lines(got, 1)
+    assert ("impact", "PEPS_Mode (signal)", "P: Abandoned → Inactive guarded by PEPS_Mode") in told
+    assert ("reachability", "P", "Deadlock states: Driving") in told
+
+
+def test_scores_without_expectations(spark):
+    words = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    none = words()
+    row = spark.range(1).select(
+        evaluation.guard_score(none, none, none, none, none, none).alias("a"), evaluation.guard_score(words("X = 1"), words("S"), words("2"), words("x", "X", "y"), words("S"), words("3")).alias("b"),
+        evaluation.cause_score(none, none).alias("c"), evaluation.cause_score(words("the Bus", "off"), words("BUS OFF", "on")).alias("d"),
+    ).first()
+    assert (row.a, row.b, row.c, row.d) == (0.5, 0.5, 0.5, 0.5)
