@@ -28,3 +28,12 @@ def test_alike_rules_are_one_class(spark):
     few = rules.where("rule_id < 700").unionByName(other)
     made = machines.rule_conflicts(few)
     assert made.count() == made.select("a", "b").distinct().count() == 700 * 699 // 2 + 1 + 1400 and made.where("a >= b").count() == 0
+
+
+def test_targets_stay_with_their_rules(spark):
+    """A pair's targets follow its ids, whichever class comes first."""
+    rows = [(5, "A"), (1, "B"), (9, "B"), (7, "A")]
+    rules = spark.createDataFrame([(i, "m", "Sig_Abc = 1", f"go {t}", t) for i, t in rows], "rule_id int, module string, condition string, action string, target_state string")
+    target = dict(rows)
+    got = machines.rule_conflicts(rules).where("kind = 'action_conflict'").collect()
+    assert {(r.a, r.b) for r in got} == {(1, 5), (1, 7), (5, 9), (7, 9)} and all((r.target_a, r.target_b) == (target[r.a], target[r.b]) for r in got)
