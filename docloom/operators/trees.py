@@ -1,6 +1,8 @@
 """Nested structures as rows: a document body of nested groups in reading order, and condition trees as one expression.
 
 Both go level by level over written tables, so their depth costs jobs, not plan size; a level holds each node of a document or tree once.
+Both sides of every join grow with the documents, but their files tell little of their rows (ids and paths compress to next to nothing):
+they are merged, as a broadcast chosen by file size would pass all of them through the driver.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ def body_order(nodes: DataFrame, children: DataFrame, root: str = "#/body") -> D
     """
     known = nodes.select("doc_id", "ref", "kind")
     groups = known.where("kind = 'group'").select("doc_id", F.col("ref").alias("parent"))
-    at = children.select("doc_id", "parent", "nth", "ref").join(known.select("doc_id", "ref"), ["doc_id", "ref"], "left_semi")
+    at = children.select("doc_id", "parent", "nth", "ref").join(known.select("doc_id", "ref").hint("merge"), ["doc_id", "ref"], "left_semi")
     level = stored(at.where(F.col("parent") == root).groupBy("doc_id", "ref").agg(F.array(F.min("nth")).alias("path")).withColumn("above", F.array("ref")))
     levels = [level]
     for _ in range(DEEPEST):
-        down = level.withColumnRenamed("ref", "parent").join(groups, ["doc_id", "parent"], "left_semi").join(at, ["doc_id", "parent"])
+        down = level.withColumnRenamed("ref", "parent").join(groups.hint("merge"), ["doc_id", "parent"], "left_semi").join(at.hint("merge"), ["doc_id", "parent"])
         step = down.where(~F.array_contains("above", F.col("ref"))).select("doc_id", "ref", F.array_append("path", F.col("nth")).alias("path"), F.array_append("above", F.col("ref")).alias("above"))
         # of the places of one node on one level only the first can give first places below it
         level = stored(step.groupBy("doc_id", "ref").agg(F.min_by(F.struct("path", "above"), "path").alias("r")).select("doc_id", "ref", "r.*"))
@@ -45,7 +47,7 @@ def body_order(nodes: DataFrame, children: DataFrame, root: str = "#/body") -> D
         every = every.unionByName(x)
     first = every.groupBy("doc_id", "ref").agg(F.min("path").alias("path"))
     rank = F.array_position(F.array(*map(F.lit, ORPHANS)), F.col("kind"))
-    items = nodes.where("kind <> 'group'").join(first, ["doc_id", "ref"], "left").where(F.col("path").isNotNull() | (rank > 0))
+    items = nodes.where("kind <> 'group'").join(first.hint("merge"), ["doc_id", "ref"], "left").where(F.col("path").isNotNull() | (rank > 0))
     order = Window.partitionBy("doc_id").orderBy(F.col("path").isNull(), "path", rank, "ord", "ref")
     return items.select("doc_id", (F.row_number().over(order) - 1).alias("idx"), "ref", "kind", F.col("path").isNull().alias("orphan"))
 

@@ -37,3 +37,10 @@ def test_targets_stay_with_their_rules(spark):
     target = dict(rows)
     got = machines.rule_conflicts(rules).where("kind = 'action_conflict'").collect()
     assert {(r.a, r.b) for r in got} == {(1, 5), (1, 7), (5, 9), (7, 9)} and all((r.target_a, r.target_b) == (target[r.a], target[r.b]) for r in got)
+
+
+@tables
+@pytest.mark.parametrize("name", ["body_items"])
+def test_documents_are_not_broadcast(spark, name):
+    """Files of a few hundred bytes hold as many rows as they like; their joins by document go by a shuffle."""
+    assert "Broadcast" not in plan(catalog.QUERIES[name](spark, DATA))
