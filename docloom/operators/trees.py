@@ -67,7 +67,7 @@ def infix(nodes: DataFrame) -> DataFrame:
     level = rows.where("parent_id is null")
     levels = [level]
     for _ in range(DEEPEST):
-        level = stored(rows.join(level.select("tree_id", F.col("node_id").alias("parent_id")), ["tree_id", "parent_id"]))
+        level = stored(rows.join(level.select("tree_id", F.col("node_id").alias("parent_id")).hint("merge"), ["tree_id", "parent_id"]))
         if level.isEmpty():
             discard(level)
             break
@@ -83,6 +83,6 @@ def infix(nodes: DataFrame) -> DataFrame:
             parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("nth", "node_id", "text")))), lambda x: x["text"])
             made = below.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(parts.alias("parts"))
             joined = F.array_join(F.coalesce("parts", F.array().cast("array<string>")), " AND "), F.array_join(F.coalesce("parts", F.array().cast("array<string>")), " OR ")
-            told = level.join(made, ["tree_id", "node_id"], "left").withColumn("text", F.when(F.col("kind") == "AND", joined[0]).when(F.col("kind") == "OR", joined[1]).otherwise(text))
+            told = level.join(made.hint("merge"), ["tree_id", "node_id"], "left").withColumn("text", F.when(F.col("kind") == "AND", joined[0]).when(F.col("kind") == "OR", joined[1]).otherwise(text))
         below = told.select("tree_id", "node_id", "parent_id", "nth", "text")
     return below.select("tree_id", F.col("text").alias("expression"))
