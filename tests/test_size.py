@@ -40,7 +40,7 @@ def test_targets_stay_with_their_rules(spark):
 
 
 @tables
-@pytest.mark.parametrize("name", ["body_items", "condition_expressions", "rules_of_prose"])
+@pytest.mark.parametrize("name", ["body_items", "condition_expressions", "rules_of_prose", "transitions_of_rules"])
 def test_documents_are_not_broadcast(spark, name):
     """Files of a few hundred bytes hold as many rows as they like; their joins by document go by a shuffle."""
     assert "Broadcast" not in plan(catalog.QUERIES[name](spark, DATA))
