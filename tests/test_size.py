@@ -44,3 +44,10 @@ def test_targets_stay_with_their_rules(spark):
 def test_documents_are_not_broadcast(spark, name):
     """Files of a few hundred bytes hold as many rows as they like; their joins by document go by a shuffle."""
     assert "Broadcast" not in plan(catalog.QUERIES[name](spark, DATA))
+
+
+@tables
+def test_machines_broadcast_vocabularies_alone(spark):
+    """Only the given states meet the modules by broadcast; nothing of a document does."""
+    said = plan(catalog.QUERIES["machine_states"](spark, DATA))
+    assert said.count("BroadcastHashJoin") <= 1 and "SortMergeJoin" in said
