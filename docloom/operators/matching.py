@@ -1,7 +1,7 @@
 """Which texts hold which terms, whatever the case: an equi-join on grams, where a nested loop would compare all pairs.
 
 A term meets only the texts that hold its rarest gram (three signs, or the whole of a shorter term), and each such meeting is verified.
-Gram counts, and with them the anchors, come from the texts at hand; texts and terms may both grow.
+Gram counts, and with them the anchors, come from the texts at hand; texts and terms may both grow; what grows with the texts is merged, never broadcast.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ def matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
     count = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a gram that no text holds rules its term out
     least = wanted.join(count, "gram", "left").groupBy("term_").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return least.join(held, "gram").where(F.contains("said_", F.col("term_"))).select("term_", "said_")
+    return least.join(held.hint("merge"), "gram").where(F.contains("said_", F.col("term_"))).select("term_", "said_")
 
 
 def contains_join(rows: DataFrame, text: Column | str, terms: DataFrame, term: Column | str) -> DataFrame:
     """``rows`` joined with ``terms`` wherever the lower-cased text holds the lower-cased term; all columns of both."""
     said, asked = rows.withColumn("said_", F.lower(text_of(text))), terms.withColumn("term_", F.lower(text_of(term)))
     pairs = matches(said.select("said_").distinct(), asked.select("term_").distinct())
-    return said.join(pairs, "said_").join(asked, "term_").drop("said_", "term_")
+    return said.hint("merge").join(pairs.hint("merge"), "said_").join(asked, "term_").drop("said_", "term_")

@@ -42,13 +42,14 @@ def impact_edges(transitions: DataFrame, rules: DataFrame) -> DataFrame:
 
 def forward_chain(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
     """(seed, node_type, node, depth, via): all that a seed (seed, seed_type) affects, at its least depth; via is the smallest reason there."""
-    e = edges.select(F.col("src_type").alias("node_type"), F.col("src").alias("node"), "dst_type", "dst", "via")
+    # written once: each depth would make the edges anew
+    e = stored(edges.select(F.col("src_type").alias("node_type"), F.col("src").alias("node"), "dst_type", "dst", "via"))
     front = seeds.select("seed", F.col("seed_type").alias("node_type"), F.col("seed").alias("node")).distinct()
     seen = front
     out = None
     for depth in range(1, max_depth + 1):
-        step = front.join(e, ["node_type", "node"]).groupBy("seed", F.col("dst_type").alias("node_type"), F.col("dst").alias("node")).agg(F.min("via").alias("via"))
-        found = stored(step.join(seen, ["seed", "node_type", "node"], "left_anti"))
+        step = front.hint("merge").join(e.hint("merge"), ["node_type", "node"]).groupBy("seed", F.col("dst_type").alias("node_type"), F.col("dst").alias("node")).agg(F.min("via").alias("via"))
+        found = stored(step.join(seen.hint("merge"), ["seed", "node_type", "node"], "left_anti"))
         front = found.select("seed", "node_type", "node")
         seen = seen.unionByName(front)
         rows = found.select("seed", "node_type", "node", F.lit(depth).alias("depth"), "via")
@@ -59,10 +60,10 @@ def forward_chain(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> Dat
 def impact_report(impacted: DataFrame, rules: DataFrame) -> DataFrame:
     """(seed, total_impacted, total_depth, modules) of a forward chain; a node's module is that of its rule, or of the first rule that names it."""
     names = impacted.select("node").distinct()
-    of_rule = names.join(rules.select(F.col("rule_id").cast("string").alias("node"), "module"), "node")
-    others = names.join(of_rule, "node", "left_anti")
+    of_rule = names.join(rules.select(F.col("rule_id").cast("string").alias("node"), "module").hint("merge"), "node")
+    others = names.join(of_rule.hint("merge"), "node", "left_anti")
     placed = of_rule.unionByName(first_rule_module(others.withColumnRenamed("node", "name"), rules).withColumnRenamed("name", "node"))
-    joined = impacted.join(placed, "node", "left")
+    joined = impacted.join(placed.hint("merge"), "node", "left")
     return joined.groupBy("seed").agg(F.count_distinct("node_type", "node").alias("total_impacted"), F.max("depth").alias("total_depth"), F.array_sort(F.collect_set("module")).alias("modules"))
 
 

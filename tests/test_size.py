@@ -51,3 +51,10 @@ def test_machines_broadcast_vocabularies_alone(spark):
     """Only the given states meet the modules by broadcast; nothing of a document does."""
     said = plan(catalog.QUERIES["machine_states"](spark, DATA))
     assert said.count("BroadcastHashJoin") <= 1 and "SortMergeJoin" in said
+
+
+@tables
+def test_reports_do_not_broadcast_rules(spark):
+    """Impacted nodes are as many as the rules; only the names that no rule has are few."""
+    said = plan(catalog.QUERIES["impact_reports"](spark, DATA))
+    assert said.count("SortMergeJoin") >= 4
