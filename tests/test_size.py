@@ -58,3 +58,19 @@ def test_reports_do_not_broadcast_rules(spark):
     """Impacted nodes are as many as the rules; only the names that no rule has are few."""
     said = plan(catalog.QUERIES["impact_reports"](spark, DATA))
     assert said.count("SortMergeJoin") >= 4
+
+
+def test_equal_questions_are_answered_once(spark, monkeypatch):
+    """Rules meet each distinct term once, and the ranking is that of a brute force over all questions."""
+    met, join = [], explain.contains_join
+    monkeypatch.setattr(explain, "contains_join", lambda rows, text, terms, term: met.append(terms.count()) or join(rows, text, terms, term))
+    rules = [(i, f"M{i % 3}", f"Sig_Abc{i % 5} = 1", f"Out{i % 7}") for i in range(60)]
+    asked = [(q, t) for q in range(40) for t in (f"sig_abc{q % 5}", f"SIG_ABC{q % 5}", f"out{q % 2}", f"M{q % 3}", "", None)]
+    got = explain.matched_rules(spark.createDataFrame(asked, "query_id long, term string"), spark.createDataFrame(rules, "rule_id long, module string, condition string, action string"))
+    want = set()
+    for q in range(40):
+        terms = {t.lower() for k, t in asked if k == q and t}
+        hits = sorted((-sum(t in " ".join(map(str, r)).lower() for t in terms), r[0]) for r in rules if any(t in " ".join(map(str, r)).lower() for t in terms))
+        want |= {(q, n, i, -m) for n, (m, i) in enumerate(hits[:8], 1)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert met == [10]
