@@ -74,3 +74,14 @@ def test_equal_questions_are_answered_once(spark, monkeypatch):
         want |= {(q, n, i, -m) for n, (m, i) in enumerate(hits[:8], 1)}
     assert {tuple(r) for r in got.collect()} == want
     assert met == [10]
+
+
+def test_scores_take_the_same_room(spark, monkeypatch):
+    """Few scores at a time, the same neighbours; a batch never multiplies all queries at once."""
+    rows = [(i, [float((i * 7) % 11 - 5), float(i % 3), 1.0]) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "doc_id long, vector array<double>").coalesce(1)
+    queries = vectors.select(F.col("doc_id").alias("query_id"), "vector")
+    want = {tuple(r) for r in search.knn(queries, vectors, 5).collect()}
+    monkeypatch.setattr(search, "SCORES", 1000)
+    got = search.knn(queries, vectors, 5)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 1000
