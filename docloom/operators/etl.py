@@ -259,8 +259,8 @@ def classify_tables(tables: DataFrame, domain: Domain) -> DataFrame:
     scores = [F.struct(reduce(lambda a, b: a + b, map(seen, groups)).alias("score"), F.lit(-n).alias("order"), F.lit(name).alias("name")) for n, (name, groups) in enumerate(domain.table_headers.items())]
     if not scores:
         return tables.select("doc_id", "idx", "html", F.lit("unknown").alias("table_class"))
-    # the parsed head is a column of its own, else each of the keywords would parse the table anew
-    best = tables.select("doc_id", "idx", "html", head.alias("head_")).withColumn("best", F.array_max(F.array(*scores)))
+    # the parsed head is a row of its own: as a mere column, a filter on the class would be pushed below it, and each keyword parse the table anew
+    best = tables.select("doc_id", "idx", "html", F.explode(F.array(head)).alias("head_")).withColumn("best", F.array_max(F.array(*scores)))
     return best.select("doc_id", "idx", "html", F.when(F.col("best.score") >= 2, F.col("best.name")).otherwise("unknown").alias("table_class"))
 
 

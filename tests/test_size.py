@@ -5,8 +5,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import explain, index, machines, search
-from docloom.plans import catalog
+from docloom.operators import etl, explain, index, knowledge, machines, search
+from docloom.plans import catalog, catalog_knowledge
+from docloom.plans.domain import body_control
+from docloom.plans.registry import Tables
 
 DATA = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
@@ -85,3 +87,11 @@ def test_scores_take_the_same_room(spark, monkeypatch):
     monkeypatch.setattr(search, "SCORES", 1000)
     got = search.knn(queries, vectors, 5)
     assert {tuple(r) for r in got.collect()} == want and len(want) == 1000
+
+
+def test_a_table_is_parsed_once(spark):
+    """A filter on the class of a table does not parse its HTML anew for each keyword."""
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(0).alias("idx"), F.concat(F.lit("<table><tr><td>Voltage</td><td>Range</td></tr><tr><td>a"), "id", F.lit("</td><td>9V-16V</td></tr></table>")).alias("html"))
+    found = etl.classify_tables(rows, body_control()).where("table_class <> 'unknown'")
+    assert found.count() == 3
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("<tr[^>]*>") <= 2
