@@ -49,11 +49,11 @@ def module_end(module: Column | str) -> Column:
 
 
 def located(items: DataFrame, tree: DataFrame) -> DataFrame:
-    """Items with their section: section_idx, section_path (its number), section_title, parent_title and module (its own, else its parent's)."""
+    """Items, dealt out by document, with their section: section_idx, section_path (its number), section_title, parent_title and module (its own, else its parent's)."""
     up = tree.select("doc_id", F.col("start_idx").alias("parent_idx"), F.col("title").alias("parent_title"), F.col("module").alias("above"))
     own = F.coalesce(F.nullif(text_of("module"), F.lit("")), text_of("above"))
-    at = tree.join(up, ["doc_id", "parent_idx"], "left").select("doc_id", F.col("start_idx").alias("section_idx"), text_of("number").alias("section_path"), F.col("title").alias("section_title"), "parent_title", own.alias("module"))
-    joined = place_items(items).join(at, ["doc_id", "section_idx"], "left")
+    at = tree.join(up.hint("merge"), ["doc_id", "parent_idx"], "left").select("doc_id", F.col("start_idx").alias("section_idx"), text_of("number").alias("section_path"), F.col("title").alias("section_title"), "parent_title", own.alias("module"))
+    joined = place_items(items).join(at.hint("merge"), ["doc_id", "section_idx"], "left")
     return joined.withColumns({c: text_of(c) for c in ("section_path", "section_title", "parent_title", "module")})
 
 
@@ -133,17 +133,18 @@ def text_links(items: DataFrame, said: DataFrame, domain: Domain, relations: Seq
         return F.transform(hits, lambda x: give("section" if what == "number" else kind, x, F.col("module")))
 
     def pairs(nth: int, rel: str, pattern: str, src: tuple, dst: tuple) -> Column:
-        return F.zip_with(ends(*src, pattern), ends(*dst, pattern), lambda a, b: F.struct(F.lit(rel).alias("rel"), F.lit(nth).alias("nth"), a.alias("a"), b.alias("b")))
+        found = F.zip_with(ends(*src, pattern), ends(*dst, pattern), lambda a, b: F.struct(F.lit(rel).alias("rel"), F.lit(nth).alias("nth"), a.alias("a"), b.alias("b")))
+        return F.when(text.rlike(pattern), found)  # most texts hold few of the patterns: one look each, not one a group
 
     parts = [pairs(nth, *r) for nth, r in enumerate(relations)]
-    rows = items.where("type in ('paragraph', 'list')").select("doc_id", "idx", "module", "section_path", F.explode(F.concat(*parts)).alias("e"))
+    rows = items.where("type in ('paragraph', 'list')").select("doc_id", "idx", "module", "section_path", F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("e"))
     rows = rows.select("doc_id", "idx", "module", "section_path", "e.rel", "e.nth", "e.a", "e.b")
     whole = lambda c: (F.col(f"{c}.name") != "") | F.col(f"{c}.kind").isin("module", "section")  # noqa: E731  what has no name can't be an end
     rows = rows.where(whole("a") & whole("b"))
     known = said.groupBy("doc_id", "idx", "name").agg(F.min_by("entity_type", "rank").alias("known"))
     for side in "ab":
         own = known.select("doc_id", "idx", F.col("name").alias(f"{side}_name"), F.col("known").alias(f"{side}_known"))
-        rows = rows.withColumn(f"{side}_name", F.col(f"{side}.name")).join(own, ["doc_id", "idx", f"{side}_name"], "left")
+        rows = rows.withColumn(f"{side}_name", F.col(f"{side}.name")).join(own.hint("merge"), ["doc_id", "idx", f"{side}_name"], "left")
 
     def resolved(side: str) -> Column:
         kind, name, module = (F.col(f"{side}.{c}") for c in ("kind", "name", "module"))

@@ -95,3 +95,10 @@ def test_a_table_is_parsed_once(spark):
     found = etl.classify_tables(rows, body_control()).where("table_class <> 'unknown'")
     assert found.count() == 3
     assert found._jdf.queryExecution().optimizedPlan().toString().count("<tr[^>]*>") <= 2
+
+
+@tables
+def test_items_meet_their_sections_by_document(spark):
+    """Items are dealt out by document before patterns are looked for: a small file is no single task, its rows no broadcast."""
+    items = catalog_knowledge._spoken(Tables(spark, DATA))
+    assert plan(knowledge.located(items, etl.sections(items))).count("SortMergeJoin") >= 2
