@@ -102,3 +102,17 @@ def test_items_meet_their_sections_by_document(spark):
     """Items are dealt out by document before patterns are looked for: a small file is no single task, its rows no broadcast."""
     items = catalog_knowledge._spoken(Tables(spark, DATA))
     assert plan(knowledge.located(items, etl.sections(items))).count("SortMergeJoin") >= 2
+
+
+def test_index_tasks_follow_the_text(spark):
+    """What a task writes is bounded by the text, not by the number of buckets alone, and no two slots share a task."""
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"))
+    assert index.slices_for(docs, 8) == 1
+    built = index.build_index(docs)
+    assert built.postings().count() == 30
+    for size, most in ((1 << 30, 16 << 20), (6 << 30, 16 << 20)):
+        index_bytes, index._bytes = index._bytes, lambda df, n=size: n
+        try:
+            assert size / (8 * index.slices_for(docs, 8)) <= most
+        finally:
+            index._bytes = index_bytes
