@@ -116,3 +116,18 @@ def test_index_tasks_follow_the_text(spark):
             assert size / (8 * index.slices_for(docs, 8)) <= most
         finally:
             index._bytes = index_bytes
+
+
+def test_lines_are_written_once(spark):
+    """A transition's lines are made before questions meet them; every one of them arrives, equal ones too, and a state holds more than a bundle."""
+    moves = [("A", "B" if i % 2 else "A", None if i % 3 else f"g{i % 5}", "M" if i % 7 else "N", i // 2) for i in range(1500)]
+    asked = [(q, m, s) for q in range(3) for m in "MN" for s in "AB"] + [(9, "M", "Z"), (9, None, "A")]
+    got = explain.machine_lines(spark.createDataFrame(asked, "query_id int, module string, state string"), spark.createDataFrame(moves, "src string, dst string, guard string, module string, ord long"))
+    want = []
+    for q, m, s in asked:
+        for src, dst, guard, module, at in moves:
+            for way in [w for w, end in (("from", dst), ("to", src)) if m == module and end == s]:
+                want += [(q, f"{m}: {s} {way}", str(at), 0, f"{src} → {dst} []")] + [(q, f"{m}: {s} {way}", str(at), 1, f"Guard: {guard}")] * bool(guard)
+    assert sorted(tuple(r) for r in got.drop("part").collect()) == sorted(want)
+    said = got._jdf.queryExecution().optimizedPlan().toString()
+    assert said.index("Join") < said.index("Guard: ")
