@@ -151,3 +151,12 @@ def test_alike_rules_meet_intents_as_their_first(spark, monkeypatch):
         want |= {(q, i, m, -n, k) for k, (n, i, m) in enumerate(best, 1)}
     assert {tuple(r) for r in got.collect()} == want
     assert kept[0].count() <= 4 * 8 * 8
+
+
+def test_terms_are_counted_in_their_document(spark):
+    """Pairs of term and document are never hashed or sorted; empty and repeated documents count as before."""
+    texts = [(1, "one two one"), (2, ""), (3, None), (4, "two"), (4, "two three"), (None, "one")]
+    got = search.postings(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {(r.term, r.doc_id, r.c) for r in got.collect()} == {("one", 1, 2), ("two", 1, 1), ("two", 4, 2), ("three", 4, 1), ("one", None, 1)}
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("term", "string"), ("doc_id", "bigint"), ("c", "bigint"), ("dl", "int"), ("tf", "double")]
+    assert "keys=[term" not in plan(got) and "key=[term" not in plan(got)
