@@ -295,7 +295,9 @@ def _tables(t: Tables) -> DataFrame:
     move = F.concat(row("Current state", "Event", "Target state"), row("A", F.col("s_name"), _text("B", k % 5)))
     none = F.concat(row("x", "y"), row("1", "2"))
     html = F.concat(F.lit("<table>"), F.when(k % 3 == 0, volt).when(k % 3 == 1, move).otherwise(none), F.lit("</table>"))
-    return t.supplier.select(k.alias("doc_id"), F.lit(0).alias("idx"), F.lit("table").alias("type"), F.lit("").alias("text"), html.alias("html"))
+    # dealt out while they are small: a file of a few hundred kilobytes is one split, and one task would parse all tables
+    rows = t.supplier.repartition(t.spark.sparkContext.defaultParallelism, "s_suppkey")
+    return rows.select(k.alias("doc_id"), F.lit(0).alias("idx"), F.lit("table").alias("type"), F.lit("").alias("text"), html.alias("html"))
 
 
 @query("SELECT s_suppkey AS doc_id, CASE s_suppkey % 3 WHEN 0 THEN 'voltage_range' WHEN 1 THEN 'transition' ELSE 'unknown' END AS table_class FROM supplier")

@@ -199,3 +199,10 @@ def test_overlapping_blocks_look_back(spark):
     got = machines.prose_rules(spark.createDataFrame(rows, "doc_id string, idx int, type string, text string"))
     found = {(r.doc_id, r.block): (tuple(r.preconditions), r.action, r.section_path, r.target_state, r.source_state) for r in got.collect()}
     assert found == {("a", 1): (("p",), "enable q", "2.10", "", "Night"), ("a", 3): ((), "enable q", "2.10", "", "Night"), ("a", 7): (("r",), "ENTER on; ENTER on", "2.1", "on", "Night")}
+
+
+@tables
+@pytest.mark.parametrize("name", ["table_classes", "table_rows", "rules_of_tables"])
+def test_tables_are_dealt_out(spark, name):
+    """Suppliers in a single split are parsed by as many tasks as there are cores."""
+    assert plan(catalog.QUERIES[name](spark, DATA)).count("hashpartitioning(s_suppkey") >= 1
