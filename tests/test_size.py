@@ -1,11 +1,12 @@
 """What must not grow with the tables: broadcasts chosen by the size of files, pairs of alike rules, work a question."""
 
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import enrich, etl, explain, index, knowledge, machines, search
+from docloom.operators import enrich, etl, explain, index, knowledge, machines, search, trees
 from docloom.plans import catalog, catalog_knowledge
 from docloom.plans.domain import body_control
 from docloom.plans.registry import Tables
@@ -206,3 +207,34 @@ def test_overlapping_blocks_look_back(spark):
 def test_tables_are_dealt_out(spark, name):
     """Suppliers in a single split are parsed by as many tasks as there are cores."""
     assert plan(catalog.QUERIES[name](spark, DATA)).count("hashpartitioning(s_suppkey") >= 1
+
+
+@tables
+def test_references_cross_once(spark):
+    """What groups hold meets its documents' items in one shuffle by document, not in one a join and level."""
+    assert plan(catalog.QUERIES["body_items"](spark, DATA)).count("Exchange hashpartitioning(") == 1
+
+
+def test_bodies_are_read_as_by_a_walk(spark):
+    """Groups anywhere, the root among them, cycles, lost and nameless references: the order is that of a plain walk."""
+    draw, nodes, children, want = random.Random(5), [], [], set()
+    for d in [*range(60), None]:
+        kinds = {f"r{i}": draw.choice(["group", "group", "text", "table", "key_value"]) for i in range(9)} | ({"#/body": "group"} if draw.random() < 0.2 else {})
+        below = {p: draw.sample([*kinds, "gone", None], draw.randint(0, 4)) for p in ["#/body", *kinds]}
+        nodes += [(d, ref, kind, i) for i, (ref, kind) in enumerate(kinds.items())]
+        children += [(d, p, i, ref) for p, refs in below.items() for i, ref in enumerate(refs)]
+        said = []
+
+        def walk(p, above):
+            for ref in below[p]:
+                if kinds.get(ref) == "group" and ref not in above:
+                    walk(ref, above | {ref})
+                elif kinds.get(ref, "group") != "group" and ref not in said:
+                    said.append(ref)
+
+        if d is not None:
+            walk("#/body", set())
+        lost = [ref for kind in trees.ORPHANS for ref, k in kinds.items() if k == kind and ref not in said]
+        want |= {(d, i, ref, kinds[ref], ref in lost) for i, ref in enumerate(said + lost)}
+    got = trees.body_order(spark.createDataFrame(nodes, "doc_id long, ref string, kind string, ord int"), spark.createDataFrame(children, "doc_id long, parent string, nth int, ref string"))
+    assert {tuple(r) for r in got.collect()} == want
