@@ -49,7 +49,7 @@ def sections(items: DataFrame) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("level") == k, F.col("idx")), ignorenulls=True).over(before) for k in range(1, LEVELS)}
     parent = reduce(lambda a, k: F.greatest(a, F.when(F.col("level") > k, last[k])), range(1, LEVELS), F.lit(None).cast("int"))
-    t = t.withColumn("parent_idx", parent).withColumn("end_idx", F.lead("idx").over(doc_window()) - 1).join(n, "doc_id")
+    t = t.withColumn("parent_idx", parent).withColumn("end_idx", F.lead("idx").over(doc_window()) - 1).hint("merge").join(n.hint("merge"), "doc_id")
     number = section_number("text")
     prefix = F.element_at(F.create_map(*[F.lit(x) for kv in ((1, "ch"), (2, "sec"), (3, "ss"), (4, "sss"), (5, "leaf"), (6, "node")) for x in kv]), F.least("level", F.lit(6)))
     base = F.concat(prefix, F.lit("_"), F.coalesce(F.replace(number, F.lit("."), F.lit("_")), F.col("idx").cast("string")))

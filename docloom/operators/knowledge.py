@@ -11,6 +11,8 @@ first place; an entity's place is its first mention, its properties are those of
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +66,16 @@ def _named(kind: str, rank: int, names: Column) -> Column:
     return F.transform(names, lambda x: F.struct(F.lit(kind).alias("entity_type"), F.lit(rank).alias("rank"), F.trim(x).alias("name")))
 
 
+def _may_hold(text: Column, pattern: str) -> Column:
+    """Whether a text holds a word without which the pattern can't be found in it; true for a pattern of which no such words are known."""
+    cues = patterns.CUES.get(pattern)
+    return reduce(lambda a, w: a | F.contains(text, F.lit(w)), cues, F.lit(False)) if cues else F.lit(True)
+
+
 def _matches(text: Column, found: Sequence[tuple]) -> list[Column]:
     def one(rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-        return _named(kind, rank, F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: (F.length(x) >= least) & ~x.isin(*patterns.NO_SIGNALS)))
+        names = F.when(_may_hold(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+        return _named(kind, rank, F.filter(names, lambda x: (F.length(x) >= least) & ~x.isin(*patterns.NO_SIGNALS)))
 
     return [one(rank, *p) for rank, p in enumerate(found)]
 
@@ -74,7 +83,7 @@ def _matches(text: Column, found: Sequence[tuple]) -> list[Column]:
 def _mentions(rows: DataFrame, found: Column) -> DataFrame:
     told = rows.select("doc_id", "idx", "module", "section_path", F.explode(found).alias("e")).select("doc_id", "idx", "module", "section_path", "e.*")
     told = told.where("name <> ''").withColumn("entity_id", F.when((F.col("entity_type") == "module"), F.concat(F.lit("module_"), "name")).otherwise(entity_key("entity_type", "module", "name")))
-    return told.withColumn("properties", F.create_map().cast(NO_PROPERTIES)).dropDuplicates(["doc_id", "idx", "entity_id"])
+    return told.dropDuplicates(["doc_id", "idx", "entity_id"]).withColumn("properties", F.create_map().cast(NO_PROPERTIES))
 
 
 def mentions(items: DataFrame, domain: Domain, found: Sequence[tuple] = patterns.MENTIONS) -> DataFrame:
@@ -88,8 +97,8 @@ def mentions(items: DataFrame, domain: Domain, found: Sequence[tuple] = patterns
     nothing = F.array().cast("array<struct<entity_type:string,rank:int,name:string>>")
     fault = F.when(text.rlike(domain.fault_words), _named("fault", last, F.array(F.left(text, F.lit(80))))).otherwise(nothing)
     prose = _mentions(items.where("type in ('paragraph', 'list')"), F.concat(*_matches(text, found), fault))
-    cells = F.array_join(F.flatten(html_rows("html")), " ")
-    tables = _mentions(items.where("type = 'table'"), F.concat(*_matches(cells, [p for p in found if p[0] in ("signal", "can_message")])))
+    tabled = items.where("type = 'table'").withColumn("cells", F.array_join(F.flatten(html_rows("html")), " "))
+    tables = _mentions(tabled, F.concat(*_matches(text_of("cells"), [p for p in found if p[0] in ("signal", "can_message")])))
     some = lambda test, names: F.when(test, names).otherwise(F.array().cast("array<string>"))
     states = [m for m in _matches(text, [p for p in found if p[0] == "state"])]
     latin = F.filter(F.regexp_extract_all(text, F.lit(patterns.FUNCTION_TEXT), F.lit(0)), lambda x: x.rlike(r"[\x00-\x7f]"))
@@ -134,7 +143,7 @@ def text_links(items: DataFrame, said: DataFrame, domain: Domain, relations: Seq
 
     def pairs(nth: int, rel: str, pattern: str, src: tuple, dst: tuple) -> Column:
         found = F.zip_with(ends(*src, pattern), ends(*dst, pattern), lambda a, b: F.struct(F.lit(rel).alias("rel"), F.lit(nth).alias("nth"), a.alias("a"), b.alias("b")))
-        return F.when(text.rlike(pattern), found)  # most texts hold few of the patterns: one look each, not one a group
+        return F.when(_may_hold(text, pattern) & text.rlike(pattern), found)  # most texts hold few of the patterns: one look each, not one a group
 
     parts = [pairs(nth, *r) for nth, r in enumerate(relations)]
     rows = items.where("type in ('paragraph', 'list')").select("doc_id", "idx", "module", "section_path", F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("e"))
@@ -145,10 +154,12 @@ def text_links(items: DataFrame, said: DataFrame, domain: Domain, relations: Seq
     for side in "ab":
         own = known.select("doc_id", "idx", F.col("name").alias(f"{side}_name"), F.col("known").alias(f"{side}_known"))
         rows = rows.withColumn(f"{side}_name", F.col(f"{side}.name")).join(own.hint("merge"), ["doc_id", "idx", f"{side}_name"], "left")
+    # each a column of its own, so that it is found once and not for every part of an end
+    rows = rows.withColumns({f"{x}_type": F.coalesce(F.col(f"{x}.kind"), entity_type_of(F.col(f"{x}_name"), F.col(f"{x}_known"), domain)) for x in "ab"})
 
     def resolved(side: str) -> Column:
         kind, name, module = (F.col(f"{side}.{c}") for c in ("kind", "name", "module"))
-        typed = _end(F.coalesce(kind, entity_type_of(name, F.col(f"{side}_known"), domain)), name, module)
+        typed = _end(f"{side}_type", name, module)
         return F.when(kind == "section", section_end(name)).when(kind == "module", module_end(name)).otherwise(typed)
 
     return rows.select("doc_id", "idx", "rel", F.lit(1.0).alias("weight"), F.create_map().cast(NO_PROPERTIES).alias("properties"), "nth", "section_path", resolved("a").alias("src"), resolved("b").alias("dst"))
@@ -246,7 +257,7 @@ def entities_of(said: DataFrame, links: DataFrame) -> DataFrame:
     first = both.groupBy("entity_id").agg(F.min_by(F.struct(*place), F.struct("late", "doc_id", "idx")).alias("r")).select("entity_id", "r.*")
     told = known.select("entity_id", F.struct("doc_id", "idx").alias("at"), F.explode("properties").alias("key", "value")).groupBy("entity_id", "key").agg(F.max_by("value", F.struct("at", "value")).alias("value"))
     held = told.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
-    return first.join(held, "entity_id", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast(NO_PROPERTIES)))
+    return first.hint("merge").join(held.hint("merge"), "entity_id", "left").withColumn("properties", F.coalesce("properties", F.create_map().cast(NO_PROPERTIES)))
 
 
 def edges_of(links: DataFrame) -> DataFrame:
@@ -259,4 +270,4 @@ def edges_of(links: DataFrame) -> DataFrame:
 def dangling(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """(node): ends of edges that are no entity; none where ``entities_of`` made the entities."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    return ends.join(entities.select(F.col("entity_id").alias("node")), "node", "left_anti")
+    return ends.hint("merge").join(entities.select(F.col("entity_id").alias("node")).hint("merge"), "node", "left_anti")

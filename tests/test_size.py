@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import enrich, etl, explain, index, knowledge, machines, search, trees
-from docloom.plans import catalog, catalog_knowledge
+from docloom.plans import catalog, catalog_knowledge, patterns
 from docloom.plans.domain import body_control
 from docloom.plans.registry import Tables
 
@@ -238,3 +238,24 @@ def test_bodies_are_read_as_by_a_walk(spark):
         want |= {(d, i, ref, kinds[ref], ref in lost) for i, ref in enumerate(said + lost)}
     got = trees.body_order(spark.createDataFrame(nodes, "doc_id long, ref string, kind string, ord int"), spark.createDataFrame(children, "doc_id long, parent string, nth int, ref string"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+@tables
+def test_sections_and_ends_are_not_broadcast(spark):
+    """A document's last place, an entity's properties and the entities that edges end in are as many as the documents: all of them are merged."""
+    items = catalog_knowledge._spoken(Tables(spark, DATA))
+    assert "Broadcast" not in plan(knowledge.located(items, etl.sections(items)))
+    entities, edges, _ = catalog_knowledge._graph(Tables(spark, DATA))
+    assert "Broadcast" not in plan(entities) and "Broadcast" not in plan(knowledge.dangling(edges, entities))
+
+
+def test_cues_lose_nothing(spark):
+    """A text without a pattern's cues does not hold the pattern; each pattern is found in some text, and most texts are spared most patterns."""
+    draw = random.Random(3)
+    words = sorted({w for cues in patterns.CUES.values() for w in cues} | {"Armed", "Disarmed", "Charging", "0x1AF", "BCM_Abc", "Sig_A", "Cfg_X", "KL30", "发送", "时", "触发", "激活", "上升沿", "需要", "处于", "配置", "第 2.1 节", "详见", "按照", "的", "输出", "模块", "车窗", "=", "==", "：", ":", ",", "DTC"})
+    texts = ["".join(draw.choice(words) + draw.choice(["", " ", " "]) for _ in range(draw.randint(1, 9))) for _ in range(6000)] + [s.replace("{k}", "7") for s in catalog_knowledge._SAID]
+    told = F.col("text")
+    seen = spark.createDataFrame([(t,) for t in texts], "text string").select(*(F.struct(told.rlike(p).alias("held"), knowledge._may_hold(told, p).alias("may")).alias(f"p{n}") for n, p in enumerate(patterns.CUES)))
+    sums = seen.agg(*(F.struct(F.count_if(f"p{n}.held").alias("held"), F.count_if(F.col(f"p{n}.held") & ~F.col(f"p{n}.may")).alias("lost"), F.count_if(f"p{n}.may").alias("may")).alias(f"p{n}") for n in range(len(patterns.CUES)))).first()
+    assert all(x.held > 0 and x.lost == 0 and x.may < len(texts) for x in sums)
+    assert {p for _, p, *_ in patterns.RELATIONS} <= set(patterns.CUES)
