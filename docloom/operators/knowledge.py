@@ -72,9 +72,16 @@ def _may_hold(text: Column, pattern: str) -> Column:
     return reduce(lambda a, w: a | F.contains(text, F.lit(w)), cues, F.lit(False)) if cues else F.lit(True)
 
 
-def _matches(text: Column, found: Sequence[tuple]) -> list[Column]:
+def _cued(rows: DataFrame, text: Column, sought: Sequence[str]) -> DataFrame:
+    """Rows with their text (``told``) and what of it may hold each pattern: columns of their own, as lambdas and what stands around them are interpreted, not compiled."""
+    return rows.withColumn("told", text).withColumns({f"may_{n}": _may_hold(F.col("told"), p) for n, p in enumerate(sought)})
+
+
+def _matches(found: Sequence[tuple]) -> list[Column]:
+    """What each pattern finds in rows that are ``_cued`` for them."""
+
     def one(rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-        names = F.when(_may_hold(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+        names = F.when(F.col(f"may_{rank}"), F.regexp_extract_all("told", F.lit(pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
         return _named(kind, rank, F.filter(names, lambda x: (F.length(x) >= least) & ~x.isin(*patterns.NO_SIGNALS)))
 
     return [one(rank, *p) for rank, p in enumerate(found)]
@@ -96,17 +103,19 @@ def mentions(items: DataFrame, domain: Domain, found: Sequence[tuple] = patterns
     text, last = text_of("text"), len(found)
     nothing = F.array().cast("array<struct<entity_type:string,rank:int,name:string>>")
     fault = F.when(text.rlike(domain.fault_words), _named("fault", last, F.array(F.left(text, F.lit(80))))).otherwise(nothing)
-    prose = _mentions(items.where("type in ('paragraph', 'list')"), F.concat(*_matches(text, found), fault))
-    tabled = items.where("type = 'table'").withColumn("cells", F.array_join(F.flatten(html_rows("html")), " "))
-    tables = _mentions(tabled, F.concat(*_matches(text_of("cells"), [p for p in found if p[0] in ("signal", "can_message")])))
+    of = lambda *kinds: [p for p in found if p[0] in kinds]
+    cued = lambda kind, text, sought: _cued(items.where(kind), text, [p[1] for p in sought])
+    prose = _mentions(cued("type in ('paragraph', 'list')", text, found), F.concat(*_matches(found), fault))
+    cells = of("signal", "can_message")
+    tables = _mentions(cued("type = 'table'", text_of(F.array_join(F.flatten(html_rows("html")), " ")), cells), F.concat(*_matches(cells)))
     some = lambda test, names: F.when(test, names).otherwise(F.array().cast("array<string>"))
-    states = [m for m in _matches(text, [p for p in found if p[0] == "state"])]
+    states = _matches(of("state"))
     latin = F.filter(F.regexp_extract_all(text, F.lit(patterns.FUNCTION_TEXT), F.lit(0)), lambda x: x.rlike(r"[\x00-\x7f]"))
     titles = F.concat(
         _named("module", 0, some((F.coalesce("level", F.lit(1)) == 1) & (F.col("module") != ""), F.array("module"))), *states,
         _named("function", last, some(text.rlike(patterns.FUNCTION_TITLE), F.array(F.left(text, F.lit(60))))), _named("function", last, latin),
     )
-    return prose.unionByName(tables).unionByName(_mentions(items.where("type = 'title'"), titles))
+    return prose.unionByName(tables).unionByName(_mentions(cued("type = 'title'", text, of("state")), titles))
 
 
 def record_mentions(records: DataFrame) -> DataFrame:
@@ -126,7 +135,7 @@ def text_links(items: DataFrame, said: DataFrame, domain: Domain, relations: Seq
 
     A name without a stated type has the type under which its item mentions it (``said``), else the one it looks like.
     """
-    text = text_of("text")
+    text = F.col("told")
     title, parent = F.col("section_title"), F.col("parent_title")
     first = lambda c, p: F.nullif(F.regexp_extract(c, p, 0), F.lit(""))
     function = F.coalesce(first(title, patterns.FUNCTION_TEXT), F.when(title.rlike(patterns.FUNCTION_TITLE), F.left(title, F.lit(30))), F.lit(""))
@@ -143,23 +152,27 @@ def text_links(items: DataFrame, said: DataFrame, domain: Domain, relations: Seq
 
     def pairs(nth: int, rel: str, pattern: str, src: tuple, dst: tuple) -> Column:
         found = F.zip_with(ends(*src, pattern), ends(*dst, pattern), lambda a, b: F.struct(F.lit(rel).alias("rel"), F.lit(nth).alias("nth"), a.alias("a"), b.alias("b")))
-        return F.when(_may_hold(text, pattern) & text.rlike(pattern), found)  # most texts hold few of the patterns: one look each, not one a group
+        return F.when(F.col(f"may_{nth}") & text.rlike(pattern), found)  # most texts hold few of the patterns: one look each, not one a group
 
     parts = [pairs(nth, *r) for nth, r in enumerate(relations)]
-    rows = items.where("type in ('paragraph', 'list')").select("doc_id", "idx", "module", "section_path", F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("e"))
+    cued = _cued(items.where("type in ('paragraph', 'list')"), text_of("text"), [r[1] for r in relations])
+    rows = cued.select("doc_id", "idx", "module", "section_path", F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("e"))
     rows = rows.select("doc_id", "idx", "module", "section_path", "e.rel", "e.nth", "e.a", "e.b")
     whole = lambda c: (F.col(f"{c}.name") != "") | F.col(f"{c}.kind").isin("module", "section")  # noqa: E731  what has no name can't be an end
     rows = rows.where(whole("a") & whole("b"))
     known = said.groupBy("doc_id", "idx", "name").agg(F.min_by("entity_type", "rank").alias("known"))
     for side in "ab":
         own = known.select("doc_id", "idx", F.col("name").alias(f"{side}_name"), F.col("known").alias(f"{side}_known"))
-        rows = rows.withColumn(f"{side}_name", F.col(f"{side}.name")).join(own.hint("merge"), ["doc_id", "idx", f"{side}_name"], "left")
-    # each a column of its own, so that it is found once and not for every part of an end
-    rows = rows.withColumns({f"{x}_type": F.coalesce(F.col(f"{x}.kind"), entity_type_of(F.col(f"{x}_name"), F.col(f"{x}_known"), domain)) for x in "ab"})
+        # what the name alone tells is found before the join: with all of both ends in one step, that step's code is too long for the JVM to compile
+        name, unknown = F.col(f"{side}.name"), F.lit(None).cast("string")
+        rows = rows.withColumns({f"{side}_name": name, f"{side}_safe": safe_id(name, 80), f"{side}_like": entity_type_of(name, unknown, domain)})
+        rows = rows.join(own.hint("merge"), ["doc_id", "idx", f"{side}_name"], "left")
+        rows = rows.withColumn(f"{side}_type", F.coalesce(F.col(f"{side}.kind"), F.when(F.col(f"{side}_name") != "", F.col(f"{side}_known")), F.col(f"{side}_like")))
 
     def resolved(side: str) -> Column:
         kind, name, module = (F.col(f"{side}.{c}") for c in ("kind", "name", "module"))
-        typed = _end(f"{side}_type", name, module)
+        key = F.concat(f"{side}_type", F.lit("_"), text_of(module), F.lit("_"), f"{side}_safe")
+        typed = F.struct(key.alias("id"), F.col(f"{side}_type").alias("entity_type"), text_of(name).alias("name"), text_of(module).alias("module"))
         return F.when(kind == "section", section_end(name)).when(kind == "module", module_end(name)).otherwise(typed)
 
     return rows.select("doc_id", "idx", "rel", F.lit(1.0).alias("weight"), F.create_map().cast(NO_PROPERTIES).alias("properties"), "nth", "section_path", resolved("a").alias("src"), resolved("b").alias("dst"))
